@@ -9,9 +9,9 @@ by distributed union-find.
 Within a bucket not all pairs are made. First every class is compared with one pivot, the
 one it shares most bands with; then with its other pivots, if they lie in another
 component; last, classes of one bucket that are still in different components are compared
-with each other where their signatures agree in at least `near` registers. Pairs that are
-skipped lie in one component already, or have signatures that a linked pair gives
-with a chance below 1e-8.
+with each other in blocks of bounded size, where their signatures agree in at least `near`
+registers (a linked pair has fewer with a chance below 1e-6). Only links leave
+a block. Pairs that are skipped lie in one component already.
 
 Null and empty texts: an empty set, linked with nothing, component_id the row's own doc_id.
 Null doc_ids: take part as texts; a component_id is the least doc_id that is not null.
@@ -30,8 +30,10 @@ from .common import components, materialize, small, texts
 from .words import mix, shingle_set
 
 REGISTERS, BANDS, ROWS = 128, 32, 4
-#: Least number of equal registers for a comparison in the last step: 6 deviations below 0.8.
-NEAR = 75
+#: Least number of equal registers for a comparison in the last step: 5 deviations below 0.8.
+NEAR = 80
+#: Classes and bytes of a block, about.
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 
@@ -45,7 +47,7 @@ def superminhash(x: np.ndarray, m: int = REGISTERS) -> np.ndarray:
     h = np.full(m, np.iinfo(np.uint64).max, np.uint64)
     rows, perm, first = np.arange(len(x)), None, None
     for j in range(m):
-        z = mix(x + np.uint64(j + 1) * _STEP)
+        z = mix(x + np.uint64((j + 1) * int(_STEP) % (1 << 64)))
         place = j + ((z & np.uint64(0xFFFF)) % np.uint64(m - j)).astype(np.int64)
         if j == 0:
             first = place
@@ -69,45 +71,78 @@ def _band_keys(h: np.ndarray) -> np.ndarray:
 
 
 def _signed(k: int):
-    """Arrow batches (doc_id, text) to class, set size, band keys and one byte of each register."""
+    """Arrow batches (doc_id, text) to class, set size and band keys."""
 
     def run(batches):
         for part, rows in texts(batches):
-            n, cls, bands, sig = [], [], [], []
+            n, cls, bands = [], [], []
             for text in rows:
                 x = shingle_set(text, k)
                 n.append(len(x))
                 if len(x):
-                    h = superminhash(x)
                     cls.append(xxhash.xxh3_128_digest(x.tobytes()))
-                    bands.append(_band_keys(h))
-                    sig.append(mix(h).astype(np.uint8).tobytes())
+                    bands.append(_band_keys(superminhash(x)))
                 else:
-                    cls.append(None), bands.append(None), sig.append(None)
+                    cls.append(None), bands.append(None)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
-                ["doc_id", "n_shingles", "cls", "bands", "sig"],
+                [part.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "cls", "bands"],
             )
 
     return run
 
 
 def _sets(k: int):
-    """Arrow batches (text, cls) to (cls, set), for rows whose text has that class."""
+    """Arrow batches (text, cls) to (cls, set, a byte of each register), for rows whose text has that class."""
 
     def run(batches):
         for part, rows in texts(batches):
             wanted = part.column(part.schema.get_field_index("cls")).to_pylist()
-            cls, sets = [], []
+            cls, sets, sig = [], [], []
             for text, c in zip(rows, wanted):
                 x = shingle_set(text, k)
                 if len(x) and xxhash.xxh3_128_digest(x.tobytes()) == c:
-                    cls.append(c), sets.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(sets, pa.binary())], ["cls", "shingles"])
+                    cls.append(c), sets.append(x.tobytes()), sig.append(mix(superminhash(x)).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (cls, sets, sig)], ["cls", "shingles", "sig"])
 
     return run
 
 
+def _blocks(percent: int, near: int):
+    """Arrow batches (band number, two blocks) to the links (root_a, root_b) between components found there.
+
+    Each pair of classes is compared in the first band that it shares.
+    """
+
+    def run(batches):
+        for batch in batches:
+            found: set[tuple[bytes, bytes]] = set()
+            for j, x, y in zip(batch.column("j").to_pylist(), batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+                sx, sy = (np.frombuffer(b"".join(m["sig"] for m in s), np.uint8).reshape(len(s), BANDS, ROWS) for s in (x, y))
+                sets_x, sets_y = ([np.frombuffer(m["shingles"], np.uint64) for m in s] for s in (x, y))
+                for a, m in enumerate(x):
+                    same = sx[a] == sy
+                    shared = same.all(2)
+                    right = (same.sum((1, 2)) >= near) & (shared.argmax(1) == j) & shared[:, j]
+                    for b in np.flatnonzero(right).tolist():
+                        roots = tuple(sorted((m["root"], y[b]["root"])))
+                        if roots[0] != roots[1] and roots not in found and _linked(sets_x[a], sets_y[b], percent):
+                            found.add(roots)
+            columns = list(zip(*sorted(found))) or [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["root_a", "root_b"])
+
+    return run
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    lo, hi = sorted((len(x), len(y)))
+    if 100 * lo < percent * hi:  # the sizes alone rule a link out
+        return False
+    both = np.sort(np.concatenate([x, y]))
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (lo + hi - common)
+
+
 def _verify(percent: int):
     """Arrow batches (a, b, ..., sa, sb) to the pairs (a, b, ...) with 100 * common >= percent * union."""
 
@@ -115,14 +150,7 @@ def _verify(percent: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                keep = []
-                for p, q in zip(part.column("sa").to_pylist(), part.column("sb").to_pylist()):
-                    x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                    lo, hi = sorted((len(x), len(y)))
-                    if ok := 100 * lo >= percent * hi:  # else the sizes alone rule a link out
-                        common = lo + hi - len(np.union1d(x, y))
-                        ok = 100 * common >= percent * (lo + hi - common)
-                    keep.append(ok)
+                keep = [_linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in zip(part.column("sa").to_pylist(), part.column("sb").to_pylist())]
                 yield part.drop_columns(["sa", "sb"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -131,10 +159,10 @@ def _verify(percent: int):
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, near: int = NEAR) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = docs.mapInArrow(_signed(k), "doc_id long, n_shingles long, cls binary, bands array<long>, sig binary")
+    signed = docs.mapInArrow(_signed(k), "doc_id long, n_shingles long, cls binary, bands array<long>")
     signed = materialize(signed, "signed")
     classes = signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    keys = materialize(classes.select("cls", F.explode("bands").alias("band")), "bands")
+    keys = materialize(classes.select("cls", F.posexplode("bands").alias("j", "band")), "bands")
     pivots = keys.groupBy("band").agg(F.min("cls").alias("pivot"), F.max("cls").alias("other")).where("pivot <> other").select("band", "pivot")
     buckets = materialize(keys.join(pivots, "band"), "buckets")
     first_seen = signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
@@ -143,7 +171,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, near: int =
     # The sets of the classes in buckets only, made again from one text each.
     wanted = materialize(members.join(first_seen, "cls"), "wanted")
     texts_of = docs.withColumnRenamed("doc_id", "d").join(small(wanted), F.col("d").eqNullSafe(F.col("doc_id"))).select("text", "cls")
-    sets = materialize(texts_of.mapInArrow(_sets(k), "cls binary, shingles binary").dropDuplicates(["cls"]), "sets")
+    sets = materialize(texts_of.mapInArrow(_sets(k), "cls binary, shingles binary, sig binary").dropDuplicates(["cls"]), "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b, root_a, root_b) whose full sets are similar enough."""
@@ -171,20 +199,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, near: int =
         apart = apart.join(found.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c)
     found = merged(found, materialize(apart.where("root_a <> root_b"), "apart"))
 
-    # Buckets that still hold several components: their classes against each other.
-    tagged = materialize(buckets.join(found.withColumnRenamed("node", "cls"), "cls").select("band", "cls", "root"), "tagged")
-    split = tagged.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    sigs = signed.where("cls is not null").dropDuplicates(["cls"]).select("cls", "sig")
-    left_over = materialize(tagged.join(split, "band").join(sigs, "cls"), "open")
-    if not left_over.isEmpty():
-        x, y = left_over.alias("x"), left_over.alias("y")
-        places = F.sequence(F.lit(1), F.lit(REGISTERS))
-        agree = F.size(F.filter(places, lambda p: F.substring(F.col("x.sig"), p, F.lit(1)) == F.substring(F.col("y.sig"), p, F.lit(1))))
-        on = (F.col("x.band") == F.col("y.band")) & (F.col("x.root") < F.col("y.root")) & (agree >= near)
-        cross = x.join(y, on).selectExpr("x.cls a", "y.cls b", "x.root root_a", "y.root root_b").distinct()
-        for a, b in (("a", "b"), ("b", "a")):  # compared with their pivots already
-            cross = cross.join(stars.select(F.col("a").alias(a), F.col("b").alias(b)), ["a", "b"], "left_anti")
-        found = merged(found, materialize(cross, "cross"))
+    # Buckets that still hold several components: their classes against each other, block by block.
+    tagged = materialize(buckets.join(found.withColumnRenamed("node", "cls"), "cls").select("band", "j", "cls", "root"), "tagged")
+    split = tagged.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("band", "n")
+    left_over = tagged.join(split, "band").join(sets, "cls")
+    room = F.greatest(F.lit(1), F.least(F.lit(BLOCK), (BLOCK_BYTES / F.greatest(F.length("shingles"), F.lit(1))).cast("int")))
+    left_over = left_over.withColumn("size", F.pow(2, F.floor(F.log2(room))).cast("int"))  # long sets go to smaller blocks
+    left_over = left_over.withColumn("block", F.concat_ws("/", "size", F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / F.col("size")))))
+    blocks = left_over.groupBy("band", "j", "block").agg(F.collect_list(F.struct("cls", "root", "sig", "shingles")).alias("x"))
+    blocks = materialize(blocks, "blocks")
+    if not blocks.isEmpty():
+        other = blocks.select("band", F.col("block").alias("other"), F.col("x").alias("y"))
+        pairs = blocks.join(other, (blocks["band"] == other["band"]) & (F.col("block") <= F.col("other"))).select("j", "x", "y")
+        links = pairs.mapInArrow(_blocks(percent, near), "root_a binary, root_b binary")
+        links = materialize(links.distinct(), "cross")
+        if not links.isEmpty():
+            roots = components(links, "root_a", "root_b").select(F.col("node").alias("root"), F.col("root").alias("top"))
+            found = materialize(found.join(roots, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
 
     # Every class's component is named by the least doc_id in it.
     named = first_seen.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
