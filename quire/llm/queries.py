@@ -15,6 +15,18 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op2_near_duplicates,)}
+def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+def op8_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chunk_store import store_and_sums
+
+    return store_and_sums(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_pack, op8_chunk_store)}
 
 SQL: dict[str, str] = {}
