@@ -1,15 +1,61 @@
-"""The corpus pipeline: quality, line dedup, near-dedup, decontamination, packing."""
+"""The corpus pipeline: quality model, line dedup, near-dedup, decontamination, packing.
+
+Each stage takes the documents that the one before kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.llm.common import materialize
+from quire.llm.decontaminate import clean
+from quire.llm.line_dedup import remove_repeated_lines
+from quire.llm.near_dedup import deduplicate
+from quire.llm.packing import pack
+from quire.llm.quality_lm import keep_good
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the language model doesn't reject."""
+    return keep_good(docs, _table(spark, sf_dir, "labels"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later copies of repeated line runs; those of which no line is left go. n_chars follows the text."""
+    left = remove_repeated_lines(docs, removed="__removed")
+    left = left.where((F.col("__removed") == 0) | F.col("text").rlike(r"\S")).drop("__removed")
+    return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else left
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    return deduplicate(docs, k=5, percent=80)
+
+
+def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return clean(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents left, packed."""
+    return pack(docs)
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near", near), ("benchmarks", benchmarks), ("packing", packing)]
 
-STAGES: list = []
+#: Signatures, suffix ranks and a language model have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over the documents of sf_dir, each stage's result written and read again."""
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -30,7 +30,7 @@ from .common import materialize, small, texts
 
 ORDER, WEIGHT, QUANTILE, MARGIN, HELD_OUT = 5, 200, 0.99, 1.0, 10
 MODEL_ROWS = 4_000_000
-_P = np.uint64(0x9E3779B97F4A7C15)
+_P = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -43,10 +43,9 @@ def _codes(text: bytes | None) -> np.ndarray:
 def _hashes(codes: np.ndarray) -> list[np.ndarray]:
     """For k from 1 to ORDER the hashes of the k-grams that end at each place (the first places wrap and are not used)."""
     c, out = codes.astype(np.uint64), []
-    h, p = np.zeros(len(c), np.uint64), np.uint64(1)
+    h = np.zeros(len(c), np.uint64)
     for k in range(ORDER):
-        h = h + np.roll(c, k) * p
-        p = p * _P
+        h = h + np.roll(c, k) * np.uint64(pow(_P, k, 1 << 64))
         out.append(h)
     return out
 
@@ -176,10 +175,9 @@ def _tables(rows: pa.Table) -> dict[str, list[_Table]]:
         for k in range(ORDER + 1):
             own = part[size == k]
             codes = np.frombuffer("".join(own["gram"]).encode("utf-32-le"), np.uint32).reshape(len(own), k).astype(np.uint64)
-            h, p = np.zeros(len(own), np.uint64), np.uint64(1)
+            h = np.zeros(len(own), np.uint64)
             for j in range(k):
-                h += codes[:, k - 1 - j] * p
-                p = p * _P
+                h += codes[:, k - 1 - j] * np.uint64(pow(_P, j, 1 << 64))
             by_size.append(_Table(h, own["logp"].to_numpy(np.float64), own["backoff"].fillna(0).to_numpy(np.float64)))
         out[lang] = by_size
     return out

@@ -4,11 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+# The url rules (verdict, host, path).
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_templates import judge_urls
+
+    return judge_urls(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"), URL_RULES)
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
@@ -21,12 +36,54 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan_secrets
+
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op5_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_lm import perplexities
+
+    return perplexities(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import remove_repeated_lines
+
+    return remove_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), removed="n_removed")
+
+
 def op8_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chunk_store import store_and_sums
 
     return store_and_sums(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_pack, op8_chunk_store)}
+def op9_line_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_crf import quality_rules
+
+    return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_templates, op2_near_duplicates, op3_pack, op4_secret_scan, op5_quality_lm,
+        op6_license_scan, op7_line_dedup, op8_chunk_store, op9_line_field, op10_decontaminate,
+    )
+}
 
 SQL: dict[str, str] = {}

@@ -123,7 +123,7 @@ def labelled_findings(spark: SparkSession, rows: int = SAMPLE, seed: int = 7) ->
 
 def train(findings: DataFrame, seed: int = 7) -> RandomForestClassificationModel:
     """A forest of labelled findings (value, before, after, path, label)."""
-    made = F.udf(features, "array<double>")  # of a bounded table; the scan itself works on Arrow batches
+    made = F.udf(features, "array<double>", useArrow=False)  # of a bounded table; the scan itself works on Arrow batches
     rows = findings.select(array_to_vector(made("value", "before", "after", "path")).alias("features"), "label")
     return RandomForestClassifier(numTrees=TREES, maxDepth=LEVELS, seed=seed, featuresCol="features", labelCol="label").fit(rows)
 
