@@ -1,0 +1,111 @@
+"""Column functions over prose: words, sentences, n-grams, syllables, lengths.
+
+All are built-in expressions, so they stay inside the JVM. A null text gives null; an empty one empty arrays.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# The function words whose rates make a writer's fingerprint.
+MARKERS = (
+    "the a an of to in on at by for with from into over under about between through during "
+    "against without within across after before and or but nor if then than when while where because "
+    "since although though unless until whereas "
+    "i you he she it we they me him her us them my your his its our their this that "
+    "these those which who whom whose what any some all no none each every both either neither such "
+    "same own other another "
+    "is are was were be been being am do does did have has had will would can could should shall may might must "
+    "more most less least few many much very quite rather too enough only even still yet just "
+    "so also however additionally moreover furthermore therefore thus hence instead otherwise meanwhile indeed anyway besides "
+    "really actually honestly probably possibly perhaps maybe certainly clearly obviously arguably roughly "
+    "basically essentially mostly usually often sometimes never always again now here there not "
+    "don't doesn't didn't isn't aren't wasn't weren't can't won't wouldn't couldn't shouldn't it's that's "
+    "there's what's i'm i've i'd i'll you're you've we're we've they're let's"
+).split()
+
+
+def bound(value: Column, f) -> Column:
+    """f(value) with value computed once, however often f uses it, also inside lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def words(text: Column) -> Column:
+    """Lower-case ASCII words with inner apostrophes and hyphens."""
+    return F.regexp_extract_all(F.lower(text), F.lit("([a-z][a-z'-]*)"), F.lit(1))
+
+
+def sentences(text: Column) -> Column:
+    """Runs of text up to . ! or ? before white space; blank ones dropped."""
+    parts = F.split(F.regexp_replace(text, r"([.!?])[ \t\r\n]+", "$1\u0001"), "\u0001")
+    return F.filter(parts, lambda s: F.regexp_replace(s, r"[ \t\r\n]+", "") != "")
+
+
+def sentence_lengths(text: Column) -> Column:
+    """Words of each sentence that has any."""
+    return F.filter(F.transform(sentences(text), lambda s: F.size(words(s))), lambda n: n > 0)
+
+
+def ngrams(tokens: Column, n: int) -> Column:
+    """All n consecutive tokens, joined by a space."""
+    grams = lambda t: F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " "))
+    return bound(tokens, lambda t: F.when(F.size(t) >= n, grams(t)).otherwise(F.array().cast("array<string>")))
+
+
+def mean_of(values: Column) -> Column:
+    return bound(values, lambda v: F.when(F.size(v) > 0, F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)))
+
+
+def sd_of(values: Column) -> Column:
+    """Sample deviation; 0 for a single value."""
+    squares = lambda v: bound(mean_of(v), lambda m: F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)))
+    return bound(values, lambda v: F.when(F.size(v) > 1, F.sqrt(squares(v) / (F.size(v) - 1))).when(F.size(v) == 1, F.lit(0.0)))
+
+
+def moving_ttr(tokens: Column, window: int = 100) -> Column:
+    """Mean share of distinct tokens over all windows; null for shorter sequences."""
+
+    def share(t: Column) -> Column:
+        shares = F.transform(F.sequence(F.lit(1), F.size(t) - (window - 1)), lambda i: F.size(F.array_distinct(F.slice(t, i, window))))
+        return F.aggregate(shares, F.lit(0.0), lambda a, x: a + x) / (F.size(t) - (window - 1)) / window
+
+    return bound(tokens, lambda t: F.when(F.size(t) >= window, share(t)))
+
+
+def syllables(word: Column) -> Column:
+    """Vowel groups of a lower-case word; a last e after other letters than l, e and y is silent; one at least."""
+    letters = F.regexp_replace(word, "[^a-z]", "")
+    groups = F.regexp_count(letters, F.lit("[aeiouy]+"))
+    silent = letters.rlike("[^ley]e$") & (groups > 1)
+    return F.when(letters == "", F.lit(0)).otherwise(F.greatest(F.lit(1), groups - silent.cast("int")))
+
+
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+
+
+def normalized_line(line: Column) -> Column:
+    """Duplicate key of a line: list marker off, spaces collapsed, lower case."""
+    bare = F.regexp_replace(line, r"^[ \t]*([-*+]|[0-9]+[.)])[ \t]+", "")
+    return F.lower(trimmed(F.regexp_replace(bare, r"[ \t\r\n]+", " ")))
+
+
+def canonical_number(raw: Column) -> Column:
+    """One spelling per number: commas out, integral floats without a fraction."""
+    bare = F.regexp_replace(raw, ",", "")
+    value = bare.try_cast("double")
+    return F.when(value.isNull(), bare).when((value == F.floor(value)) & (F.abs(value) < 1e15), value.cast("bigint").cast("string")).otherwise(F.regexp_replace(bare, "0+$", ""))
+
+
+def html_text(markup: Column) -> Column:
+    """Text of markup: scripts, styles and comments out, block ends as newlines, tags out, common entities decoded, blank lines squeezed."""
+    t = F.regexp_replace(markup, r"(?is)<script[^>]*>.*?</script>", "")
+    t = F.regexp_replace(t, r"(?is)<style[^>]*>.*?</style>", "")
+    t = F.regexp_replace(t, r"(?s)<!--.*?-->", "")
+    t = F.regexp_replace(t, r"(?i)</(p|div|h1|h2|h3|h4|h5|h6|li|ul|ol|tr|table|section|article|blockquote|nav|header|footer)>|<br[^>]*>", "\n")
+    t = F.regexp_replace(t, r"<[^>]*>", "")
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        t = F.replace(t, F.lit(entity), F.lit(char))
+    lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.regexp_replace(F.regexp_replace(x, r"[ \t\r]+", " "), r"^ | $", "")), lambda x: x != "")
+    return F.array_join(lines, "\n")

@@ -2,5 +2,161 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.functions.text import MARKERS
+from quire.operators import corpus, detectors, joins, stats, stylometry
+
+
+def _on(table: str, f: Callable[..., DataFrame], *more: str) -> Callable[[SparkSession, str], DataFrame]:
+    """f over whole tables of a folder."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in (table, *more)))
+
+    return query
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "agg_01_doc_stats": _on("documents", stats.document_stats),
+    "agg_01_trigram_repetition": _on("documents", stats.trigram_repetition),
+    "fun_30_mattr": _on("documents", stats.moving_ttr),
+    "tok_03_readability": _on("documents", stats.readability),
+    "fun_22_ascii_share": _on("documents", stats.ascii_share),
+    "agg_03_marker_rates": _on("documents", stylometry.marker_rates),
+    "agg_04_marker_baseline": _on("documents", lambda d: stylometry.marker_baseline(d).select("source", "marker", "docs", *(F.round(c, 4).alias(c) for c in ("mean", "sd", "floored_sd")))),
+    "agg_05_sentence_openers": _on("documents", stylometry.sentence_openers),
+    "agg_06_measure_stats": _on("documents", stylometry.measure_stats),
+    "agg_07_sentence_shape": _on("documents", stylometry.sentence_shape),
+    "agg_08_self_distance": _on("documents", stylometry.self_distance),
+    "agg_11_voice_distance": _on("documents", stylometry.voice_distance),
+    "agg_13_measure_gaps": _on("documents", stylometry.measure_gaps),
+    "agg_15_presence_rates": _on("documents", corpus.presence_rates),
+    "agg_19_detector_score": _on("documents", lambda d, b: corpus.detector_score(d, b, F.col("text").rlike("[#*$%&|<>]")), "labels"),
+    "agg_21_term_profile": _on("documents", stylometry.term_profile),
+    "agg_23_ngram_mining": _on("conversations", corpus.ngram_mining),
+    "agg_41_turn_removals": _on("conversations", joins.turn_removals),
+    "join_02_fact_delta": _on("documents", joins.fact_delta),
+    "join_07_repeated_lines": _on("documents", joins.repeated_lines),
+    "join_09_overlap": _on("documents", joins.line_overlap),
+    "join_11_verbatim": _on("documents", joins.verbatim, "benchmark"),
+    "join_13_nearest": _on("embeddings", joins.nearest),
+    "fun_19_digest_dedup": _on("documents", corpus.digest_dedup),
+    "cvio_trend_events": _on("events", corpus.trend),
+    "det_13_long_paragraphs": _on("documents", detectors.long_paragraphs),
+    "det_12_long_sentences": _on("documents", detectors.long_sentences),
+    "det_06_concealed_spans": _on("pages", detectors.concealed_spans),
+    "src_08_html_text": _on("pages", detectors.page_text),
+    "agg_02_finding_rollup": _on("documents", detectors.finding_rollup),
+}
+
+# DuckDB forms of the text functions; {0} is the text.
+_WORDS = "regexp_extract_all(lower({0}), '[a-z][a-z''-]*')"
+_SENTENCES = r"list_filter(string_split(regexp_replace({0}, '([.!?])[ \t\r\n]+', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '[ \t\r\n]+', '', 'g') <> '')"
+_LENGTHS = "list_filter(list_transform(" + _SENTENCES + ", lambda s: len(" + _WORDS.format("s") + ")), lambda n: n > 0)"
+_GRAMS = "list_transform(range(1, len({0}) - {1} + 2), lambda i: array_to_string(list_slice({0}, i, i + {1} - 1), ' '))"
+_NORM = r"lower(regexp_replace(regexp_replace(regexp_replace({0}, '^[ \t]*([-*+]|[0-9]+[.)])[ \t]+', ''), '[ \t\r\n]+', ' ', 'g'), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g'))"
+_MARKERS = "(" + ", ".join("'" + m.replace("'", "''") + "'" for m in MARKERS) + ")"
+_STATS = f"""
+SELECT doc_id, source, len(w) AS word_count, len(n) AS sentence_count, len(list_distinct(w)) AS n_types,
+  CASE WHEN len(w) > 0 THEN round(len(list_distinct(w)) / len(w)::DOUBLE, 6) END AS ttr,
+  round(list_avg(n), 6) AS avg_sentence_words,
+  round(CASE WHEN len(n) > 1 THEN list_stddev_samp(n) WHEN len(n) = 1 THEN 0.0 END, 6) AS sentence_sd,
+  round(CASE WHEN len(n) > 1 THEN list_stddev_samp(n) WHEN len(n) = 1 THEN 0.0 END / nullif(list_avg(n), 0), 6) AS burstiness,
+  list_max(n) AS longest_sentence, list_min(n) AS shortest_sentence
+FROM (SELECT doc_id, source, {_WORDS.format("text")} AS w, {_LENGTHS.format("text")} AS n FROM documents)"""
+_COUNTS = f"""
+counts AS (SELECT source, doc_id, words, marker, count(*) AS n
+  FROM (SELECT source, doc_id, len(w) AS words, unnest(w) AS marker FROM (SELECT source, doc_id, {_WORDS.format("text")} AS w FROM documents WHERE lang = 'en'))
+  WHERE marker IN {_MARKERS} GROUP BY ALL)"""
+_BASE = f"""{_COUNTS},
+writers AS (SELECT source, count(*) AS docs FROM documents WHERE lang = 'en' AND len({_WORDS.format("text")}) > 0 GROUP BY source),
+sums AS (SELECT source, marker, sum(1000.0 * n / words) AS s, sum((1000.0 * n / words) ** 2) AS q FROM counts GROUP BY ALL),
+base0 AS (SELECT source, marker, docs, s / docs AS mean, CASE WHEN docs > 1 THEN sqrt(greatest((q - docs * (s / docs) * (s / docs)) / (docs - 1), 0.0)) ELSE 0.0 END AS sd FROM sums JOIN writers USING (source)),
+base AS (SELECT *, greatest(sd, 0.25 * mean, 0.5) AS floored_sd FROM base0)"""
+# Every document against every marker of its writer's baseline: the plain form of the Delta.
+_DELTAS = f"""{_BASE},
+full_rates AS (SELECT d.source, d.doc_id, b.marker, b.docs, b.mean, b.floored_sd, coalesce(1000.0 * c.n / c.words, 0.0) AS x
+  FROM (SELECT source, doc_id FROM documents WHERE lang = 'en' AND len({_WORDS.format("text")}) > 0) d JOIN base b USING (source)
+  LEFT JOIN counts c ON c.doc_id = d.doc_id AND c.marker = b.marker),
+loo AS (SELECT source, doc_id, sum(least(abs(x - (mean * docs - x) / (docs - 1)) / floored_sd, 4.0)) / {len(MARKERS)} AS delta FROM full_rates WHERE docs > 1 GROUP BY ALL),
+own AS (SELECT source, doc_id, sum(least(abs(x - mean) / floored_sd, 4.0)) / {len(MARKERS)} AS delta FROM full_rates GROUP BY ALL)"""
+_LONG = f"""measures AS (SELECT source, doc_id, unnest(['word_count', 'avg_sentence_words', 'burstiness', 'ttr']) AS measure,
+  unnest([word_count::DOUBLE, avg_sentence_words, burstiness, ttr]) AS value FROM ({_STATS})), m AS (SELECT * FROM measures WHERE value IS NOT NULL)"""
+_LINES = f"keys AS (SELECT * FROM (SELECT doc_id, {_NORM.format('line')} AS norm FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)) WHERE length(norm) >= 40)"
+_PAIRS = f"""{_LINES}, k AS (SELECT DISTINCT doc_id, norm FROM keys),
+firsts AS (SELECT norm, min(doc_id) AS first_id FROM k GROUP BY norm HAVING count(*) > 1),
+pairs AS (SELECT DISTINCT doc_id, first_id FROM k JOIN firsts USING (norm) WHERE doc_id <> first_id)"""
+_NUMBER = r"""CASE WHEN try_cast(x AS DOUBLE) = floor(try_cast(x AS DOUBLE)) AND abs(try_cast(x AS DOUBLE)) < 1e15 THEN try_cast(x AS DOUBLE)::BIGINT::VARCHAR ELSE regexp_replace(x, '0+$', '') END"""
+_LONG_P = f"SELECT doc_id, pos - 1 AS pos, len({_SENTENCES.format('p')}) AS n FROM (SELECT doc_id, unnest(l) AS p, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE len({_SENTENCES.format('p')}) > 6"
+_LONG_S = f"""SELECT doc_id, pos, n, hit FROM (SELECT doc_id, pos, n, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS hit FROM
+  (SELECT doc_id, pos - 1 AS pos, len({_WORDS.format('s')}) AS n FROM (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, {_SENTENCES.format('text')} AS l FROM documents))) WHERE n > 25) WHERE hit > 6"""
+_HTML = "html"
+for _rx, _to in (
+    (r"<script[^>]*>.*?</script>", ""), (r"<style[^>]*>.*?</style>", ""), (r"<!--.*?-->", ""),
+    (r"</(p|div|h1|h2|h3|h4|h5|h6|li|ul|ol|tr|table|section|article|blockquote|nav|header|footer)>|<br[^>]*>", "\n"), (r"<[^>]*>", ""),
+):
+    _HTML = f"regexp_replace({_HTML}, '{_rx}', '{_to}', 'gis')"
+for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    _HTML = f"replace({_HTML}, '{_entity}', '{_char}')"
+_HTML = rf"array_to_string(list_filter(list_transform(string_split({_HTML}, chr(10)), lambda x: regexp_replace(regexp_replace(x, '[ \t\r]+', ' ', 'g'), '^ | $', '', 'g')), lambda x: x <> ''), chr(10))"
+
+SQL: dict[str, str] = {
+    "agg_01_doc_stats": f"SELECT * EXCLUDE (source) FROM ({_STATS})",
+    "agg_01_trigram_repetition": f"SELECT doc_id, len(g) AS n_trigrams, CASE WHEN len(g) > 0 THEN round((len(g) - len(list_distinct(g))) / len(g)::DOUBLE, 6) ELSE 0.0 END AS trigram_repetition FROM (SELECT doc_id, {_GRAMS.format('w', 3)} AS g FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents))",
+    "fun_30_mattr": f"SELECT doc_id, round(list_avg(list_transform(range(1, len(w) - 98), lambda i: len(list_distinct(list_slice(w, i, i + 99))))) / 100, 6) AS mattr FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents) WHERE len(w) >= 100",
+    "tok_03_readability": f"""WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w, len({_SENTENCES.format('text')}) AS s FROM documents WHERE lang = 'en'),
+      y AS (SELECT doc_id, len(w) AS n, s, list_sum(list_transform(list_transform(w, lambda x: regexp_replace(x, '[^a-z]', '', 'g')), lambda x: greatest(1, len(regexp_extract_all(x, '[aeiouy]+')) - CASE WHEN regexp_matches(x, '[^ley]e$') AND len(regexp_extract_all(x, '[aeiouy]+')) > 1 THEN 1 ELSE 0 END))) AS syllables FROM d WHERE len(w) > 0 AND s > 0)
+      SELECT doc_id, syllables::INT AS syllables, round(0.39 * (n / s::DOUBLE) + 11.8 * (syllables / n::DOUBLE) - 15.59, 6) AS grade FROM y""",
+    "fun_22_ascii_share": r"SELECT lang, count(*) AS docs, sum(length(text))::BIGINT AS chars, round(sum(length(regexp_replace(text, '[^\x00-\x7F]', '', 'g'))) / sum(length(text))::DOUBLE, 6) AS ascii_share FROM documents GROUP BY lang",
+    "agg_03_marker_rates": f"WITH {_COUNTS} SELECT doc_id, marker, n, round(1000.0 * n / words, 6) AS per_1k FROM counts",
+    "agg_04_marker_baseline": f"WITH {_BASE} SELECT source, marker, docs, round(mean, 4) AS mean, round(sd, 4) AS sd, round(floored_sd, 4) AS floored_sd FROM base",
+    "agg_05_sentence_openers": f"""WITH s AS (SELECT source, unnest({_SENTENCES.format('text')}) AS s FROM documents), g AS (SELECT source, {_WORDS.format('s')}[1] AS word, count(*) AS n FROM s GROUP BY ALL)
+      SELECT source, word, n, row_number() OVER (PARTITION BY source ORDER BY n DESC, word) AS rank FROM g WHERE word IS NOT NULL QUALIFY rank <= 8""",
+    "agg_06_measure_stats": f"WITH {_LONG} SELECT source, measure, count(*) AS n, round(avg(value), 4) AS mean, round(coalesce(stddev_samp(value), 0.0), 4) AS sd, round(min(value), 4) AS lo, round(max(value), 4) AS hi FROM m GROUP BY ALL",
+    "agg_07_sentence_shape": f"""WITH s AS (SELECT source, unnest({_LENGTHS.format('text')}) AS n FROM documents)
+      SELECT source, count(*) AS sentences, {', '.join(f'round(quantile_cont(n, {i / 10}), 4) AS d{i}' for i in range(1, 10))}, round(avg(n), 4) AS mean, round(avg((n <= 8)::INT), 6) AS short_share, round(avg((n >= 30)::INT), 6) AS long_share FROM s GROUP BY source""",
+    "agg_08_self_distance": f"WITH {_DELTAS} SELECT source, doc_id, round(delta, 6) AS delta FROM loo",
+    "agg_11_voice_distance": f"""WITH {_DELTAS}, band AS (SELECT source, quantile_cont(delta, 0.9) AS band FROM loo GROUP BY source)
+      SELECT source, doc_id, round(delta, 6) AS delta, CASE WHEN delta <= band THEN 'in_range' WHEN delta <= 1.5 * band THEN 'near' ELSE 'out_of_range' END AS verdict FROM own JOIN band USING (source)""",
+    "agg_13_measure_gaps": f"""WITH {_LONG}, b AS (SELECT source, measure, avg(value) AS mean, coalesce(stddev_samp(value), 0.0) AS sd FROM m GROUP BY ALL),
+      o AS (SELECT doc_id, measure, round((value - mean) / nullif(greatest(sd, 0.1 * abs(mean)), 0), 4) AS sd_off FROM m JOIN b USING (source, measure)) SELECT doc_id, measure, sd_off, abs(sd_off) <= 2.0 AS within FROM o""",
+    "agg_15_presence_rates": "SELECT lang, count(*) AS docs, round(100 * avg(regexp_matches(text, '[0-9]')::INT), 4) AS digit_pct, round(100 * avg(contains(text, chr(10))::INT), 4) AS multiline_pct, round(avg(CASE WHEN length(text) > 0 THEN length(text) END), 4) AS mean_chars, round(quantile_cont(length(text)::DOUBLE, 0.5), 4) AS median_chars FROM documents GROUP BY lang",
+    "agg_19_detector_score": """WITH g AS (SELECT CASE WHEN grouping(lang) = 1 THEN 'all' ELSE lang END AS lang, quality, count(*) AS n, sum(regexp_matches(text, '[#*$%&|<>]')::INT)::BIGINT AS flagged FROM documents JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((lang, quality), (quality))),
+      p AS (SELECT *, flagged / n::DOUBLE AS rate, 1.96 AS z FROM g)
+      SELECT lang, quality, n, flagged, round(rate, 6) AS rate, round((rate + z * z / (2 * n) - z * sqrt(rate * (1 - rate) / n + z * z / (4.0 * n * n))) / (1 + z * z / n), 6) AS lo, round((rate + z * z / (2 * n) + z * sqrt(rate * (1 - rate) / n + z * z / (4.0 * n * n))) / (1 + z * z / n), 6) AS hi FROM p""",
+    "agg_21_term_profile": f"WITH {_COUNTS}, g AS (SELECT source, marker, count(*) AS docs, sum(n)::BIGINT AS hits FROM counts GROUP BY ALL) SELECT source, marker, docs, hits, row_number() OVER (PARTITION BY source ORDER BY hits DESC, marker) AS rank FROM g QUALIFY rank <= 12",
+    "agg_23_ngram_mining": f"""WITH w AS (SELECT {_WORDS.format('text')} AS w FROM conversations WHERE role = 'assistant'),
+      a AS ({' UNION ALL '.join(f"SELECT {n} AS n, unnest({_GRAMS.format('w', n)}) AS gram FROM w" for n in (2, 3, 4))}), g AS (SELECT n, gram, count(*) AS hits FROM a GROUP BY ALL)
+      SELECT n, gram, hits, row_number() OVER (PARTITION BY n ORDER BY hits DESC, gram) AS rank FROM g QUALIFY rank <= 20""",
+    "agg_41_turn_removals": f"""WITH t AS (SELECT conv_id, turn, {_WORDS.format('text')} AS w FROM conversations), p AS (SELECT *, lead(w) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM t),
+      a AS (SELECT conv_id, turn, word, count(*) AS n FROM (SELECT conv_id, turn, unnest(w) AS word FROM p WHERE nxt IS NOT NULL) GROUP BY ALL),
+      b AS (SELECT conv_id, turn, word, count(*) AS m FROM (SELECT conv_id, turn, unnest(nxt) AS word FROM p) GROUP BY ALL)
+      SELECT conv_id, turn, sum(n - coalesce(m, 0))::BIGINT AS lost, count(*) AS lost_types FROM a LEFT JOIN b USING (conv_id, turn, word) WHERE n > coalesce(m, 0) GROUP BY ALL""",
+    "join_02_fact_delta": f"""WITH {_PAIRS}, f AS (SELECT doc_id, list_transform(list_transform(regexp_extract_all(text, '[0-9][0-9,]*(?:\\.[0-9]+)?'), lambda x: replace(x, ',', '')), lambda x: {_NUMBER}) AS facts FROM documents),
+      a AS (SELECT first_id, doc_id, fact, count(*) AS n FROM (SELECT p.first_id, p.doc_id, unnest(facts) AS fact FROM pairs p JOIN f ON f.doc_id = p.first_id) GROUP BY ALL),
+      b AS (SELECT first_id, doc_id, fact, count(*) AS n FROM (SELECT p.first_id, p.doc_id, unnest(facts) AS fact FROM pairs p JOIN f ON f.doc_id = p.doc_id) GROUP BY ALL)
+      SELECT first_id, doc_id, 'lost' AS side, fact, a.n - coalesce(b.n, 0) AS n FROM a LEFT JOIN b USING (first_id, doc_id, fact) WHERE a.n > coalesce(b.n, 0)
+      UNION ALL SELECT first_id, doc_id, 'added' AS side, fact, b.n - coalesce(a.n, 0) AS n FROM b LEFT JOIN a USING (first_id, doc_id, fact) WHERE b.n > coalesce(a.n, 0)""",
+    "join_07_repeated_lines": f"WITH {_LINES}, d AS (SELECT norm, doc_id, count(*) AS k FROM keys GROUP BY ALL) SELECT sha256(norm) AS line_sha, count(*) AS docs, sum(k)::BIGINT AS hits, min(doc_id) AS first_id FROM d GROUP BY norm HAVING count(*) > 1",
+    "join_09_overlap": f"""WITH {_PAIRS}, s AS (SELECT doc_id, list(norm) AS lines FROM k GROUP BY doc_id)
+      SELECT p.doc_id, p.first_id, len(list_intersect(a.lines, b.lines)) AS common, round(len(list_intersect(a.lines, b.lines)) / least(len(a.lines), len(b.lines))::DOUBLE, 6) AS overlap FROM pairs p JOIN s a ON a.doc_id = p.doc_id JOIN s b ON b.doc_id = p.first_id""",
+    "join_11_verbatim": f"""WITH d AS (SELECT DISTINCT doc_id, unnest({_GRAMS.format('w', 10)}) AS gram FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents)), b AS (SELECT DISTINCT item_id, unnest({_GRAMS.format('w', 10)}) AS gram FROM (SELECT item_id, {_WORDS.format('text')} AS w FROM benchmark))
+      SELECT doc_id, item_id, count(*) AS windows FROM d JOIN b USING (gram) GROUP BY ALL""",
+    "join_13_nearest": """WITH p AS (SELECT q.vec_id, r.vec_id AS other_id, list_sum(list_transform(list_zip(q.embedding, r.embedding), lambda z: abs(z[1]::DOUBLE - z[2]::DOUBLE))) AS d FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0)
+      SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY d, other_id) AS rank, other_id, round(d, 4) AS distance FROM p QUALIFY rank <= 3""",
+    "fun_19_digest_dedup": "SELECT doc_id, sha256(text) AS digest, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_id, doc_id = min(doc_id) OVER (PARTITION BY sha256(text)) AS kept FROM documents",
+    "cvio_trend_events": """WITH d AS (SELECT event_type, ts::DATE AS day, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day) AS a, row_number() OVER (PARTITION BY event_type ORDER BY day DESC) AS z FROM d)
+      SELECT event_type, count(*) AS days, round(avg(n) FILTER (a <= 7), 6) AS early_mean, round(avg(n) FILTER (z <= 7), 6) AS late_mean, round(avg(n) FILTER (z <= 7) / avg(n) FILTER (a <= 7), 6) AS ratio FROM r GROUP BY event_type""",
+    "det_13_long_paragraphs": _LONG_P,
+    "det_12_long_sentences": _LONG_S,
+    "det_06_concealed_spans": r"""WITH c AS (SELECT page_id, regexp_extract_all(html, '(?s)<!--(.*?)-->', 1) AS l FROM pages), s AS (SELECT page_id, unnest(l) AS span, generate_subscripts(l, 1) - 1 AS pos FROM c)
+      SELECT page_id, pos, len(list_filter(regexp_split_to_array(span, '[ \t\r\n]+'), lambda x: x <> '')) AS words, len(list_filter(regexp_split_to_array(span, '[ \t\r\n]+'), lambda x: x <> '')) > 12 AS unexplained FROM s""",
+    "src_08_html_text": rf"SELECT page_id, sha256(t) AS text_sha, length(t) AS chars, len(list_filter(regexp_split_to_array(t, '[ \n]+'), lambda x: x <> '')) AS words FROM (SELECT page_id, {_HTML} AS t FROM pages)",
+    "agg_02_finding_rollup": f"""WITH f AS (SELECT doc_id, 'long-paragraph' AS id, 'structure' AS band, 'P2' AS priority, pos FROM ({_LONG_P}) UNION ALL SELECT doc_id, 'long-sentence', 'clarity', 'P1', pos FROM ({_LONG_S})),
+      r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, id ORDER BY pos) AS rn FROM f)
+      SELECT coalesce(band, 'all') AS band, coalesce(priority, 'all') AS priority, count(*) AS findings, count(DISTINCT doc_id) AS docs, sum((rn <= 4)::INT)::BIGINT AS shown FROM r GROUP BY ROLLUP (band, priority)""",
+}
