@@ -19,8 +19,10 @@ PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 OTHER_SPACE = re.compile(r"[^\S \n]")
 #: Letters from here on may be newer than the tokenizer's Unicode tables.
 LATER = "\u0530"
+#: A word, and ASCII marks after it other than an apostrophe.
+MARKED = re.compile(r"( ?[^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 #: Pieces remembered in a worker; the older half goes when there are more.
-MEMO = 400_000
+MEMO = 600_000
 
 
 def _byte_chars() -> dict[int, str]:
@@ -30,6 +32,20 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Memo(dict):
+    """Pieces to ids; what is missing comes from `old`, or is made."""
+
+    def __init__(self, old: dict, make):
+        self.old, self.make = old, make
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self.old.get(piece)
+        if got is None:
+            got = self.make(piece)
+        self[piece] = got
+        return got
+
+
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids."""
 
@@ -38,49 +54,37 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.map = {b: c for b, c in _byte_chars().items()}
-        self.ends = {c: self._whole(c) for c in ",."}
+        self.map = _byte_chars()
+        self.ids = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.newline = self._whole("\n")
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.memo = _Memo({}, self._made)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        """Ids of letters with at most one space before: one piece for the merges, whatever is around it."""
-        chars = word.encode().decode("latin-1").translate(self.map)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(chars)], "<u4").tobytes()
-
-    def __getitem__(self, piece: str) -> bytes:
-        got = self.new.get(piece)
-        if got is None:
-            got = self.old.get(piece)
-            if got is None:
-                got = self._made(piece)
-            if len(self.new) >= MEMO // 2:
-                self.old, self.new = self.new, {}
-            self.new[piece] = got
-        return got
-
     def _made(self, piece: str) -> bytes:
         if piece[0] == "\n" and piece[1:2].strip():  # a newline before a word stands alone
-            return self.newline + self[piece[1:]]
-        if piece[-1] in self.ends and piece[-2:-1].isalpha() and piece[-2] < LATER:  # so does a last comma after a letter
-            return self[piece[:-1]] + self.ends[piece[-1]]
-        return self._word(piece) if piece[piece[0] == " " :].isalpha() and max(piece) < LATER else self._whole(piece)
+            return self.newline + self.memo[piece[1:]]
+        if max(piece) < LATER:
+            word = piece[piece[0] == " " :]
+            if word.isalpha():  # one piece for the merges, whatever is around it
+                ids = self.ids
+                return b"".join([ids[t.id] for t in self.tokenize(piece.encode().decode("latin-1").translate(self.map))])
+            if (m := MARKED.fullmatch(piece)) and m[1].strip().isalpha():  # marks after letters are a piece of their own
+                return self.memo[m[1]] + self.memo[m[2]]
+        return self._whole(piece)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if OTHER_SPACE.search(text) or any(s in text for s in self.special):
             return self._whole(text)
-        pieces = PIECES.findall(text)
-        try:
-            return b"".join(map(self.new.__getitem__, pieces))
-        except KeyError:
-            return b"".join(map(self.__getitem__, pieces))
+        if len(self.memo) > MEMO // 2:
+            self.memo.old = {}
+            self.memo = _Memo(dict(self.memo), self._made)
+        return b"".join(map(self.memo.__getitem__, PIECES.findall(text)))
 
 
 _ENCODERS: dict[str, Encoder] = {}
