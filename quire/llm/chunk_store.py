@@ -50,13 +50,17 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+#: A hash of each id; ids beyond the table share entries.
+_HASH = (mix(np.arange(1 << 16, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
+
+
 def cuts(ids: np.ndarray) -> list[int]:
     """Ends of the chunks of an id stream."""
-    h = mix(ids.astype(np.uint64) + np.uint64(1))
-    rolled = np.zeros(len(ids), np.uint64)
-    for i in range(min(WINDOW, len(ids))):
-        rolled[i:] += h[: len(ids) - i] * np.uint64(2 * i + 1)
-    ends, out, last = np.flatnonzero((mix(rolled) & np.uint64(MASK)) == 0) + 1, [], 0
+    h = _HASH[ids & 0xFFFF]
+    rolled = h.copy()
+    for i in range(1, min(WINDOW, len(ids))):
+        rolled[i:] += h[: len(ids) - i] * np.uint32(2 * i + 1)
+    ends, out, last = np.flatnonzero((rolled * np.uint32(0x9E3779B1)) >> np.uint32(16) & np.uint32(MASK) == 0) + 1, [], 0
     for end in [*ends.tolist(), len(ids)]:
         out += range(last + LONGEST, end, LONGEST)
         if end > last:
@@ -110,12 +114,14 @@ def write_store(docs: DataFrame, path: str, end_id: int = END_ID, vocab: str | N
     owned.select(F.col("c.digests").alias("digest"), F.col("c.chunks").alias("ids")).write.option("compression", "zstd").parquet(f"{path}/chunks")
 
 
-@lru_cache(maxsize=8192)
-def _append(n: int) -> list[list[int]]:
-    """Tables that move a CRC past n bytes that follow: one of 256 entries for each of its bytes."""
-    zero = zlib.crc32(bytes(n))
-    # crc32(data, c) is linear in c up to a constant, so a bit's effect is its difference to c = 0.
-    bits = [zlib.crc32(bytes(n), 1 << i) ^ zero for i in range(32)]
+@lru_cache(maxsize=64)
+def _append(log: int) -> list[list[int]]:
+    """Tables that move a CRC past 2^log zero bytes: one of 256 entries for each of its bytes."""
+    if log == 0:
+        # crc32(data, c) is linear in c up to a constant, so a bit's effect is its difference to c = 0.
+        bits = [zlib.crc32(b"\0", 1 << i) ^ zlib.crc32(b"\0") for i in range(32)]
+    else:
+        bits = [_moved(_moved(1 << i, log - 1), log - 1) for i in range(32)]
     tables = []
     for b in range(4):
         table = [0]
@@ -125,12 +131,22 @@ def _append(n: int) -> list[list[int]]:
     return tables
 
 
+def _moved(crc: int, log: int) -> int:
+    a, b, c, d = _append(log)
+    return a[crc & 255] ^ b[crc >> 8 & 255] ^ c[crc >> 16 & 255] ^ d[crc >> 24]
+
+
 def combined_crc(parts: list[tuple[int, int]]) -> int:
     """CRC of a concatenation, from (crc, bytes) of its parts."""
     crc = 0
     for part, n in parts:
-        a, b, c, d = _append(n)
-        crc = a[crc & 255] ^ b[crc >> 8 & 255] ^ c[crc >> 16 & 255] ^ d[crc >> 24] ^ part
+        log = 0
+        while n:
+            if n & 1:
+                crc = _moved(crc, log)
+            n >>= 1
+            log += 1
+        crc ^= part
     return crc
 
 
