@@ -9,9 +9,9 @@ by distributed union-find.
 Within a bucket not all pairs are made. First every class is compared with one pivot, the
 one it shares most bands with; then with its other pivots, if they lie in another
 component; last, classes of one bucket that are still in different components are compared
-with each other in blocks of bounded size, where their signatures agree in at least `near`
-registers (a linked pair has fewer with a chance below 1e-6). Only links leave
-a block. Pairs that are skipped lie in one component already.
+with each other in blocks of bounded size by finer signatures of 512 registers. Pairs that agree in
+at least `near` of them (a linked pair has fewer with a chance below 1e-5) leave a block, each pair
+once, and are confirmed on the full sets. Pairs that are skipped lie in one component already.
 
 Null and empty texts: an empty set, linked with nothing, component_id the row's own doc_id.
 Null doc_ids: take part as texts; a component_id is the least doc_id that is not null.
@@ -30,10 +30,10 @@ from .common import components, materialize, small, texts
 from .words import mix, shingle_set
 
 REGISTERS, BANDS, ROWS = 128, 32, 4
-#: Least number of equal registers for a comparison in the last step: 5 deviations below 0.8.
-NEAR = 80
-#: Classes and bytes of a block, about.
-BLOCK, BLOCK_BYTES = 512, 16 << 20
+#: Registers for the last step, and the least number of equal ones: 4.5 deviations below 0.8.
+FINE, NEAR = 512, 369
+#: Classes of a block, about.
+BLOCK = 512
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 
@@ -53,7 +53,7 @@ def superminhash(x: np.ndarray, m: int = REGISTERS) -> np.ndarray:
             first = place
         else:
             if perm is None:  # only short sets come here
-                perm = np.tile(np.arange(m, dtype=np.uint8), (len(x), 1))
+                perm = np.tile(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint16), (len(x), 1))
                 perm[rows, first] = 0
             place, at = perm[rows, place].astype(np.int64), place
             perm[rows, at] = perm[:, j]
@@ -93,43 +93,46 @@ def _signed(k: int):
 
 
 def _sets(k: int):
-    """Arrow batches (text, cls) to (cls, set, a byte of each register), for rows whose text has that class."""
+    """Arrow batches (text, cls) to (cls, set, a byte of each register of both signatures), for rows whose text has that class."""
 
     def run(batches):
         for part, rows in texts(batches):
             wanted = part.column(part.schema.get_field_index("cls")).to_pylist()
-            cls, sets, sig = [], [], []
+            cls, sets, sig, fine = [], [], [], []
             for text, c in zip(rows, wanted):
                 x = shingle_set(text, k)
                 if len(x) and xxhash.xxh3_128_digest(x.tobytes()) == c:
                     cls.append(c), sets.append(x.tobytes()), sig.append(mix(superminhash(x)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (cls, sets, sig)], ["cls", "shingles", "sig"])
+                    fine.append(mix(superminhash(x, FINE)).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (cls, sets, sig, fine)], ["cls", "shingles", "sig", "fine"])
 
     return run
 
 
-def _blocks(percent: int, near: int):
-    """Arrow batches (band number, two blocks) to the links (root_a, root_b) between components found there.
+def _blocks(near: int):
+    """Arrow batches (band number, two blocks) to the pairs (a, b, root_a, root_b) that may be links between components.
 
-    Each pair of classes is compared in the first band that it shares.
+    Each pair of classes leaves in the first band that it shares.
     """
 
     def run(batches):
         for batch in batches:
-            found: set[tuple[bytes, bytes]] = set()
-            for j, x, y in zip(batch.column("j").to_pylist(), batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                sx, sy = (np.frombuffer(b"".join(m["sig"] for m in s), np.uint8).reshape(len(s), BANDS, ROWS) for s in (x, y))
-                sets_x, sets_y = ([np.frombuffer(m["shingles"], np.uint64) for m in s] for s in (x, y))
-                for a, m in enumerate(x):
-                    same = sx[a] == sy
-                    shared = same.all(2)
-                    right = (same.sum((1, 2)) >= near) & (shared.argmax(1) == j) & shared[:, j]
-                    for b in np.flatnonzero(right).tolist():
-                        roots = tuple(sorted((m["root"], y[b]["root"])))
-                        if roots[0] != roots[1] and roots not in found and _linked(sets_x[a], sets_y[b], percent):
-                            found.add(roots)
-            columns = list(zip(*sorted(found))) or [[]] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["root_a", "root_b"])
+            for i in range(batch.num_rows):
+                j, x, y = (batch.column(c)[i].as_py() for c in ("j", "x", "y"))
+                y = y or x  # none: the block with itself
+                bands_y, fine_y = (np.frombuffer(b"".join(m[c] for m in y), np.uint8) for c in ("sig", "fine"))
+                bands_y, fine_y = bands_y.reshape(len(y), BANDS, ROWS), fine_y.reshape(len(y), FINE)
+                roots_y, cls_y = np.array([m["root"] for m in y], object), np.array([m["cls"] for m in y], object)
+                found: tuple[list, ...] = ([], [], [], [])
+                for m in x:
+                    other = (roots_y > m["root"]) if x is y else (roots_y != m["root"])
+                    shared = (np.frombuffer(m["sig"], np.uint8).reshape(BANDS, ROWS) == bands_y).all(2)
+                    other &= shared[:, j] & (shared.argmax(1) == j)
+                    at = np.flatnonzero(other)
+                    at = at[(np.frombuffer(m["fine"], np.uint8) == fine_y[at]).sum(1) >= near]
+                    for column, values in zip(found, ([m["cls"]] * len(at), cls_y[at], [m["root"]] * len(at), roots_y[at])):
+                        column.extend(values)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in found], ["a", "b", "root_a", "root_b"])
 
     return run
 
@@ -171,7 +174,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, near: int =
     # The sets of the classes in buckets only, made again from one text each.
     wanted = materialize(members.join(first_seen, "cls"), "wanted")
     texts_of = docs.withColumnRenamed("doc_id", "d").join(small(wanted), F.col("d").eqNullSafe(F.col("doc_id"))).select("text", "cls")
-    sets = materialize(texts_of.mapInArrow(_sets(k), "cls binary, shingles binary, sig binary").dropDuplicates(["cls"]), "sets")
+    sets = materialize(texts_of.mapInArrow(_sets(k), "cls binary, shingles binary, sig binary, fine binary").dropDuplicates(["cls"]), "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b, root_a, root_b) whose full sets are similar enough."""
@@ -202,20 +205,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, near: int =
     # Buckets that still hold several components: their classes against each other, block by block.
     tagged = materialize(buckets.join(found.withColumnRenamed("node", "cls"), "cls").select("band", "j", "cls", "root"), "tagged")
     split = tagged.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("band", "n")
-    left_over = tagged.join(split, "band").join(sets, "cls")
-    room = F.greatest(F.lit(1), F.least(F.lit(BLOCK), (BLOCK_BYTES / F.greatest(F.length("shingles"), F.lit(1))).cast("int")))
-    left_over = left_over.withColumn("size", F.pow(2, F.floor(F.log2(room))).cast("int"))  # long sets go to smaller blocks
-    left_over = left_over.withColumn("block", F.concat_ws("/", "size", F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / F.col("size")))))
-    blocks = left_over.groupBy("band", "j", "block").agg(F.collect_list(F.struct("cls", "root", "sig", "shingles")).alias("x"))
+    left_over = tagged.join(split, "band").join(sets.select("cls", "sig", "fine"), "cls")
+    parts = F.ceil(F.col("n") / BLOCK)
+    left_over = left_over.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("parts")))
+    blocks = left_over.groupBy("band", "j", "parts", "block").agg(F.collect_list(F.struct("cls", "root", "sig", "fine")).alias("x"))  # about BLOCK
     blocks = materialize(blocks, "blocks")
     if not blocks.isEmpty():
-        other = blocks.select("band", F.col("block").alias("other"), F.col("x").alias("y"))
-        pairs = blocks.join(other, (blocks["band"] == other["band"]) & (F.col("block") <= F.col("other"))).select("j", "x", "y")
-        links = pairs.mapInArrow(_blocks(percent, near), "root_a binary, root_b binary")
-        links = materialize(links.distinct(), "cross")
-        if not links.isEmpty():
-            roots = components(links, "root_a", "root_b").select(F.col("node").alias("root"), F.col("root").alias("top"))
-            found = materialize(found.join(roots, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
+        large = blocks.where("parts > 1")
+        other = large.select("band", F.col("block").alias("other"), F.col("x").alias("y"))
+        pairs = large.join(other, "band").where("block < other").select("j", "x", "y").unionByName(blocks.select("j", "x", F.lit(None).cast(blocks.schema["x"].dataType).alias("y")))
+        found = merged(found, materialize(pairs.mapInArrow(_blocks(near), "a binary, b binary, root_a binary, root_b binary"), "cross"))
 
     # Every class's component is named by the least doc_id in it.
     named = first_seen.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
