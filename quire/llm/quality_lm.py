@@ -12,7 +12,7 @@ Threshold of a language: with q1 its held-out median and q2 its held-out quantil
 q2 + MARGIN * (q2 - q1) are rejected.
 
 Scoring looks the model up in arrays if it has at most MODEL_ROWS rows, else by shuffle
-joins of the documents' grams; both give the same sums.
+joins of the documents' grams; the sums are the same up to the arrays' 32-bit floats.
 
 Empty and null texts, and texts of languages without trusted text, have no perplexity and are kept. Null languages form one of
 their own. Null doc_ids and repeated rows are returned as they come. Extra columns are ignored by `perplexities`
@@ -21,6 +21,8 @@ and kept by `keep_good`.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -166,23 +168,44 @@ class _Table:
         return out
 
 
-def _tables(rows: pa.Table) -> dict[str, list[_Table]]:
-    """For each language the tables of the grams of 0 to ORDER characters."""
+def _hashed(batches):
+    """Arrow batches (lang, gram, logp, backoff) to numbers: lang, size, hash, logp, backoff."""
+    for batch in batches:
+        grams = batch.column(1).to_pylist()
+        size, h = np.array([len(g) for g in grams]), np.zeros(len(grams), np.uint64)
+        for k in range(1, ORDER + 1):
+            own = np.flatnonzero(size == k)
+            codes = np.frombuffer("".join([grams[i] for i in own]).encode("utf-32-le"), np.uint32).reshape(len(own), k)
+            if k and len(own):
+                h[own] = sum(codes[:, k - 1 - j].astype(np.uint64) * np.uint64(pow(_P, j, 1 << 64)) for j in range(k))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int32()), pa.array(h.view(np.int64)), batch.column(2), batch.column(3)], ["lang", "size", "h", "logp", "backoff"])
+
+
+def _arrays(found: DataFrame) -> dict[tuple[str, int], tuple[np.ndarray, ...]]:
+    """(language, gram size) to hashes, log-probabilities and backoffs, for a model of checked size."""
+    rows = found.mapInArrow(_hashed, "lang string, size int, h long, logp double, backoff double").toArrow()
+    lang, size = rows.column("lang").to_numpy(), rows.column("size").to_numpy()
+    numbers = (rows.column("h").to_numpy().view(np.uint64), rows.column("logp").to_numpy(), rows.column("backoff").to_numpy())
     out = {}
-    rows = rows.to_pandas()
-    for lang, part in rows.groupby("lang"):
-        size, by_size = part["gram"].str.len(), []
+    for key in sorted(set(lang)):
         for k in range(ORDER + 1):
-            own = part[size == k]
-            codes = np.frombuffer("".join(own["gram"]).encode("utf-32-le"), np.uint32).reshape(len(own), k).astype(np.uint64)
-            h = np.zeros(len(own), np.uint64)
-            for j in range(k):
-                h += codes[:, k - 1 - j] * np.uint64(pow(_P, j, 1 << 64))
-            by_size.append(_Table(h, own["logp"].to_numpy(np.float64), own["backoff"].fillna(0).to_numpy(np.float64)))
-        out[lang] = by_size
+            at = np.flatnonzero((lang == key) & (size == k))
+            out[key, k] = (numbers[0][at], numbers[1][at].astype(np.float32), np.nan_to_num(numbers[2][at]).astype(np.float32))
     return out
 
 
+#: The tables of the last model that a worker saw, by its number.
+_TABLES: dict[int, dict[str, list[_Table]]] = {}
+
+
+def _tables(arrays, number: int = -1) -> dict[str, list[_Table]]:
+    """For each language the tables of the grams of 0 to ORDER characters."""
+    if number < 0 or number not in _TABLES:
+        _TABLES.clear()
+        _TABLES[number] = {lang: [_Table(*arrays[lang, k]) for k in range(ORDER + 1)] for lang, size in arrays if size == 0}
+    return _TABLES[number]
+
+
 def _logp(tables: list[_Table], codes: np.ndarray) -> np.ndarray:
     """Log-probability of the character at each place of codes, after the ORDER - 1 before it."""
     h = _hashes(codes)
@@ -202,9 +225,9 @@ def _logp(tables: list[_Table], codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _scored(tables):
+def _scored(arrays, number: int):
     def run(batches):
-        models = tables.value
+        models = _tables(arrays.value, number)
         for part, rows in texts(batches):
             langs = part.column(part.schema.get_field_index("lang")).to_pylist()
             nll, n = [None] * len(rows), [0] * len(rows)
@@ -274,8 +297,8 @@ def perplexities(docs: DataFrame, labels: DataFrame, model_rows: int = MODEL_ROW
     docs = docs.join(small(trusted), F.col("doc_id") == F.col("__id"), "left").select("doc_id", "lang", F.coalesce("__role", F.lit(0)).alias("role"), "text")
     found = model(docs.where("role = 1"))
     if found.count() <= model_rows:
-        tables = docs.sparkSession.sparkContext.broadcast(_tables(found.toArrow()))
-        scored = docs.mapInArrow(_scored(tables), "doc_id long, lang string, role int, n long, nll double")
+        arrays = docs.sparkSession.sparkContext.broadcast(_arrays(found))
+        scored = docs.mapInArrow(_scored(arrays, uuid.uuid4().int), "doc_id long, lang string, role int, n long, nll double")
     else:
         scored = score_by_join(docs, found)
     scored = materialize(scored, "scored")
