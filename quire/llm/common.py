@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a side of a join may be broadcast; wider sides than a few words are never passed here.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 300_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
