@@ -86,4 +86,43 @@ QUERIES = {
     )
 }
 
-SQL: dict[str, str] = {}
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP2 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER.format("text")}, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.doc_id WHERE r.root < e.y),
+m AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM documents JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+
+def _license_sql() -> str:
+    from .licenses import PERCENT, PHRASES, TEMPLATES
+
+    split = "regexp_split_to_array(" + _LOWER.format("{0}") + r", '[\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    words = "list_filter(" + split + ", lambda x: x <> '')"
+    templates = ", ".join(f"({i}, '{label}', {sorted(set(text.split()))!r})" for i, (label, text) in enumerate(TEMPLATES))
+    places = []
+    for phrase, label in PHRASES.items():
+        test = " AND ".join(f"w[i + {j}] = '{x}'" for j, x in enumerate(phrase.split(), 1))
+        places.append(f"SELECT doc_id, '{label}' AS label, unnest(list_filter(range(len(w)), lambda i: {test})) AS place FROM d")
+    return f"""
+WITH d AS (SELECT doc_id, text, {words.format("coalesce(text, '')")} AS w FROM documents),
+l AS (SELECT doc_id, pos, {words.format("line")} AS w FROM (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents))),
+g AS (SELECT *, sum((len(w) = 0)::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS part FROM l),
+b AS (SELECT doc_id, w FROM l WHERE len(w) > 0 UNION ALL SELECT doc_id, flatten(list(w)) FROM g WHERE len(w) > 0 AND doc_id IN (SELECT doc_id FROM l WHERE len(w) = 0) GROUP BY doc_id, part HAVING count(*) > 1),
+t(t, label, tokens) AS (VALUES {templates}),
+hits AS (SELECT doc_id, label, len(list_intersect(list_distinct(w), tokens)) / len(tokens)::DOUBLE AS share FROM b, t WHERE list_has_any(w, tokens) AND 100 * len(list_intersect(list_distinct(w), tokens)) >= {PERCENT} * len(tokens)),
+p AS ({" UNION ALL ".join(places)}),
+base AS (SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM p GROUP BY doc_id),
+every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS share FROM (SELECT doc_id, label, share FROM hits UNION ALL SELECT doc_id, label, 1.0 FROM p) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, base.lo::BIGINT AS first_word, base.hi::BIGINT AS last_word,
+  coalesce(base.labels, '') AS base_labels, coalesce(every.labels, '') AS labels, coalesce(every.share, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN base ON base.doc_id = d.doc_id LEFT JOIN every ON every.doc_id = d.doc_id"""
+
+
+#: The other operators hold learned or iterative steps, or token ids, that SQL has no form for.
+SQL: dict[str, str] = {"op2_near_duplicates": _OP2, "op6_license_scan": _license_sql()}
