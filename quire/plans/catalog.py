@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.text import MARKERS
-from quire.operators import corpus, detectors, joins, stats, stylometry
+from quire.operators import corpus, detectors, joins, lines, stats, stylometry
+from quire.streaming import scan
 
 
 def _on(table: str, f: Callable[..., DataFrame], *more: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -20,6 +21,9 @@ def _on(table: str, f: Callable[..., DataFrame], *more: str) -> Callable[[SparkS
     return query
 
 
+#: Terms that the term counts look for.
+TERMS = ["the", "of", "and", "with", "for", "that", "from", "what"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "agg_01_doc_stats": _on("documents", stats.document_stats),
     "agg_01_trigram_repetition": _on("documents", stats.trigram_repetition),
@@ -51,6 +55,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "det_06_concealed_spans": _on("pages", detectors.concealed_spans),
     "src_08_html_text": _on("pages", detectors.page_text),
     "agg_02_finding_rollup": _on("documents", detectors.finding_rollup),
+    "prj_01_masked_numbers": _on("documents", lines.masked_numbers),
+    "prj_10_first_number": _on("documents", lines.first_number),
+    "prj_20_normal_digests": _on("documents", lines.normal_digests),
+    "tok_09_paragraphs": _on("documents", lines.paragraphs),
+    "agg_25_count_marks": _on("documents", lines.count_marks),
+    "agg_22_count_terms": _on("documents", lambda d: lines.count_terms(d, TERMS)),
+    "fun_31_reliability": _on("documents", lines.reliability),
+    "fun_45_block_burstiness": _on("documents", lines.block_burstiness),
+    "fun_01_inflections": _on("documents", lines.inflections),
+    "det_52_ascii_problems": _on("documents", lines.ascii_problems),
+    "det_19_passives": _on("documents", lines.passives),
+    "det_65_picked": _on("documents", lines.picked),
+    "agg_18_event_sequences": _on("events", lines.event_sequences),
+    "str_02_scan": _on("documents", scan.scan),
+    "str_event_windows": _on("events", scan.event_windows),
 }
 
 # DuckDB forms of the text functions; {0} is the text.
@@ -104,6 +123,9 @@ for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;",
     _HTML = f"replace({_HTML}, '{_entity}', '{_char}')"
 _HTML = rf"array_to_string(list_filter(list_transform(string_split({_HTML}, chr(10)), lambda x: regexp_replace(regexp_replace(x, '[ \t\r]+', ' ', 'g'), '^ | $', '', 'g')), lambda x: x <> ''), chr(10))"
 
+_NORMAL = r"regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+(\n|\z)', '\1', 'g'), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') || chr(10)"
+_ASCII = r"length(regexp_replace(text, '[^\x00-\x7F]', '', 'g'))"
+
 SQL: dict[str, str] = {
     "agg_01_doc_stats": f"SELECT * EXCLUDE (source) FROM ({_STATS})",
     "agg_01_trigram_repetition": f"SELECT doc_id, len(g) AS n_trigrams, CASE WHEN len(g) > 0 THEN round((len(g) - len(list_distinct(g))) / len(g)::DOUBLE, 6) ELSE 0.0 END AS trigram_repetition FROM (SELECT doc_id, {_GRAMS.format('w', 3)} AS g FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents))",
@@ -159,4 +181,28 @@ SQL: dict[str, str] = {
     "agg_02_finding_rollup": f"""WITH f AS (SELECT doc_id, 'long-paragraph' AS id, 'structure' AS band, 'P2' AS priority, pos FROM ({_LONG_P}) UNION ALL SELECT doc_id, 'long-sentence', 'clarity', 'P1', pos FROM ({_LONG_S})),
       r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, id ORDER BY pos) AS rn FROM f)
       SELECT coalesce(band, 'all') AS band, coalesce(priority, 'all') AS priority, count(*) AS findings, count(DISTINCT doc_id) AS docs, sum((rn <= 4)::INT)::BIGINT AS shown FROM r GROUP BY ROLLUP (band, priority)""",
+    # Digits and the marks between them become spaces one by one where a digit leads the run.
+    "prj_01_masked_numbers": r"""WITH p AS (SELECT doc_id, text, regexp_extract_all(text, '[0-9][0-9,.]*') AS hits, regexp_split_to_array(text, '[0-9][0-9,.]*') AS gaps FROM documents),
+      m AS (SELECT doc_id, text, array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || CASE WHEN i <= len(hits) THEN repeat(' ', length(hits[i])) ELSE '' END), '') AS m, list_sum(list_transform(hits, lambda h: length(h))) AS gone FROM p)
+      SELECT doc_id, sha256(m) AS masked_sha, length(m) = length(text) AS same_length, coalesce(gone, 0)::INT AS masked FROM m""",
+    "prj_10_first_number": r"""WITH d AS (SELECT doc_id, text, length(regexp_extract(text, '^([^0-9]*)[0-9]', 1)) AS o FROM documents WHERE regexp_matches(text, '[0-9]'))
+      SELECT doc_id, o - length(replace(text[1:o], chr(10), '')) + 1 AS line, regexp_replace(regexp_replace(substr(text, greatest(o - 34, 0) + 1, o + 34 - greatest(o - 34, 0)), '[ \t\r\n]+', ' ', 'g'), '^ | $', '', 'g') AS excerpt FROM d""",
+    "prj_20_normal_digests": f"SELECT doc_id, sha256({_NORMAL}) AS digest, (length(text) + 2) // 3 AS token_estimate FROM documents",
+    "tok_09_paragraphs": f"SELECT * FROM (SELECT doc_id, pos - 1 AS pos, len({_WORDS.format('p')}) AS n FROM (SELECT doc_id, unnest(l) AS p, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))) WHERE n BETWEEN 25 AND 220",
+    "agg_25_count_marks": "SELECT doc_id, " + ", ".join(f"length(text) - length(replace(text, '{rx[-1]}', '')) AS {name}" for name, rx in lines.MARKS.items()) + " FROM documents",
+    "agg_22_count_terms": f"WITH w AS (SELECT doc_id, unnest({_WORDS.format('text')}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS hits FROM w WHERE list_contains({TERMS!r}, term) GROUP BY term",
+    "fun_31_reliability": f"SELECT CASE WHEN n >= 600 THEN 'high' WHEN n >= 250 THEN 'medium' WHEN n >= 120 THEN 'low' ELSE 'insufficient' END AS tier, count(*) AS docs FROM (SELECT len({_WORDS.format('text')}) AS n FROM documents) GROUP BY 1",
+    "fun_45_block_burstiness": f"SELECT doc_id, pos - 1 AS pos, round(list_stddev_pop(n) / list_avg(n), 6) AS burstiness FROM (SELECT doc_id, pos, {_LENGTHS.format('p')} AS n FROM (SELECT doc_id, unnest(l) AS p, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))) WHERE len(n) >= 3",
+    "fun_01_inflections": f"""WITH w AS (SELECT word FROM (SELECT unnest({_WORDS.format('text')}) AS word FROM documents) GROUP BY word HAVING count(*) >= 50)
+      SELECT word, CASE WHEN regexp_matches(word, '[^aeiou]y$') THEN word[:-2] || 'ies' WHEN regexp_matches(word, '(s|x|z|ch|sh)$') THEN word || 'es' ELSE word || 's' END AS plural,
+        CASE WHEN regexp_matches(word, '[^aeiou]y$') THEN word[:-2] || 'ied' WHEN word LIKE '%e' THEN word || 'd' ELSE word || 'ed' END AS past,
+        CASE WHEN word LIKE '%e' AND word NOT LIKE '%ee' THEN word[:-2] || 'ing' ELSE word || 'ing' END AS gerund FROM w""",
+    "det_52_ascii_problems": r"""WITH x AS (SELECT doc_id, pos - 1 AS pos FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE regexp_matches(line, '[^\x00-\x7F]'))
+      SELECT doc_id, pos, greatest(count(*) OVER (PARTITION BY doc_id) - 5, 0) AS more FROM x QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos) <= 5""",
+    "det_19_passives": "SELECT phrase, count(*) AS hits, min(doc_id) AS first_id FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '(?:is|are|was|were|be|been|being) [a-z]+ed')) AS phrase FROM documents) GROUP BY phrase",
+    "det_65_picked": f"SELECT sha256({_NORMAL}) AS digest, min(doc_id) AS doc_id FROM documents WHERE len({_WORDS.format('text')}) >= 150 AND {_ASCII} >= 0.95 * length(text) GROUP BY 1",
+    "agg_18_event_sequences": """WITH e AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events), k AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM e WHERE before IS NULL OR before <> event_type)
+      SELECT user_id, string_agg(event_type, ' > ' ORDER BY rn) AS sequence FROM k WHERE rn <= 6 GROUP BY user_id""",
+    "str_02_scan": f"SELECT doc_id, len(list_filter(list_transform(string_split(text, chr(10)), lambda p: len({_SENTENCES.format('p')})), lambda n: n > 6)) AS long_paragraphs, len(list_filter({_LENGTHS.format('text')}, lambda n: n > 25)) AS long_sentences FROM documents",
+    "str_event_windows": "SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL",
 }
