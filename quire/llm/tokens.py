@@ -17,12 +17,15 @@ import numpy as np
 PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: White space by any library's definition, other than space and newline.
 OTHER_SPACE = re.compile(r"[^\S \n]")
+ASCII_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 #: Letters from here on may be newer than the tokenizer's Unicode tables.
 LATER = "\u0530"
 #: A word, and ASCII marks after it other than an apostrophe.
 MARKED = re.compile(r"( ?[^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 #: Pieces remembered in a worker; the older half goes when there are more.
-MEMO = 600_000
+MEMO = 900_000
+#: White space that is not one space between words or one newline between lines.
+RUNS = ("  ", " \n", "\n ", "\n\n")
 
 
 def _byte_chars() -> dict[int, str]:
@@ -60,6 +63,7 @@ class Encoder:
         self.ids = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.newline = self._whole("\n")
         self.memo = _Memo({}, self._made)
+        self.after_space = _Memo({}, lambda word: self._made(" " + word))
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -79,12 +83,22 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if OTHER_SPACE.search(text) or any(s in text for s in self.special):
+        if (any(c in text for c in ASCII_SPACE) if text.isascii() else OTHER_SPACE.search(text)) or any(s in text for s in self.special):
             return self._whole(text)
-        if len(self.memo) > MEMO // 2:
-            self.memo.old = {}
-            self.memo = _Memo(dict(self.memo), self._made)
-        return b"".join(map(self.memo.__getitem__, PIECES.findall(text)))
+        if len(self.memo) + len(self.after_space) > MEMO // 2:
+            self.memo.old = self.after_space.old = {}
+            self.memo = _Memo(dict(self.memo), self.memo.make)
+            self.after_space = _Memo(dict(self.after_space), self.after_space.make)
+        if text[0].isspace() or text[-1].isspace() or any(r in text for r in RUNS):
+            return b"".join(map(self.memo.__getitem__, PIECES.findall(text)))
+        # Single spaces and newlines only: no pattern is needed to find the pieces.
+        lines = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            lines.append(self.memo[first])
+            if rest:
+                lines[-1] += b"".join(map(self.after_space.__getitem__, rest))
+        return self.newline.join(lines)
 
 
 _ENCODERS: dict[str, Encoder] = {}
