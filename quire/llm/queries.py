@@ -124,5 +124,20 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_b
 FROM d LEFT JOIN base ON base.doc_id = d.doc_id LEFT JOIN every ON every.doc_id = d.doc_id"""
 
 
+_OP7 = r"""
+WITH raw AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) - 1 AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+words AS (SELECT doc_id, i, regexp_replace(line, '^[ \t\r\x0B\f]+|[ \t\r\x0B\f]+$', '', 'g') AS line, len(list_filter(regexp_split_to_array(line, '[ \t\r\x0B\f]+'), lambda x: x <> '')) AS n FROM raw),
+l AS (SELECT *, row_number() OVER w - 1 AS at_, sum(n) OVER w AS upto FROM words WHERE n > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+runs AS (
+  SELECT a.doc_id, a.at_ AS s, min(b.at_) AS e FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.at_ >= a.at_ AND b.upto >= a.upto - a.n + 50 GROUP BY ALL
+  UNION SELECT b.doc_id, max(a.at_) AS s, b.at_ AS e FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.at_ >= a.at_ AND b.upto >= a.upto - a.n + 50 GROUP BY b.doc_id, b.at_),
+keyed AS (SELECT r.doc_id, r.s, r.e, string_agg(l.line, chr(10) ORDER BY l.at_) AS k FROM runs r JOIN l ON l.doc_id = r.doc_id AND l.at_ BETWEEN r.s AND r.e GROUP BY ALL),
+firsts AS (SELECT k, min({'d': doc_id, 's': s}) AS f FROM keyed GROUP BY k HAVING count(*) > 1),
+later AS (SELECT doc_id, CASE WHEN doc_id = f.d THEN greatest(s, f.s + e - s + 1) ELSE s END AS s, e FROM keyed JOIN firsts USING (k) WHERE NOT (doc_id = f.d AND s = f.s)),
+cut AS (SELECT DISTINCT l.doc_id, l.i FROM later JOIN l ON l.doc_id = later.doc_id AND l.at_ BETWEEN later.s AND later.e),
+left_ AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (c IS NULL), '') AS text, count(c) AS n_removed FROM (SELECT raw.*, cut.i AS c FROM raw LEFT JOIN cut USING (doc_id, i)) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN n_removed > 0 THEN left_.text ELSE documents.text END AS text, n_removed::INT AS n_removed FROM documents JOIN left_ USING (doc_id)"""
+
+
 #: The other operators hold learned or iterative steps, or token ids, that SQL has no form for.
-SQL: dict[str, str] = {"op2_near_duplicates": _OP2, "op6_license_scan": _license_sql()}
+SQL: dict[str, str] = {"op2_near_duplicates": _OP2, "op6_license_scan": _license_sql(), "op7_line_dedup": _OP7}
