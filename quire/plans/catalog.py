@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.text import MARKERS
-from quire.operators import corpus, detectors, joins, lines, stats, stylometry
+from quire.operators import corpus, detectors, gates, joins, lines, stats, stylometry
 from quire.streaming import scan
 
 
@@ -24,6 +24,31 @@ def _on(table: str, f: Callable[..., DataFrame], *more: str) -> Callable[[SparkS
 #: Terms that the term counts look for.
 TERMS = ["the", "of", "and", "with", "for", "that", "from", "what"]
 
+# Stand-ins for hand-written allowances and registers, the same in SQL: every third document allows long
+# sentences and every fourth long paragraphs; French texts skip long paragraphs.
+
+
+def _allowances(docs: DataFrame) -> DataFrame:
+    a = docs.where("doc_id % 3 = 0").select("doc_id", F.lit("long-sentence").alias("id"))
+    return a.unionByName(docs.where("doc_id % 4 = 0").select("doc_id", F.lit("long-paragraph").alias("id")))
+
+
+def _suppressed(docs: DataFrame) -> DataFrame:
+    return gates.suppress(detectors.findings(docs), _allowances(docs)).groupBy("id", "suppressed").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+
+
+def _tolerated(docs: DataFrame) -> DataFrame:
+    skips = docs.sparkSession.createDataFrame([("fr", "long-paragraph")], "register string, id string")
+    kept = gates.tolerated(detectors.findings(docs), docs.select("doc_id", F.col("lang").alias("register")), skips)
+    return kept.groupBy("register", "id").agg(F.count("*").alias("n"))
+
+
+def _manifest(docs: DataFrame) -> DataFrame:
+    """A manifest in which every fifth digest is stale and every seventh text is gone."""
+    stale = F.when(F.col("doc_id") % 5 == 0, F.sha2(F.concat("text", F.lit("x")), 256)).otherwise(F.sha2("text", 256))
+    return gates.manifest_check(docs.where("doc_id % 7 <> 0"), docs.select("doc_id", stale.alias("sha256")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "agg_01_doc_stats": _on("documents", stats.document_stats),
     "agg_01_trigram_repetition": _on("documents", stats.trigram_repetition),
@@ -68,6 +93,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "det_19_passives": _on("documents", lines.passives),
     "det_65_picked": _on("documents", lines.picked),
     "agg_18_event_sequences": _on("events", lines.event_sequences),
+    "ord_01_ranked": _on("documents", lambda d: gates.ranked(detectors.findings(d)).where("place <= 8").select("doc_id", "place", "id", "pos")),
+    "join_03_suppressed": _on("documents", _suppressed),
+    "join_04_audit": _on("documents", lambda d: gates.audit(detectors.findings(d), _allowances(d))),
+    "join_05_tolerated": _on("documents", _tolerated),
+    "join_29_manifest": _on("documents", _manifest),
+    "det_01_past_allowance": _on("documents", lambda d: gates.past_allowance(detectors.findings(d), 3).select("doc_id", "id", "pos")),
+    "agg_20_flagged": _on("documents", lambda d: gates.flagged(detectors.findings(d))),
+    "agg_12_caricature": _on("documents", lambda d: gates.caricature(stylometry.long_measures(d))),
+    "gat_01_turns": _on("conversations", gates.turn_gate),
     "str_02_scan": _on("documents", scan.scan),
     "str_event_windows": _on("events", scan.event_windows),
 }
@@ -123,6 +157,8 @@ for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;",
     _HTML = f"replace({_HTML}, '{_entity}', '{_char}')"
 _HTML = rf"array_to_string(list_filter(list_transform(string_split({_HTML}, chr(10)), lambda x: regexp_replace(regexp_replace(x, '[ \t\r]+', ' ', 'g'), '^ | $', '', 'g')), lambda x: x <> ''), chr(10))"
 
+_FINDINGS = f"f AS (SELECT doc_id, 'long-paragraph' AS id, 'structure' AS band, 'P2' AS priority, pos FROM ({_LONG_P}) UNION ALL SELECT doc_id, 'long-sentence', 'clarity', 'P1', pos FROM ({_LONG_S}))"
+_ALLOWED = "a AS (SELECT doc_id, 'long-sentence' AS id FROM documents WHERE doc_id % 3 = 0 UNION SELECT doc_id, 'long-paragraph' FROM documents WHERE doc_id % 4 = 0)"
 _NORMAL = r"regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+(\n|\z)', '\1', 'g'), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') || chr(10)"
 _ASCII = r"length(regexp_replace(text, '[^\x00-\x7F]', '', 'g'))"
 
@@ -203,6 +239,16 @@ SQL: dict[str, str] = {
     "det_65_picked": f"SELECT sha256({_NORMAL}) AS digest, min(doc_id) AS doc_id FROM documents WHERE len({_WORDS.format('text')}) >= 150 AND {_ASCII} >= 0.95 * length(text) GROUP BY 1",
     "agg_18_event_sequences": """WITH e AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events), k AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM e WHERE before IS NULL OR before <> event_type)
       SELECT user_id, string_agg(event_type, ' > ' ORDER BY rn) AS sequence FROM k WHERE rn <= 6 GROUP BY user_id""",
+    "ord_01_ranked": f"WITH {_FINDINGS} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY priority, CASE band WHEN 'clarity' THEN 1 ELSE 2 END, pos, id) AS place, id, pos FROM f QUALIFY place <= 8",
+    "join_03_suppressed": f"WITH {_FINDINGS}, {_ALLOWED} SELECT id, a.doc_id IS NOT NULL AS suppressed, count(*) AS n, count(DISTINCT f.doc_id) AS docs FROM f LEFT JOIN a USING (doc_id, id) GROUP BY ALL",
+    "join_04_audit": f"WITH {_FINDINGS}, {_ALLOWED} SELECT doc_id, id FROM a EXCEPT SELECT doc_id, id FROM f",
+    "join_05_tolerated": f"WITH {_FINDINGS} SELECT lang AS register, id, count(*) AS n FROM f JOIN documents USING (doc_id) WHERE NOT (lang = 'fr' AND id = 'long-paragraph') GROUP BY ALL",
+    "join_29_manifest": "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'moved' ELSE 'present' END AS status FROM documents",
+    "det_01_past_allowance": f"WITH {_FINDINGS} SELECT doc_id, id, pos FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, id ORDER BY pos) > 3",
+    "agg_20_flagged": f"WITH {_FINDINGS} SELECT doc_id, count(*) AS n FROM f GROUP BY doc_id HAVING bool_or(priority IN ('P0', 'P1'))",
+    "agg_12_caricature": f"WITH {_LONG}, b AS (SELECT source, measure, avg(value) AS mean, stddev_samp(value) AS sd FROM m GROUP BY ALL) SELECT doc_id, count(*) AS past, string_agg(measure, ',' ORDER BY measure) AS measures FROM m JOIN b USING (source, measure) WHERE sd > 0 AND abs(value - mean) > 2 * sd GROUP BY doc_id HAVING count(*) >= 2",
+    "gat_01_turns": f"""WITH t AS (SELECT conv_id, turn, {_WORDS.format('text')} AS w FROM conversations), p AS (SELECT *, lead(w) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM t)
+      SELECT conv_id, turn, len(w) AS before, len(nxt) AS after, len(list_intersect(w, nxt)) AS shared, len(nxt) * 2 < len(w) AS shrunk FROM p WHERE nxt IS NOT NULL""",
     "str_02_scan": f"SELECT doc_id, len(list_filter(list_transform(string_split(text, chr(10)), lambda p: len({_SENTENCES.format('p')})), lambda n: n > 6)) AS long_paragraphs, len(list_filter({_LENGTHS.format('text')}, lambda n: n > 25)) AS long_sentences FROM documents",
     "str_event_windows": "SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL",
 }
