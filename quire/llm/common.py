@@ -31,7 +31,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if a count shows at most `rows` rows, else as it is (a shuffle join)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def running_total(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
