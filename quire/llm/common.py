@@ -85,11 +85,11 @@ def components(edges: DataFrame, a: str, b: str, name: str = "links") -> DataFra
             return labels.select(F.col("u").alias("node"), F.col("p").alias("root"))
 
 
-def texts(batches, column: str = "text"):
-    """(batch, bytes of the column or None by row) for every Arrow batch, in slices of bounded size."""
+def texts(batches, column: str = "text", size: int = 256):
+    """(batch, bytes of the column or None by row) for every Arrow batch, in slices of `size` rows."""
     import pyarrow as pa
 
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
+        for at in range(0, batch.num_rows, size):
+            part = batch.slice(at, size)
             yield part, part.column(part.schema.get_field_index(column)).cast(pa.binary()).to_pylist()

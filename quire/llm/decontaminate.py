@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, small, texts
-from .words import windows
+from .words import MEMO, windows
 
 W, LEAST, RUN, SHARE = 8, 5, 13, 0.5
 CELLS = 1 << 24
@@ -79,7 +79,7 @@ WORDS = _Words()
 
 def canonical(text: bytes) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """Hashes of the canonical words, the raw words, and the kind of slot at each (0: none)."""
-    if len(WORDS) > 1_000_000:
+    if len(WORDS) > MEMO:
         WORDS.clear()
     raw, breaks = [], []
     for line in text.split(b"\n"):  # a line begins a sentence

@@ -52,6 +52,15 @@ def _hashes(codes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _top_hashes(codes: np.ndarray) -> np.ndarray:
+    """The last of _hashes alone."""
+    c = codes.astype(np.uint64)
+    h = c.copy()
+    for k in range(1, ORDER):
+        h += np.roll(c, k) * np.uint64(pow(_P, k, 1 << 64))
+    return h
+
+
 def _counted(batches):
     """Arrow batches (lang, text) to (lang, gram, n): every ORDER-gram, summed within the task."""
     found: dict[str, list] = {}
@@ -70,7 +79,7 @@ def _counted(batches):
                 names = [text[i : i + ORDER] for i in range(0, len(text), ORDER)]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(names)), pa.array(names), pa.array(n[at : at + 100_000])], ["lang", "gram", "n"])
 
-    for part, texts_ in texts(batches):
+    for part, texts_ in texts(batches, size=64):
         by_lang: dict[str, list] = {}
         for lang, text in zip(part.column(0).to_pylist(), texts_):
             by_lang.setdefault(lang, []).append(_codes(text))
@@ -80,16 +89,16 @@ def _counted(batches):
             codes = np.concatenate(codes)
             if not len(codes):
                 continue
-            keys = _hashes(codes)[-1][ORDER - 1 :][inside]
+            keys = _top_hashes(codes)[ORDER - 1 :][inside]
             grams = np.lib.stride_tricks.sliding_window_view(codes, ORDER)[inside]
             unique, first, n = np.unique(keys, return_index=True, return_counts=True)
             found.setdefault(lang, []).append((unique, n, grams[first]))
             rows += len(unique)
-        if rows > 3_000_000:
+        if rows > 800_000:
             for lang, parts in found.items():
                 found[lang] = [merged(parts)]
             rows = sum(len(p[0][0]) for p in found.values())
-            if rows > 2_000_000:  # partial sums go out; Spark adds them up
+            if rows > 500_000:  # partial sums go out; Spark adds them up
                 yield from batches_of()
                 found, rows = {}, 0
     yield from batches_of()
@@ -144,7 +153,7 @@ class _Table:
     """Hashes to two floats by open addressing; lookups of whole arrays at once."""
 
     def __init__(self, keys: np.ndarray, a: np.ndarray, b: np.ndarray):
-        bits = max(8, int(4 * len(keys)).bit_length())
+        bits = max(8, int(2 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.at = np.full(1 << bits, -1, np.int32)
         self.keys, self.a, self.b = keys, a, b
@@ -228,14 +237,14 @@ def _logp(tables: list[_Table], codes: np.ndarray) -> np.ndarray:
 def _scored(arrays, number: int):
     def run(batches):
         models = _tables(arrays.value, number)
-        for part, rows in texts(batches):
+        for part, rows in texts(batches, size=64):
             langs = part.column(part.schema.get_field_index("lang")).to_pylist()
             nll, n = [None] * len(rows), [0] * len(rows)
             for lang in set(langs) & models.keys():
                 own = [i for i, x in enumerate(langs) if x == lang]
                 while own:
                     some, codes, size = [], [], 0
-                    while own and size < 300_000:
+                    while own and size < 100_000:
                         some.append(own.pop())
                         codes.append(_codes(rows[some[-1]]))
                         size += len(codes[-1])

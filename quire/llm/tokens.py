@@ -23,7 +23,7 @@ LATER = "\u0530"
 #: A word, and ASCII marks after it other than an apostrophe.
 MARKED = re.compile(r"( ?[^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 #: Pieces remembered in a worker; the older half goes when there are more.
-MEMO = 900_000
+MEMO = 500_000
 #: White space that is not one space between words or one newline between lines.
 RUNS = ("  ", " \n", "\n ", "\n\n")
 

@@ -6,13 +6,15 @@ import numpy as np
 import xxhash
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
+#: Words whose hashes a worker remembers.
+MEMO = 250_000
 
 
 class _Hashes(dict):
-    """Word to hash; emptied when it holds a million words."""
+    """Word to hash; emptied when it holds MEMO words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > MEMO:
             self.clear()
         self[word] = got = xxhash.xxh3_64_intdigest(word)
         return got
