@@ -9,7 +9,7 @@ by distributed union-find.
 Within a bucket not all pairs are made. First every class is compared with one pivot, the
 one it shares most bands with; then with its other pivots, if they lie in another
 component; last, classes of one bucket that are still in different components are compared
-with each other in blocks of bounded size by finer signatures of 512 registers. Pairs that agree in
+with each other in blocks of bounded size by finer signatures of 1024 registers. Pairs that agree in
 at least `near` of them (a linked pair has fewer with a chance below 1e-5) leave a block, each pair
 once, and are confirmed on the full sets. Pairs that are skipped lie in one component already.
 
@@ -31,7 +31,7 @@ from .words import mix, shingle_set
 
 REGISTERS, BANDS, ROWS = 128, 32, 4
 #: Registers for the last step, and the least number of equal ones: 4.5 deviations below 0.8.
-FINE, NEAR = 512, 369
+FINE, NEAR = 1024, 761
 #: Classes of a block, about.
 BLOCK = 512
 _STEP = np.uint64(0xD1342543DE82EF95)
