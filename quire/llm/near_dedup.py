@@ -11,7 +11,7 @@ one it shares most bands with; then with its other pivots, if they lie in anothe
 component; last, classes of one bucket that are still in different components are compared
 with each other in blocks of bounded size by finer signatures of 1024 registers. Pairs that agree in
 at least `near` of them (a linked pair has fewer with a chance below 1e-5) leave a block, each pair
-once, and are confirmed on the full sets. Pairs that are skipped lie in one component already.
+once (in the first bucket in which the two meet, by the full band keys), and are confirmed on the full sets. Pairs that are skipped lie in one component already.
 
 Null and empty texts: an empty set, linked with nothing, component_id the row's own doc_id.
 Null doc_ids: take part as texts; a component_id is the least doc_id that is not null.
@@ -93,18 +93,18 @@ def _signed(k: int):
 
 
 def _sets(k: int):
-    """Arrow batches (text, cls) to (cls, set, a byte of each register of both signatures), for rows whose text has that class."""
+    """Arrow batches (text, cls) to (cls, set, band keys, a byte of each register of the fine signature), for rows whose text has that class."""
 
     def run(batches):
         for part, rows in texts(batches):
             wanted = part.column(part.schema.get_field_index("cls")).to_pylist()
-            cls, sets, sig, fine = [], [], [], []
+            cls, sets, keys, fine = [], [], [], []
             for text, c in zip(rows, wanted):
                 x = shingle_set(text, k)
                 if len(x) and xxhash.xxh3_128_digest(x.tobytes()) == c:
-                    cls.append(c), sets.append(x.tobytes()), sig.append(mix(superminhash(x)).astype(np.uint8).tobytes())
+                    cls.append(c), sets.append(x.tobytes()), keys.append(_band_keys(superminhash(x)).tobytes())
                     fine.append(mix(superminhash(x, FINE)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (cls, sets, sig, fine)], ["cls", "shingles", "sig", "fine"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (cls, sets, keys, fine)], ["cls", "shingles", "keys", "fine"])
 
     return run
 
@@ -120,13 +120,13 @@ def _blocks(near: int):
             for i in range(batch.num_rows):
                 j, x, y = (batch.column(c)[i].as_py() for c in ("j", "x", "y"))
                 y = y or x  # none: the block with itself
-                bands_y, fine_y = (np.frombuffer(b"".join(m[c] for m in y), np.uint8) for c in ("sig", "fine"))
-                bands_y, fine_y = bands_y.reshape(len(y), BANDS, ROWS), fine_y.reshape(len(y), FINE)
+                keys_y = np.frombuffer(b"".join(m["keys"] for m in y), np.int64).reshape(len(y), BANDS)
+                fine_y = np.frombuffer(b"".join(m["fine"] for m in y), np.uint8).reshape(len(y), FINE)
                 roots_y, cls_y = np.array([m["root"] for m in y], object), np.array([m["cls"] for m in y], object)
                 found: tuple[list, ...] = ([], [], [], [])
                 for m in x:
                     other = (roots_y > m["root"]) if x is y else (roots_y != m["root"])
-                    shared = (np.frombuffer(m["sig"], np.uint8).reshape(BANDS, ROWS) == bands_y).all(2)
+                    shared = np.frombuffer(m["keys"], np.int64) == keys_y
                     other &= shared[:, j] & (shared.argmax(1) == j)
                     at = np.flatnonzero(other)
                     at = at[(np.frombuffer(m["fine"], np.uint8) == fine_y[at]).sum(1) >= near]
@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, near: int =
     # The sets of the classes in buckets only, made again from one text each.
     wanted = materialize(members.join(first_seen, "cls"), "wanted")
     texts_of = docs.withColumnRenamed("doc_id", "d").join(small(wanted), F.col("d").eqNullSafe(F.col("doc_id"))).select("text", "cls")
-    sets = materialize(texts_of.mapInArrow(_sets(k), "cls binary, shingles binary, sig binary, fine binary").dropDuplicates(["cls"]), "sets")
+    sets = materialize(texts_of.mapInArrow(_sets(k), "cls binary, shingles binary, keys binary, fine binary").dropDuplicates(["cls"]), "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b, root_a, root_b) whose full sets are similar enough."""
@@ -205,10 +205,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, near: int =
     # Buckets that still hold several components: their classes against each other, block by block.
     tagged = materialize(buckets.join(found.withColumnRenamed("node", "cls"), "cls").select("band", "j", "cls", "root"), "tagged")
     split = tagged.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("band", "n")
-    left_over = tagged.join(split, "band").join(sets.select("cls", "sig", "fine"), "cls")
+    left_over = tagged.join(split, "band").join(sets.select("cls", "keys", "fine"), "cls")
     parts = F.ceil(F.col("n") / BLOCK)
     left_over = left_over.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("parts")))
-    blocks = left_over.groupBy("band", "j", "parts", "block").agg(F.collect_list(F.struct("cls", "root", "sig", "fine")).alias("x"))  # about BLOCK
+    blocks = left_over.groupBy("band", "j", "parts", "block").agg(F.collect_list(F.struct("cls", "root", "keys", "fine")).alias("x"))  # about BLOCK
     blocks = materialize(blocks, "blocks")
     if not blocks.isEmpty():
         large = blocks.where("parts > 1")

@@ -1,7 +1,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
+from quire.llm import near_dedup
 from quire.llm.common import components
 from quire.llm.near_dedup import deduplicate, near_duplicates, superminhash
 from quire.llm.words import shingle_set
@@ -84,3 +86,19 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = dict(map(tuple, components(edges, "a", "b").collect()))
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_a_block_lets_a_pair_out_once_though_an_earlier_band_agrees_in_low_bytes_only():
+    r = random.Random(139)
+    own = [f"w{r.randint(0, 10**6)}" for _ in range(80)]
+    texts = [" ".join(own), " ".join([f"y{i}" for i in range(12)] + own[12:])]
+    sets = [shingle_set(t.encode(), 1) for t in texts]
+    signatures = [superminhash(x) for x in sets]
+    low = [near_dedup.mix(h).astype(np.uint8).reshape(near_dedup.BANDS, -1) for h in signatures]
+    shared = np.flatnonzero(near_dedup._band_keys(signatures[0]) == near_dedup._band_keys(signatures[1]))
+    assert (low[0] == low[1]).all(1).argmax() < shared[0] and len(shared) > 1
+    cls = [near_dedup.xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+    (members,) = near_dedup._sets(1)([pa.RecordBatch.from_pydict({"text": texts, "cls": cls})])
+    block = [m | {"root": m["cls"]} for m in members.to_pylist()]
+    left = [sum(b.num_rows for b in near_dedup._blocks(0)([pa.RecordBatch.from_pylist([{"j": int(j), "x": block, "y": None}], pa.schema([("j", pa.int32()), ("x", pa.list_(pa.struct([(c, pa.binary()) for c in block[0]]))), ("y", pa.list_(pa.int32()))]))])) for j in shared]
+    assert left == [1] + [0] * (len(shared) - 1)
