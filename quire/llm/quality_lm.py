@@ -8,11 +8,14 @@ order up by joins of the count tables on (language, suffix) and (language, conte
 Spark join. A document's negative log-likelihood per character, drawn to its language's held-out
 mean by WEIGHT characters, gives its perplexity.
 
-Threshold of a language: with q1 its held-out median and q2 its held-out quantile at QUANTILE, documents beyond
-q2 + MARGIN * (q2 - q1) are rejected.
+A few words unlike trusted text hardly move the mean of a long document, so the mean of its worst WINDOW characters
+in a row is a second rate (a shorter text is filled up with its language's mean). A document is rejected if either rate
+is beyond the held-out quantile at QUANTILE of its language; languages with fewer than POOLED held-out documents take
+that quantile from the distances of all languages' held-out rates from their language's mean. Where even these are
+fewer than POOLED, the sample is too small for the quantile and the limit lies beyond it by its distance from the median.
 
 Scoring looks the model up in arrays if it has at most MODEL_ROWS rows, else by shuffle
-joins of the documents' grams; the sums are the same up to the arrays' 32-bit floats.
+joins of the documents' grams; the rates are the same up to the arrays' 32-bit floats.
 
 Empty and null texts, and texts of languages without trusted text, have no perplexity and are kept. Null languages form one of
 their own. Null doc_ids and repeated rows are returned as they come. Extra columns are ignored by `perplexities`
@@ -25,12 +28,14 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, small, texts
 
-ORDER, WEIGHT, QUANTILE, MARGIN, HELD_OUT = 5, 200, 0.99, 1.0, 10
+ORDER, WEIGHT, QUANTILE, HELD_OUT = 5, 200, 0.99, 10
+WINDOW, POOLED = 10, 100
 MODEL_ROWS = 4_000_000
 _P = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -234,12 +239,18 @@ def _logp(tables: list[_Table], codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _worst(sums: np.ndarray) -> float:
+    """The largest loss of WINDOW characters in a row, of all if there are fewer, from running sums of log-probabilities that start at 0."""
+    size = min(WINDOW, len(sums) - 1)
+    return float((sums[:-size] - sums[size:]).max())
+
+
 def _scored(arrays, number: int):
     def run(batches):
         models = _tables(arrays.value, number)
         for part, rows in texts(batches, size=64):
             langs = part.column(part.schema.get_field_index("lang")).to_pylist()
-            nll, n = [None] * len(rows), [0] * len(rows)
+            nll, n, worst = [None] * len(rows), [0] * len(rows), [None] * len(rows)
             for lang in set(langs) & models.keys():
                 own = [i for i, x in enumerate(langs) if x == lang]
                 while own:
@@ -254,31 +265,48 @@ def _scored(arrays, number: int):
                         start, end = end, end + len(c)
                         if len(c):
                             nll[i], n[i] = float(logp[start + ORDER - 1] - logp[end]), len(c) - ORDER + 1
+                            worst[i] = _worst(logp[start + ORDER - 1 : end + 1])
             kept = [part.column(i) for i in range(part.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64()), pa.array(nll, pa.float64())], ["doc_id", "lang", "role", "n", "nll"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64()), pa.array(nll, pa.float64()), pa.array(worst, pa.float64())], ["doc_id", "lang", "role", "n", "nll", "worst"])
 
     return run
 
 
 def _gram_rows(batches):
-    """Arrow batches (doc_id, lang, role, row, text) to a row per distinct gram, and one without gram for each document."""
+    """Arrow batches (doc_id, lang, role, row, text) to a row per distinct gram with its places, and one without gram for each document."""
     for part, rows in texts(batches):
         for i, text in enumerate(rows):
             codes = _codes(text)
             text = codes.tobytes().decode("utf-32-le")
-            grams, n = np.unique([text[j : j + ORDER] for j in range(len(text) - ORDER + 1)], return_counts=True) if len(codes) else ([], [])
+            grams, where, n = np.unique([text[j : j + ORDER] for j in range(len(text) - ORDER + 1)], return_inverse=True, return_counts=True) if len(codes) else ([], [], [])
+            places = np.split(np.argsort(where, kind="stable"), np.cumsum(n)[:-1]) if len(codes) else []
             one = part.slice(i, 1).to_pydict()
             k = len(grams) + 1
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(one[c] * k, t) for c, t in (("doc_id", pa.int64()), ("lang", pa.string()), ("role", pa.int32()), ("row", pa.int64()))), pa.array([None, *map(str, grams)], pa.string()), pa.array([0, *map(int, n)], pa.int64())],
-                ["doc_id", "lang", "role", "row", "gram", "times"],
+                [*(pa.array(one[c] * k, t) for c, t in (("doc_id", pa.int64()), ("lang", pa.string()), ("role", pa.int32()), ("row", pa.int64()))), pa.array([None, *map(str, grams)], pa.string()), pa.array([0, *map(int, n)], pa.int64()), pa.array([None, *places], pa.list_(pa.int32()))],
+                ["doc_id", "lang", "role", "row", "gram", "times", "places"],
             )
 
 
+def _worst_rows(batches):
+    """Arrow batches (doc_id, lang, role, n, nll, grams) with the worst stretch in place of the grams (places, lp) of a document."""
+    for batch in batches:
+        worst = []
+        for n, nll, grams in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5)):
+            if nll is None:
+                worst.append(None)
+                continue
+            places, lp = grams.values.flatten()
+            logp = np.zeros(n + 1)
+            logp[places.flatten().to_numpy() + 1] = np.repeat(lp.to_numpy(), pc.fill_null(pc.list_value_length(places), 0).to_numpy())
+            worst.append(_worst(np.cumsum(logp)))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(worst, pa.float64())], ["doc_id", "lang", "role", "n", "nll", "worst"])
+
+
 def score_by_join(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id, lang, role, n and nll by shuffle joins of the documents' grams with the model's tables."""
+    """doc_id, lang, role, n, nll and worst by shuffle joins of the documents' grams with the model's tables."""
     docs = materialize(docs.select("doc_id", "lang", "role", F.monotonically_increasing_id().alias("row"), "text"), "rows")
-    rows = docs.mapInArrow(_gram_rows, "doc_id long, lang string, role int, row long, gram string, times long")
+    rows = docs.mapInArrow(_gram_rows, "doc_id long, lang string, role int, row long, gram string, times long, places array<int>")
     rows = rows.withColumn("rest", F.col("gram")).withColumn("acc", F.lit(0.0)).withColumn("lp", F.lit(None).cast("double"))
     probabilities = found.where("logp is not null and gram <> ''").select("lang", F.col("gram").alias("rest"), "logp")
     backoffs = found.where("backoff is not null").select("lang", F.col("gram").alias("context"), "backoff")
@@ -291,13 +319,15 @@ def score_by_join(docs: DataFrame, found: DataFrame) -> DataFrame:
     unseen = found.where("gram = ''").select("lang", F.col("logp").alias("unseen"))
     rows = rows.join(F.broadcast(unseen), "lang", "left").withColumn("lp", F.coalesce("lp", F.col("acc") + F.col("unseen")))
     known = F.first(F.col("unseen").isNotNull())
-    return rows.groupBy("doc_id", "lang", "role", "row").agg(
-        F.when(known, F.sum("times")).otherwise(0).alias("n"), F.when(known & (F.sum("times") > 0), -F.sum(F.col("lp") * F.col("times"))).alias("nll")
+    rows = rows.groupBy("doc_id", "lang", "role", "row").agg(
+        F.when(known, F.sum("times")).otherwise(0).alias("n"), F.when(known & (F.sum("times") > 0), -F.sum(F.col("lp") * F.col("times"))).alias("nll"),
+        F.collect_list(F.struct("places", "lp")).alias("grams"),  # as long as the document
     ).drop("row")
+    return rows.mapInArrow(_worst_rows, "doc_id long, lang string, role int, n long, nll double, worst double")
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, model_rows: int = MODEL_ROWS, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """doc_id, lang, n_scored, perplexity, threshold and kept for every row of docs (doc_id, text, lang)."""
+def perplexities(docs: DataFrame, labels: DataFrame, model_rows: int = MODEL_ROWS, quantile: float = QUANTILE) -> DataFrame:
+    """doc_id, lang, n_scored, perplexity, threshold, the same of the worst stretch (worst, worst_threshold) and kept for every row of docs (doc_id, text, lang)."""
     trusted = labels.where("doc_id is not null and quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("__id")).distinct()
     # Role 1 trains, role 2 is held out, role 0 is neither.
     role = F.when(F.pmod(F.xxhash64("__id"), F.lit(HELD_OUT)) == 0, 2).otherwise(1)
@@ -307,19 +337,30 @@ def perplexities(docs: DataFrame, labels: DataFrame, model_rows: int = MODEL_ROW
     found = model(docs.where("role = 1"))
     if found.count() <= model_rows:
         arrays = docs.sparkSession.sparkContext.broadcast(_arrays(found))
-        scored = docs.mapInArrow(_scored(arrays, uuid.uuid4().int), "doc_id long, lang string, role int, n long, nll double")
+        scored = docs.mapInArrow(_scored(arrays, uuid.uuid4().int), "doc_id long, lang string, role int, n long, nll double, worst double")
     else:
         scored = score_by_join(docs, found)
     scored = materialize(scored, "scored")
     means = scored.where("role = 2 and n > 0").groupBy("lang").agg((F.sum("nll") / F.sum("n")).alias("mean"))
     scored = scored.join(F.broadcast(means), "lang", "left")  # a row per language
     scored = scored.withColumn("rate", (F.col("nll") + WEIGHT * F.col("mean")) / (F.col("n") + WEIGHT))
-    q = F.percentile_approx("rate", F.array(F.lit(0.5), F.lit(quantile)), 10_000)
-    limits = scored.where("role = 2 and rate is not null").groupBy("lang").agg(q.alias("q"))
-    limits = limits.select("lang", (F.col("q")[1] + margin * (F.col("q")[1] - F.col("q")[0])).alias("limit"))
-    out = scored.join(F.broadcast(limits), "lang", "left")
-    kept = F.coalesce(F.col("rate") <= F.col("limit"), F.lit(True))
-    return out.select("doc_id", "lang", F.col("n").alias("n_scored"), F.exp("rate").alias("perplexity"), F.exp("limit").alias("threshold"), kept.alias("kept"))
+    scored = scored.withColumn("worst", (F.col("worst") + F.greatest(WINDOW - F.col("n"), F.lit(0)) * F.col("mean")) / WINDOW)
+    held = scored.where("role = 2 and rate is not null")
+    q = [F.percentile_approx(F.col(c) - F.col("mean"), F.array(F.lit(0.5), F.lit(quantile)), 10_000).alias(f"{p}_{c}") for p in ("own", "all") for c in ("rate", "worst")]
+    pooled = held.agg(F.count("*").alias("n_all"), *q[2:])
+    limits = held.groupBy("lang").agg(F.count("*").alias("n_own"), *q[:2]).join(F.broadcast(pooled))  # a row per language
+
+    def limit(c: str):
+        few = F.col(f"all_{c}")[1] + F.when(F.col("n_all") < POOLED, F.col(f"all_{c}")[1] - F.col(f"all_{c}")[0]).otherwise(0.0)
+        return F.when(F.col("n_own") < POOLED, few).otherwise(F.col(f"own_{c}")[1])
+
+    out = scored.join(F.broadcast(limits.select("lang", limit("rate").alias("limit"), limit("worst").alias("worst_limit"))), "lang", "left")
+    over = [F.col("rate") - F.col("mean") > F.col("limit"), F.col("worst") - F.col("mean") > F.col("worst_limit")]
+    kept = ~F.coalesce(over[0] | over[1], F.lit(False))
+    return out.select(
+        "doc_id", "lang", F.col("n").alias("n_scored"), F.exp("rate").alias("perplexity"), F.exp(F.col("mean") + F.col("limit")).alias("threshold"),
+        F.exp("worst").alias("worst"), F.exp(F.col("mean") + F.col("worst_limit")).alias("worst_threshold"), kept.alias("kept"),
+    )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -164,6 +164,16 @@ def test_model_rejects_what_is_unlike_trusted_text(lm_tables):
     assert quality_lm.keep_good(docs, labels).columns == docs.columns
 
 
+def test_a_short_insult_in_a_long_document_is_rejected(spark):
+    r = random.Random(5)
+    rows = [(i, prose(r, 150), "xx") for i in range(1200)]
+    insulted = {2000 + i: prose(r, 300) + " Xqwj " + prose(r, 300) for i in range(20)}
+    docs = spark.createDataFrame(rows + [(i, t, "xx") for i, t in insulted.items()], "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x for x in quality_lm.perplexities(docs, labels_of(spark, [(i, 1, 0) for i in range(1200)])).collect()}
+    assert not any(got[i]["kept"] for i in insulted)
+    assert sum(not got[i]["kept"] for i in range(1200)) <= 30
+
+
 def test_join_scores_equal_lookup_scores(lm_tables):
     docs, labels = lm_tables
     key = lambda rows: {r["doc_id"]: (r["n_scored"], r["perplexity"] and round(r["perplexity"], 3), r["kept"]) for r in rows}
