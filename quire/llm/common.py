@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -85,11 +88,23 @@ def components(edges: DataFrame, a: str, b: str, name: str = "links") -> DataFra
             return labels.select(F.col("u").alias("node"), F.col("p").alias("root"))
 
 
-def texts(batches, column: str = "text", size: int = 256):
-    """(batch, bytes of the column or None by row) for every Arrow batch, in slices of `size` rows."""
-    import pyarrow as pa
+#: Rows and bytes of text that a task takes up at once.
+ROWS, BYTES = 4096, 8 << 20
+
 
+def parts(batches, column: str = "text", rows: int = ROWS, size: int = BYTES):
+    """Arrow batches in slices of at most `rows` rows and about `size` bytes of the column (one row at least)."""
     for batch in batches:
-        for at in range(0, batch.num_rows, size):
-            part = batch.slice(at, size)
-            yield part, part.column(part.schema.get_field_index(column)).cast(pa.binary()).to_pylist()
+        upto = np.cumsum(pc.binary_length(batch.column(batch.schema.get_field_index(column))).fill_null(0).to_numpy())
+        at = 0
+        while at < batch.num_rows:
+            before = upto[at - 1] if at else 0
+            end = max(at + 1, min(at + rows, int(np.searchsorted(upto, before + size, "right"))))
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def texts(batches, column: str = "text", size: int = 256):
+    """(batch, bytes of the column or None by row) for slices of at most `size` rows."""
+    for part in parts(batches, column, size):
+        yield part, part.column(part.schema.get_field_index(column)).cast(pa.binary()).to_pylist()

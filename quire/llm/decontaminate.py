@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, small, texts
+from .memos import LONG, turn
 from .words import MEMO, windows
 
 W, LEAST, RUN, SHARE = 8, 5, 13, 0.5
@@ -46,9 +47,15 @@ _PLAIN, _NUM, _UNIT = 0, 1, 2
 class _Words(dict):
     """A raw word to its place in arrays of hashes, kinds, capitals and sentence ends."""
 
+    held = 0
+
     def __init__(self):
         self.made(1 << 16)
 
+    def clear(self):
+        super().clear()
+        self.held = 0
+
     def made(self, room: int):
         """Room for so many words; what is there stays."""
         for name, kind in (("plain", np.uint64), ("kind", np.int8), ("capital", bool), ("ends", bool)):
@@ -65,6 +72,7 @@ class _Words(dict):
         if at == len(self.plain):
             self.made(2 * at)
         self[raw] = at
+        self.held += len(raw)
         self.plain[at] = xxhash.xxh3_64_intdigest(lower if kind == _PLAIN else f"<{kind}>")
         self.kind[at] = kind
         self.capital[at] = kind == _PLAIN and core[:1].isupper() and core[1:].islower()
@@ -79,7 +87,7 @@ WORDS = _Words()
 
 def canonical(text: bytes) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """Hashes of the canonical words, the raw words, and the kind of slot at each (0: none)."""
-    if len(WORDS) > MEMO:
+    if len(WORDS) > MEMO or WORDS.held > LONG * MEMO:
         WORDS.clear()
     raw, breaks = [], []
     for line in text.split(b"\n"):  # a line begins a sentence
@@ -127,6 +135,7 @@ def _item_windows(w: int, least: int):
 
 def _doc_windows(cells, sizes: list[int]):
     def run(batches):
+        turn(__name__, WORDS.clear)
         bits = np.frombuffer(cells.value, np.uint8)
 
         def passes(keys):

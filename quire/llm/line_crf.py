@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import texts
-from .words import windows, word_hashes
+from .memos import turn
+from .words import HASHES, windows, word_hashes
 
 #: Documents of the labels table that the field is trained on, at most.
 SAMPLE = 1600
@@ -153,6 +154,7 @@ def fit_field(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field
 
 def _judged(field, share: float):
     def run(batches):
+        turn(__name__, HASHES.clear)
         model = field.value
         for part, rows in texts(batches):
             out = []

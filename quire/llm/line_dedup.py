@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, running_total, small, texts
+from .memos import turn
 
 #: Least words of a repeated run; shorter ones (headings, licence lines) stay.
 MIN_WORDS = 50
@@ -35,6 +36,7 @@ _LINES = pa.list_(pa.struct([("i", pa.int32()), ("line", pa.int64()), ("n", pa.i
 
 def _lined(batches):
     """Arrow batches (d, k, text) to (d, k, lines): line number, line ID and words of each line with a word."""
+    turn(__name__, dict)  # nothing to remember
     for part, rows in texts(batches):
         out = []
         for text in rows:

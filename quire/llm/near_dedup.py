@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, materialize, small, texts
-from .words import mix, shingle_set
+from .memos import turn
+from .words import HASHES, mix, shingle_set
 
 REGISTERS, BANDS, ROWS = 128, 32, 4
 #: Registers for the last step, and the least number of equal ones: 4.5 deviations below 0.8.
@@ -74,6 +75,7 @@ def _signed(k: int):
     """Arrow batches (doc_id, text) to class, set size and band keys."""
 
     def run(batches):
+        turn(__name__, HASHES.clear)
         for part, rows in texts(batches):
             n, cls, bands = [], [], []
             for text in rows:
@@ -96,6 +98,7 @@ def _sets(k: int):
     """Arrow batches (text, cls) to (cls, set, band keys, a byte of each register of the fine signature), for rows whose text has that class."""
 
     def run(batches):
+        turn(__name__, HASHES.clear)
         for part, rows in texts(batches):
             wanted = part.column(part.schema.get_field_index("cls")).to_pylist()
             cls, sets, keys, fine = [], [], [], []

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, small, texts
+from .memos import turn
 
 ORDER, WEIGHT, QUANTILE, HELD_OUT = 5, 200, 0.99, 10
 WINDOW, POOLED = 10, 100
@@ -247,6 +248,7 @@ def _worst(sums: np.ndarray) -> float:
 
 def _scored(arrays, number: int):
     def run(batches):
+        turn(__name__, _TABLES.clear)
         models = _tables(arrays.value, number)
         for part, rows in texts(batches, size=64):
             langs = part.column(part.schema.get_field_index("lang")).to_pylist()

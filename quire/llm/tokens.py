@@ -2,8 +2,10 @@
 
 A byte-level tokenizer without normaliser splits a text at every step from a non-space to a
 space or newline before it merges anything, so the ids of a text are those of its pieces
-(white space and the word after it) in order. Pieces are encoded once and remembered. Texts
-for which that does not hold (special tokens in the text, other white space than spaces and
+(white space and the word after it) in order. Pieces are encoded once and remembered. A column
+of texts is split by Arrow, each of its different pieces is looked up once, and the ids are put together by
+Arrow again. Texts with other white space than single spaces and newlines go one by one; texts
+for which the rule does not hold (special tokens in the text, other white space than spaces and
 newlines) are encoded whole.
 """
 
@@ -13,19 +15,24 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .memos import LONG, turn
 
 PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: White space by any library's definition, other than space and newline.
 OTHER_SPACE = re.compile(r"[^\S \n]")
-ASCII_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+#: The same for Arrow, with the ends of a text and runs of white space: texts that hold none are plainly spaced.
+UNEVEN = r"[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|^[ \n]|[ \n]$|^$"
 #: Letters from here on may be newer than the tokenizer's Unicode tables.
 LATER = "\u0530"
-#: A word, and ASCII marks after it other than an apostrophe.
-MARKED = re.compile(r"( ?[^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
+#: ASCII marks other than the apostrophe; after letters they are a piece of their own.
+MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+#: What stands for a space in byte-level vocabularies.
+SPACE = "\u0120"
 #: Pieces remembered in a worker; the older half goes when there are more.
-MEMO = 500_000
-#: White space that is not one space between words or one newline between lines.
-RUNS = ("  ", " \n", "\n ", "\n\n")
+MEMO = 400_000
 
 
 def _byte_chars() -> dict[int, str]:
@@ -45,7 +52,8 @@ class _Memo(dict):
         got = self.old.get(piece)
         if got is None:
             got = self.make(piece)
-        self[piece] = got
+        if len(piece) <= LONG:
+            self[piece] = got
         return got
 
 
@@ -59,53 +67,85 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize = self.tokenizer.model.tokenize
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.uneven = "|".join([UNEVEN, *map(re.escape, self.special)])
         self.map = _byte_chars()
         self.ids = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.newline = self._whole("\n")
         self.memo = _Memo({}, self._made)
-        self.after_space = _Memo({}, lambda word: self._made(" " + word))
+        self.after_space = _Memo({}, self._spaced)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _merged(self, word: str) -> bytes:
+        """Ids of letters, one piece for the merges whatever is around it."""
+        ids = self.ids
+        plain = word.isascii()  # ASCII letters stand for themselves
+        return b"".join([ids[t.id] for t in self.tokenize(word.replace(" ", SPACE) if plain else word.encode().decode("latin-1").translate(self.map))])
+
+    def _spaced(self, word: str) -> bytes:
+        """Ids of a word after a space."""
+        core = word.rstrip(MARKS)
+        if core.isalpha() and (word.isascii() or max(word) < LATER):
+            return self._merged(" " + core) if len(core) == len(word) else self.after_space[core] + self.memo[word[len(core) :]]
+        return self._whole(" " + word)
+
     def _made(self, piece: str) -> bytes:
         if piece[0] == "\n" and piece[1:2].strip():  # a newline before a word stands alone
             return self.newline + self.memo[piece[1:]]
-        if max(piece) < LATER:
-            word = piece[piece[0] == " " :]
-            if word.isalpha():  # one piece for the merges, whatever is around it
-                ids = self.ids
-                return b"".join([ids[t.id] for t in self.tokenize(piece.encode().decode("latin-1").translate(self.map))])
-            if (m := MARKED.fullmatch(piece)) and m[1].strip().isalpha():  # marks after letters are a piece of their own
-                return self.memo[m[1]] + self.memo[m[2]]
+        if piece[0] == " " and piece[1:2].strip():
+            return self.after_space[piece[1:]]
+        core = piece.rstrip(MARKS)
+        if core.isalpha() and max(piece) < LATER:
+            return self._merged(core) if len(core) == len(piece) else self.memo[core] + self.memo[piece[len(core) :]]
         return self._whole(piece)
 
+    def _bounded(self) -> None:
+        """Of more than MEMO pieces the older half goes."""
+        if len(self.memo) + len(self.after_space) > MEMO // 2:
+            self.memo.old = self.after_space.old = {}
+            self.memo = _Memo(dict(self.memo), self._made)
+            self.after_space = _Memo(dict(self.after_space), self._spaced)
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if (any(c in text for c in ASCII_SPACE) if text.isascii() else OTHER_SPACE.search(text)) or any(s in text for s in self.special):
+        if OTHER_SPACE.search(text) or any(s in text for s in self.special):
             return self._whole(text)
-        if len(self.memo) + len(self.after_space) > MEMO // 2:
-            self.memo.old = self.after_space.old = {}
-            self.memo = _Memo(dict(self.memo), self.memo.make)
-            self.after_space = _Memo(dict(self.after_space), self.after_space.make)
-        if text[0].isspace() or text[-1].isspace() or any(r in text for r in RUNS):
-            return b"".join(map(self.memo.__getitem__, PIECES.findall(text)))
-        # Single spaces and newlines only: no pattern is needed to find the pieces.
-        lines = []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            lines.append(self.memo[first])
-            if rest:
-                lines[-1] += b"".join(map(self.after_space.__getitem__, rest))
-        return self.newline.join(lines)
+        self._bounded()
+        return b"".join(map(self.memo.__getitem__, PIECES.findall(text)))
+
+    def encode_column(self, column: pa.Array) -> list[bytes]:
+        """Ids of each text of a string column; of none for null and empty ones."""
+        column = column.cast(pa.string()).fill_null("")
+        uneven = pc.match_substring_regex(column, self.uneven)
+        out = [b""] * len(column)
+        for i in np.flatnonzero(uneven.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self.encode(column[i].as_py())
+        even = np.flatnonzero(~uneven.to_numpy(zero_copy_only=False))
+        if not len(even):
+            return out
+        self._bounded()
+        # Each text begins as if after a newline, whose id is cut off again.
+        lines = pc.binary_join_element_wise(pa.scalar("\n"), pc.replace_substring(column.filter(pc.invert(uneven)), "\n", " \n"), pa.scalar(""))
+        words = pc.split_pattern(lines, " ")
+        coded = words.flatten().dictionary_encode()
+        bare, spaced = self.memo, self.after_space
+        known = [self.newline + bare[w[1:]] if w[0] == "\n" else spaced[w] for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        ids = pa.array(known, pa.binary()).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int32)[words.offsets.to_numpy()].tolist()
+        data, skip = ids.buffers()[2].to_pybytes(), len(self.newline)
+        for i, start, end in zip(even.tolist(), ends, ends[1:]):
+            out[i] = data[start + skip : end]
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for a vocabulary file; kept between tasks."""
+    """The worker's encoder for a vocabulary file; kept between tasks of operators that tokenize."""
+    turn(__name__, _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .memos import LONG
+
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 #: Words whose hashes a worker remembers.
 MEMO = 250_000
@@ -16,7 +18,9 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > MEMO:
             self.clear()
-        self[word] = got = xxhash.xxh3_64_intdigest(word)
+        got = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONG:
+            self[word] = got
         return got
 
 
