@@ -2,20 +2,22 @@
 
 A document's set holds its distinct k-word shingles (64-bit hashes). Documents with equal
 sets form one class, so exact copies cost nothing further. Each class gets a SuperMinHash
-signature; 32 bands of 4 registers make candidates (a pair at similarity 0.8 shares no band
-with a chance of 5e-8). Links are confirmed on the full sets, and linked classes are grouped
+signature of 128 registers; bands of as many registers as the similarity allows make candidates (`banding`: at 0.8, 32 bands
+of 4, and a pair at 0.8 shares no band with a chance of 5e-8). Links are confirmed on the full sets, and linked classes are grouped
 by distributed union-find.
 
 Within a bucket not all pairs are made. First every class is compared with one pivot, the
 one it shares most bands with; then with its other pivots, if they lie in another
-component; last, classes of one bucket that are still in different components are compared
-with each other in blocks of bounded size by finer signatures of 1024 registers. Pairs that agree in
-at least `near` of them (a linked pair has fewer with a chance below 1e-5) leave a block, each pair
-once (in the first bucket in which the two meet, by the full band keys), and are confirmed on the full sets. Pairs that are skipped lie in one component already.
+component; last, in buckets that still hold several components, the classes outside the largest one are compared
+with all others of the bucket, in blocks of about BLOCK classes that meet two by two. A block holds a class's whole set up to SKETCH
+shingles; larger sets are thinned by bits of their hashes, both sets of a pair alike, and a pair of which one is
+thinned leaves a block if the rest is less than 4.5 standard deviations too unlike. Each pair
+leaves once (in the first bucket in which the two meet, by the full band keys) and is confirmed on the full sets.
+Pairs that are skipped lie in one component already.
 
 Null and empty texts: an empty set, linked with nothing, component_id the row's own doc_id.
 Null doc_ids: take part as texts; a component_id is the least doc_id that is not null.
-Repeated rows: returned as often as they come. Extra columns are ignored.
+Repeated rows: returned as often as they come; `deduplicate` keeps one of them. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,11 +32,11 @@ from .common import components, materialize, small, texts
 from .memos import turn
 from .words import HASHES, mix, shingle_set
 
-REGISTERS, BANDS, ROWS = 128, 32, 4
-#: Registers for the last step, and the least number of equal ones: 4.5 deviations below 0.8.
-FINE, NEAR = 1024, 761
-#: Classes of a block, about.
-BLOCK = 512
+REGISTERS = 128
+#: Chance that a pair at the least similarity shares no band, at most.
+MISSED = 1e-7
+#: Classes of a block, about, and the shingles of a class that a block holds.
+BLOCK, SKETCH = 512, 1024
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 
@@ -64,55 +66,92 @@ def superminhash(x: np.ndarray, m: int = REGISTERS) -> np.ndarray:
     return h
 
 
-def _band_keys(h: np.ndarray) -> np.ndarray:
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in h.reshape(BANDS, ROWS).T:
+def banding(percent: int) -> int:
+    """Registers of a band: as many as keep the chance to miss a pair of that similarity below MISSED."""
+    for rows in (8, 4, 2, 1):
+        if (1 - (percent / 100) ** rows) ** (REGISTERS // rows) < MISSED:
+            return rows
+    raise ValueError(f"{REGISTERS} registers can't find pairs of {percent} percent")
+
+
+def _band_keys(h: np.ndarray, rows: int) -> np.ndarray:
+    out = np.arange(1, len(h) // rows + 1, dtype=np.uint64)
+    for column in h.reshape(-1, rows).T:
         out = mix(out * _STEP + column)
     return out.view(np.int64)
 
 
-def _signed(k: int):
-    """Arrow batches (doc_id, text) to class, set size and band keys."""
+def _signed(k: int, rows: int):
+    """Arrow batches (doc_id, key, text) to class, set size and band keys."""
 
     def run(batches):
         turn(__name__, HASHES.clear)
-        for part, rows in texts(batches):
+        for part, texts_ in texts(batches):
             n, cls, bands = [], [], []
-            for text in rows:
+            for text in texts_:
                 x = shingle_set(text, k)
                 n.append(len(x))
                 if len(x):
                     cls.append(xxhash.xxh3_128_digest(x.tobytes()))
-                    bands.append(_band_keys(superminhash(x)))
+                    bands.append(_band_keys(superminhash(x), rows))
                 else:
                     cls.append(None), bands.append(None)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "cls", "bands"],
+                [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                ["doc_id", "key", "n_shingles", "cls", "bands"],
             )
 
     return run
 
 
-def _sets(k: int):
-    """Arrow batches (text, cls) to (cls, set, band keys, a byte of each register of the fine signature), for rows whose text has that class."""
+def _level(n: int) -> int:
+    """Bits of a hash that must be 0 so that about SKETCH or fewer of n are left."""
+    return max(0, -(-n // SKETCH) - 1).bit_length()
+
+
+def _thinned(x: np.ndarray, level: int) -> np.ndarray:
+    return x[x & np.uint64((1 << level) - 1) == 0] if level else x
+
+
+def _sets(k: int, rows: int):
+    """Arrow batches (text, cls) to (cls, set, thinned set, its level, band keys), for rows whose text has that class."""
 
     def run(batches):
         turn(__name__, HASHES.clear)
-        for part, rows in texts(batches):
+        for part, texts_ in texts(batches):
             wanted = part.column(part.schema.get_field_index("cls")).to_pylist()
-            cls, sets, keys, fine = [], [], [], []
-            for text, c in zip(rows, wanted):
+            out = []
+            for text, c in zip(texts_, wanted):
                 x = shingle_set(text, k)
                 if len(x) and xxhash.xxh3_128_digest(x.tobytes()) == c:
-                    cls.append(c), sets.append(x.tobytes()), keys.append(_band_keys(superminhash(x)).tobytes())
-                    fine.append(mix(superminhash(x, FINE)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (cls, sets, keys, fine)], ["cls", "shingles", "keys", "fine"])
+                    level = _level(len(x))
+                    out.append((c, x.tobytes(), _thinned(x, level).tobytes(), level, _band_keys(superminhash(x), rows).tobytes()))
+            columns = list(zip(*out)) or [[]] * 5
+            kinds = (pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["cls", "shingles", "sketch", "level", "keys"])
 
     return run
 
 
-def _blocks(near: int):
+def _near(sketches: list[tuple[np.ndarray, int]], own: np.ndarray, own_level: int, percent: int) -> np.ndarray:
+    """Whether each of the sketches (set, level) may be linked with the set `own` of own_level; exact where both are whole sets."""
+    out = np.zeros(len(sketches), bool)
+    for level in {max(own_level, at) for _, at in sketches}:
+        which = [i for i, (_, at) in enumerate(sketches) if max(own_level, at) == level]
+        mine, theirs = _thinned(own, level), [_thinned(sketches[i][0], level) for i in which]
+        size = np.array([len(t) for t in theirs])
+        flat = np.concatenate(theirs)
+        at = np.minimum(np.searchsorted(mine, flat), max(len(mine) - 1, 0))
+        same = np.concatenate([[0], np.cumsum(mine[at] == flat)]) if len(mine) else np.zeros(len(flat) + 1, np.int64)
+        ends = np.cumsum(size)
+        common = same[ends] - same[ends - size]
+        union = len(mine) + size - common
+        slack = 4.5 * np.sqrt(percent * (100 - percent) * np.maximum(union, 1)) if level else 0.0
+        out[which] = (100 * common >= percent * union - slack)
+    return out
+
+
+def _blocks(percent: int):
     """Arrow batches (band number, two blocks) to the pairs (a, b, root_a, root_b) that may be links between components.
 
     Each pair of classes leaves in the first band that it shares.
@@ -123,16 +162,16 @@ def _blocks(near: int):
             for i in range(batch.num_rows):
                 j, x, y = (batch.column(c)[i].as_py() for c in ("j", "x", "y"))
                 y = y or x  # none: the block with itself
-                keys_y = np.frombuffer(b"".join(m["keys"] for m in y), np.int64).reshape(len(y), BANDS)
-                fine_y = np.frombuffer(b"".join(m["fine"] for m in y), np.uint8).reshape(len(y), FINE)
+                keys_y = np.stack([np.frombuffer(m["keys"], np.int64) for m in y])
+                sketches = [(np.frombuffer(m["sketch"], np.uint64), m["level"]) for m in y]
                 roots_y, cls_y = np.array([m["root"] for m in y], object), np.array([m["cls"] for m in y], object)
                 found: tuple[list, ...] = ([], [], [], [])
                 for m in x:
                     other = (roots_y > m["root"]) if x is y else (roots_y != m["root"])
                     shared = np.frombuffer(m["keys"], np.int64) == keys_y
-                    other &= shared[:, j] & (shared.argmax(1) == j)
-                    at = np.flatnonzero(other)
-                    at = at[(np.frombuffer(m["fine"], np.uint8) == fine_y[at]).sum(1) >= near]
+                    at = np.flatnonzero(other & shared[:, j] & (shared.argmax(1) == j))
+                    if len(at):
+                        at = at[_near([sketches[i] for i in at], np.frombuffer(m["sketch"], np.uint64), m["level"], percent)]
                     for column, values in zip(found, ([m["cls"]] * len(at), cls_y[at], [m["root"]] * len(at), roots_y[at])):
                         column.extend(values)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in found], ["a", "b", "root_a", "root_b"])
@@ -162,22 +201,24 @@ def _verify(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, near: int = NEAR) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = docs.mapInArrow(_signed(k), "doc_id long, n_shingles long, cls binary, bands array<long>")
-    signed = materialize(signed, "signed")
-    classes = signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+def _grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): (doc_id, key, n_shingles, cls) for each row of docs, key a hash of its text, and (cls, root, component_id)."""
+    rows = banding(percent)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
+    signed = materialize(docs.mapInArrow(_signed(k, rows), "doc_id long, key long, n_shingles long, cls binary, bands array<long>"), "signed")
+    # A class's first row: the least doc_id, null last.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("f")
+    first_seen = signed.where("cls is not null").groupBy("cls").agg(first).select("cls", "f.doc_id", "f.key")
+    classes = signed.where("cls is not null").groupBy("cls").agg(F.first("bands").alias("bands"))
     keys = materialize(classes.select("cls", F.posexplode("bands").alias("j", "band")), "bands")
     pivots = keys.groupBy("band").agg(F.min("cls").alias("pivot"), F.max("cls").alias("other")).where("pivot <> other").select("band", "pivot")
     buckets = materialize(keys.join(pivots, "band"), "buckets")
-    first_seen = signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     members = buckets.select("cls").distinct()
 
     # The sets of the classes in buckets only, made again from one text each.
-    wanted = materialize(members.join(first_seen, "cls"), "wanted")
-    texts_of = docs.withColumnRenamed("doc_id", "d").join(small(wanted), F.col("d").eqNullSafe(F.col("doc_id"))).select("text", "cls")
-    sets = materialize(texts_of.mapInArrow(_sets(k), "cls binary, shingles binary, keys binary, fine binary").dropDuplicates(["cls"]), "sets")
+    wanted = materialize(members.join(first_seen, "cls").withColumnRenamed("key", "first_key"), "wanted")
+    texts_of = docs.withColumnRenamed("doc_id", "d").join(small(wanted), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("first_key"))).select("text", "cls")
+    sets = materialize(texts_of.mapInArrow(_sets(k, rows), "cls binary, shingles binary, sketch binary, level int, keys binary").dropDuplicates(["cls"]), "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b, root_a, root_b) whose full sets are similar enough."""
@@ -205,31 +246,58 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, near: int =
         apart = apart.join(found.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c)
     found = merged(found, materialize(apart.where("root_a <> root_b"), "apart"))
 
-    # Buckets that still hold several components: their classes against each other, block by block.
+    # Buckets that still hold several components: the classes outside the largest against the bucket, two blocks at a time.
     tagged = materialize(buckets.join(found.withColumnRenamed("node", "cls"), "cls").select("band", "j", "cls", "root"), "tagged")
-    split = tagged.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("band", "n")
-    left_over = tagged.join(split, "band").join(sets.select("cls", "keys", "fine"), "cls")
-    parts = F.ceil(F.col("n") / BLOCK)
-    left_over = left_over.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("parts")))
-    blocks = left_over.groupBy("band", "j", "parts", "block").agg(F.collect_list(F.struct("cls", "root", "keys", "fine")).alias("x"))  # about BLOCK
-    blocks = materialize(blocks, "blocks")
-    if not blocks.isEmpty():
-        large = blocks.where("parts > 1")
-        other = large.select("band", F.col("block").alias("other"), F.col("x").alias("y"))
-        pairs = large.join(other, "band").where("block < other").select("j", "x", "y").unionByName(blocks.select("j", "x", F.lit(None).cast(blocks.schema["x"].dataType).alias("y")))
-        found = merged(found, materialize(pairs.mapInArrow(_blocks(near), "a binary, b binary, root_a binary, root_b binary"), "cross"))
+    sizes = tagged.groupBy("band", "j", "root").agg(F.count("*").alias("c"))
+    split = sizes.groupBy("band", "j").agg(F.max_by("root", F.struct("c", "root")).alias("largest"), F.max("c").alias("c"), F.sum("c").alias("n"), F.count("*").alias("roots"))
+    split = split.where("roots > 1").select("band", "j", "largest", F.ceil(F.col("c") / BLOCK).alias("inside"), F.ceil((F.col("n") - F.col("c")) / BLOCK).alias("outside"))
+    split = materialize(split, "split")
+    if not split.isEmpty():
+        held = tagged.join(split.drop("j"), "band").join(sets.select("cls", "keys", "sketch", "level"), "cls")
+        side = (F.col("root") == F.col("largest")).alias("main")
+        block = F.pmod(F.xxhash64("cls"), F.when(F.col("root") == F.col("largest"), F.col("inside")).otherwise(F.col("outside"))).alias("block")
+        blocks = held.select("band", side, block, "cls", "root", "keys", "sketch", "level").groupBy("band", "main", "block")
+        blocks = materialize(blocks.agg(F.collect_list(F.struct("cls", "root", "keys", "sketch", "level")).alias("x")), "blocks")  # about BLOCK
+        # Numbers of the blocks that meet; the blocks themselves come by (bucket, block), so no key has more than a bucket's blocks.
+        meets = split.select("band", "j", "inside", F.col("outside"), F.explode(F.sequence(F.lit(0), F.col("outside") - 1)).alias("block"))
+        within = F.transform(F.sequence(F.col("block"), F.col("outside") - 1), lambda b: F.struct(F.lit(False).alias("main"), b.alias("block")))
+        across = F.transform(F.sequence(F.lit(0).cast("long"), F.col("inside") - 1), lambda b: F.struct(F.lit(True).alias("main"), b.alias("block")))
+        meets = meets.select("band", "j", "block", F.explode(F.concat(within, across)).alias("o")).select("band", "j", "block", F.col("o.main").alias("other_main"), F.col("o.block").alias("other"))
+        itself = ~F.col("other_main") & (F.col("block") == F.col("other"))
+        pairs = meets.withColumn("main", F.lit(False)).withColumn("alone", itself).join(blocks, ["band", "main", "block"])
+        others = blocks.select("band", F.col("main").alias("other_main"), F.col("block").alias("other"), F.col("x").alias("y"))
+        two = pairs.where("not alone").join(others, ["band", "other_main", "other"]).select("j", "x", "y")
+        pairs = two.unionByName(pairs.where("alone").select("j", "x", F.lit(None).cast(blocks.schema["x"].dataType).alias("y")))
+        found = merged(found, materialize(pairs.mapInArrow(_blocks(percent), "a binary, b binary, root_a binary, root_b binary"), "cross"))
 
     # Every class's component is named by the least doc_id in it.
     named = first_seen.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     named = materialize(named, "named")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    ids = named.join(small(materialize(least, "least")), "root").select("cls", "component_id")
-    out = signed.select("doc_id", "n_shingles", "cls").join(small(materialize(ids, "ids")), "cls", "left")
+    return signed.select("doc_id", "key", "n_shingles", "cls"), materialize(named.join(small(materialize(least, "least")), "root").select("cls", "root", "component_id"), "ids")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text)."""
+    rows, classes = _grouped(docs, k, percent)
+    out = rows.join(small(classes), "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group: that with the least doc_id."""
-    keep = near_duplicates(docs, k, percent).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(small(materialize(keep, "kept")), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    """docs with one row of each group: that with the least doc_id (null last), of equal rows any one. Rows without words all stay."""
+    rows, classes = _grouped(docs, k, percent)
+    with_root = rows.join(small(classes), "cls", "left")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("f")
+    keep = with_root.where("cls is not null").groupBy("root").agg(first).select("f.doc_id", "f.key")
+    times = rows.where("cls is not null").groupBy("doc_id", "key").agg(F.count("*").alias("c"))
+    same = F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("key") == F.col("__k"))
+    keep = keep.select(F.col("doc_id").alias("__i"), F.col("key").alias("__k")).join(times, same).select("__i", "__k", (F.col("c") > 1).alias("__more"))
+    empty = rows.where("cls is null").select(F.col("doc_id").alias("__i"), F.col("key").alias("__k"), F.lit(False).alias("__more")).distinct()
+    keep = materialize(keep.unionByName(empty), "kept")
+    marked = docs.withColumn("__hash", F.xxhash64(F.col("text").cast("string")))
+    marked = marked.join(small(keep), F.col("doc_id").cast("long").eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__k")))
+    # Only rows of which there are equal ones are shuffled.
+    one = marked.where("not __more").unionByName(marked.where("__more").dropDuplicates(["__i", "__k"]))
+    return one.select(*docs.columns)

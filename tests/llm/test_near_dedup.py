@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from quire.llm import near_dedup
 from quire.llm.common import components
@@ -88,17 +89,57 @@ def test_components_of_a_chain(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
-def test_a_block_lets_a_pair_out_once_though_an_earlier_band_agrees_in_low_bytes_only():
-    r = random.Random(139)
-    own = [f"w{r.randint(0, 10**6)}" for _ in range(80)]
-    texts = [" ".join(own), " ".join([f"y{i}" for i in range(12)] + own[12:])]
-    sets = [shingle_set(t.encode(), 1) for t in texts]
-    signatures = [superminhash(x) for x in sets]
-    low = [near_dedup.mix(h).astype(np.uint8).reshape(near_dedup.BANDS, -1) for h in signatures]
-    shared = np.flatnonzero(near_dedup._band_keys(signatures[0]) == near_dedup._band_keys(signatures[1]))
-    assert (low[0] == low[1]).all(1).argmax() < shared[0] and len(shared) > 1
-    cls = [near_dedup.xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
-    (members,) = near_dedup._sets(1)([pa.RecordBatch.from_pydict({"text": texts, "cls": cls})])
-    block = [m | {"root": m["cls"]} for m in members.to_pylist()]
-    left = [sum(b.num_rows for b in near_dedup._blocks(0)([pa.RecordBatch.from_pylist([{"j": int(j), "x": block, "y": None}], pa.schema([("j", pa.int32()), ("x", pa.list_(pa.struct([(c, pa.binary()) for c in block[0]]))), ("y", pa.list_(pa.int32()))]))])) for j in shared]
-    assert left == [1] + [0] * (len(shared) - 1)
+def test_blocks_lose_no_link_between_two_thousand_pairs_at_the_threshold():
+    """Pairs of sets just above 0.8, in blocks as buckets make them, each in every band that it shares: every pair leaves once."""
+    r, lost = np.random.default_rng(5), 0
+    kind = pa.struct([("cls", pa.binary()), ("root", pa.binary()), ("keys", pa.binary()), ("sketch", pa.binary()), ("level", pa.int32())])
+    schema = pa.schema([("j", pa.int32()), ("x", pa.list_(kind)), ("y", pa.list_(kind))])
+    for i in range(2000):
+        n = 180 if i % 4 else 3000
+        common = r.integers(0, 2**63, 8 * n // 9, dtype=np.int64).astype(np.uint64)
+        block = []
+        for side in range(2):
+            x = np.unique(np.concatenate([common, r.integers(0, 2**63, n - len(common), dtype=np.int64).astype(np.uint64)]))
+            level = near_dedup._level(len(x))
+            block.append({"cls": b"%d %d" % (i, side), "root": b"%d %d" % (i, side), "keys": near_dedup._band_keys(superminhash(x), 4).tobytes() if i % 4 else bytes(256), "sketch": near_dedup._thinned(x, level).tobytes(), "level": level})
+        keys = [np.frombuffer(m["keys"], np.int64) for m in block]
+        shared = np.flatnonzero(keys[0] == keys[1])
+        rows = pa.RecordBatch.from_pylist([{"j": int(j), "x": block[:1], "y": block[1:]} for j in shared], schema)
+        left = sum(b.num_rows for b in near_dedup._blocks(80)([rows]))
+        lost += left != (len(shared) > 0)
+    assert lost == 0
+
+
+def test_blocks_screen_whole_sets_exactly():
+    r = np.random.default_rng(6)
+    own = np.unique(r.integers(0, 2**63, 100, dtype=np.int64).astype(np.uint64))
+    others = [np.sort(np.concatenate([own[:c], r.integers(0, 2**63, 100 - c, dtype=np.int64).astype(np.uint64)])) for c in (100, 90, 89, 88, 70, 0)]
+    assert near_dedup._near([(x, 0) for x in others], own, 0, 80).tolist() == [True, True, True, False, False, False]
+
+
+def test_other_similarities_get_other_bands(docs_of):
+    assert [near_dedup.banding(p) for p in (95, 80, 50, 20)] == [8, 4, 2, 1]
+    with pytest.raises(ValueError):
+        near_dedup.banding(5)
+    rows = [(1, "a b c d e f"), (2, "a b c d e x"), (3, "q r s t u v")]
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs_of(rows), k=2, percent=50).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
+def test_deduplicate_keeps_one_row_of_each_group(docs_of):
+    a, b = "a b c d e f g", "t u v w x y z"
+    rows = [(None, ""), (None, a), (1, a), (5, b), (5, b), (None, "only null ids here now"), (None, "only null ids here now"), (8, "")]
+    got = sorted(((r["doc_id"], r["text"]) for r in deduplicate(docs_of(rows)).collect()), key=str)
+    assert got == sorted([(None, ""), (1, a), (5, b), (None, "only null ids here now"), (8, "")], key=str)
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", 1, 2), (2, "a b c", 1, 2)], "doc_id long, text string, key long, root int")
+    assert deduplicate(docs).columns == docs.columns and deduplicate(docs).count() == 1
+
+
+def test_blocks_of_a_bucket_meet(docs_of, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    rows = family(50, 60, 8)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(docs_of(rows), k=4).collect()}
+    assert got == brute(rows)
