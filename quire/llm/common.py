@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a side of a join may be broadcast; wider sides than a few words are never passed here.
-BROADCAST_ROWS = 300_000
+#: Rows and bytes (about, in memory) up to which a side of a join may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 300_000, 64 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; where it is unset (tests), a new local one."""
+    """The shared folder of spark.checkpoint.dir; where it is unset, a new local one if Spark runs in one process, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -32,9 +36,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count shows at most `rows` rows, else as it is (a shuffle join)."""
-    return F.broadcast(df) if df.count() <= rows else df
+def _width(column: Column, kind: T.DataType) -> Column:
+    """Bytes of a value in memory, about."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.octet_length(column) + 16
+    if isinstance(kind, T.ArrayType):
+        each = F.lit(8 if isinstance(kind.elementType, T.NumericType) else 48)
+        return F.coalesce(F.size(column), F.lit(0)) * each + 16
+    return F.lit(16)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if a scan shows at most `rows` rows and `size` bytes, else as it is: a shuffle join.
+
+    A side that stays is joined by shuffle, and Spark's adaptive plans split the rows of a hot key there. df is computed
+    for the scan, so pass a table that was read or materialized.
+    """
+    width = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0))
+    found = df.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if found[0] <= rows and found[1] <= size else df
+
+
+def wrapped(docs: DataFrame, **keys: Column) -> DataFrame:
+    """docs as one column `row`, so that no name of theirs clashes, with the columns that keys names."""
+    return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), *(c.alias(n) for n, c in keys.items()))
 
 
 def running_total(df: DataFrame, key: str, value: str, out: str) -> DataFrame:

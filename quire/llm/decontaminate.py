@@ -1,11 +1,13 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words are lower-cased and freed of outer punctuation; numbers, names (capitalised inside a
-sentence) and units become typed placeholders. Windows of W canonical words of the benchmark
+Words are lower-cased and freed of outer punctuation; numbers, names and units become typed placeholders. A
+capitalised word is a name, unless it begins a sentence and the benchmark has it in lower case somewhere (a bitmap of the
+benchmark's lower-case words tells both sides alike); a line break begins no sentence. Windows of W canonical words of the benchmark
 items are joined by hash with those of the documents, so a question with other numbers or
-names still meets its template. Matches are laid along diagonals (place in the
-document less place in the item); on a diagonal the slots must be consistent: one value of the item
-always has the same value in the document, and the other way round. A document is
+names still meets its template. A window of placeholders alone, as in a table of numbers, keeps its values. Of equal windows
+of an item the first one counts. Matches are laid along diagonals (place in the
+document less place in the item); on a diagonal, which holds no more matches than the item has windows, the slots must be
+consistent: one value of the item always has the same value in the document, and the other way round. A document is
 contaminated by an item if consistent matches cover SHARE of its windows, or RUN words in a row.
 
 Documents pass a bitmap of the benchmark's window hashes first: CELLS bits, however long the benchmark
@@ -26,11 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small, texts
+from .common import materialize, small, texts, wrapped
 from .memos import LONG, turn
 from .words import MEMO, windows
 
 W, LEAST, RUN, SHARE = 8, 5, 13, 0.5
+#: Bits of the bitmaps of window hashes and of lower-case words.
 CELLS = 1 << 24
 
 # Units of measure and money.
@@ -45,7 +48,7 @@ _PLAIN, _NUM, _UNIT = 0, 1, 2
 
 
 class _Words(dict):
-    """A raw word to its place in arrays of hashes, kinds, capitals and sentence ends."""
+    """A raw word to its place in arrays of hashes, kinds, capitals and sentence ends. Cleared between texts when it holds much."""
 
     held = 0
 
@@ -58,7 +61,7 @@ class _Words(dict):
 
     def made(self, room: int):
         """Room for so many words; what is there stays."""
-        for name, kind in (("plain", np.uint64), ("kind", np.int8), ("capital", bool), ("ends", bool)):
+        for name, kind in (("plain", np.uint64), ("exact", np.uint64), ("kind", np.int8), ("capital", bool), ("ends", bool)):
             new = np.zeros(room, kind)
             new[: len(self)] = getattr(self, name, new)[: len(self)]
             setattr(self, name, new)
@@ -73,7 +76,8 @@ class _Words(dict):
             self.made(2 * at)
         self[raw] = at
         self.held += len(raw)
-        self.plain[at] = xxhash.xxh3_64_intdigest(lower if kind == _PLAIN else f"<{kind}>")
+        self.exact[at] = xxhash.xxh3_64_intdigest(lower)
+        self.plain[at] = self.exact[at] if kind == _PLAIN else xxhash.xxh3_64_intdigest(f"<{kind}>")
         self.kind[at] = kind
         self.capital[at] = kind == _PLAIN and core[:1].isupper() and core[1:].islower()
         self.ends[at] = word.rstrip("\"')]")[-1:] in (".", "!", "?", ":")
@@ -85,137 +89,151 @@ _NAME = np.uint64(xxhash.xxh3_64_intdigest("<name>"))
 WORDS = _Words()
 
 
-def canonical(text: bytes) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Hashes of the canonical words, the raw words, and the kind of slot at each (0: none)."""
-    if len(WORDS) > MEMO or WORDS.held > LONG * MEMO:
-        WORDS.clear()
-    raw, breaks = [], []
-    for line in text.split(b"\n"):  # a line begins a sentence
-        words = line.split()
-        if words:
-            breaks.append(len(raw))
-            raw += words
-    at = np.fromiter(map(WORDS.__getitem__, raw), np.int64, len(raw))
-    start = np.zeros(len(raw) + 1, bool)
-    start[1:] = WORDS.ends[at]
-    start[breaks] = True
-    name = WORDS.capital[at] & ~start[:-1]
-    return np.where(name, _NAME, WORDS.plain[at]), raw, np.where(name, 3, WORDS.kind[at])
-
-
-def _window_rows(text: bytes, sizes: list[int], passes=None):
-    """(hash, size, place, slots) of the windows that pass; slots are kind=word texts."""
-    h, raw, kinds = canonical(text)
-    for size in sizes:
-        if len(h) < size:
-            continue
-        keys = windows(h, size)
-        places = np.arange(len(keys)) if passes is None else np.flatnonzero(passes(keys))
-        for p in places.tolist():
-            slots = [f"{i}{kinds[p + i]}={raw[p + i].decode('utf-8', 'replace').strip(_EDGES).lower()}" for i in np.flatnonzero(kinds[p : p + size]).tolist()]
-            yield int(keys[p].view(np.int64)), size, p, slots
+def _bit(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    cell = keys & np.uint64(CELLS - 1)
+    return ((bits[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
+class Canonical:
+    """A text's canonical words: hashes with names, numbers and units as placeholders, hashes of the words themselves, raw words, kinds of slot (0: none)."""
+
+    def __init__(self, text: bytes, common: np.ndarray):
+        if len(WORDS) > MEMO or WORDS.held > LONG * MEMO:
+            WORDS.clear()
+        self.raw = text.split()
+        at = np.fromiter(map(WORDS.__getitem__, self.raw), np.int64, len(self.raw))
+        start = np.ones(len(at), bool)
+        start[1:] = WORDS.ends[at[:-1]]
+        self.exact = WORDS.exact[at]
+        name = WORDS.capital[at] & ~(start & _bit(common, self.exact))
+        self.hashes, self.kinds = np.where(name, _NAME, WORDS.plain[at]), np.where(name, 3, WORDS.kind[at])
+
+    def keys(self, size: int) -> np.ndarray:
+        """Hash of each window; of the words themselves where all are slots."""
+        slots = np.concatenate([[0], np.cumsum(self.kinds > 0)])
+        return np.where(slots[size:] - slots[:-size] == size, windows(self.exact, size), windows(self.hashes, size))
+
+    def rows(self, sizes: list[int], passes=None):
+        """(hash, size, place, slots) of the windows that pass; slots are kind=word texts."""
+        for size in sizes:
+            if len(self.raw) < size:
+                continue
+            keys = self.keys(size)
+            places = np.arange(len(keys)) if passes is None else np.flatnonzero(passes(keys))
+            for p in places.tolist():
+                slots = [f"{i}{self.kinds[p + i]}={self.raw[p + i].decode('utf-8', 'replace').strip(_EDGES).lower()}" for i in np.flatnonzero(self.kinds[p : p + size]).tolist()]
+                yield int(keys[p].view(np.int64)), size, p, slots
 
 
 _WINDOWS = pa.list_(pa.struct([("h", pa.int64()), ("size", pa.int32()), ("p", pa.int32()), ("slots", pa.list_(pa.string()))]))
 _WINDOWS_SQL = "array<struct<h: long, size: int, p: int, slots: array<string>>>"
 
 
-def _item_windows(w: int, least: int):
+def _lower_cells(batches):
+    """Cells of the items' words that are written in lower case."""
+    for _, rows in texts(batches):
+        words = {w for text in rows for w in (text or b"").split()}
+        lower = [x.strip(_EDGES) for w in words if (x := w.decode("utf-8", "replace")).strip(_EDGES).islower()]
+        cells = np.unique(np.array([xxhash.xxh3_64_intdigest(x) & (CELLS - 1) for x in lower], np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64())], ["c"])
+
+
+def _bitmap(cells: DataFrame) -> bytes:
+    """Bits for the distinct values of c, of which there are at most CELLS."""
+    cell = cells.distinct().toArrow().column("c").to_numpy()
+    bits = np.zeros(CELLS // 8, np.uint8)
+    np.bitwise_or.at(bits, cell >> 3, (1 << (cell & 7)).astype(np.uint8))
+    return bits.tobytes()
+
+
+def _item_windows(common, w: int, least: int):
     def run(batches):
+        lower = np.frombuffer(common.value, np.uint8)
         for part, rows in texts(batches):
             out = []
             for text in rows:
                 n = len((text or b"").split())
                 size = w if n >= w else n
-                out.append([dict(zip(("h", "size", "p", "slots"), x)) for x in _window_rows(text, [size])] if size >= least else [])
+                first: dict[int, dict] = {}
+                for x in Canonical(text, lower).rows([size]) if size >= least else ():
+                    first.setdefault(x[0], dict(zip(("h", "size", "p", "slots"), x)))
+                out.append(list(first.values()))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, _WINDOWS)], ["item_id", "windows"])
 
     return run
 
 
-def _doc_windows(cells, sizes: list[int]):
+def _doc_windows(common, cells, sizes: list[int]):
     def run(batches):
         turn(__name__, WORDS.clear)
-        bits = np.frombuffer(cells.value, np.uint8)
-
-        def passes(keys):
-            cell = keys & np.uint64(CELLS - 1)
-            return (bits[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1
-
+        lower, bits = (np.frombuffer(b.value, np.uint8) for b in (common, cells))
         for part, rows in texts(batches):
-            out = [[dict(zip(("h", "size", "p", "slots"), x)) for x in _window_rows(text, sizes, passes)] if text else [] for text in rows]
-            keys = [xxhash.xxh3_64_intdigest(text or b"") - (1 << 63) for text in rows]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.int64()), pa.array(out, _WINDOWS)], ["doc_id", "text_key", "windows"])
+            out = [[dict(zip(("h", "size", "p", "slots"), x)) for x in Canonical(text, lower).rows(sizes, lambda keys: _bit(bits, keys))] if text else [] for text in rows]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, _WINDOWS)], ["doc_id", "text_key", "windows"])
 
     return run
 
 
-def _aligned(run_words: int, share: float):
-    """Groups' matches of a document and an item to the words in the longest run, the windows covered, and the verdict."""
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for n_windows, matches in zip(batch.column("n_windows").to_pylist(), batch.column("matches").to_pylist()):
-                diagonals: dict[int, list[dict]] = {}
-                for m in matches:
-                    diagonals.setdefault(m["p"] - m["q"], []).append(m)
-                covered, longest, changed = set(), 0, 0
-                for found in diagonals.values():
-                    to: dict[str, str] = {}
-                    back: dict[tuple[str, str], str] = {}
-                    spans = []
-                    for m in sorted(found, key=lambda m: m["q"]):
-                        pairs = [(a[len(a) - len(a.lstrip("0123456789")) - 1] + a.partition("=")[2], b.partition("=")[2]) for a, b in zip(m["theirs"], m["ours"])]
-                        if all(to.get(a, b) == b and back.get((a[0], b), a) == a for a, b in pairs):
-                            for a, b in pairs:
-                                to[a], back[a[0], b] = b, a
-                            spans.append((m["q"], m["q"] + m["size"]))
-                    changed += sum(a[1:] != b for a, b in to.items())
-                    start = end = None
-                    for s, e in spans:
-                        start, end = (s, e) if end is None or s > end else (start, max(end, e))
-                        longest = max(longest, end - start)
-                    covered |= {s for s, _ in spans}
-                out.append((longest, len(covered), changed, longest >= run_words or len(covered) >= share * n_windows))
-            columns = list(zip(*out)) or [[]] * 4
-            arrays = [pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "text_key", "item_id")), *arrays], ["doc_id", "text_key", "item_id", "run_words", "covered", "changed", "hit"])
-
-    return run
+def _aligned(batches):
+    """Matches on a diagonal (q, size, ours, theirs) to the words in the longest consistent run, the places of its windows in the item, and changed slots."""
+    for batch in batches:
+        out = []
+        for found in batch.column("matches").to_pylist():
+            to: dict[str, str] = {}
+            back: dict[tuple[str, str], str] = {}
+            spans = []
+            for m in sorted(found, key=lambda m: m["q"]):
+                pairs = [(a[len(a) - len(a.lstrip("0123456789")) - 1] + a.partition("=")[2], b.partition("=")[2]) for a, b in zip(m["theirs"], m["ours"])]
+                if all(to.get(a, b) == b and back.get((a[0], b), a) == a for a, b in pairs):
+                    for a, b in pairs:
+                        to[a], back[a[0], b] = b, a
+                    spans.append((m["q"], m["q"] + m["size"]))
+            start = end = None
+            longest = 0
+            for s, e in spans:
+                start, end = (s, e) if end is None or s > end else (start, max(end, e))
+                longest = max(longest, end - start)
+            out.append((longest, [s for s, _ in spans], sum(a[1:] != b for a, b in to.items())))
+        columns = list(zip(*out)) or [[]] * 3
+        arrays = [pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.list_(pa.int32()), pa.int32()))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "text_key", "item_id", "n_windows")), *arrays], ["doc_id", "text_key", "item_id", "n_windows", "run_words", "places", "changed"])
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, w: int = W, run_words: int = RUN, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
     """(documents, hits): a row (doc_id, text_key) for each row of docs, and (doc_id, text_key, item_id, run_words, covered, changed) for contaminations."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    theirs = materialize(items.mapInArrow(_item_windows(w, LEAST), f"item_id long, windows {_WINDOWS_SQL}"), "items")
+    shared = docs.sparkSession.sparkContext.broadcast
+    common = shared(_bitmap(items.select("text").mapInArrow(_lower_cells, "c long")))
+    theirs = materialize(items.mapInArrow(_item_windows(common, w, LEAST), f"item_id long, windows {_WINDOWS_SQL}"), "items")
     theirs = theirs.select("item_id", F.size("windows").alias("n_windows"), F.explode("windows").alias("x")).select("item_id", "n_windows", "x.h", "x.size", F.col("x.p").alias("q"), F.col("x.slots").alias("theirs"))
-    bits = np.zeros(CELLS // 8, np.uint8)
-    set_cells = theirs.select(F.expr(f"cast(h & {CELLS - 1} as int)").alias("c")).distinct()  # at most CELLS rows
-    cell = set_cells.toArrow().column("c").to_numpy()
-    np.bitwise_or.at(bits, cell >> 3, (1 << (cell & 7)).astype(np.uint8))
+    cells = shared(_bitmap(theirs.select(F.expr(f"h & {CELLS - 1}").alias("c"))))
     sizes = sorted(r["size"] for r in theirs.select("size").distinct().collect())  # at most w sizes
-    cells = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
-    found = materialize(docs.mapInArrow(_doc_windows(cells, sizes), f"doc_id long, text_key long, windows {_WINDOWS_SQL}"), "windows")
+    found = materialize(docs.mapInArrow(_doc_windows(common, cells, sizes), f"doc_id long, text_key long, windows {_WINDOWS_SQL}"), "windows")
     ours = found.where("size(windows) > 0").distinct()  # repeated rows are compared once
     ours = ours.select("doc_id", "text_key", F.explode("windows").alias("x")).select("doc_id", "text_key", "x.h", "x.size", "x.p", F.col("x.slots").alias("ours"))
-    joined = ours.join(small(theirs), ["h", "size"])
-    groups = joined.groupBy("doc_id", "text_key", "item_id", "n_windows").agg(F.collect_list(F.struct("p", "q", "size", "ours", "theirs")).alias("matches"))
-    hits = groups.mapInArrow(_aligned(run_words, share), "doc_id long, text_key long, item_id long, run_words int, covered int, changed int, hit boolean")
-    return found.select("doc_id", "text_key"), materialize(hits.where("hit").drop("hit"), "hits")
+    joined = ours.join(small(theirs), ["h", "size"]).withColumn("diagonal", F.col("p") - F.col("q"))
+    pair = ["doc_id", "text_key", "item_id", "n_windows"]
+    groups = joined.groupBy(*pair, "diagonal").agg(F.collect_list(F.struct("q", "size", "ours", "theirs")).alias("matches"))  # as long as an item
+    laid = groups.mapInArrow(_aligned, "doc_id long, text_key long, item_id long, n_windows int, run_words int, places array<int>, changed int")
+    by_place = laid.select(*pair, "run_words", "changed", F.explode("places").alias("q")).groupBy(*pair, "q").agg(F.max("run_words").alias("run_words"), F.max("changed").alias("changed"))
+    hits = by_place.groupBy(*pair).agg(F.max("run_words").alias("run_words"), F.count("*").cast("int").alias("covered"), F.max("changed").alias("changed"))
+    hits = hits.where((F.col("run_words") >= run_words) | (F.col("covered") >= share * F.col("n_windows"))).drop("n_windows")
+    return found.select("doc_id", "text_key"), materialize(hits, "hits")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """doc_id, contaminated and item_ids (sorted) for every row of docs."""
     rows, hits = matches(docs, benchmark, **options)
-    flagged = hits.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
-    out = rows.join(small(flagged), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")), "left")
-    return out.select("doc_id", F.col("__key").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"))
+    flagged = hits.groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("hit_key")).agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
+    out = rows.join(small(materialize(flagged, "flagged")), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("hit_key")), "left")
+    return out.select("doc_id", F.col("hit_key").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the contaminated ones; rows with one doc_id go or stay together."""
+    """docs without the contaminated ones; rows with equal id and text go together."""
     _, hits = matches(docs, benchmark, **options)
-    flagged = materialize(hits.select(F.col("doc_id").alias("__id")).distinct(), "flagged")
-    return docs.join(small(flagged), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    flagged = materialize(hits.select(F.col("doc_id").alias("id"), F.col("text_key").alias("hit_key")).distinct(), "flagged")
+    marked = wrapped(docs, doc_id=F.col("doc_id").cast("long"), text_key=F.xxhash64(F.col("text").cast("string")))
+    return marked.join(small(flagged), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("hit_key")), "left_anti").select("row.*")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, running_total, small, texts
+from .common import materialize, running_total, small, texts, wrapped
 from .memos import turn
 
 #: Least words of a repeated run; shorter ones (headings, licence lines) stay.
@@ -126,11 +126,12 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, removed: str | None = None) -> DataFrame:
     """docs without later copies of repeated runs; `removed`, if given, names a column for the number of lines deleted."""
-    cut = later_copies(docs, min_words).select(F.col("d").alias("__d"), F.col("k").alias("__k"), F.col("lines").alias("__cut"))
-    marked = docs.withColumn("__hash", F.xxhash64("text"))
-    marked = marked.join(small(cut), F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__hash") == F.col("__k")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__cut", i)), "\n")
-    marked = marked.withColumn("text", F.when(F.col("__cut").isNull(), F.col("text")).otherwise(kept))
+    cut = later_copies(docs, min_words).select(F.col("d").alias("cut_d"), F.col("k").alias("cut_k"), F.col("lines").alias("cut"))
+    marked = wrapped(docs, d=F.col("doc_id").cast("long"), k=F.xxhash64("text"))
+    marked = marked.join(small(cut), F.col("d").eqNullSafe(F.col("cut_d")) & (F.col("k") == F.col("cut_k")), "left")
+    kept = F.array_join(F.filter(F.split("row.text", "\n", -1), lambda x, i: ~F.array_contains("cut", i)), "\n")
+    text = F.when(F.col("cut").isNull(), F.col("row.text")).otherwise(kept).alias("text")
+    columns = [text if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
     if removed:
-        marked = marked.withColumn(removed, F.coalesce(F.array_size("__cut"), F.lit(0)))
-    return marked.drop("__d", "__k", "__cut", "__hash")
+        columns.append(F.coalesce(F.array_size("cut"), F.lit(0)).alias(removed))
+    return marked.select(*columns)

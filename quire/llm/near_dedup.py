@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, small, texts
+from .common import components, materialize, small, texts, wrapped
 from .memos import turn
 from .words import HASHES, mix, shingle_set
 
@@ -292,12 +292,11 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("f")
     keep = with_root.where("cls is not null").groupBy("root").agg(first).select("f.doc_id", "f.key")
     times = rows.where("cls is not null").groupBy("doc_id", "key").agg(F.count("*").alias("c"))
-    same = F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("key") == F.col("__k"))
-    keep = keep.select(F.col("doc_id").alias("__i"), F.col("key").alias("__k")).join(times, same).select("__i", "__k", (F.col("c") > 1).alias("__more"))
-    empty = rows.where("cls is null").select(F.col("doc_id").alias("__i"), F.col("key").alias("__k"), F.lit(False).alias("__more")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k"))
+    keep = keep.select(F.col("doc_id").alias("i"), F.col("key").alias("k")).join(times, same).select("i", "k", (F.col("c") > 1).alias("more"))
+    empty = rows.where("cls is null").select(F.col("doc_id").alias("i"), F.col("key").alias("k"), F.lit(False).alias("more")).distinct()
     keep = materialize(keep.unionByName(empty), "kept")
-    marked = docs.withColumn("__hash", F.xxhash64(F.col("text").cast("string")))
-    marked = marked.join(small(keep), F.col("doc_id").cast("long").eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__k")))
+    marked = wrapped(docs, doc_id=F.col("doc_id").cast("long"), key=F.xxhash64(F.col("text").cast("string"))).join(small(keep), same)
     # Only rows of which there are equal ones are shuffled.
-    one = marked.where("not __more").unionByName(marked.where("__more").dropDuplicates(["__i", "__k"]))
-    return one.select(*docs.columns)
+    one = marked.where("not more").unionByName(marked.where("more").dropDuplicates(["i", "k"]))
+    return one.select("row.*")

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small, texts
+from .common import materialize, small, texts, wrapped
 from .memos import turn
 
 ORDER, WEIGHT, QUANTILE, HELD_OUT = 5, 200, 0.99, 10
@@ -367,6 +367,5 @@ def perplexities(docs: DataFrame, labels: DataFrame, model_rows: int = MODEL_ROW
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rejected ones; rows with one doc_id go together."""
-    bad = materialize(perplexities(docs, labels).where("not kept").select(F.col("doc_id").alias("__bad")).distinct(), "rejected")
-    return docs.join(small(bad), F.col("doc_id").cast("long").eqNullSafe(F.col("__bad")), "left_anti")
-
+    bad = materialize(perplexities(docs, labels).where("not kept").select(F.col("doc_id").alias("bad")).distinct(), "rejected")
+    return wrapped(docs, id=F.col("doc_id").cast("long")).join(small(bad), F.col("id").eqNullSafe(F.col("bad")), "left_anti").select("row.*")

@@ -135,6 +135,58 @@ def test_contamination(docs_of, spark):
     assert covered.get(2, 0) < covered[1]
 
 
+def test_names_that_begin_sentences_and_wrapped_lines(docs_of, spark):
+    item = "Alice has 3 apples and Bob has 5 apples more. Alice gives 2 apples to Bob. Alice then wants to know how many apples are left in the basket"
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    renamed = item.replace("Alice", "Maria").replace("Bob", "Olaf").replace("3", "17")
+    wrapped = renamed.replace(" apples ", "\napples ").replace(" Maria ", "\nMaria ")
+    other = "Alice sells 3 pears. The market is 2 km away. Alice then wants to know how far it is"
+    got = {r["doc_id"]: r["contaminated"] for r in decontaminate.contamination(docs_of([(1, renamed), (2, wrapped), (3, other)]), benchmark).collect()}
+    assert got == {1: True, 2: True, 3: False}
+
+
+def test_tables_of_numbers_do_not_multiply(docs_of, spark):
+    table = " ".join(str(i) for i in range(600))
+    item = "Sum the numbers " + " ".join(str(7000 + i) for i in range(300))
+    benchmark = spark.createDataFrame([(1, item), (2, "9 " * 200)], "item_id long, text string")
+    docs = docs_of([(1, table), (2, "look: " + item), (3, "9 " * 3000)])
+    got = {r["doc_id"]: r["item_ids"] for r in decontaminate.contamination(docs, benchmark).collect()}
+    assert got == {1: [], 2: [1], 3: [2]}
+
+
+def test_contamination_equals_brute_force(docs_of, spark):
+    """Items without slots: a document is contaminated if it shares 13 words in a row, or half of an item's distinct windows of 8."""
+    r = random.Random(11)
+    pool = [f"w{chr(97 + i)}x" for i in range(26)]
+    items = [[r.choice(pool) for _ in range(r.randint(9, 40))] for _ in range(12)]
+    rows = []
+    for i in range(60):
+        words = [r.choice(pool) for _ in range(60)]
+        for _ in range(r.randint(0, 2)):
+            own = r.choice(items)
+            a = r.randrange(len(own))
+            words[30:30] = own[a : a + r.randint(5, 30)]
+        rows.append((i, " ".join(words)))
+
+    def found(words, item):
+        grams = {tuple(words[j : j + 8]) for j in range(len(words) - 7)}
+        own = [tuple(item[j : j + 8]) for j in range(len(item) - 7)]
+        long = {tuple(words[j : j + 13]) for j in range(len(words) - 12)}
+        return any(tuple(item[j : j + 13]) in long for j in range(len(item) - 12)) or sum(g in grams for g in set(own)) >= 0.5 * len(set(own))
+
+    want = {i: [k for k, item in enumerate(items) if found(t.split(), item)] for i, t in rows}
+    benchmark = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {x["doc_id"]: x["item_ids"] for x in decontaminate.contamination(docs_of(rows), benchmark).collect()}
+    assert got == want and any(want.values())
+
+
+def test_clean_tells_rows_of_one_id_apart(spark):
+    benchmark = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, ITEM, 1, 2), (1, "fine words", 1, 2), (None, None, 1, 2)], "doc_id long, text string, id int, hit_key int")
+    kept = decontaminate.clean(docs, benchmark)
+    assert kept.columns == docs.columns and sorted(str(r["text"]) for r in kept.collect()) == ["None", "fine words"]
+
+
 # Language model
 
 
