@@ -5,8 +5,8 @@ runs as one space; nine tenths of the trusted documents train, a tenth (by hash
 The highest order has its counts, lower orders have continuation counts; three
 discounts per language and order come from counts of counts; probabilities are built from the shortest
 order up by joins of the count tables on (language, suffix) and (language, context), sharded like any
-Spark join. A document's negative log-likelihood per character, drawn to its language's held-out
-mean by WEIGHT characters, gives its perplexity.
+Spark join. A document's negative log-likelihood per character gives its perplexity; drawn to its language's held-out
+mean by WEIGHT characters it is its rate, which the threshold is held against.
 
 A few words unlike trusted text hardly move the mean of a long document, so the mean of its worst WINDOW characters
 in a row is a second rate (a shorter text is filled up with its language's mean). A document is rejected if either rate
@@ -14,8 +14,10 @@ is beyond the held-out quantile at QUANTILE of its language; languages with fewe
 that quantile from the distances of all languages' held-out rates from their language's mean. Where even these are
 fewer than POOLED, the sample is too small for the quantile and the limit lies beyond it by its distance from the median.
 
-Scoring looks the model up in arrays if it has at most MODEL_ROWS rows, else by shuffle
-joins of the documents' grams; the rates are the same up to the arrays' 32-bit floats.
+Log-probabilities are kept as whole numbers of 1/SCALE, so sums don't depend on their order. Scoring joins the documents' grams
+with the model: by lookup in broadcast arrays if the model has at most MODEL_ROWS rows, else by shuffle joins of each document's distinct
+grams. The size chooses the join alone; results are equal to the last bit. Characters take the place of words, whose trigrams
+would all have to be shuffled: a model of five characters sees odd spelling, junk and foreign words, but not odd order of usual words.
 
 Empty and null texts, and texts of languages without trusted text, have no perplexity and are kept. Null languages form one of
 their own. Null doc_ids and repeated rows are returned as they come. Extra columns are ignored by `perplexities`
@@ -38,6 +40,8 @@ from .memos import turn
 ORDER, WEIGHT, QUANTILE, HELD_OUT = 5, 200, 0.99, 10
 WINDOW, POOLED = 10, 100
 MODEL_ROWS = 4_000_000
+#: Parts of a log-probability, and the mark for none.
+SCALE, NONE = 1 << 20, -(1 << 31)
 _P = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -122,7 +126,7 @@ def _discounts(counts: DataFrame) -> DataFrame:
 
 
 def model(trusted: DataFrame) -> DataFrame:
-    """lang, gram, logp (null if the gram is only a context) and backoff (log weight of the shorter order after it), for trusted (lang, text).
+    """lang, gram, logp (null if the gram is only a context) and backoff (log weight of the shorter order after it) in 1/SCALE, for trusted (lang, text).
 
     The empty gram's logp is that of an unseen character.
     """
@@ -152,11 +156,12 @@ def model(trusted: DataFrame) -> DataFrame:
     union = out[0]
     for x in out[1:]:
         union = union.unionByName(x, allowMissingColumns=True)
-    return materialize(union.groupBy("lang", "gram").agg(F.max("logp").alias("logp"), F.max("backoff").alias("backoff")), "model")
+    whole = [F.round(F.max(c) * SCALE).cast("int").alias(c) for c in ("logp", "backoff")]
+    return materialize(union.groupBy("lang", "gram").agg(*whole), "model")
 
 
 class _Table:
-    """Hashes to two floats by open addressing; lookups of whole arrays at once."""
+    """Hashes to two numbers by open addressing; lookups of whole arrays at once."""
 
     def __init__(self, keys: np.ndarray, a: np.ndarray, b: np.ndarray):
         bits = max(8, int(2 * len(keys)).bit_length())
@@ -193,19 +198,21 @@ def _hashed(batches):
             codes = np.frombuffer("".join([grams[i] for i in own]).encode("utf-32-le"), np.uint32).reshape(len(own), k)
             if k and len(own):
                 h[own] = sum(codes[:, k - 1 - j].astype(np.uint64) * np.uint64(pow(_P, j, 1 << 64)) for j in range(k))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int32()), pa.array(h.view(np.int64)), batch.column(2), batch.column(3)], ["lang", "size", "h", "logp", "backoff"])
+        kept = (batch.column(2).fill_null(NONE), batch.column(3).fill_null(0))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int32()), pa.array(h.view(np.int64)), *kept], ["lang", "size", "h", "logp", "backoff"])
 
 
 def _arrays(found: DataFrame) -> dict[tuple[str, int], tuple[np.ndarray, ...]]:
     """(language, gram size) to hashes, log-probabilities and backoffs, for a model of checked size."""
-    rows = found.mapInArrow(_hashed, "lang string, size int, h long, logp double, backoff double").toArrow()
-    lang, size = rows.column("lang").to_numpy(), rows.column("size").to_numpy()
-    numbers = (rows.column("h").to_numpy().view(np.uint64), rows.column("logp").to_numpy(), rows.column("backoff").to_numpy())
+    langs = sorted(r["lang"] for r in found.select("lang").distinct().collect())  # a row per language
+    number = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int").alias("lang") if langs else F.lit(0).alias("lang")
+    rows = found.select(number, "gram", "logp", "backoff").mapInArrow(_hashed, "lang int, size int, h long, logp int, backoff int").toArrow()
+    lang, size, h, logp, backoff = (rows.column(c).to_numpy() for c in ("lang", "size", "h", "logp", "backoff"))
     out = {}
-    for key in sorted(set(lang)):
+    for i, key in enumerate(langs, 1):
         for k in range(ORDER + 1):
-            at = np.flatnonzero((lang == key) & (size == k))
-            out[key, k] = (numbers[0][at], numbers[1][at].astype(np.float32), np.nan_to_num(numbers[2][at]).astype(np.float32))
+            at = np.flatnonzero((lang == i) & (size == k))
+            out[key, k] = (h[at].view(np.uint64), logp[at], backoff[at])
     return out
 
 
@@ -222,28 +229,28 @@ def _tables(arrays, number: int = -1) -> dict[str, list[_Table]]:
 
 
 def _logp(tables: list[_Table], codes: np.ndarray) -> np.ndarray:
-    """Log-probability of the character at each place of codes, after the ORDER - 1 before it."""
+    """Log-probability, in 1/SCALE, of the character at each place of codes, after the ORDER - 1 before it."""
     h = _hashes(codes)
-    out, todo = np.zeros(len(codes)), np.arange(ORDER - 1, len(codes))
+    out, todo = np.zeros(len(codes), np.int64), np.arange(ORDER - 1, len(codes))
     for k in range(ORDER, 0, -1):
         at = tables[k].find(h[k - 1][todo])
-        p = np.where(at >= 0, tables[k].a[at], np.nan)
-        hit = ~np.isnan(p)
+        p = np.where(at >= 0, tables[k].a[at], NONE)
+        hit = p != NONE
         out[todo[hit]] += p[hit]
         todo = todo[~hit]
         if not len(todo):
             return out
         if k > 1:
             at = tables[k - 1].find(h[k - 2][todo - 1])
-            out[todo] += np.where(at >= 0, tables[k - 1].b[at], 0.0)
+            out[todo] += np.where(at >= 0, tables[k - 1].b[at], 0)
     out[todo] += tables[0].a[0]
     return out
 
 
-def _worst(sums: np.ndarray) -> float:
+def _worst(sums: np.ndarray) -> int:
     """The largest loss of WINDOW characters in a row, of all if there are fewer, from running sums of log-probabilities that start at 0."""
     size = min(WINDOW, len(sums) - 1)
-    return float((sums[:-size] - sums[size:]).max())
+    return int((sums[:-size] - sums[size:]).max())
 
 
 def _scored(arrays, number: int):
@@ -261,15 +268,15 @@ def _scored(arrays, number: int):
                         some.append(own.pop())
                         codes.append(_codes(rows[some[-1]]))
                         size += len(codes[-1])
-                    logp = np.concatenate([[0.0], np.cumsum(_logp(models[lang], np.concatenate(codes)))]) if size else np.zeros(1)
+                    logp = np.concatenate([[0], np.cumsum(_logp(models[lang], np.concatenate(codes)))]) if size else np.zeros(1, np.int64)
                     end = 0
                     for i, c in zip(some, codes):
                         start, end = end, end + len(c)
                         if len(c):
-                            nll[i], n[i] = float(logp[start + ORDER - 1] - logp[end]), len(c) - ORDER + 1
+                            nll[i], n[i] = int(logp[start + ORDER - 1] - logp[end]), len(c) - ORDER + 1
                             worst[i] = _worst(logp[start + ORDER - 1 : end + 1])
             kept = [part.column(i) for i in range(part.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64()), pa.array(nll, pa.float64()), pa.array(worst, pa.float64())], ["doc_id", "lang", "role", "n", "nll", "worst"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64()), pa.array(nll, pa.int64()), pa.array(worst, pa.int64())], ["doc_id", "lang", "role", "n", "nll", "worst"])
 
     return run
 
@@ -299,24 +306,24 @@ def _worst_rows(batches):
                 worst.append(None)
                 continue
             places, lp = grams.values.flatten()
-            logp = np.zeros(n + 1)
+            logp = np.zeros(n + 1, np.int64)
             logp[places.flatten().to_numpy() + 1] = np.repeat(lp.to_numpy(), pc.fill_null(pc.list_value_length(places), 0).to_numpy())
             worst.append(_worst(np.cumsum(logp)))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(worst, pa.float64())], ["doc_id", "lang", "role", "n", "nll", "worst"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(worst, pa.int64())], ["doc_id", "lang", "role", "n", "nll", "worst"])
 
 
 def score_by_join(docs: DataFrame, found: DataFrame) -> DataFrame:
     """doc_id, lang, role, n, nll and worst by shuffle joins of the documents' grams with the model's tables."""
     docs = materialize(docs.select("doc_id", "lang", "role", F.monotonically_increasing_id().alias("row"), "text"), "rows")
     rows = docs.mapInArrow(_gram_rows, "doc_id long, lang string, role int, row long, gram string, times long, places array<int>")
-    rows = rows.withColumn("rest", F.col("gram")).withColumn("acc", F.lit(0.0)).withColumn("lp", F.lit(None).cast("double"))
+    rows = rows.withColumn("rest", F.col("gram")).withColumn("acc", F.lit(0).cast("long")).withColumn("lp", F.lit(None).cast("long"))
     probabilities = found.where("logp is not null and gram <> ''").select("lang", F.col("gram").alias("rest"), "logp")
     backoffs = found.where("backoff is not null").select("lang", F.col("gram").alias("context"), "backoff")
     for k in range(ORDER, 0, -1):
         rows = rows.join(probabilities, ["lang", "rest"], "left")
         rows = rows.withColumn("lp", F.coalesce("lp", F.col("acc") + F.col("logp"))).drop("logp")
         rows = rows.withColumn("context", F.when(F.col("lp").isNull(), F.substring("rest", 1, k - 1)))
-        rows = rows.join(backoffs, ["lang", "context"], "left").withColumn("acc", F.col("acc") + F.coalesce("backoff", F.lit(0.0))).drop("backoff", "context")
+        rows = rows.join(backoffs, ["lang", "context"], "left").withColumn("acc", F.col("acc") + F.coalesce("backoff", F.lit(0))).drop("backoff", "context")
         rows = rows.withColumn("rest", F.when(F.col("lp").isNull(), F.substring("rest", 2, k - 1)))
     unseen = found.where("gram = ''").select("lang", F.col("logp").alias("unseen"))
     rows = rows.join(F.broadcast(unseen), "lang", "left").withColumn("lp", F.coalesce("lp", F.col("acc") + F.col("unseen")))
@@ -325,24 +332,24 @@ def score_by_join(docs: DataFrame, found: DataFrame) -> DataFrame:
         F.when(known, F.sum("times")).otherwise(0).alias("n"), F.when(known & (F.sum("times") > 0), -F.sum(F.col("lp") * F.col("times"))).alias("nll"),
         F.collect_list(F.struct("places", "lp")).alias("grams"),  # as long as the document
     ).drop("row")
-    return rows.mapInArrow(_worst_rows, "doc_id long, lang string, role int, n long, nll double, worst double")
+    return rows.mapInArrow(_worst_rows, "doc_id long, lang string, role int, n long, nll long, worst long")
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, model_rows: int = MODEL_ROWS, quantile: float = QUANTILE) -> DataFrame:
-    """doc_id, lang, n_scored, perplexity, threshold, the same of the worst stretch (worst, worst_threshold) and kept for every row of docs (doc_id, text, lang)."""
-    trusted = labels.where("doc_id is not null and quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("__id")).distinct()
+    """doc_id, lang, n_scored, perplexity, the same drawn to the mean (smoothed), its threshold, the same of the worst stretch (worst, worst_threshold) and kept for every row of docs (doc_id, text, lang)."""
+    trusted = labels.where("doc_id is not null and quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("trusted_id")).distinct()
     # Role 1 trains, role 2 is held out, role 0 is neither.
-    role = F.when(F.pmod(F.xxhash64("__id"), F.lit(HELD_OUT)) == 0, 2).otherwise(1)
-    trusted = trusted.withColumn("__role", role)
+    role = F.when(F.pmod(F.xxhash64("trusted_id"), F.lit(HELD_OUT)) == 0, 2).otherwise(1)
+    trusted = materialize(trusted.withColumn("trusted_role", role), "trusted")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
-    docs = docs.join(small(trusted), F.col("doc_id") == F.col("__id"), "left").select("doc_id", "lang", F.coalesce("__role", F.lit(0)).alias("role"), "text")
+    docs = docs.join(small(trusted), F.col("doc_id") == F.col("trusted_id"), "left").select("doc_id", "lang", F.coalesce("trusted_role", F.lit(0)).alias("role"), "text")
     found = model(docs.where("role = 1"))
     if found.count() <= model_rows:
         arrays = docs.sparkSession.sparkContext.broadcast(_arrays(found))
-        scored = docs.mapInArrow(_scored(arrays, uuid.uuid4().int), "doc_id long, lang string, role int, n long, nll double, worst double")
+        scored = docs.mapInArrow(_scored(arrays, uuid.uuid4().int), "doc_id long, lang string, role int, n long, nll long, worst long")
     else:
         scored = score_by_join(docs, found)
-    scored = materialize(scored, "scored")
+    scored = materialize(scored, "scored").withColumns({c: F.col(c) / SCALE for c in ("nll", "worst")})
     means = scored.where("role = 2 and n > 0").groupBy("lang").agg((F.sum("nll") / F.sum("n")).alias("mean"))
     scored = scored.join(F.broadcast(means), "lang", "left")  # a row per language
     scored = scored.withColumn("rate", (F.col("nll") + WEIGHT * F.col("mean")) / (F.col("n") + WEIGHT))
@@ -360,7 +367,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, model_rows: int = MODEL_ROW
     over = [F.col("rate") - F.col("mean") > F.col("limit"), F.col("worst") - F.col("mean") > F.col("worst_limit")]
     kept = ~F.coalesce(over[0] | over[1], F.lit(False))
     return out.select(
-        "doc_id", "lang", F.col("n").alias("n_scored"), F.exp("rate").alias("perplexity"), F.exp(F.col("mean") + F.col("limit")).alias("threshold"),
+        "doc_id", "lang", F.col("n").alias("n_scored"), F.exp(F.col("nll") / F.col("n")).alias("perplexity"), F.exp("rate").alias("smoothed"), F.exp(F.col("mean") + F.col("limit")).alias("threshold"),
         F.exp("worst").alias("worst"), F.exp(F.col("mean") + F.col("worst_limit")).alias("worst_threshold"), kept.alias("kept"),
     )
 

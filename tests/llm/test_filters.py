@@ -228,7 +228,7 @@ def test_a_short_insult_in_a_long_document_is_rejected(spark):
 
 def test_join_scores_equal_lookup_scores(lm_tables):
     docs, labels = lm_tables
-    key = lambda rows: {r["doc_id"]: (r["n_scored"], r["perplexity"] and round(r["perplexity"], 3), r["kept"]) for r in rows}
+    key = lambda rows: {r["doc_id"]: (r["n_scored"], r["perplexity"], r["worst"], r["kept"]) for r in rows}
     docs = docs.where("doc_id % 10 < 5")
     assert key(quality_lm.perplexities(docs, labels).collect()) == key(quality_lm.perplexities(docs, labels, model_rows=0).collect())
 
@@ -239,11 +239,55 @@ def test_probabilities_sum_to_one(spark, lm_tables):
     tables = quality_lm._tables(quality_lm._arrays(found))["xx"]
     letters = {r["gram"] for r in found.where("length(gram) = 1").collect()}
     for context in ("bado", "zzzz", "a ba"):
-        total = sum(np.exp(quality_lm._logp(tables, np.array([ord(x) for x in context + c], np.uint32))[-1]) for c in letters)
-        unseen = np.exp(quality_lm._logp(tables, np.array([ord(x) for x in context + "\u4e00"], np.uint32))[-1])
+        total = sum(np.exp(quality_lm._logp(tables, np.array([ord(x) for x in context + c], np.uint32))[-1] / quality_lm.SCALE) for c in letters)
+        unseen = np.exp(quality_lm._logp(tables, np.array([ord(x) for x in context + "\u4e00"], np.uint32))[-1] / quality_lm.SCALE)
         assert abs(total + unseen - 1) < 1e-4, context
 
 
+def test_kneser_ney_equals_a_plain_form(spark):
+    """Probabilities of every seen gram against the textbook recursion over plain dictionaries."""
+    from collections import Counter
+
+    r = random.Random(3)
+    texts = [prose(r, 12) for _ in range(30)]
+    found = quality_lm.model(spark.createDataFrame([("xx", t) for t in texts], "lang string, text string"))
+    tables = quality_lm._tables(quality_lm._arrays(found))["xx"]
+    n = quality_lm.ORDER
+    counts = {n: Counter(t[i : i + n] for t in (" " * (n - 1) + x for x in texts) for i in range(len(t) - n + 1))}
+    for k in range(n - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+
+    def cut(k):
+        c = Counter(counts[k].values())
+        y = c[1] / max(c[1] + 2 * c[2], 1)
+        return [min(max(i - (i + 1) * y * c[i + 1] / max(c[i], 1), 0.1), i - 0.1) for i in (1, 2, 3)]
+
+    cuts = {k: cut(k) for k in counts}
+
+    def p(gram):
+        k = len(gram)
+        if not k:
+            return 1 / (len(counts[1]) + 1)
+        same = {g: c for g, c in counts[k].items() if g[:-1] == gram[:-1]}
+        if not same:
+            return p(gram[1:])
+        off = lambda c: min(cuts[k][min(c, 3) - 1], c)
+        c, total = same.get(gram, 0), sum(same.values())
+        return ((c - off(c)) if c else 0) / total + sum(map(off, same.values())) / total * p(gram[1:])
+
+    for gram in [*list(counts[n])[:60], "zzzzb", "badoz", "doooo"]:
+        got = quality_lm._logp(tables, np.array([ord(x) for x in gram], np.uint32))[-1] / quality_lm.SCALE
+        assert abs(got - np.log(p(gram))) < 1e-4, gram
+
+
+def test_repeated_rows_and_null_ids_are_scored_alike(spark, lm_tables):
+    docs, labels = lm_tables
+    one = docs.where("doc_id = 16").collect()[0]["text"]
+    more = spark.createDataFrame([(16, one, "xx", 1, 1), (None, one, "xx", 1, 1)], docs.schema)
+    got = [(r["n_scored"], r["perplexity"], r["kept"]) for r in quality_lm.perplexities(docs.unionByName(more), labels).where("n_scored > 0 and (doc_id = 16 or doc_id is null)").collect()]
+    assert len(got) == 3 and len(set(got)) == 1
+
+
 def test_no_labels_and_no_rows(spark, lm_tables):
     docs, labels = lm_tables
     assert quality_lm.perplexities(docs, labels.limit(0)).where("not kept").count() == 0
