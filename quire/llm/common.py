@@ -28,9 +28,21 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Bytes of an Arrow batch between Spark and Python; Spark's own default holds 64 MB of texts in each task.
+BATCH, _SETTING = "8m", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches hold at most BATCH bytes, where it had Spark's default."""
+    conf = df.sparkSession.conf
+    if conf.get(_SETTING) == f"{64 << 20}b":  # Spark's default
+        conf.set(_SETTING, BATCH)
+    return df
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
+    spark = bounded(df).sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

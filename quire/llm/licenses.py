@@ -1,6 +1,7 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-A block is a line, or a paragraph where blank lines part the text; its tokens form a set. A
+A block is a line, or some lines one after another without a blank one between them, of at most WIDTH words together; its tokens
+form a set. A whole paragraph is tried first, as no run of its lines can meet a template that it doesn't. A
 block meets a template if it holds at least `percent` of the template's distinct tokens.
 Tokens are ordered by how many lines of the whole corpus hold them, rarest first. A block
 that meets a template must hold one of the template's first |T| - need + 1 tokens (prefix
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import bounded, texts
 
 # The phrases of the base scan and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -42,24 +43,22 @@ TEMPLATES = [
 ]
 #: 90: templates of fewer than ten tokens must be met in full, so CC BY-NC is not taken for CC BY-SA.
 PERCENT = 90
+#: Words of a block of several lines: twice those of the longest template.
+WIDTH = 2 * max(len(t.split()) for _, t in TEMPLATES)
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 #: Bytes to themselves if they are of words (digits, a-z, all beyond ASCII), A-Z to a-z, others to a space; lines are split before.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
 
-def _blocks(text: bytes) -> list[list[bytes]]:
-    """The words of every line and, where blank lines part the text, of every paragraph of several lines."""
-    lines = [line.translate(_TABLE).split() for line in text.split(b"\n")]
-    found = [words for words in lines if words]
-    if len(found) < len(lines):
-        run: list[list[bytes]] = []
-        for words in [*lines, []]:
-            if words:
-                run.append(words)
-            else:
-                found += [[w for x in run for w in x]] if len(run) > 1 else []
-                run = []
+def _paragraphs(text: bytes) -> list[list[list[bytes]]]:
+    """The words of the lines of each paragraph: of the lines with words between two without."""
+    found: list[list[list[bytes]]] = [[]]
+    for line in text.split(b"\n"):
+        if words := line.translate(_TABLE).split():
+            found[-1].append(words)
+        elif found[-1]:
+            found.append([])
     return found
 
 
@@ -106,6 +105,28 @@ class Templates:
         return out
 
 
+    def best(self, paragraph: list[list[bytes]]) -> dict[int, float]:
+        """Template number to the best containment in a block of the paragraph's lines."""
+        out: dict[int, float] = {}
+
+        def add(words: list[bytes]) -> None:
+            for t, share in self.matches(words).items():
+                out[t] = max(share, out.get(t, 0.0))
+
+        for words in paragraph:
+            add(words)
+        whole = self.matches([w for line in paragraph for w in line]) if len(paragraph) > 1 else {}
+        if any(share > out.get(t, 0.0) for t, share in whole.items()):
+            for i, first in enumerate(paragraph):
+                words = list(first)
+                for line in paragraph[i + 1 :]:
+                    words = words + line
+                    if len(words) > WIDTH:
+                        break
+                    add(words)
+        return out
+
+
 def _places(joined: bytes, phrase: bytes) -> list[int]:
     """Word numbers at which a phrase starts; joined has a space before and after each word."""
     found, at = [], joined.find(b" " + phrase + b" ")
@@ -124,14 +145,13 @@ def _scan(templates):
         for part, rows in texts(batches):
             out = []
             for text in rows:
-                blocks = _blocks(text or b"")
                 words = (text or b"").translate(_TABLE).split()
                 joined = b" " + b" ".join(words) + b" "
                 base = {label: at for phrase, label in PHRASES.items() if (at := _places(joined, phrase.encode()))}
                 places = [x for at in base.values() for x in at]
                 best: dict[str, float] = {}
-                for block in blocks:
-                    for t, share in known.matches(block).items():
+                for paragraph in _paragraphs(text or b""):
+                    for t, share in known.best(paragraph).items():
                         label = known.sets[t][0]
                         best[label] = max(share, best.get(label, 0.0))
                 score = 1.0 if base else max(best.values(), default=0.0)
@@ -148,7 +168,7 @@ def _scan(templates):
 
 def scan_licenses(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """n_words, the base scan's places and labels, all labels and the best containment for every row of docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     vocabulary = frozenset(w.encode() for _, t in TEMPLATES for w in t.split())
     counted = docs.select("text").mapInArrow(_frequencies(vocabulary), "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
     frequency = {r["token"]: r["n"] for r in counted.collect()}  # one row per template token

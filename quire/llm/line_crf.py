@@ -4,7 +4,8 @@ Every line with a word gets features (length, symbols, capitals, repetition, pun
 A two-label chain (content, boilerplate) is trained on the lines of a bounded sample of
 labelled documents: SAMPLE documents of the labels table, those with the least hash of their
 id, half of each quality as far as there are. Lines of good documents count as content, lines
-of bad ones as boilerplate. Viterbi decoding labels each document's lines; a document
+of bad ones as boilerplate; besides these sequences of one label, mixed ones are made, lines of a bad document set into a
+good one's, so that the field learns how labels change. Viterbi decoding labels each document's lines; a document
 whose words lie in content lines to less than SHARE is rejected.
 
 Base rules: fewer than 50 words, or more than half the words in repeated three-word windows.
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import bounded, texts
 from .memos import turn
 from .words import HASHES, windows, word_hashes
 
@@ -90,21 +91,33 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
 
 
-def train(sequences: list[tuple[np.ndarray, int]], rounds: int = 120, ridge: float = 1e-3) -> Field:
-    """Maximum conditional likelihood by gradient ascent (Adam); each sequence has one label for its lines."""
-    spans = [(x[i : i + SPAN], y) for x, y in sequences for i in range(0, len(x), SPAN)]
+def mixed(sequences: list[tuple[np.ndarray, int]], seed: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The sequences with a label for each line, and as many made of a run of a bad one's lines within a good one's."""
+    r = np.random.default_rng(seed)
+    out = [(x, np.full(len(x), y)) for x, y in sequences]
+    good, bad = ([x for x, y in sequences if y == label] for label in (1, 0))
+    for i in range(len(sequences) if good and bad else 0):
+        g, b = good[i % len(good)][:SPAN], bad[r.integers(len(bad))]
+        size = int(r.integers(1, min(len(b), SPAN // 2) + 1))
+        start, at = int(r.integers(len(b) - size + 1)), int(r.integers(len(g) + 1))
+        b = b[start : start + size]
+        out.append((np.concatenate([g[:at], b, g[at:]]), np.concatenate([np.ones(at, int), np.zeros(size, int), np.ones(len(g) - at, int)])))
+    return out
+
+
+def train(sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 120, ridge: float = 1e-3) -> Field:
+    """Maximum conditional likelihood by gradient ascent (Adam) of sequences of lines with a label each."""
+    spans = [(x[i : i + SPAN], y[i : i + SPAN]) for x, y in sequences for i in range(0, len(x), SPAN)]
     longest, k = max(len(x) for x, _ in spans), len(FEATURES)
     x, on = np.zeros((len(spans), longest, k)), np.zeros((len(spans), longest), bool)
-    y = np.array([label for _, label in spans])
-    for i, (rows, _) in enumerate(spans):
+    true = np.zeros((len(spans), longest, 2))
+    for i, (rows, labels) in enumerate(spans):
         x[i, : len(rows)], on[i, : len(rows)] = rows, True
-    # Both labels weigh the same, however many lines each has.
-    share = np.where(y == 1, 0.5 / max(on[y == 1].sum(), 1), 0.5 / max(on[y == 0].sum(), 1))
+        true[i, np.arange(len(rows)), labels] = 1
+    share = np.full(len(spans), 1 / max(on.sum(), 1))
+    told = np.einsum("sla,slb->ab", true[:, :-1], true[:, 1:]) * share[0]
     w, s = np.zeros((2, k)), np.zeros((2, 2))
     moments = [np.zeros(2 * k + 4), np.zeros(2 * k + 4)]
-    true = np.zeros((len(spans), 2))
-    true[np.arange(len(spans)), y] = 1
-    pairs = np.maximum(on.sum(1) - 1, 0)
     for t in range(1, rounds + 1):
         e = x @ w.T
         alpha, beta = np.zeros_like(e), np.zeros_like(e)
@@ -117,10 +130,10 @@ def train(sequences: list[tuple[np.ndarray, int]], rounds: int = 120, ridge: flo
             beta[:, i] = np.where(on[:, i + 1, None], step, 0)
         z = _lse(alpha[:, -1], 1)
         p = np.exp(alpha + beta - z[:, None, None]) * on[..., None]
-        # The label of a sequence less what the field expects, for lines and for steps.
-        gw = np.einsum("slc,slk,s->ck", true[:, None, :] * on[..., None] - p, x, share)
+        # The labels less what the field expects, for lines and for steps.
+        gw = np.einsum("slc,slk,s->ck", true - p, x, share)
         both = np.exp(alpha[:, :-1, :, None] + s + (e + beta)[:, 1:, None, :] - z[:, None, None, None]) * on[:, 1:, None, None]
-        gs = np.einsum("s,sa,sb,s->ab", share, true, true, pairs) - np.einsum("slab,s->ab", both, share)
+        gs = told - np.einsum("slab,s->ab", both, share)
         g = np.concatenate([(gw - ridge * w).ravel(), (gs - ridge * s).ravel()])
         moments = [0.9 * moments[0] + 0.1 * g, 0.99 * moments[1] + 0.01 * g * g]
         move = 0.1 * (moments[0] / (1 - 0.9**t)) / (np.sqrt(moments[1] / (1 - 0.99**t)) + 1e-9)
@@ -149,7 +162,7 @@ def fit_field(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field
     rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("quality", "text")  # at most `sample` ids
     found = [(np.array(r["features"]).reshape(-1, len(FEATURES)), r["quality"]) for r in rows.mapInArrow(_featured, "quality int, features array<double>").collect() if r["features"]]
     found.sort(key=lambda f: (f[1], f[0].shape, f[0].tobytes()))
-    return train(found) if {y for _, y in found} == {0, 1} else None
+    return train(mixed(found)) if {y for _, y in found} == {0, 1} else None
 
 
 def _judged(field, share: float):
@@ -192,6 +205,6 @@ def _judged(field, share: float):
 
 def quality_rules(docs: DataFrame, labels: DataFrame, share: float = SHARE) -> DataFrame:
     """The base counts, base_failed, kept and content_share for every row of docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     field = docs.sparkSession.sparkContext.broadcast(fit_field(docs, labels))
     return docs.mapInArrow(_judged(field, share), SCHEMA)

@@ -100,7 +100,7 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = comp
 
 
 def _license_sql() -> str:
-    from .licenses import PERCENT, PHRASES, TEMPLATES
+    from .licenses import PERCENT, PHRASES, TEMPLATES, WIDTH
 
     split = "regexp_split_to_array(" + _LOWER.format("{0}") + r", '[\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     words = "list_filter(" + split + ", lambda x: x <> '')"
@@ -112,8 +112,9 @@ def _license_sql() -> str:
     return f"""
 WITH d AS (SELECT doc_id, text, {words.format("coalesce(text, '')")} AS w FROM documents),
 l AS (SELECT doc_id, pos, {words.format("line")} AS w FROM (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents))),
-g AS (SELECT *, sum((len(w) = 0)::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS part FROM l),
-b AS (SELECT doc_id, w FROM l WHERE len(w) > 0 UNION ALL SELECT doc_id, flatten(list(w)) FROM g WHERE len(w) > 0 AND doc_id IN (SELECT doc_id FROM l WHERE len(w) = 0) GROUP BY doc_id, part HAVING count(*) > 1),
+g AS (SELECT doc_id, pos, len(w) AS n, sum(len(w)) OVER o AS upto, sum((len(w) = 0)::INT) OVER o AS part FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+b AS (SELECT a.doc_id, list_slice(d.w, a.upto - a.n + 1, z.upto) AS w FROM g a JOIN g z ON a.doc_id = z.doc_id AND a.part = z.part AND z.pos >= a.pos AND (z.pos = a.pos OR z.upto - a.upto + a.n <= {WIDTH})
+  JOIN d ON d.doc_id = a.doc_id WHERE a.n > 0 AND z.n > 0),
 t(t, label, tokens) AS (VALUES {templates}),
 hits AS (SELECT doc_id, label, len(list_intersect(list_distinct(w), tokens)) / len(tokens)::DOUBLE AS share FROM b, t WHERE list_has_any(w, tokens) AND 100 * len(list_intersect(list_distinct(w), tokens)) >= {PERCENT} * len(tokens)),
 p AS ({" UNION ALL ".join(places)}),

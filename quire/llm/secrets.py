@@ -1,7 +1,7 @@
 """Secret scan with a random forest against false positives.
 
-A pattern finds candidates: runs of 12 or more key characters that hold a digit and a letter, or
-stand after a name and `=` or `:` and hold a digit. A random forest, trained on labelled findings, judges each by its length,
+Patterns find candidates, however long: runs of 12 or more key characters that hold a digit and a letter; runs of 10 or more after a
+prefix of a known kind of key; and whatever of 6 or more printable characters is assigned (`=`, `:`, `:=`, `=>`) to a name of a secret. A random forest, trained on labelled findings, judges each by its length,
 character transitions, dictionary coverage, path and neighbouring words. Labelled findings are a
 table (value, before, after, path, label); `labelled_findings` makes one of SAMPLE rows.
 
@@ -11,6 +11,7 @@ ignored; without a `source` column the path is empty. Values are returned masked
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import random
@@ -24,12 +25,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import bounded, texts
 
 #: Rows of the labelled findings that a forest is trained on; trees and their depth.
 SAMPLE, TREES, LEVELS = 3000, 24, 7
 THRESHOLD = 0.5
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{12,512}(?![A-Za-z0-9+/_-])={0,2}")
 FEATURES = ["length", "entropy", "upper", "lower", "digits", "hex", "changes", "longest", "usual", "words", "prefix", "assigned", "secret_near", "digest_near", "example_near", "test_path"]
 
 # Words of names, of secrets' neighbours, of digests' neighbours and of examples.
@@ -47,7 +47,30 @@ SECRET_WORDS = set("key token secret password passwd pwd pass auth bearer api ap
 DIGEST_WORDS = set("commit sha sha1 sha256 sha512 md5 crc checksum digest hash etag uuid guid revision build version order page image img phone tracking isbn serial ticket invoice file http https www".split())
 EXAMPLE_WORDS = set("example sample test dummy fake placeholder your demo xxxx changeme redacted foo bar".split())
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "xoxb-", "xoxp-", "sk_live_", "sk-", "AIza", "glpat-", "eyJ", "SG")
-_WORD = re.compile(r"[A-Za-z][a-z]+|[A-Z]+|[0-9]+")
+_KEY = r"[A-Za-z0-9+/_-]"
+CANDIDATES = [
+    re.compile(rf"(?<!{_KEY})(?={_KEY}*[0-9])(?={_KEY}*[A-Za-z])({_KEY}{{12,}}={{0,2}})"),
+    re.compile(rf"(?<!{_KEY})((?:{'|'.join(map(re.escape, PREFIXES))}){_KEY}{{8,}}={{0,2}})"),
+    re.compile(r"(?i:key|token|secret|passw(?:or)?d|passwd|pwd|pass|auth|credentials?)[A-Za-z_]*[\"'\]]?\s*(?::=|=>|=|:)\s*[\"']?([!#-&(-+\--:<-~]{6,})"),
+]
+
+
+def candidates(text: str) -> list[tuple[int, str]]:
+    """(start, value) of the candidates in order; of two that overlap the longer one, of equal ones the first."""
+    found = sorted(((m.start(1), m.group(1)) for p in CANDIDATES for m in p.finditer(text)), key=lambda x: (-len(x[1]), x[0]))
+    if len(found) > 1:
+        starts: list[tuple[int, int]] = []
+        kept = []
+        for start, value in found:
+            at = bisect.bisect(starts, (start, start))
+            if (at and starts[at - 1][1] > start) or (at < len(starts) and starts[at][0] < start + len(value)):
+                continue
+            starts.insert(at, (start, start + len(value)))
+            kept.append((start, value))
+        found = sorted(kept)
+    return found
+
+
 _NEAR = re.compile(r"[A-Za-z0-9]+")
 
 
@@ -57,7 +80,7 @@ def _kind(c: str) -> int:
 
 def features(value: str, before: str, after: str, path: str) -> list[float]:
     """FEATURES of a candidate with up to 60 characters on either side."""
-    core = value.rstrip("=")
+    core = value.rstrip("=") or value
     n = len(core)
     counts = Counter(core)
     kinds = [_kind(c) for c in core]
@@ -101,6 +124,10 @@ def labelled_findings(spark: SparkSession, rows: int = SAMPLE, seed: int = 7) ->
         lambda: ("AIza" + pick(upper + lower + digit + "_-", 35), r.choice((prose(4) + " ", assign()))),
         lambda: (pick(upper + lower + digit, r.randint(12, 24)), assign()),
         lambda: (pick(b64, r.randint(32, 88)), prose(4) + " "),
+        lambda: (pick(b64, r.randint(500, 1700)), r.choice((prose(4) + " ", assign()))),
+        lambda: (pick(digit, r.randint(8, 18)), assign()),
+        lambda: ("".join(r.choice(("correct", "horse", "battery", "staple", "monkey", "dragon", "sunny", "river")) for _ in range(r.randint(2, 4))), assign()),
+        lambda: (pick(upper + lower + digit, r.randint(5, 9)) + r.choice("!#$%&@") + pick(lower + digit, r.randint(0, 4)), assign()),
     ]
     others = [
         lambda: (pick(hexa, r.choice((32, 40, 64))), prose(2) + " " + r.choice(("commit ", "sha256: ", "md5 ", "checksum: ", "etag: ", "revision ", "digest="))),
@@ -134,10 +161,10 @@ def _candidates(batches):
         ids, paths = part.column(0).to_pylist(), part.column(1).to_pylist()
         for doc_id, path, data in zip(ids, paths, rows):
             text = (data or b"").decode()
-            for m in CANDIDATE.finditer(text) if text else ():
-                value = m.group()
-                f = features(value, text[max(0, m.start() - 60) : m.start()], text[m.end() : m.end() + 60], path or "")
-                out.append((doc_id, m.start(), len(value), value[:4] + "*" * 8, hashlib.sha256(value.encode()).hexdigest(), f))
+            for start, value in candidates(text):
+                end = start + len(value)
+                f = features(value, text[max(0, start - 60) : start], text[end : end + 60], path or "")
+                out.append((doc_id, start, len(value), value[:4] + "*" * 8, hashlib.sha256(value.encode()).hexdigest(), f))
         columns = list(zip(*out)) or [[]] * 6
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.float64()))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "start", "length", "masked", "sha256", "features"])
@@ -147,7 +174,7 @@ def scan_secrets(docs: DataFrame, model: RandomForestClassificationModel | Pipel
     """doc_id, start, length, masked, sha256, score and secret for every candidate in docs (doc_id, text and, if there, source as path)."""
     model = model or train(labelled_findings(docs.sparkSession))
     path = F.col("source").cast("string") if "source" in docs.columns else F.lit("")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), path.alias("path"), F.col("text").cast("string").alias("text"))
+    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), path.alias("path"), F.col("text").cast("string").alias("text"))
     found = docs.mapInArrow(_candidates, "doc_id long, start long, length long, masked string, sha256 string, features array<double>")
     judged = model.transform(found.withColumn("features", array_to_vector("features")))
     score = vector_to_array("probability")[1]

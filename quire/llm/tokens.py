@@ -32,7 +32,7 @@ MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c
 #: What stands for a space in byte-level vocabularies.
 SPACE = "\u0120"
 #: Pieces remembered in a worker; the older half goes when there are more.
-MEMO = 400_000
+MEMO = 240_000
 
 
 def _byte_chars() -> dict[int, str]:

@@ -9,7 +9,7 @@ from .memos import LONG
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 #: Words whose hashes a worker remembers.
-MEMO = 250_000
+MEMO = 120_000
 
 
 class _Hashes(dict):

@@ -96,6 +96,15 @@ def test_license_base_and_templates(docs_of):
     assert got[8]["first_word"] == 30_000
 
 
+def test_license_wrapped_over_lines(docs_of):
+    notice = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files, to deal in the\nSoftware without restriction"
+    scattered = "all of us\nhave some words here that say nothing of the kind but go on and on\nrights are not named so\n" + "filler words stand here to part them from the rest of it all\n" * 5 + "reserved"
+    rows = [(1, notice), (2, "text before\n" + notice + "\ntext after"), (3, notice.replace("\nof", "\n\nof")), (4, scattered), (5, notice), (5, notice), (None, "all rights reserved")]
+    got = [(r["doc_id"], r["labels"], r["score"]) for r in licenses.scan_licenses(docs_of(rows)).collect()]
+    assert sorted(got, key=str) == sorted([(1, "mit", 1.0), (2, "mit", 1.0), (3, "", 0.0), (4, "", 0.0), (5, "mit", 1.0), (5, "mit", 1.0), (None, "proprietary", 1.0)], key=str)
+    assert licenses.scan_licenses(docs_of([])).count() == 0
+
+
 def test_license_filters_lose_no_match():
     r = random.Random(4)
     known = licenses.Templates({}, 80)
@@ -324,6 +333,16 @@ def test_line_field(docs_of, spark):
     assert line_crf.quality_rules(docs_of([]), labels).count() == 0
 
 
+def test_boilerplate_amid_content_gets_its_own_label(docs_of, spark):
+    r = random.Random(4)
+    good = ["\n".join(prose(r, 12) for _ in range(8)) for _ in range(60)]
+    bad = ["\n".join(prose(r, 9).replace(" ", "### ") for _ in range(8)) for _ in range(60)]
+    field = line_crf.fit_field(docs_of(list(enumerate(good + bad))), labels_of(spark, [(i, int(i < 60), 0) for i in range(120)]))
+    lines = [prose(r, 12), prose(r, 12), prose(r, 9).replace(" ", "### "), prose(r, 9).replace(" ", "### "), prose(r, 12), prose(r, 12)]
+    label = field.content(np.array([line_crf.line_features(x, False) for x in lines]))
+    assert label.tolist() == [True, True, False, False, True, True]
+
+
 def test_viterbi_is_the_best_path():
     r = np.random.default_rng(3)
     for _ in range(20):
@@ -351,3 +370,19 @@ def test_secret_scan(docs_of):
     got = {r["doc_id"]: r for r in secrets.scan_secrets(docs_of(rows)).collect()}
     assert {i for i, r in got.items() if r["secret"]} == {1, 2, 7} and 3 in got
     assert got[1]["start"] == 14 and got[1]["length"] == 40 and got[1]["masked"] == "1beb********"
+
+
+def test_candidates_without_caps():
+    long = "aB3" * 200
+    text = f"password=correcthorsebattery x password=123456789012345 y {long} z pass: 's3cr3tPass!' ghp_abcdefghijklmnop word"
+    assert [v for _, v in secrets.candidates(text)] == ["correcthorsebattery", "123456789012345", long, "s3cr3tPass!", "ghp_abcdefghijklmnop"]
+    assert secrets.candidates("plain words: nothing here") == [] and secrets.candidates("") == []
+
+
+def test_unlike_formats_by_hand(docs_of, spark):
+    """Findings that the generator does not make."""
+    rows = [(1, "db_password = 'Tr0ub4dor&3xyz'"), (2, "export API_KEY=9f86d081884c7d659a2feaa0c55ad015"), (3, "see build 2024-11-05T10-22-33 in the log"), (4, "image file IMG20240101123456 saved"), (None, "token: 12345678901234"), (5, "same token=abcdef1234567890zz"), (5, "same token=abcdef1234567890zz")]
+    got = secrets.scan_secrets(docs_of(rows)).collect()
+    assert {r["doc_id"] for r in got if r["secret"]} >= {1, 2, 5} and not any(r["secret"] for r in got if r["doc_id"] in (3, 4))
+    assert sum(r["doc_id"] == 5 for r in got) == 2 and any(r["doc_id"] is None for r in got)
+    assert secrets.scan_secrets(docs_of([])).count() == 0
