@@ -17,16 +17,21 @@ LONG = 64
 _kept: dict = {}
 
 
+def _trim() -> None:
+    """Gives freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no such function outside glibc
+        pass
+
+
 def turn(owner: str, free) -> None:
-    """Says that this worker's task belongs to `owner`, whose memo `free` empties; frees those of others."""
+    """Says that this worker's task, which starts, belongs to `owner`, whose memo `free` empties; frees those of others."""
     others = [x for x in _kept if x != owner]
     for x in others:
         _kept.pop(x)()
     _kept[owner] = free
     if others:
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # no such function outside glibc
-            pass
+    _trim()
