@@ -64,11 +64,21 @@ def sd_of(values: Column) -> Column:
 
 
 def moving_ttr(tokens: Column, window: int = 100) -> Column:
-    """Mean share of distinct tokens over all windows; null for shorter sequences."""
+    """Mean share of distinct tokens over all windows; null for shorter sequences.
+
+    A token is new in the windows that hold it and start after its last occurrence. With the places sorted by token, that
+    occurrence stands just before, so one pass counts those windows.
+    """
 
     def share(t: Column) -> Column:
-        shares = F.transform(F.sequence(F.lit(1), F.size(t) - (window - 1)), lambda i: F.size(F.array_distinct(F.slice(t, i, window))))
-        return F.aggregate(shares, F.lit(0.0), lambda a, x: a + x) / (F.size(t) - (window - 1)) / window
+        def new_in(p: Column, x: Column, k: Column) -> Column:
+            before = F.get(p, k - 1)
+            first = F.greatest(F.when(before["w"] == x["w"], before["i"] + 1).otherwise(0), x["i"] - (window - 1), F.lit(0))
+            return F.greatest(F.least(x["i"], F.size(t) - window) - first + 1, F.lit(0))
+
+        placed = F.array_sort(F.transform(t, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+        total = bound(placed, lambda p: F.aggregate(F.transform(p, lambda x, k: new_in(p, x, k)), F.lit(0).cast("long"), lambda a, n: a + n))
+        return total / (F.size(t) - (window - 1)) / window
 
     return bound(tokens, lambda t: F.when(F.size(t) >= window, share(t)))
 

@@ -56,7 +56,8 @@ def trend(events: DataFrame, days: int = 7) -> DataFrame:
 
 
 def digest_dedup(docs: DataFrame) -> DataFrame:
-    """Every document with the SHA-256 of its text and the first document that has it."""
+    """Every document with the SHA-256 of its text and the first document that has it; null texts are equal to each other."""
     d = docs.select("doc_id", F.sha2("text", 256).alias("digest"))
     first = d.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    return d.join(first, "digest").select("doc_id", "digest", "first_id", (F.col("doc_id") == F.col("first_id")).alias("kept"))
+    d = d.join(first.withColumnRenamed("digest", "same"), F.col("digest").eqNullSafe(F.col("same")))
+    return d.select("doc_id", "digest", "first_id", (F.col("doc_id") == F.col("first_id")).alias("kept"))

@@ -21,11 +21,21 @@ def long_sentences(docs: DataFrame, most: int = 25, allowance: int = 6) -> DataF
     return s.where(F.col("hit") > allowance).select("doc_id", "pos", "n", "hit")
 
 
-def concealed_spans(pages: DataFrame, explained: int = 12) -> DataFrame:
-    """Comments of each page with their words; unexplained if they have more than `explained`."""
+# How comments to build steps begin; they are explained however long they are.
+BUILD_MARKER = (
+    r"(?i)^\s*(?:/{2}\s*|#\s*)?(?:(?:begin|end|start|stop)\b|[\w.:@/-]+[:-](?:start|end|begin|stop)\b|(?:todo|fixme|hack|xxx)\b|rabbit-allow\b"
+    r"|prettier-ignore|markdownlint|eslint|stylelint|shellcheck|doctoc|all-contributors|mcp-name|sponsors?|omit\s+in\s+toc|toc\b|[\w-]+-(?:ignore|disable)[\w-]*)"
+)
+
+
+def concealed_spans(pages: DataFrame, least: int = 8) -> DataFrame:
+    """Comments of each page with their words; unexplained from `least` words on if they are no build marker.
+
+    Null and empty pages have no spans; repeated rows give theirs as they come.
+    """
     c = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("(?s)<!--(.*?)-->"), F.lit(1))).alias("pos", "span"))
     n = F.size(F.filter(F.split("span", r"[ \t\r\n]+"), lambda x: x != ""))
-    return c.select("page_id", "pos", n.alias("words"), (n > explained).alias("unexplained"))
+    return c.select("page_id", "pos", n.alias("words"), ((n >= least) & ~F.col("span").rlike(BUILD_MARKER)).alias("unexplained"))
 
 
 def page_text(pages: DataFrame) -> DataFrame:

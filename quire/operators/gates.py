@@ -33,7 +33,7 @@ def audit(findings: DataFrame, allowances: DataFrame) -> DataFrame:
 def tolerated(findings: DataFrame, register: DataFrame, skips: DataFrame) -> DataFrame:
     """findings less those whose id the document's register skips: register (doc_id, register), skips (register, id)."""
     d = findings.join(register, "doc_id", "left")
-    return d.join(F.broadcast(skips), ["register", "id"], "left_anti")  # a rule table, some hundred rows
+    return d.join(skips, ["register", "id"], "left_anti")
 
 
 def past_allowance(findings: DataFrame, allowed: int) -> DataFrame:
@@ -68,6 +68,6 @@ def manifest_check(texts: DataFrame, manifest: DataFrame) -> DataFrame:
 def caricature(measures: DataFrame, least: int = 2) -> DataFrame:
     """Documents with `least` measures or more beyond their writer's mean by over two deviations; measures (source, doc_id, measure, value)."""
     b = measures.groupBy("source", "measure").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
-    d = measures.join(F.broadcast(b), ["source", "measure"])  # a row per writer and measure
+    d = measures.join(b, ["source", "measure"])
     past = d.where((F.col("sd") > 0) & (F.abs(F.col("value") - F.col("mean")) > 2 * F.col("sd")))
     return past.groupBy("doc_id").agg(F.count("*").alias("past"), F.array_join(F.sort_array(F.collect_list("measure")), ",").alias("measures")).where(F.col("past") >= least)

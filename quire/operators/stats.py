@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 
 
-def document_stats(docs: DataFrame) -> DataFrame:
-    """Words, sentences, vocabulary and sentence rhythm of each document (doc_id, text)."""
-    d = docs.select("doc_id", "source", "lang", T.words(F.col("text")).alias("w"), T.sentence_lengths(F.col("text")).alias("n"))
+def document_stats(docs: DataFrame, *keep: str) -> DataFrame:
+    """Words, sentences, vocabulary and sentence rhythm of each document (doc_id, text), with the columns in keep.
+
+    A null text has null counts; an empty one has 0 words and null measures. Repeated rows are returned as they come.
+    """
+    d = docs.select("doc_id", *keep, T.words(F.col("text")).alias("w"), T.sentence_lengths(F.col("text")).alias("n"))
     mean, sd = T.mean_of(F.col("n")), T.sd_of(F.col("n"))
     return d.select(
         "doc_id",
+        *keep,
         F.size("w").alias("word_count"),
         F.size("n").alias("sentence_count"),
         F.size(F.array_distinct("w")).alias("n_types"),

@@ -27,7 +27,8 @@ def marker_rates(docs: DataFrame) -> DataFrame:
 
 
 def _with_words(docs: DataFrame) -> DataFrame:
-    return docs.where("lang = 'en'").where(F.size(T.words(F.col("text"))) > 0)
+    """English documents with a word, each id of a writer once: rows that share it count together."""
+    return docs.where("lang = 'en'").where(F.size(T.words(F.col("text"))) > 0).dropDuplicates(["source", "doc_id"])
 
 
 def marker_baseline(docs: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def marker_baseline(docs: DataFrame) -> DataFrame:
     writers = _with_words(docs).groupBy("source").agg(F.count("*").alias("docs"))
     rate = 1000.0 * F.col("n") / F.col("words")
     sums = marker_counts(docs).groupBy("source", "marker").agg(F.sum(rate).alias("s"), F.sum(rate * rate).alias("q"))
-    b = sums.join(F.broadcast(writers), "source")  # a row per writer
+    b = sums.join(writers, "source")
     mean = F.col("s") / F.col("docs")
     var = (F.col("q") - F.col("docs") * mean * mean) / (F.col("docs") - 1)
     sd = F.when(F.col("docs") > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).otherwise(F.lit(0.0))
@@ -57,11 +58,11 @@ def _delta(docs: DataFrame, leave_out: bool) -> DataFrame:
         b = b.where("docs > 1")
     totals = b.groupBy("source").agg(F.sum("absent").alias("all_absent"))
     c = marker_counts(docs).withColumn("x", 1000.0 * F.col("n") / F.col("words")).drop("n")
-    c = c.join(F.broadcast(b), ["source", "marker"])  # at most 190 rows per writer
+    c = c.join(b, ["source", "marker"])
     mean = (F.col("mean") * n - F.col("x")) / (n - 1) if leave_out else F.col("mean")
     z = F.least(F.abs(F.col("x") - mean) / F.col("floored_sd"), F.lit(4.0))
-    own = c.groupBy("doc_id").agg(F.sum(z - F.col("absent")).alias("own"))
-    d = _with_words(docs).select("doc_id", "source").join(F.broadcast(totals), "source").join(own, "doc_id", "left")
+    own = c.groupBy("source", "doc_id").agg(F.sum(z - F.col("absent")).alias("own"))
+    d = _with_words(docs).select("doc_id", "source").join(totals, "source").join(own, ["source", "doc_id"], "left")
     return d.select("source", "doc_id", ((F.col("all_absent") + F.coalesce("own", F.lit(0.0))) / len(T.MARKERS)).alias("delta"))
 
 
@@ -71,18 +72,29 @@ def self_distance(docs: DataFrame) -> DataFrame:
 
 
 def voice_distance(docs: DataFrame) -> DataFrame:
-    """Delta of each document to its writer's baseline and the verdict against the writer's 90th percentile of leave-one-out Delta."""
-    band = _delta(docs, True).groupBy("source").agg(F.percentile("delta", 0.9).alias("band"))
-    d = _delta(docs, False).join(F.broadcast(band), "source")
+    """Delta of each English document to every writer's baseline, with the verdict against the writer's largest leave-one-out Delta.
+
+    A row per document and writer (`baseline`). Writers with a single document have no band and give no rows. Markers that a document
+    lacks are taken from the writer's total, as in `self_distance`; rates meet baselines by marker.
+    """
+    band = _delta(docs, True).groupBy("source").agg(F.max("delta").alias("band"))
+    b = marker_baseline(docs).withColumn("absent", F.least(F.col("mean") / F.col("floored_sd"), F.lit(4.0)))
+    totals = b.groupBy("source").agg(F.sum("absent").alias("all_absent")).join(band, "source").withColumnRenamed("source", "baseline")
+    rates = marker_counts(docs).select("source", "doc_id", "marker", (1000.0 * F.col("n") / F.col("words")).alias("x"))
+    met = rates.join(b.select(F.col("source").alias("baseline"), "marker", "mean", "floored_sd", "absent"), "marker")
+    z = F.least(F.abs(F.col("x") - F.col("mean")) / F.col("floored_sd"), F.lit(4.0))
+    own = met.groupBy("source", "doc_id", "baseline").agg(F.sum(z - F.col("absent")).alias("own"))
+    d = _with_words(docs).select("source", "doc_id").crossJoin(totals).join(own, ["source", "doc_id", "baseline"], "left")
+    d = d.withColumn("delta", (F.col("all_absent") + F.coalesce("own", F.lit(0.0))) / len(T.MARKERS))
     verdict = F.when(F.col("delta") <= F.col("band"), "in_range").when(F.col("delta") <= 1.5 * F.col("band"), "near").otherwise("out_of_range")
-    return d.select("source", "doc_id", F.round("delta", 6).alias("delta"), verdict.alias("verdict"))
+    return d.select("source", "doc_id", "baseline", F.round("delta", 6).alias("delta"), verdict.alias("verdict"))
 
 
 def long_measures(docs: DataFrame) -> DataFrame:
     """source, doc_id, measure, value for each measure that a document has."""
     from .stats import document_stats
 
-    s = document_stats(docs).join(docs.select("doc_id", "source"), "doc_id")
+    s = document_stats(docs, "source")
     pairs = F.expr("stack({}, {}) as (measure, value)".format(len(MEASURES), ", ".join(f"'{m}', cast({m} as double)" for m in MEASURES)))
     return s.select("source", "doc_id", pairs).where("value is not null")
 
@@ -97,7 +109,7 @@ def measure_gaps(docs: DataFrame, tolerance: float = 2.0) -> DataFrame:
     """How many deviations each measure of a document lies off its writer's mean; the deviation is at least a tenth of the mean."""
     m = long_measures(docs)
     b = m.groupBy("source", "measure").agg(F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("sd"))
-    d = m.join(F.broadcast(b), ["source", "measure"])  # a row per writer and measure
+    d = m.join(b, ["source", "measure"])
     used = F.greatest("sd", 0.1 * F.abs("mean"))
     off = F.when(used > 0, (F.col("value") - F.col("mean")) / used)
     return d.select("doc_id", "measure", F.round(off, 4).alias("sd_off"), (F.abs(F.round(off, 4)) <= tolerance).alias("within"))

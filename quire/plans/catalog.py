@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.text import MARKERS
-from quire.operators import corpus, detectors, gates, joins, lines, stats, stylometry
+from quire.operators import corpus, detectors, facts, gates, joins, lines, stats, stylometry
 from quire.streaming import scan
 
 
@@ -49,6 +49,15 @@ def _manifest(docs: DataFrame) -> DataFrame:
     return gates.manifest_check(docs.where("doc_id % 7 <> 0"), docs.select("doc_id", stale.alias("sha256")))
 
 
+#: Words with letters beyond ASCII, next to which engines disagree on where a word ends.
+_BEYOND = r"[^ \n]*[^\x00-\x7F][^ \n]*"
+
+
+def _ascii_words(df: DataFrame) -> DataFrame:
+    """df with its texts' ASCII words alone, the input of the queries on names here and in SQL."""
+    return df.withColumn("text", F.regexp_replace("text", _BEYOND, ""))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "agg_01_doc_stats": _on("documents", stats.document_stats),
     "agg_01_trigram_repetition": _on("documents", stats.trigram_repetition),
@@ -74,6 +83,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "join_11_verbatim": _on("documents", joins.verbatim, "benchmark"),
     "join_13_nearest": _on("embeddings", joins.nearest),
     "fun_19_digest_dedup": _on("documents", corpus.digest_dedup),
+    "fun_10_dates": _on("orders", facts.order_dates),
+    "fun_12_quotes": _on("documents", facts.quoted_openings),
+    "fun_13_names": _on("documents", lambda docs: facts.fact_counts(_ascii_words(docs))),
+    "gat_01_turn_names": _on("conversations", lambda turns: facts.turn_facts(_ascii_words(turns))),
     "cvio_trend_events": _on("events", corpus.trend),
     "det_13_long_paragraphs": _on("documents", detectors.long_paragraphs),
     "det_12_long_sentences": _on("documents", detectors.long_sentences),
@@ -178,8 +191,10 @@ SQL: dict[str, str] = {
     "agg_07_sentence_shape": f"""WITH s AS (SELECT source, unnest({_LENGTHS.format('text')}) AS n FROM documents)
       SELECT source, count(*) AS sentences, {', '.join(f'round(quantile_cont(n, {i / 10}), 4) AS d{i}' for i in range(1, 10))}, round(avg(n), 4) AS mean, round(avg((n <= 8)::INT), 6) AS short_share, round(avg((n >= 30)::INT), 6) AS long_share FROM s GROUP BY source""",
     "agg_08_self_distance": f"WITH {_DELTAS} SELECT source, doc_id, round(delta, 6) AS delta FROM loo",
-    "agg_11_voice_distance": f"""WITH {_DELTAS}, band AS (SELECT source, quantile_cont(delta, 0.9) AS band FROM loo GROUP BY source)
-      SELECT source, doc_id, round(delta, 6) AS delta, CASE WHEN delta <= band THEN 'in_range' WHEN delta <= 1.5 * band THEN 'near' ELSE 'out_of_range' END AS verdict FROM own JOIN band USING (source)""",
+    "agg_11_voice_distance": f"""WITH {_DELTAS}, band AS (SELECT source AS baseline, max(delta) AS band FROM loo GROUP BY source),
+      every AS (SELECT d.source, d.doc_id, b.source AS baseline, sum(least(abs(coalesce(1000.0 * c.n / c.words, 0.0) - b.mean) / b.floored_sd, 4.0)) / {len(MARKERS)} AS delta
+        FROM (SELECT source, doc_id FROM documents WHERE lang = 'en' AND len({_WORDS.format("text")}) > 0) d CROSS JOIN base b LEFT JOIN counts c ON c.doc_id = d.doc_id AND c.marker = b.marker GROUP BY ALL)
+      SELECT source, doc_id, baseline, round(delta, 6) AS delta, CASE WHEN delta <= band THEN 'in_range' WHEN delta <= 1.5 * band THEN 'near' ELSE 'out_of_range' END AS verdict FROM every JOIN band USING (baseline)""",
     "agg_13_measure_gaps": f"""WITH {_LONG}, b AS (SELECT source, measure, avg(value) AS mean, coalesce(stddev_samp(value), 0.0) AS sd FROM m GROUP BY ALL),
       o AS (SELECT doc_id, measure, round((value - mean) / nullif(greatest(sd, 0.1 * abs(mean)), 0), 4) AS sd_off FROM m JOIN b USING (source, measure)) SELECT doc_id, measure, sd_off, abs(sd_off) <= 2.0 AS within FROM o""",
     "agg_15_presence_rates": "SELECT lang, count(*) AS docs, round(100 * avg(regexp_matches(text, '[0-9]')::INT), 4) AS digit_pct, round(100 * avg(contains(text, chr(10))::INT), 4) AS multiline_pct, round(avg(CASE WHEN length(text) > 0 THEN length(text) END), 4) AS mean_chars, round(quantile_cont(length(text)::DOUBLE, 0.5), 4) AS median_chars FROM documents GROUP BY lang",
@@ -206,13 +221,24 @@ SQL: dict[str, str] = {
       SELECT doc_id, item_id, count(*) AS windows FROM d JOIN b USING (gram) GROUP BY ALL""",
     "join_13_nearest": """WITH p AS (SELECT q.vec_id, r.vec_id AS other_id, list_sum(list_transform(list_zip(q.embedding, r.embedding), lambda z: abs(z[1]::DOUBLE - z[2]::DOUBLE))) AS d FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0)
       SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY d, other_id) AS rank, other_id, round(d, 4) AS distance FROM p QUALIFY rank <= 3""",
+    "fun_10_dates": f"""WITH t AS (SELECT o_orderkey, concat('Due ', strftime(o_orderdate, '%B %-d, %Y'), ', sent ', strftime(o_orderdate, '%-d %B %Y'), ' or ', strftime(o_orderdate, '%Y-%m-%d'), '. Not 1234-567.') AS t FROM orders)
+      SELECT o_orderkey, array_to_string(list_concat(list_transform(regexp_extract_all(t, '{facts.SPELLINGS[0][0]}'), lambda x: strftime(strptime(x, '%B %-d, %Y'), '%Y-%m-%d')), list_concat(
+        list_transform(regexp_extract_all(t, '{facts.SPELLINGS[1][0]}'), lambda x: strftime(strptime(x, '%-d %B %Y'), '%Y-%m-%d')), regexp_extract_all(t, '{facts.SPELLINGS[2][0]}'))), ' ') AS dates FROM t""",
+    "fun_12_quotes": r"""WITH t AS (SELECT doc_id, concat('He said "', substr(text, 1, 60), '" and "two words" and ', chr(8220), 'four words  and', chr(10), 'it', chr(8217), 's all', chr(8221), '.') AS t FROM documents),
+      q AS (SELECT doc_id, list_transform(regexp_extract_all(t, '"([^"]{0,400})"|' || chr(8220) || '([^' || chr(8221) || ']{0,400})' || chr(8221)), lambda x: trim(regexp_replace(replace(x[2:-2], chr(8217), chr(39)), '[ \t\r\n]+', ' ', 'g'))) AS q FROM t)
+      SELECT doc_id, array_to_string(list_filter(q, lambda x: len(string_split(x, ' ')) >= 4), '|') AS quotes FROM q""",
+    "fun_13_names": f"""WITH n AS (SELECT doc_id, list_filter(regexp_extract_all(regexp_replace(text, '{_BEYOND}', '', 'g'), '{facts.NAMES}', 1), lambda x: length(x) >= 2) AS n FROM documents)
+      SELECT doc_id, len(n) AS names, len(list_distinct(n)) AS different, n[1] AS first_name FROM n""",
+    "gat_01_turn_names": f"""WITH n AS (SELECT conv_id, turn, role, list_distinct(list_filter(regexp_extract_all(regexp_replace(text, '{_BEYOND}', '', 'g'), '{facts.NAMES}', 1), lambda x: length(x) >= 2)) AS n FROM conversations)
+      SELECT b.conv_id, b.turn, len(list_filter(a.n, lambda x: NOT list_contains(b.n, x))) AS lost, len(list_filter(b.n, lambda x: NOT list_contains(a.n, x))) AS added
+      FROM n b JOIN n a ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn WHERE b.role = 'assistant' AND a.role <> 'assistant'""",
     "fun_19_digest_dedup": "SELECT doc_id, sha256(text) AS digest, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_id, doc_id = min(doc_id) OVER (PARTITION BY sha256(text)) AS kept FROM documents",
     "cvio_trend_events": """WITH d AS (SELECT event_type, ts::DATE AS day, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day) AS a, row_number() OVER (PARTITION BY event_type ORDER BY day DESC) AS z FROM d)
       SELECT event_type, count(*) AS days, round(avg(n) FILTER (a <= 7), 6) AS early_mean, round(avg(n) FILTER (z <= 7), 6) AS late_mean, round(avg(n) FILTER (z <= 7) / avg(n) FILTER (a <= 7), 6) AS ratio FROM r GROUP BY event_type""",
     "det_13_long_paragraphs": _LONG_P,
     "det_12_long_sentences": _LONG_S,
     "det_06_concealed_spans": r"""WITH c AS (SELECT page_id, regexp_extract_all(html, '(?s)<!--(.*?)-->', 1) AS l FROM pages), s AS (SELECT page_id, unnest(l) AS span, generate_subscripts(l, 1) - 1 AS pos FROM c)
-      SELECT page_id, pos, len(list_filter(regexp_split_to_array(span, '[ \t\r\n]+'), lambda x: x <> '')) AS words, len(list_filter(regexp_split_to_array(span, '[ \t\r\n]+'), lambda x: x <> '')) > 12 AS unexplained FROM s""",
+      SELECT page_id, pos, len(list_filter(regexp_split_to_array(span, '[ \t\r\n]+'), lambda x: x <> '')) AS words, len(list_filter(regexp_split_to_array(span, '[ \t\r\n]+'), lambda x: x <> '')) >= 8 AND NOT regexp_matches(span, '""" + detectors.BUILD_MARKER + r"""') AS unexplained FROM s""",
     "src_08_html_text": rf"SELECT page_id, sha256(t) AS text_sha, length(t) AS chars, len(list_filter(regexp_split_to_array(t, '[ \n]+'), lambda x: x <> '')) AS words FROM (SELECT page_id, {_HTML} AS t FROM pages)",
     "agg_02_finding_rollup": f"""WITH f AS (SELECT doc_id, 'long-paragraph' AS id, 'structure' AS band, 'P2' AS priority, pos FROM ({_LONG_P}) UNION ALL SELECT doc_id, 'long-sentence', 'clarity', 'P1', pos FROM ({_LONG_S})),
       r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, id ORDER BY pos) AS rn FROM f)

@@ -8,7 +8,7 @@ import pytest
 from quire.plans import catalog
 
 DIR = "/root/testdata/sf0.001"
-TABLES = "events documents embeddings pages benchmark labels conversations".split()
+TABLES = "orders events documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")
