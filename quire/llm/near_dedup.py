@@ -109,8 +109,13 @@ def _level(n: int) -> int:
     return max(0, -(-n // SKETCH) - 1).bit_length()
 
 
+def _short(x: np.ndarray) -> np.ndarray:
+    """The upper halves of sorted hashes; two of a set are hardly ever equal, and then the pair gets as much slack."""
+    return (x >> np.uint64(32)).astype(np.uint32)
+
+
 def _thinned(x: np.ndarray, level: int) -> np.ndarray:
-    return x[x & np.uint64((1 << level) - 1) == 0] if level else x
+    return x[x & np.uint32((1 << level) - 1) == 0] if level else x
 
 
 def _sets(k: int, rows: int):
@@ -125,7 +130,7 @@ def _sets(k: int, rows: int):
                 x = shingle_set(text, k)
                 if len(x) and xxhash.xxh3_128_digest(x.tobytes()) == c:
                     level = _level(len(x))
-                    out.append((c, x.tobytes(), _thinned(x, level).tobytes(), level, _band_keys(superminhash(x), rows).tobytes()))
+                    out.append((c, x.tobytes(), _thinned(_short(x), level).tobytes(), level, _band_keys(superminhash(x), rows).tobytes()))
             columns = list(zip(*out)) or [[]] * 5
             kinds = (pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["cls", "shingles", "sketch", "level", "keys"])
@@ -141,29 +146,38 @@ def _near(sketches: list[tuple[np.ndarray, int]], own: np.ndarray, own_level: in
         mine, theirs = _thinned(own, level), [_thinned(sketches[i][0], level) for i in which]
         size = np.array([len(t) for t in theirs])
         flat = np.concatenate(theirs)
+        twice = np.concatenate([[0, 0], np.cumsum(flat[1:] == flat[:-1])])[: len(flat) + 1]
         at = np.minimum(np.searchsorted(mine, flat), max(len(mine) - 1, 0))
         same = np.concatenate([[0], np.cumsum(mine[at] == flat)]) if len(mine) else np.zeros(len(flat) + 1, np.int64)
         ends = np.cumsum(size)
         common = same[ends] - same[ends - size]
         union = len(mine) + size - common
-        slack = 4.5 * np.sqrt(percent * (100 - percent) * np.maximum(union, 1)) if level else 0.0
+        slack = 200 * (twice[ends] - twice[ends - size] + (mine[1:] == mine[:-1]).sum())
+        if level:
+            slack = slack + 4.5 * np.sqrt(percent * (100 - percent) * np.maximum(union, 1))
         out[which] = (100 * common >= percent * union - slack)
     return out
 
 
 def _blocks(percent: int):
-    """Arrow batches (band number, two blocks) to the pairs (a, b, root_a, root_b) that may be links between components.
+    """Arrow batches (band number, blocks x and y, either or both of them) to the pairs (a, b, root_a, root_b) that may be links between components.
 
-    Each pair of classes leaves in the first band that it shares.
+    x meets y, and itself where `alone`. Each pair of classes leaves in the first band that it shares.
     """
 
+    def meetings(batch):
+        for j, x, y, alone in zip(*(batch.column(c) for c in ("j", "x", "y", "alone"))):
+            j, x, y = j.as_py(), x.as_py(), y.as_py()
+            if alone.as_py():
+                yield j, x, x
+            if y:
+                yield j, x, y
+
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                j, x, y = (batch.column(c)[i].as_py() for c in ("j", "x", "y"))
-                y = y or x  # none: the block with itself
+            for j, x, y in meetings(batch):
                 keys_y = np.stack([np.frombuffer(m["keys"], np.int64) for m in y])
-                sketches = [(np.frombuffer(m["sketch"], np.uint64), m["level"]) for m in y]
+                sketches = [(np.frombuffer(m["sketch"], np.uint32), m["level"]) for m in y]
                 roots_y, cls_y = np.array([m["root"] for m in y], object), np.array([m["cls"] for m in y], object)
                 found: tuple[list, ...] = ([], [], [], [])
                 for m in x:
@@ -171,7 +185,7 @@ def _blocks(percent: int):
                     shared = np.frombuffer(m["keys"], np.int64) == keys_y
                     at = np.flatnonzero(other & shared[:, j] & (shared.argmax(1) == j))
                     if len(at):
-                        at = at[_near([sketches[i] for i in at], np.frombuffer(m["sketch"], np.uint64), m["level"], percent)]
+                        at = at[_near([sketches[i] for i in at], np.frombuffer(m["sketch"], np.uint32), m["level"], percent)]
                     for column, values in zip(found, ([m["cls"]] * len(at), cls_y[at], [m["root"]] * len(at), roots_y[at])):
                         column.extend(values)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in found], ["a", "b", "root_a", "root_b"])
@@ -256,18 +270,23 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
         held = tagged.join(split.drop("j"), "band").join(sets.select("cls", "keys", "sketch", "level"), "cls")
         side = (F.col("root") == F.col("largest")).alias("main")
         block = F.pmod(F.xxhash64("cls"), F.when(F.col("root") == F.col("largest"), F.col("inside")).otherwise(F.col("outside"))).alias("block")
-        blocks = held.select("band", side, block, "cls", "root", "keys", "sketch", "level").groupBy("band", "main", "block")
-        blocks = materialize(blocks.agg(F.collect_list(F.struct("cls", "root", "keys", "sketch", "level")).alias("x")), "blocks")  # about BLOCK
+        one = (F.col("inside") <= 1) & (F.col("outside") <= 1)
+        held = held.select("band", "j", one.alias("one"), side, block, F.struct("cls", "root", "keys", "sketch", "level").alias("m"))
+        # Most buckets are no more than two blocks, and a row holds both.
+        few = held.where("one").groupBy("band", "j").agg(F.collect_list(F.when(~F.col("main"), F.col("m"))).alias("x"), F.collect_list(F.when(F.col("main"), F.col("m"))).alias("y"))
+        few = few.select("j", "x", "y", F.lit(True).alias("alone"))
+        blocks = held.where("not one").groupBy("band", "main", "block").agg(F.collect_list("m").alias("x"))  # about BLOCK
+        blocks = materialize(blocks, "blocks")
         # Numbers of the blocks that meet; the blocks themselves come by (bucket, block), so no key has more than a bucket's blocks.
-        meets = split.select("band", "j", "inside", F.col("outside"), F.explode(F.sequence(F.lit(0), F.col("outside") - 1)).alias("block"))
+        meets = split.where(~one).select("band", "j", "inside", F.col("outside"), F.explode(F.sequence(F.lit(0), F.col("outside") - 1)).alias("block"))
         within = F.transform(F.sequence(F.col("block"), F.col("outside") - 1), lambda b: F.struct(F.lit(False).alias("main"), b.alias("block")))
         across = F.transform(F.sequence(F.lit(0).cast("long"), F.col("inside") - 1), lambda b: F.struct(F.lit(True).alias("main"), b.alias("block")))
         meets = meets.select("band", "j", "block", F.explode(F.concat(within, across)).alias("o")).select("band", "j", "block", F.col("o.main").alias("other_main"), F.col("o.block").alias("other"))
         itself = ~F.col("other_main") & (F.col("block") == F.col("other"))
         pairs = meets.withColumn("main", F.lit(False)).withColumn("alone", itself).join(blocks, ["band", "main", "block"])
         others = blocks.select("band", F.col("main").alias("other_main"), F.col("block").alias("other"), F.col("x").alias("y"))
-        two = pairs.where("not alone").join(others, ["band", "other_main", "other"]).select("j", "x", "y")
-        pairs = two.unionByName(pairs.where("alone").select("j", "x", F.lit(None).cast(blocks.schema["x"].dataType).alias("y")))
+        two = pairs.where("not alone").join(others, ["band", "other_main", "other"]).select("j", "x", "y", "alone")
+        pairs = few.unionByName(two).unionByName(pairs.where("alone").select("j", "x", F.lit(None).cast(blocks.schema["x"].dataType).alias("y"), "alone"))
         found = merged(found, materialize(pairs.mapInArrow(_blocks(percent), "a binary, b binary, root_a binary, root_b binary"), "cross"))
 
     # Every class's component is named by the least doc_id in it.

@@ -93,7 +93,7 @@ def test_blocks_lose_no_link_between_two_thousand_pairs_at_the_threshold():
     """Pairs of sets just above 0.8, in blocks as buckets make them, each in every band that it shares: every pair leaves once."""
     r, lost = np.random.default_rng(5), 0
     kind = pa.struct([("cls", pa.binary()), ("root", pa.binary()), ("keys", pa.binary()), ("sketch", pa.binary()), ("level", pa.int32())])
-    schema = pa.schema([("j", pa.int32()), ("x", pa.list_(kind)), ("y", pa.list_(kind))])
+    schema = pa.schema([("j", pa.int32()), ("x", pa.list_(kind)), ("y", pa.list_(kind)), ("alone", pa.bool_())])
     for i in range(2000):
         n = 180 if i % 4 else 3000
         common = r.integers(0, 2**63, 8 * n // 9, dtype=np.int64).astype(np.uint64)
@@ -101,10 +101,10 @@ def test_blocks_lose_no_link_between_two_thousand_pairs_at_the_threshold():
         for side in range(2):
             x = np.unique(np.concatenate([common, r.integers(0, 2**63, n - len(common), dtype=np.int64).astype(np.uint64)]))
             level = near_dedup._level(len(x))
-            block.append({"cls": b"%d %d" % (i, side), "root": b"%d %d" % (i, side), "keys": near_dedup._band_keys(superminhash(x), 4).tobytes() if i % 4 else bytes(256), "sketch": near_dedup._thinned(x, level).tobytes(), "level": level})
+            block.append({"cls": b"%d %d" % (i, side), "root": b"%d %d" % (i, side), "keys": near_dedup._band_keys(superminhash(x), 4).tobytes() if i % 4 else bytes(256), "sketch": near_dedup._thinned(near_dedup._short(x), level).tobytes(), "level": level})
         keys = [np.frombuffer(m["keys"], np.int64) for m in block]
         shared = np.flatnonzero(keys[0] == keys[1])
-        rows = pa.RecordBatch.from_pylist([{"j": int(j), "x": block[:1], "y": block[1:]} for j in shared], schema)
+        rows = pa.RecordBatch.from_pylist([{"j": int(j), "x": block[:1], "y": block[1:], "alone": False} for j in shared], schema)
         left = sum(b.num_rows for b in near_dedup._blocks(80)([rows]))
         lost += left != (len(shared) > 0)
     assert lost == 0
@@ -114,7 +114,7 @@ def test_blocks_screen_whole_sets_exactly():
     r = np.random.default_rng(6)
     own = np.unique(r.integers(0, 2**63, 100, dtype=np.int64).astype(np.uint64))
     others = [np.sort(np.concatenate([own[:c], r.integers(0, 2**63, 100 - c, dtype=np.int64).astype(np.uint64)])) for c in (100, 90, 89, 88, 70, 0)]
-    assert near_dedup._near([(x, 0) for x in others], own, 0, 80).tolist() == [True, True, True, False, False, False]
+    assert near_dedup._near([(near_dedup._short(x), 0) for x in others], near_dedup._short(own), 0, 80).tolist() == [True, True, True, False, False, False]
 
 
 def test_other_similarities_get_other_bands(docs_of):
