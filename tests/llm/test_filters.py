@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import decontaminate, licenses, line_crf, line_dedup, quality_lm, secrets, url_templates
 from quire.llm.queries import URL_RULES
@@ -41,6 +42,84 @@ def test_bad_templates_are_rejected_and_slugs_generalised(spark):
         assert r["template"].endswith("/<num>") and "slug" not in r["template"]
 
 
+def brute_tree(paths):
+    """Templates of {(host, segments): (n, labelled, bad)} by plain recursion over one host's paths."""
+    m = url_templates
+
+    def alike(a, b):
+        p, q = (a[1] + 1) / (a[0] + 2), (b[1] + 1) / (b[0] + 2)
+        pooled, both = (a[1] + b[1] + 2) / (a[0] + b[0] + 4), 1 / (a[0] + 2) + 1 / (b[0] + 2)
+        return abs(p - q) < m.Z * (pooled * (1 - pooled) * both) ** 0.5
+
+    def descend(members, d):
+        if len(members) < 2:
+            return {k: t for k, t in members}
+        out = {k: t for k, t in members if len(t) <= d}
+        counts = {}
+        for k, t in members:
+            if len(t) > d:
+                counts[t[d]] = [x + y for x, y in zip(counts.get(t[d], (0, 0, 0)), paths[k])]
+        literal = {b: c for b, c in counts.items() if b[0] not in "<*"}
+        wild = {}
+        if len(literal) > 1:
+            total = sum(c[0] for c in literal.values())
+            wild = {b: "*" for b, c in literal.items() if len(literal) > m.BRANCHES and c[0] * len(literal) <= 2 * total}
+            bins = {}
+            for b, (_, labelled, bad) in literal.items():
+                if b not in wild and labelled >= m.LEAST:
+                    bins.setdefault(int((bad + 1) / (labelled + 2) * m.BINS), []).append(b)
+            sets = []
+            for _, found in sorted(bins.items()):
+                own = [sum(literal[b][i] for b in found) for i in (1, 2)]
+                if sets and alike(sets[-1][0], own):
+                    sets[-1] = ([x + y for x, y in zip(sets[-1][0], own)], sets[-1][1] + found)
+                else:
+                    sets.append((own, found))
+            wild |= {b: f"*{i}" for i, (_, found) in enumerate(sets, 1) if len(found) > 1 for b in found}
+        below = {}
+        for k, t in members:
+            if len(t) > d:
+                t = (*t[:d], wild.get(t[d], t[d]), *t[d + 1 :])
+                below.setdefault(t[d], []).append((k, t))
+        for found in below.values():
+            out |= descend(found, d + 1)
+        return out
+
+    found = {}
+    for host in {h for h, _ in paths}:
+        found |= descend([(k, k[1]) for k in paths if k[0] == host], 0)
+    return found
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_templates_equal_plain_recursion(spark, seed):
+    r = random.Random(seed)
+    paths = {}
+    for _ in range(400):
+        deep = r.choice((0, 1, 2, 3, 9))
+        segments = tuple(r.choice(("<num>", "a", "b", "c", "d", f"slug{r.choice('xyz')}{r.randint(0, 40)}")) for _ in range(deep))
+        n = r.randint(1, 30)
+        labelled = r.randint(0, n)
+        likely = 0.9 if segments and segments[-1] in "ab" else 0.1
+        paths[r.choice(("h", "i")), segments] = (n, labelled, sum(r.random() < likely for _ in range(labelled)))
+    rows = [(h, list(s), *c) for (h, s), c in paths.items()]
+    table = spark.createDataFrame(rows, "host string, segments array<string>, n long, labelled long, bad long")
+    got = {(x["host"], tuple(x["segments"])): tuple(x["template"]) for x in url_templates.templates(table).collect()}
+    assert got == brute_tree(paths) and any("*1" in t or "*2" in t for t in got.values())
+
+
+def test_deep_paths_repeated_rows_nulls_and_own_labels(spark):
+    common = "/".join("abcdefgh")
+    urls = [f"http://h.info/{common}/{'bad' if i % 2 else 'good'}/{i}" for i in range(60)]
+    pages = urls_of(spark, [*urls, urls[0], None])
+    pages = pages.withColumn("page_id", F.when(F.col("url").isNotNull(), F.col("page_id")))
+    labels = spark.createDataFrame([(i, i % 2 == 0, 0) for i in range(60)], "page_id long, quality boolean, toxic int").withColumn("quality", F.col("quality").cast("int"))
+    got = url_templates.judge_urls(pages, labels, URL_RULES).collect()
+    assert len(got) == 62 and all(r["verdict"] == ("block" if "/bad/" in r["path"] else "allow") for r in got)
+    assert {r["template"] for r in got if r["page_id"] is not None} == {f"/{common}/bad/<num>", f"/{common}/good/<num>"}
+    assert url_templates.judge_urls(pages.limit(0), labels, URL_RULES).count() == 0
+
+
 # Lines
 
 
