@@ -23,7 +23,7 @@ def long_sentences(docs: DataFrame, most: int = 25, allowance: int = 6) -> DataF
 
 # How comments to build steps begin; they are explained however long they are.
 BUILD_MARKER = (
-    r"(?i)^\s*(?:/{2}\s*|#\s*)?(?:(?:begin|end|start|stop)\b|[\w.:@/-]+[:-](?:start|end|begin|stop)\b|(?:todo|fixme|hack|xxx)\b|rabbit-allow\b"
+    r"(?i)^\s*(?:/{2}\s*|#\s*)?(?:(?:begin|end|start|stop)\b|[\w.:@/-]+[:-](?:start|end|begin|stop)\b|(?:todo|fixme|hack|xxx)\b|[\w-]+-allow\b"
     r"|prettier-ignore|markdownlint|eslint|stylelint|shellcheck|doctoc|all-contributors|mcp-name|sponsors?|omit\s+in\s+toc|toc\b|[\w-]+-(?:ignore|disable)[\w-]*)"
 )
 

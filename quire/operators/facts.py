@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.markdown import blank
+from quire.functions.text import bound, canonical_number
+
 # The months.
 MONTHS = "January February March April May June July August September October November December".split()
 _MONTH = "(" + "|".join(MONTHS) + ")"
@@ -15,6 +18,15 @@ _NAME = r"[A-Z][a-zA-Z0-9]*(?:[ -][A-Z][a-zA-Z0-9]*)*\b"
 #: A name after what begins a sentence or a list item, or (group 1) one anywhere else.
 NAMES = rf"(?:^|[.!?:]\s+|\n\s*(?:[-*+>#]+\s*|\d+[.)]\s*)?){_NAME}|\b({_NAME})"
 
+# Spellings of numbers, in the order in which they claim their places.
+_PLAIN, _GROUPED = r"[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?", r"(?:[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]+(?:\.[0-9]+)?)"
+ESCAPE = r"(?:%[0-9A-Fa-f]{2})+"
+RANGE = rf"(?<![\w.,$-])({_PLAIN})(?:[-\u2013]|\s+to\s+)({_PLAIN})(?![0-9,])\s*(%|percent\b)?"
+PERCENT = r"\b([0-9]+(?:\.[0-9]+)?)\s*(?:%|percent\b)"
+VERSION = r"(?<!\$)(?<!,)\bv?[0-9]+\.[0-9]+(?:\.[0-9]+)*\b"
+ORDINAL = r"\b([0-9]+)(?:st|nd|rd|th)\b"
+NUMBER = rf"(?:(?<=[\s(\[{{])|^)-?{_GROUPED}(?![\w,]|\.[0-9])|(?<![\w.,-]){_GROUPED}(?![\w,]|\.[0-9])"
+
 
 def dates(text: Column) -> Column:
     """Dates as year-month-day: those spelled month first, then day first, then in digits."""
@@ -30,6 +42,37 @@ def dates(text: Column) -> Column:
     return F.concat(*(of(*s) for s in SPELLINGS))
 
 
+def numbers(text: Column) -> Column:
+    """Numbers in one spelling each: ranges, percentages, versions, ordinals, then all others, in order of place within a kind.
+
+    Dates and percent escapes are no numbers, and what one kind has claimed the next ones don't see.
+    """
+
+    def span(s: Column) -> Column:
+        part = lambda g: F.regexp_extract(s, RANGE, g)
+        return F.concat(F.lit("range:"), canonical_number(part(1)), F.lit("-"), canonical_number(part(2)), F.when(part(3) != "", "%").otherwise(""))
+
+    kinds = [
+        (RANGE, span),
+        (PERCENT, lambda s: F.concat(canonical_number(F.regexp_extract(s, PERCENT, 1)), F.lit("%"))),
+        (VERSION, lambda s: F.concat(F.lit("version:"), F.regexp_replace(s, "^v", ""))),
+        (ORDINAL, lambda s: canonical_number(F.regexp_extract(s, ORDINAL, 1))),
+        (NUMBER, canonical_number),
+    ]
+
+    def claim(t: Column, left: list) -> Column:
+        if not left:
+            return F.array().cast("array<string>")
+        (pattern, spelled), *rest = left
+        own = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), spelled)
+        return F.concat(own, bound(blank(t, pattern), lambda b: claim(b, rest)) if rest else F.array().cast("array<string>"))
+
+    masked = text
+    for pattern in (*(s[0] for s in SPELLINGS), ESCAPE):
+        masked = blank(masked, pattern)
+    return F.when(text.isNotNull(), bound(masked, lambda t: claim(t, kinds)))
+
+
 def quotes(text: Column, least: int = 4) -> Column:
     """Quotations of `least` words or more in straight or curly double quotes, white space collapsed, apostrophes straight."""
     spans = F.regexp_extract_all(text, F.lit(QUOTED), F.lit(0))

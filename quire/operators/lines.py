@@ -6,13 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-
-
-def blank(text: Column, pattern: str) -> Column:
-    """Every match becomes as many spaces, line breaks kept: offsets stay valid."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    masked = F.transform(hits, lambda m: F.regexp_replace(m, r"[^\n]", " "))
-    return F.array_join(F.zip_with(gaps, masked, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+from quire.functions.markdown import blank
 
 
 def masked_numbers(docs: DataFrame) -> DataFrame:
