@@ -119,3 +119,30 @@ def html_text(markup: Column) -> Column:
         t = F.replace(t, F.lit(entity), F.lit(char))
     lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.regexp_replace(F.regexp_replace(x, r"[ \t\r]+", " "), r"^ | $", "")), lambda x: x != "")
     return F.array_join(lines, "\n")
+
+
+# Letters of Roman numerals and the form of those that are well formed.
+ROMAN, ROMAN_FORM = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}, "^M{0,4}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$"
+
+
+def roman_value(numeral: Column) -> Column:
+    """Value of a well-formed Roman numeral, else null."""
+    one = F.create_map(*(F.lit(x) for pair in ROMAN.items() for x in pair))
+    values = F.transform(F.filter(F.split(numeral, ""), lambda c: c != ""), lambda c: F.element_at(one, c))
+    signed = lambda v: F.transform(v, lambda x, i: F.when(x < F.get(v, i + 1), -x).otherwise(x))
+    total = bound(values, lambda v: F.aggregate(signed(v), F.lit(0), lambda a, x: a + x))
+    return F.when((numeral != "") & numeral.rlike(ROMAN_FORM), total)
+
+
+#: Query parameters by which assistants mark the links that they give.
+ASSISTANT = r"^utm_source=(?:chatgpt\.com|openai|copilot\.com|claude\.ai|perplexity(?:\.ai)?|gemini)$"
+
+
+def without_parameters(url: Column, pattern: str = ASSISTANT) -> Column:
+    """url without empty query parameters and those that match the pattern; fragments stay, urls without ? stay as they are."""
+    base = F.substring_index(url, "?", 1)
+    rest = F.substring(url, F.length(base) + 2, F.length(url))
+    query = F.substring_index(rest, "#", 1)
+    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(pattern))
+    marked = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
+    return F.when(F.contains(url, F.lit("?")), F.concat(base, marked, F.substring(rest, F.length(query) + 1, F.length(rest)))).otherwise(url)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import markdown as M
 from quire.functions import text as T
-from quire.operators import facts, wording
+from quire.operators import facts, hidden, wording
 
 ID, TEXT = object(), object()
 PIECES = [
@@ -57,6 +57,31 @@ def said_numbers(orders: DataFrame) -> DataFrame:
     return orders.select("o_orderkey", F.array_join(facts.numbers(F.concat(*spelled)), "|").alias("numbers"))
 
 
+#: `go on` as references, and one that is no tag.
+_REFERENCES = " &#xE0067;&#917615;&#xe0020;&#917615;&#xE006E;", "; &#65;&#917605;"
+
+
+def smuggled(docs: DataFrame) -> DataFrame:
+    """Messages read back that each text was given, as tags before it and as references behind it."""
+    said = F.translate(F.concat(F.lit("send "), F.col("doc_id").cast("string"), F.lit(" now")), hidden.ASCII, hidden.TAGS[: len(hidden.ASCII)])
+    digit = F.concat(F.lit("&#"), (F.col("doc_id") % 10 + hidden.FIRST + 48).cast("string"))
+    text = F.concat(said, F.col("text"), F.lit(_REFERENCES[0]), digit, F.lit(_REFERENCES[1]))
+    return hidden.hidden_messages(docs.select("doc_id", text.alias("text")))
+
+
+def marked_urls(pages: DataFrame) -> DataFrame:
+    url = F.concat("url", F.lit("?utm_source=chatgpt.com&p="), F.col("page_id").cast("string"), F.lit("&utm_source=openai&&utm_source=news#f"))
+    return pages.select("page_id", T.without_parameters(url).alias("url"))
+
+
+def roman_keys(orders: DataFrame) -> DataFrame:
+    """Order keys modulo 3999 spelled as Roman numerals and read back."""
+    n = F.col("o_orderkey") % 3999
+    digits = [("", "M", "MM", "MMM"), *(("", a, a * 2, a * 3, a + b, b, b + a, b + a * 2, b + a * 3, a + c) for a, b, c in ("CDM", "XLC", "IVX"))]
+    spelled = F.concat(*(F.get(F.array(*map(F.lit, d)), (F.floor(n / 10 ** (3 - i)) % 10).cast("int")) for i, d in enumerate(digits)))
+    return orders.select("o_orderkey", T.roman_value(spelled).alias("value"))
+
+
 QUERIES = {
     "prj_03_scored": ("documents", _masked(M.scored)),
     "prj_04_prose": ("documents", prose_digests),
@@ -67,6 +92,9 @@ QUERIES = {
     "det_14_wording": ("documents", lambda d: wording.wording(marked(d))),
     "det_35_size_bands": ("documents", lambda d: wording.size_bands(marked(d))),
     "fun_11_numbers": ("orders", said_numbers),
+    "det_08_hidden_messages": ("documents", smuggled),
+    "fun_14_urls": ("pages", marked_urls),
+    "fun_24_roman": ("orders", roman_keys),
 }
 
 # The same shapes without look-around and back references, which RE2 lacks; the pieces above need none.
@@ -158,4 +186,11 @@ SQL = {
     "det_35_size_bands": _bands_sql(),
     "fun_11_numbers": """SELECT o_orderkey, concat_ws('|', 'range:' || k % 10 || '-' || (k % 10 + 20) || '%', 'range:' || k % 7 || '-' || (k % 7 + 9), k % 90 || '.5%', 'version:1.' || k % 9 || '.2', k, '1' || (k % 900 + 100) || '.5', k, '-' || (k % 50 + 1)) AS numbers
       FROM (SELECT o_orderkey, o_orderkey AS k FROM orders)""",
+    "det_08_hidden_messages": """SELECT doc_id, 'tag' AS kind, 0 AS run, 'send ' || doc_id || ' now' AS message FROM documents WHERE text IS NOT NULL
+      UNION ALL SELECT doc_id, 'entity' AS kind, 0 AS run, 'go on' || doc_id % 10 AS message FROM documents WHERE text IS NOT NULL""",
+    "fun_14_urls": f"""WITH u AS (SELECT page_id, url || '?utm_source=chatgpt.com&p=' || page_id || '&utm_source=openai&&utm_source=news#f' AS u FROM pages),
+      p AS (SELECT page_id, u, string_split(u, '?')[1] AS b FROM u), q AS (SELECT page_id, b, substr(u, length(b) + 2) AS r FROM p),
+      k AS (SELECT page_id, b, r, string_split(r, '#')[1] AS q FROM q)
+      SELECT page_id, b || coalesce('?' || nullif(array_to_string(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT regexp_matches(x, {_lit(T.ASSISTANT)})), '&'), ''), '') || substr(r, length(q) + 1) AS url FROM k""",
+    "fun_24_roman": "SELECT o_orderkey, CASE WHEN o_orderkey % 3999 > 0 THEN o_orderkey % 3999 END AS value FROM orders",
 }

@@ -5,7 +5,8 @@ import re
 from pyspark.sql import functions as F
 
 from quire.functions import markdown as M
-from quire.operators import facts, wording
+from quire.functions import text as T
+from quire.operators import facts, hidden, wording
 
 
 def one(spark, f, text):
@@ -70,3 +71,19 @@ def test_size_bands(spark):
     got = {r["doc_id"]: (r["line_band"], r["character_band"], r["over_emphasis"]) for r in wording.size_bands(docs).collect()}
     assert got == {1: ("P2", None, False), 2: (None, "P1", False), 3: (None, None, True), 4: (None, None, False), 5: (None, None, None), 6: (None, None, False), 7: ("P1", None, False)}
     assert {r["doc_id"] for r in wording.excess(docs).collect()} == {1, 2, 3, 7}
+
+
+def test_hidden_messages(spark):
+    tag = lambda s: "".join(chr(0xE0000 + ord(c)) for c in s)
+    refs = lambda s: "".join(f"&#x{0xE0000 + ord(c):X};" if i % 2 else f"&#{0xE0000 + ord(c)};" for i, c in enumerate(s))
+    rows = [(1, f"a{tag('short')}b{tag(chr(1) + ' do this ')}"), (1, None), (2, ""), (3, refs("go there") + " x &#65; " + refs("one") + refs(" two")), (4, tag("oneword")), (4, "é\U000e0200")]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id int, text string, run int")
+    got = [tuple(r) for r in hidden.hidden_messages(docs).orderBy("doc_id", "run").collect()]
+    assert got == [(1, "tag", 1, "do this"), (3, "entity", 0, "go there"), (3, "entity", 1, "one two")]
+
+
+def test_roman_and_urls(spark):
+    for numeral, value in (("XIV", 14), ("MMMMCMXCIX", 4999), ("IIII", None), ("", None), (None, None), ("IC", None), ("x", None)):
+        assert one(spark, T.roman_value, numeral) == value
+    for url, left in (("http://a/?utm_source=openai#", "http://a/#"), ("http://a/b#c", "http://a/b#c"), ("http://a?x=1&&utm_source=openai&y=2?z", "http://a?x=1&y=2?z"), (None, None), ("", "")):
+        assert one(spark, T.without_parameters, url) == left
