@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound
+
 # The shapes of markdown. A fence or code span closes with the marks that opened it.
 FRONTMATTER = r"\A---\n(?s:.*?)\n---\n"
 FENCE = r"(?dm:^)[ \t]*(?<fence>`{3,}|~{3,})(?s:.*?)(?:(?dm:^)[ \t]*\k<fence>[`~]*|\z)"
@@ -28,10 +30,17 @@ URL, WHOLE_URL = r"https?://[^\s)>\]\"']+", r"https?://\S+"
 
 
 def blank(text: Column, pattern: str) -> Column:
-    """Every match becomes white space of its length, line breaks and tabs kept: offsets stay valid."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    masked = F.transform(hits, lambda m: F.regexp_replace(m, r"\S", " "))
-    return F.array_join(F.zip_with(gaps, masked, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+    """Every match becomes white space of its length, line breaks and tabs kept: offsets stay valid.
+
+    The text is computed once, so that masks in a row cost as many passes as there are masks.
+    """
+
+    def masked(t: Column) -> Column:
+        gaps, hits = F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(f"({pattern})"), F.lit(1))
+        spaces = F.transform(hits, lambda m: F.regexp_replace(m, r"\S", " "))
+        return F.array_join(F.zip_with(gaps, spaces, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+
+    return bound(text, masked)
 
 
 def blank_all(text: Column, *patterns: str) -> Column:
