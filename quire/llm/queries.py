@@ -78,11 +78,30 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import variants
+
+    return variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked_search import search
+
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_templates, op2_near_duplicates, op3_pack, op4_secret_scan, op5_quality_lm,
         op6_license_scan, op7_line_dedup, op8_chunk_store, op9_line_field, op10_decontaminate,
+        op11_spelling_variants, op12_suffix_dedup, op13_ranked_search,
     )
 }
 
@@ -140,5 +159,40 @@ left_ AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (c
 SELECT doc_id, CASE WHEN n_removed > 0 THEN left_.text ELSE documents.text END AS text, n_removed::INT AS n_removed FROM documents JOIN left_ USING (doc_id)"""
 
 
+# Whole numbers: a CRC by its table, byte by byte; letters beyond ASCII are two bytes.
+_OP11 = r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b)) AS t),
+runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS r FROM documents),
+low AS (SELECT d, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r, count(*) AS n FROM runs GROUP BY ALL),
+bytes AS (SELECT d, r, n, flatten(list_transform(string_split(d || ':' || r, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [192 + ord(c) // 64, 128 + ord(c) % 64] END)) AS b FROM low),
+marked AS (SELECT r, n, xor(list_reduce(b, lambda c, x: xor(c // 256, t[xor(c % 256, x::BIGINT) + 1]), 4294967295::BIGINT), 4294967295) AS h FROM bytes, crc),
+made AS (SELECT CASE WHEN h % 199 = 0 THEN substr(r, 1, (h % length(r))::BIGINT) || substr(r, (h % length(r))::BIGINT + 2) ELSE r END AS word, n FROM marked),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM made WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+holes AS (SELECT word, n, i, substr(word, 1, i - 1) AS l, substr(word, i + 1) AS r FROM places),
+near AS (SELECT a.word, b.word AS near, b.n FROM holes a JOIN holes b ON a.i = b.i AND a.l = b.l AND a.r = b.r AND a.word <> b.word
+  UNION SELECT h.word, w.word, w.n FROM holes h JOIN w ON w.word = h.l || h.r
+  UNION SELECT w.word, h.word, h.n FROM holes h JOIN w ON w.word = h.l || h.r),
+best AS (SELECT word, count(*) AS n_near, min({'less': -n, 'near': near}) AS b FROM near GROUP BY word),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.less >= 5 * w.n THEN b.near END AS form, CASE WHEN -b.less >= 5 * w.n THEN -b.less END AS form_n FROM w LEFT JOIN best USING (word)),
+chain(word, at_) AS (SELECT word, word FROM forms UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.at_ WHERE f.form IS NOT NULL),
+ends AS (SELECT c.word, c.at_ AS root FROM chain c JOIN forms f ON f.word = c.at_ WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n FROM forms JOIN ends USING (word)"""
+
+
+def _search_sql() -> str:
+    terms = "regexp_extract_all(" + _LOWER.format("text") + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {terms} AS t FROM documents),
+s AS (SELECT count(*) AS n, sum(len(t))::BIGINT AS l FROM d WHERE len(t) > 0),
+p AS (SELECT k, t, count(*) AS tf FROM (SELECT k, unnest(t) AS t FROM d) GROUP BY ALL),
+df AS (SELECT t, floor(1000 * ln((2.0 * (SELECT n FROM s) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p GROUP BY t),
+m AS (SELECT k, doc_id, 100 - 75 + (75 * len(t) * n) // l AS m FROM d, s WHERE len(t) > 0),
+i AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({terms}) AS t FROM benchmark) GROUP BY ALL),
+x AS (SELECT item_id, k, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM i JOIN df USING (t) JOIN p USING (t) JOIN m USING (k) GROUP BY item_id, k),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM x JOIN m USING (k) WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 10"""
+
+
 #: The other operators hold learned or iterative steps, or token ids, that SQL has no form for.
-SQL: dict[str, str] = {"op2_near_duplicates": _OP2, "op6_license_scan": _license_sql(), "op7_line_dedup": _OP7}
+SQL: dict[str, str] = {"op2_near_duplicates": _OP2, "op6_license_scan": _license_sql(), "op7_line_dedup": _OP7, "op11_spelling_variants": _OP11, "op13_ranked_search": _search_sql()}
