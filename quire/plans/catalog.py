@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import MARKERS
 from quire.operators import corpus, detectors, facts, gates, joins, lines, stats, stylometry
-from quire.plans import markdown_catalog
+from quire.plans import markdown_catalog, span_catalog
 from quire.streaming import scan
 
 
@@ -119,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "str_02_scan": _on("documents", scan.scan),
     "str_event_windows": _on("events", scan.event_windows),
     **{name: _on(table, f) for name, (table, f) in markdown_catalog.QUERIES.items()},
+    **{name: _on(tables[0], f, *tables[1:]) for name, (*tables, f) in span_catalog.QUERIES.items()},
 }
 
 # DuckDB forms of the text functions; {0} is the text.
@@ -280,4 +281,5 @@ SQL: dict[str, str] = {
     "str_02_scan": f"SELECT doc_id, len(list_filter(list_transform(string_split(text, chr(10)), lambda p: len({_SENTENCES.format('p')})), lambda n: n > 6)) AS long_paragraphs, len(list_filter({_LENGTHS.format('text')}, lambda n: n > 25)) AS long_sentences FROM documents",
     "str_event_windows": "SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL",
     **markdown_catalog.SQL,
+    **span_catalog.SQL,
 }
