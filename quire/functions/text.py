@@ -36,10 +36,27 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z][a-z'-]*)"), F.lit(1))
 
 
+# Abbreviations whose period ends no sentence, and what may close a sentence after its mark.
+ABBREVIATIONS = "Mr Mrs Ms Dr Prof Sr Jr St etc vs approx dept est vol Inc Ltd Fig No".split()
+CLOSERS = "\"'\u2019\u201d)\\]"
+#: Letters of a word, whatever the engine takes for one: all characters beyond ASCII count.
+WORD_LETTERS = r"0-9A-Za-z_\x{80}-\x{10FFFF}"
+_SPACE = r" \t\r\n\x0B\f"
+
+
 def sentences(text: Column) -> Column:
-    """Runs of text up to . ! or ? before white space; blank ones dropped."""
-    parts = F.split(F.regexp_replace(text, r"([.!?])[ \t\r\n]+", "$1\u0001"), "\u0001")
-    return F.filter(parts, lambda s: F.regexp_replace(s, r"[ \t\r\n]+", "") != "")
+    """Sentences without outer white space; blank ones are dropped.
+
+    A sentence ends at . ! or ?, with at most one closing quote or bracket, before white space, and before every list item. The periods of
+    abbreviations, of single capitals and of list numbers end none. The characters U+0001 and U+0002 are taken out.
+    """
+    t = F.translate(text, "\u0001\u0002", "")
+    t = F.regexp_replace(t, rf"(?<![{WORD_LETTERS}])((?i:{'|'.join(ABBREVIATIONS)})|[A-Z])\.", "$1\u0001")
+    t = F.regexp_replace(t, rf"(?dm)^[{_SPACE}]*([0-9]+)\.", "$1\u0001")
+    t = F.regexp_replace(t, rf"(?dm)^([ \t\r\x0B\f]*)([-*+][{_SPACE}]|[0-9]+\)[{_SPACE}]|[0-9]+\u0001)", "\u0002$1$2")
+    t = F.regexp_replace(t, rf"([.!?][{CLOSERS}]?)[{_SPACE}]+", "$1\u0002")
+    parts = F.transform(F.split(t, "\u0002", -1), lambda s: F.translate(F.regexp_replace(s, rf"^[{_SPACE}]+|[{_SPACE}]+$", ""), "\u0001", "."))
+    return F.filter(parts, lambda s: s != "")
 
 
 def sentence_lengths(text: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.text import MARKERS
+from quire.functions.text import ABBREVIATIONS, CLOSERS, MARKERS, WORD_LETTERS
 from quire.operators import corpus, detectors, facts, gates, joins, lines, stats, stylometry
 from quire.plans import markdown_catalog, span_catalog
 from quire.streaming import scan
@@ -124,7 +124,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 # DuckDB forms of the text functions; {0} is the text.
 _WORDS = "regexp_extract_all(lower({0}), '[a-z][a-z''-]*')"
-_SENTENCES = r"list_filter(string_split(regexp_replace({0}, '([.!?])[ \t\r\n]+', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '[ \t\r\n]+', '', 'g') <> '')"
+_WS = r" \t\r\n\x0B\f"
+
+
+def _sentences() -> str:
+    """Sentences of {0}. What other engines say by looking behind is said by the character before, and twice, as matches may share it."""
+    t = "translate({0}, chr(1) || chr(2), '')"
+    letters = WORD_LETTERS.replace("{", "{{").replace("}", "}}")
+    for _ in range(2):
+        t = rf"regexp_replace({t}, '(^|[^{letters}])((?i:{'|'.join(ABBREVIATIONS)})|[A-Z])\.', '\1\2' || chr(1), 'g')"
+    t = rf"regexp_replace({t}, '(?m)^[{_WS}]*([0-9]+)\.', '\1' || chr(1), 'g')"
+    t = rf"regexp_replace({t}, '(?m)^([ \t\r\x0B\f]*)([-*+][{_WS}]|[0-9]+\)[{_WS}]|[0-9]+\x01)', chr(2) || '\1\2', 'g')"
+    closers = CLOSERS.replace("'", "''")
+    t = rf"regexp_replace({t}, '([.!?][{closers}]?)[{_WS}]+', '\1' || chr(2), 'g')"
+    return rf"list_filter(list_transform(string_split({t}, chr(2)), lambda s: replace(regexp_replace(s, '^[{_WS}]+|[{_WS}]+$', '', 'g'), chr(1), '.')), lambda s: s <> '')"
+
+
+_SENTENCES = _sentences()
 _LENGTHS = "list_filter(list_transform(" + _SENTENCES + ", lambda s: len(" + _WORDS.format("s") + ")), lambda n: n > 0)"
 _GRAMS = "list_transform(range(1, len({0}) - {1} + 2), lambda i: array_to_string(list_slice({0}, i, i + {1} - 1), ' '))"
 _NORM = r"lower(regexp_replace(regexp_replace(regexp_replace({0}, '^[ \t]*([-*+]|[0-9]+[.)])[ \t]+', ''), '[ \t\r\n]+', ' ', 'g'), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g'))"

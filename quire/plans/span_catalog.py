@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators import concealed
+from quire.operators import concealed, lexicon
 
 ID, TEXT = object(), object()
 PAGE = [
@@ -34,7 +34,34 @@ def _digest(c: str) -> F.Column:
     return F.sha2(c, 256).alias(f"{c}_sha")
 
 
+def _catalogue(items: DataFrame, origin: int = 0) -> DataFrame:
+    """A catalogue of the items' long words and every other pair of neighbouring words, with ids, bands, priorities and allowances by their letters."""
+    words = F.filter(lexicon.tokens(F.col("text")), lambda w: w.rlike(r"[0-9a-z_\x{80}-\x{10FFFF}]"))
+    pairs = F.transform(F.filter(F.sequence(F.lit(0), F.size("w") - 2), lambda i: i % 2 == 0), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))
+    t = items.select(words.alias("w")).where("size(w) > 1").select(F.explode(F.concat(pairs, F.filter("w", lambda w: F.length(w) >= 7))).alias("term")).distinct()
+    n = F.length("term")
+    return t.select(
+        F.replace("term", F.lit(" "), F.lit("-")).alias("id"), "term", F.concat(F.lit("tier"), n % 2).alias("band"), F.concat(F.lit("P"), n % 3).alias("priority"), (n % 2).alias("max_allowed"), F.lit(origin).alias("origin")
+    )
+
+
+def _scanned(docs: DataFrame, items: DataFrame) -> DataFrame:
+    catalogue = _catalogue(items)
+    skips = catalogue.where("length(id) % 5 = 0").select(F.lit("en").alias("register"), "id")
+    return lexicon.scan(docs, catalogue, skips, "lang").select("doc_id", "id", "band", "priority", "pos", F.col("end").alias("upto"), "past")
+
+
+def _owned(items: DataFrame) -> DataFrame:
+    """Terms of the items by the rule that owns them: of two lists, the first of even items only."""
+    child, parent = _catalogue(items.where("item_id % 2 = 0"), 0), _catalogue(items, 1)
+    owned = lexicon.attributed(parent.unionByName(child.withColumn("id", F.concat(F.lit("own-"), F.col("id")))))
+    return owned.select("id", "term", "origin")
+
+
 QUERIES = {
+    "det_03_scan": ("documents", "benchmark", _scanned),
+    "join_17_term_evidence": ("documents", "benchmark", lambda d, b: lexicon.term_evidence(d, _catalogue(b))),
+    "join_32_owned_terms": ("benchmark", _owned),
     "det_07_concealed": ("pages", lambda p: concealed.concealed_spans(_pages(p, PAGE))),
     "det_06_injection": ("pages", lambda p: concealed.injection_findings(_pages(p, PAGE))),
     "prj_19_details": ("pages", lambda p: concealed.fold_details(_pages(p, NESTED)).select("page_id", _digest("folded"), F.length("folded").alias("chars"))),
@@ -95,4 +122,32 @@ SELECT page_id, CASE WHEN directive THEN 'injection-hidden-directive' ELSE 'inje
 UNION ALL SELECT page_id, 'injection-visible-directive', 'P2', 'visible', s, e, line FROM seen"""
 _PRJ_19 = f"""SELECT page_id, sha256(t) AS folded_sha, length(t) AS chars FROM (SELECT page_id, {_sql_text(["<summary>Page ", ID, "</summary>\n", TEXT, "<details>left open ", ID], "page_id", "html")} AS t FROM pages)"""
 
-SQL = {"det_07_concealed": _DET_07, "det_06_injection": _DET_06, "prj_19_details": _PRJ_19}
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _tokens(text: str) -> str:
+    return "regexp_extract_all(" + _LOWER.format(text) + ", '" + lexicon.TOKEN.replace("'", "''") + "')"
+
+
+def _catalogue_sql(source: str) -> str:
+    return rf"""SELECT replace(term, ' ', '-') AS id, term, 'tier' || (length(term) % 2) AS band, 'P' || (length(term) % 3) AS priority, length(term) % 2 AS max_allowed FROM (
+  SELECT DISTINCT unnest(list_concat(list_transform(list_filter(range(len(w) - 1), lambda i: i % 2 = 0), lambda i: w[i + 1] || ' ' || w[i + 2]), list_filter(w, lambda x: length(x) >= 7))) AS term
+  FROM (SELECT list_filter({_tokens("text")}, lambda x: regexp_matches(x, '[0-9a-z_\x{{80}}-\x{{10FFFF}}]')) AS w FROM {source}) WHERE len(w) > 1)"""
+
+
+_MATCHED = f"""c AS ({_catalogue_sql("benchmark")}),
+t AS (SELECT row_number() OVER () AS k, doc_id, lang, {_tokens("text")} AS t FROM documents),
+r AS (SELECT k, doc_id, lang, unnest(range(len(t))) AS s, 1 AS n, unnest(t) AS term FROM t UNION ALL
+  SELECT k, doc_id, lang, unnest(range(len(t) - 1)), 2, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM t),
+m AS (SELECT * FROM r JOIN c USING (term))"""
+_DET_03 = f"""WITH {_MATCHED},
+g AS (SELECT k, doc_id, list({{'s': s, 'w': -n, 'id': id, 'e': s + n, 'band': band, 'priority': priority, 'allowed': max_allowed}} ORDER BY s, n DESC, id) AS x FROM m WHERE NOT (lang = 'en' AND length(id) % 5 = 0) GROUP BY k, doc_id, band),
+f AS (SELECT k, doc_id, unnest(list_reduce(x[2:], lambda a, v: CASE WHEN v.s >= a[-1].e THEN list_append(a, v) ELSE a END, x[:1])) AS v FROM g),
+p AS (SELECT doc_id, v.id AS id, v.band AS band, v.priority AS priority, v.s AS pos, v.e AS upto, row_number() OVER (PARTITION BY k, v.id ORDER BY v.s) > v.allowed AS past FROM f)
+SELECT doc_id, id, band, priority, pos::INT AS pos, upto::INT AS upto, past FROM p"""
+_JOIN_17 = f"""WITH {_MATCHED}, e AS (SELECT term, count(DISTINCT k) AS docs, count(*) AS hits FROM m GROUP BY term)
+SELECT term, coalesce(docs, 0) AS docs, coalesce(hits, 0) AS hits FROM c LEFT JOIN e USING (term)"""
+_JOIN_32 = f"""WITH own AS ({_catalogue_sql("(SELECT * FROM benchmark WHERE item_id % 2 = 0)")}), c AS ({_catalogue_sql("benchmark")})
+SELECT CASE WHEN own.term IS NULL THEN c.id ELSE 'own-' || c.id END AS id, c.term, CASE WHEN own.term IS NULL THEN 1 ELSE 0 END AS origin FROM c LEFT JOIN own ON own.term = c.term"""
+
+SQL = {"det_03_scan": _DET_03, "join_17_term_evidence": _JOIN_17, "join_32_owned_terms": _JOIN_32, "det_07_concealed": _DET_07, "det_06_injection": _DET_06, "prj_19_details": _PRJ_19}
