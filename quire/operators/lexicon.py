@@ -82,14 +82,15 @@ def matches(docs: DataFrame, catalogue: DataFrame, register: str | None = None,
         context = docs.sparkSession.sparkContext
         return rows.mapInArrow(_matches(context.broadcast(trie(r.words for r in known)), context.broadcast([r.term for r in known])), "row long, doc_id long, register string, term string, start int, end int")
     t = rows.select("row", "doc_id", "register", tokens(F.col("text")).alias("t"))
-    runs = [
-        t.where(F.size("t") >= k).select("row", "doc_id", "register", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("t") - (k - 1)), lambda i, k=k: F.array_join(F.slice("t", i, k), " "))).alias("start", "key"), F.lit(k).alias("k"))
-        for k in range(1, longest + 1)
-    ]
+
+    def runs_of(k: int) -> DataFrame:
+        runs = F.transform(F.sequence(F.lit(1), F.size("t") - (k - 1)), lambda i: F.array_join(F.slice("t", i, k), " "))
+        return t.where(F.size("t") >= k).select("row", "doc_id", "register", F.posexplode(runs).alias("start", "key"), F.lit(k).alias("k"))
+
     keyed = wanted.select("term", F.array_join("words", " ").alias("key"))
-    every = runs[0]
-    for more in runs[1:]:
-        every = every.unionByName(more)
+    every = runs_of(1)
+    for k in range(2, longest + 1):
+        every = every.unionByName(runs_of(k))
     return every.join(keyed, "key").select("row", "doc_id", "register", "term", "start", (F.col("start") + F.col("k")).alias("end"))
 
 
