@@ -81,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "join_02_fact_delta": _on("documents", joins.fact_delta),
     "join_07_repeated_lines": _on("documents", joins.repeated_lines),
     "join_09_overlap": _on("documents", joins.line_overlap),
+    "join_09_links": _on("documents", joins.line_links),
     "join_11_verbatim": _on("documents", joins.verbatim, "benchmark"),
     "join_13_nearest": _on("embeddings", joins.nearest),
     "fun_19_digest_dedup": _on("documents", corpus.digest_dedup),
@@ -172,9 +173,17 @@ own AS (SELECT source, doc_id, sum(least(abs(x - mean) / floored_sd, 4.0)) / {le
 _LONG = f"""measures AS (SELECT source, doc_id, unnest(['word_count', 'avg_sentence_words', 'burstiness', 'ttr']) AS measure,
   unnest([word_count::DOUBLE, avg_sentence_words, burstiness, ttr]) AS value FROM ({_STATS})), m AS (SELECT * FROM measures WHERE value IS NOT NULL)"""
 _LINES = f"keys AS (SELECT * FROM (SELECT doc_id, {_NORM.format('line')} AS norm FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)) WHERE length(norm) >= 40)"
-_PAIRS = f"""{_LINES}, k AS (SELECT DISTINCT doc_id, norm FROM keys),
-firsts AS (SELECT norm, min(doc_id) AS first_id FROM k GROUP BY norm HAVING count(*) > 1),
-pairs AS (SELECT DISTINCT doc_id, first_id FROM k JOIN firsts USING (norm) WHERE doc_id <> first_id)"""
+_FACTS = r"coalesce(list_transform(list_transform(regexp_extract_all(text, '[0-9][0-9,]*(?:\.[0-9]+)?'), lambda x: replace(x, ',', '')), lambda x: {0}), [])"
+
+
+def _overlaps(classes: str) -> str:
+    """SQL for pairs of the classes u (id, lines, ...) that share three tenths of the smaller set's lines."""
+    return f"""{_LINES}, s AS (SELECT doc_id, list(DISTINCT norm ORDER BY norm) AS lines FROM keys GROUP BY doc_id), u AS ({classes}), v AS (SELECT id, len(lines) AS size, unnest(lines) AS norm FROM u),
+      met AS (SELECT a.id AS first_id, b.id AS doc_id, count(*) AS common, least(any_value(a.size), any_value(b.size)) AS smaller FROM v a JOIN v b ON a.norm = b.norm AND a.id < b.id GROUP BY ALL),
+      pairs AS (SELECT * FROM met WHERE 100 * common >= 30 * smaller)"""
+
+
+_OVERLAPS = _overlaps("SELECT min(doc_id) AS id, lines FROM s GROUP BY lines")
 _NUMBER = r"""CASE WHEN try_cast(x AS DOUBLE) = floor(try_cast(x AS DOUBLE)) AND abs(try_cast(x AS DOUBLE)) < 1e15 THEN try_cast(x AS DOUBLE)::BIGINT::VARCHAR ELSE regexp_replace(x, '0+$', '') END"""
 _LONG_P = f"SELECT doc_id, pos - 1 AS pos, len({_SENTENCES.format('p')}) AS n FROM (SELECT doc_id, unnest(l) AS p, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE len({_SENTENCES.format('p')}) > 6"
 _LONG_S = f"""SELECT doc_id, pos, n, hit FROM (SELECT doc_id, pos, n, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS hit FROM
@@ -228,14 +237,16 @@ SQL: dict[str, str] = {
       a AS (SELECT conv_id, turn, word, count(*) AS n FROM (SELECT conv_id, turn, unnest(w) AS word FROM p WHERE nxt IS NOT NULL) GROUP BY ALL),
       b AS (SELECT conv_id, turn, word, count(*) AS m FROM (SELECT conv_id, turn, unnest(nxt) AS word FROM p) GROUP BY ALL)
       SELECT conv_id, turn, sum(n - coalesce(m, 0))::BIGINT AS lost, count(*) AS lost_types FROM a LEFT JOIN b USING (conv_id, turn, word) WHERE n > coalesce(m, 0) GROUP BY ALL""",
-    "join_02_fact_delta": f"""WITH {_PAIRS}, f AS (SELECT doc_id, list_transform(list_transform(regexp_extract_all(text, '[0-9][0-9,]*(?:\\.[0-9]+)?'), lambda x: replace(x, ',', '')), lambda x: {_NUMBER}) AS facts FROM documents),
+    "join_02_fact_delta": f"""WITH {_overlaps(f"SELECT min(doc_id) AS id, lines, facts FROM (SELECT doc_id, lines, list_sort({_FACTS.format(_NUMBER)}) AS facts FROM s JOIN documents USING (doc_id)) GROUP BY lines, facts")},
+      f AS (SELECT id AS doc_id, facts FROM u),
       a AS (SELECT first_id, doc_id, fact, count(*) AS n FROM (SELECT p.first_id, p.doc_id, unnest(facts) AS fact FROM pairs p JOIN f ON f.doc_id = p.first_id) GROUP BY ALL),
       b AS (SELECT first_id, doc_id, fact, count(*) AS n FROM (SELECT p.first_id, p.doc_id, unnest(facts) AS fact FROM pairs p JOIN f ON f.doc_id = p.doc_id) GROUP BY ALL)
       SELECT first_id, doc_id, 'lost' AS side, fact, a.n - coalesce(b.n, 0) AS n FROM a LEFT JOIN b USING (first_id, doc_id, fact) WHERE a.n > coalesce(b.n, 0)
       UNION ALL SELECT first_id, doc_id, 'added' AS side, fact, b.n - coalesce(a.n, 0) AS n FROM b LEFT JOIN a USING (first_id, doc_id, fact) WHERE b.n > coalesce(a.n, 0)""",
     "join_07_repeated_lines": f"WITH {_LINES}, d AS (SELECT norm, doc_id, count(*) AS k FROM keys GROUP BY ALL) SELECT sha256(norm) AS line_sha, count(*) AS docs, sum(k)::BIGINT AS hits, min(doc_id) AS first_id FROM d GROUP BY norm HAVING count(*) > 1",
-    "join_09_overlap": f"""WITH {_PAIRS}, s AS (SELECT doc_id, list(norm) AS lines FROM k GROUP BY doc_id)
-      SELECT p.doc_id, p.first_id, len(list_intersect(a.lines, b.lines)) AS common, round(len(list_intersect(a.lines, b.lines)) / least(len(a.lines), len(b.lines))::DOUBLE, 6) AS overlap FROM pairs p JOIN s a ON a.doc_id = p.doc_id JOIN s b ON b.doc_id = p.first_id""",
+    "join_09_overlap": f"""WITH {_OVERLAPS} SELECT doc_id, first_id, common, round(common / smaller::DOUBLE, 6) AS overlap FROM pairs""",
+    "join_09_links": f"""WITH {_OVERLAPS}, e AS (SELECT id, count(*) AS links FROM (SELECT doc_id AS id FROM pairs UNION ALL SELECT first_id FROM pairs) GROUP BY id)
+      SELECT s.doc_id, u.id AS class_id, coalesce(links, 0) AS links FROM s JOIN u USING (lines) LEFT JOIN e ON e.id = u.id""",
     "join_11_verbatim": f"""WITH d AS (SELECT DISTINCT doc_id, unnest({_GRAMS.format('w', 10)}) AS gram FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents)), b AS (SELECT DISTINCT item_id, unnest({_GRAMS.format('w', 10)}) AS gram FROM (SELECT item_id, {_WORDS.format('text')} AS w FROM benchmark))
       SELECT doc_id, item_id, count(*) AS windows FROM d JOIN b USING (gram) GROUP BY ALL""",
     "join_13_nearest": """WITH p AS (SELECT q.vec_id, r.vec_id AS other_id, list_sum(list_transform(list_zip(q.embedding, r.embedding), lambda z: abs(z[1]::DOUBLE - z[2]::DOUBLE))) AS d FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0)
@@ -298,4 +309,5 @@ SQL: dict[str, str] = {
     "str_event_windows": "SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL",
     **markdown_catalog.SQL,
     **span_catalog.SQL,
+    **span_catalog.prose_sql(_WORDS, _LENGTHS, _SENTENCES, _MARKERS, _GRAMS, _STATS),
 }

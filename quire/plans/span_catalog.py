@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import ABBREVIATIONS, CLOSERS, WORD_LETTERS
-from quire.operators import concealed, edits, lexicon, units
+from quire.operators import closure, concealed, contents, cover, edits, learning, lexicon, units
 
 ID, TEXT = object(), object()
 PAGE = [
@@ -95,7 +95,41 @@ def _sentence_places(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "block", "n", F.col("start").alias("begin"), F.col("end").alias("upto"), _digest("sentence"), _digest("before"))
 
 
+def _files(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents as files with their lines as size, importing one or two others each."""
+    own = F.size(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"\S")))
+    first = docs.select(F.col("doc_id").alias("src"), ((F.col("doc_id") * 7 + F.length("text")) % 1009).alias("dst"))
+    second = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("src"), F.expr("doc_id div 2").alias("dst"))
+    return docs.select(F.col("doc_id").alias("id"), own.alias("own")), first.unionByName(second)
+
+
+def _with_lines(docs: DataFrame, line) -> DataFrame:
+    return docs.select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), line), "\n").alias("text"))
+
+
+def _paged(x: F.Column, i: F.Column) -> F.Column:
+    return F.when(F.length(x) % 4 > 0, F.concat(x, F.lit(" .. "), (i + 1) % 10000)).otherwise(x)
+
+
+def _headed(x: F.Column, i: F.Column) -> F.Column:
+    k = i % 6
+    return (
+        F.when(k == 0, F.concat(F.lit("# "), x)).when(k == 1, F.lit("```")).when(k == 2, F.concat(F.lit("#### "), x)).when(k == 3, F.concat(x, F.lit("\n====")))
+        .when(k == 4, F.concat(F.lit("  ## "), x, F.lit(" ##"))).otherwise(x)
+    )
+
+
 QUERIES = {
+    "agg_40_substitutions": ("conversations", learning.substitutions),
+    "agg_41_content_removals": ("conversations", learning.removals),
+    "agg_42_opener_changes": ("conversations", learning.opener_changes),
+    "agg_44_measure_moves": ("conversations", learning.measure_moves),
+    "join_11_runs": ("documents", "benchmark", cover.copied_runs),
+    "join_11_spans": ("documents", "benchmark", cover.lifted_spans),
+    "join_10_effective_size": ("documents", lambda d: closure.effective_size(*_files(d))),
+    "det_44_import_cost": ("documents", lambda d: closure.import_cost(*_files(d), 30, 120)),
+    "det_58_contents": ("documents", lambda d: contents.contents(_with_lines(d, _paged))),
+    "ord_06_headings": ("documents", lambda d: contents.headings(_with_lines(d, _headed)).select("doc_id", "line", "kind", _digest("title"), "upto")),
     "join_14_edits": ("documents", _edited),
     "tok_11_sentence_places": ("documents", _sentence_places),
     "join_15_units": ("documents", _units),
@@ -224,9 +258,9 @@ x AS (SELECT doc_id, unnest(l) AS p, generate_subscripts(l, 1) AS i FROM (SELECT
 b AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS block, bs, p FROM (SELECT *, {before.format("p", 2, "")} AS bs FROM x) WHERE regexp_replace(p, '{ends}', '', 'g') <> ''),
 c AS (SELECT doc_id, block, bs, p, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, block, bs, p, string_split({marked}, chr(2)) AS l FROM b)),
 o AS (SELECT *, {before.format("t", 0, ", block")} AS at_, regexp_replace(t, '{ends}', '', 'g') AS body FROM c),
-s AS (SELECT doc_id, block, bs, bs + length(regexp_replace(p, '[ 	
+s AS (SELECT doc_id, block, bs, bs + length(regexp_replace(p, '[ 	
 ]+$', '')) AS be, bs + length(p) AS bu, row_number() OVER w - 1 AS n, s, s + length(body) AS e, replace(body, chr(1), '.') AS sentence, coalesce(lag(replace(body, chr(1), '.')) OVER w, '') AS before
-  FROM (SELECT *, bs + at_ + length(t) - length(regexp_replace(t, '^[ 	
+  FROM (SELECT *, bs + at_ + length(t) - length(regexp_replace(t, '^[ 	
 ]+', '')) AS s FROM o WHERE body <> '') WINDOW w AS (PARTITION BY doc_id, block ORDER BY i))"""
 
 
@@ -243,10 +277,53 @@ lined AS (SELECT *, 1 + length(text[:bs]) - length(replace(text[:bs], chr(10), '
 claims AS (SELECT p.doc_id, p.id, l.block, l.bs, l.p FROM passages p JOIN lined l USING (doc_id, line))"""
 _JOIN_15 = rf"""WITH {_PLACED}
 SELECT doc_id, 'span' AS kind, s::INT AS begin, e::INT AS upto, sha256(sentence) AS text_sha, sha256(before) AS before_sha, string_agg(id, ',' ORDER BY id) AS ids FROM spans WHERE NOT EXISTS (SELECT 1 FROM claims c WHERE c.doc_id = spans.doc_id AND c.block = spans.block) GROUP BY ALL
-UNION ALL SELECT doc_id, 'block', bs::INT, (bs + length(t))::INT, sha256(t), sha256(''), id FROM (SELECT *, regexp_replace(p, '[ 	
+UNION ALL SELECT doc_id, 'block', bs::INT, (bs + length(t))::INT, sha256(t), sha256(''), id FROM (SELECT *, regexp_replace(p, '[ 	
 ]+$', '') AS t FROM claims)"""
 _JOIN_15_REST = f"""WITH {_PLACED}
 SELECT doc_id, 'low-diversity' AS id, 1 AS line, 'of the whole document' AS reason FROM documents WHERE doc_id % 7 = 0
 UNION ALL SELECT p.doc_id, p.id, p.line, CASE WHEN p.line > 1 + length(text) - length(replace(text, chr(10), '')) THEN 'not in the text' ELSE 'in no block' END FROM passages p JOIN d USING (doc_id) WHERE NOT EXISTS (SELECT 1 FROM lined l WHERE l.doc_id = p.doc_id AND l.line = p.line)"""
 
+def prose_sql(words: str, lengths: str, sentences: str, markers: str, grams: str, stats: str) -> dict[str, str]:
+    """Queries that use the catalogue's own expressions for words, sentences and measures."""
+    pairs = "p AS (SELECT * FROM (SELECT conv_id, turn, coalesce(text, '') AS before, lead(coalesce(text, '')) OVER (PARTITION BY conv_id ORDER BY turn, text) AS after FROM conversations) WHERE after IS NOT NULL)"
+    said = lambda c: "list_filter(list_transform(" + sentences.format(f"regexp_replace({c}, '[*_`]', '', 'g')") + ", lambda s: lower(regexp_extract(s, '([A-Za-z][A-Za-z''-]*)', 1))), lambda w: w <> '')"
+    values = "unnest(['word_count', 'avg_sentence_words', 'burstiness', 'ttr']) AS measure, unnest([word_count::DOUBLE, avg_sentence_words, burstiness, ttr]) AS value"
+    spoken = stats.replace("doc_id, source", "conv_id, turn, role").replace("FROM documents", "FROM conversations")
+    windows = f"""d AS (SELECT row_number() OVER () AS k, doc_id, {grams.format("w", 10)} AS g FROM (SELECT doc_id, {words.format("text")} AS w FROM documents)),
+b AS (SELECT DISTINCT unnest({grams.format("w", 10)}) AS gram FROM (SELECT {words.format("text")} AS w FROM benchmark)),
+h AS (SELECT k, doc_id, s FROM (SELECT k, doc_id, unnest(g) AS gram, unnest(range(len(g))) AS s FROM d) JOIN b USING (gram))"""
+    files = """o AS (SELECT doc_id AS id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\r\\n\\x0B\\f]'))) AS own FROM documents),
+e AS (SELECT DISTINCT src, dst FROM (SELECT doc_id AS src, (doc_id * 7 + length(text)) % 1009 AS dst FROM documents UNION ALL SELECT doc_id, doc_id // 2 FROM documents WHERE doc_id % 3 = 0) WHERE dst IN (SELECT id FROM o)),
+r(root, node, hop) AS (SELECT src, dst, 1 FROM e UNION SELECT root, dst, hop + 1 FROM r JOIN e ON e.src = r.node WHERE hop < 5),
+c AS (SELECT root AS id, sum(own)::BIGINT AS more, count(*) AS imports FROM (SELECT DISTINCT root, node FROM r) JOIN o ON o.id = node GROUP BY root),
+z AS (SELECT o.id, own, own + coalesce(more, 0) AS total, coalesce(imports, 0) AS imports FROM o LEFT JOIN c USING (id))"""
+    lines = lambda made: f"l AS (SELECT k, doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS at_ FROM (SELECT k, doc_id, string_split(array_to_string({made}, chr(10)), chr(10)) AS x FROM (SELECT row_number() OVER () AS k, doc_id, string_split(text, chr(10)) AS v FROM documents)))"
+    paged = "list_transform(v, lambda x, i: CASE WHEN length(x) % 4 > 0 THEN x || ' .. ' || (i % 10000) ELSE x END)"
+    headed = "list_transform(v, lambda x, i: CASE (i - 1) % 6 WHEN 0 THEN '# ' || x WHEN 1 THEN '```' WHEN 2 THEN '#### ' || x WHEN 3 THEN x || chr(10) || '====' WHEN 4 THEN '  ## ' || x || ' ##' ELSE x END)"
+    trim = r"regexp_replace({0}, '^[ \t\r\x0B\f]+|[ \t\r\x0B\f]+$', '', 'g')"
+    return {
+        "agg_41_content_removals": f"""WITH {pairs}, x AS (SELECT conv_id, turn, unnest({words.format("before")}) AS word, {words.format("after")} AS kept FROM p)
+SELECT conv_id, turn, word, count(*) AS n FROM x WHERE length(word) >= 4 AND NOT list_contains(kept, word) AND word NOT IN {markers} GROUP BY ALL""",
+        "agg_42_opener_changes": f"""WITH {pairs}, x AS (SELECT conv_id, turn, unnest({said("before")}) AS opener, 1 AS b, 0 AS a FROM p UNION ALL SELECT conv_id, turn, unnest({said("after")}), 0, 1 FROM p)
+SELECT conv_id, turn, opener, sum(b)::BIGINT AS before, sum(a)::BIGINT AS after FROM x GROUP BY ALL HAVING abs(sum(b) - sum(a)) >= 2""",
+        "agg_44_measure_moves": f"""WITH m AS (SELECT * FROM (SELECT conv_id, turn, role, {values} FROM ({spoken})) WHERE value IS NOT NULL), a AS (SELECT role, measure, avg(value) AS mean FROM m GROUP BY ALL),
+n AS (SELECT * FROM (SELECT conv_id, turn, role, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations) WHERE next IS NOT NULL)
+SELECT n.conv_id, n.turn, n.role, b.measure, b.value AS before, f.value AS after, round(mean, 4) AS mean, abs(f.value - mean) < abs(b.value - mean) AS toward
+FROM n JOIN m b ON b.conv_id = n.conv_id AND b.turn = n.turn JOIN m f ON f.conv_id = n.conv_id AND f.turn = n.next AND f.measure = b.measure JOIN a ON a.role = n.role AND a.measure = b.measure""",
+        "join_11_runs": f"""WITH {windows} SELECT doc_id, min(s)::INT AS start, count(*) + 9 AS words FROM (SELECT *, s - row_number() OVER (PARTITION BY k ORDER BY s) AS g FROM h) GROUP BY k, doc_id, g""",
+        "join_11_spans": f"""WITH {windows}, x AS (SELECT k, doc_id, list(s ORDER BY s) AS s FROM h GROUP BY ALL)
+SELECT doc_id, unnest(list_reduce(s[2:], lambda a, v: CASE WHEN v >= a[-1] + 10 THEN list_append(a, v) ELSE a END, s[:1]))::INT AS start FROM x""",
+        "join_10_effective_size": f"WITH RECURSIVE {files} SELECT * FROM z",
+        "det_44_import_cost": f"WITH RECURSIVE {files} SELECT id, own, total, CASE WHEN total > 120 THEN 'P1' ELSE 'P2' END AS priority FROM z WHERE own <= 30 AND total > 30 AND total > own",
+        "det_58_contents": rf"""WITH {lines(paged)}, t AS (SELECT *, at_ - row_number() OVER (PARTITION BY k ORDER BY at_) AS g FROM l WHERE at_ <= 200 AND regexp_matches(line, '[^ \t\r\n\x0B\f.].*?[ \t\r\n\x0B\f.]{{2,}}[0-9]{{1,4}}[ \t\r\n\x0B\f]*$')),
+r AS (SELECT k, doc_id, min(at_) AS first, max(at_) AS last FROM t GROUP BY k, doc_id, g HAVING count(*) >= 5 AND min(at_) <= 80)
+SELECT doc_id, min(first)::INT AS first, arg_min(last, first)::BIGINT AS last FROM r GROUP BY k, doc_id""",
+        "ord_06_headings": rf"""WITH {lines(headed)}, f AS (SELECT *, line LIKE '```%' AS fence, sum((line LIKE '```%')::INT) OVER (PARTITION BY k ORDER BY at_) % 2 = 1 AS inside FROM l),
+c AS (SELECT k, doc_id, at_, CASE WHEN fence OR inside THEN '' ELSE {trim.format("line")} END AS line, max(at_) OVER (PARTITION BY k) AS size FROM f),
+n AS (SELECT *, coalesce(lead(line) OVER (PARTITION BY k ORDER BY at_), '') AS nxt, regexp_extract(line, '^(#{{1,6}})[ \t]+[^ \t]', 1) AS mark FROM c),
+h AS (SELECT *, CASE WHEN mark = '#' THEN 'chapter' WHEN mark <> '' AND length(mark) <= 3 THEN 'section' WHEN mark <> '' OR line = '' THEN NULL WHEN regexp_matches(nxt, '^==+$') THEN 'chapter' WHEN regexp_matches(nxt, '^--+$') THEN 'section' END AS kind FROM n)
+SELECT doc_id, at_::INT AS line, kind, sha256(CASE WHEN mark <> '' THEN regexp_replace(regexp_replace(line, '^#{{1,6}}[ \t]+', ''), '[ \t]+#*$', '') ELSE line END) AS title_sha, coalesce(lead(at_) OVER (PARTITION BY k ORDER BY at_) - 1, size)::INT AS upto FROM h WHERE kind IS NOT NULL""",
+    }
+
+
 SQL = {"join_14_edits": _JOIN_14, "tok_11_sentence_places": _TOK_11, "join_15_units": _JOIN_15, "join_15_unplaced": _JOIN_15_REST, "det_03_scan": _DET_03, "join_17_term_evidence": _JOIN_17, "join_32_owned_terms": _JOIN_32, "det_07_concealed": _DET_07, "det_06_injection": _DET_06, "prj_19_details": _PRJ_19}
