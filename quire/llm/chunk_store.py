@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, parts, running_total, scratch_dir, small, texts
+from .common import materialize, parts, readable, running_total, scratch_dir, small, texts
 from .tokens import encoder, vocabulary
 from .words import mix
 
@@ -94,6 +94,8 @@ def _staged(path: str, end_id: int, width: int):
             found = [ids + end for ids in enc.encode_column(part.column(1))]
             ends = np.cumsum([len(x) // 4 for x in found])
             ids = np.frombuffer(b"".join(found), "<u4")
+            if len(ids) and int(ids.max()) >> (8 * width):
+                raise ValueError(f"id {ids.max()} does not fit in {width} bytes")
             data, start, out = ids.astype(f"<u{width}").tobytes(), 0, []
             for own in cut_all(ids, ends):
                 chunks, last = [], start
@@ -132,13 +134,13 @@ def merkle_tree(recipes: DataFrame) -> DataFrame:
 
 
 def write_store(docs: DataFrame, path: str, end_id: int = END_ID, vocab: str | None = None, width: int = 2) -> None:
-    """Tokenize docs (doc_id, text) and write them as a store at path. width 2 holds ids below 65,536."""
+    """Tokenize docs (doc_id, text) and write them as a store at path. width 2 holds ids below 65,536; larger ones are an error."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), readable("text").alias("text"))
     rows = docs.mapInArrow(_staged(vocab or vocabulary(), end_id, width), "doc_id long, n_tokens long, digests array<binary>, chunks array<binary>, root binary")
     staged = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "staged")
 
-    recipes = running_total(staged.select("doc_id", "n_tokens", "digests", "root"), "doc_id", "n_tokens", "start")
+    recipes = running_total(staged.select("doc_id", "n_tokens", "digests", "root", "row"), "doc_id", "n_tokens", "start", "row")
     recipes = recipes.select("start", "doc_id", "n_tokens", "digests", "root")
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     recipes.repartitionByRange(files, "start").sortWithinPartitions("start").write.parquet(f"{path}/recipes")

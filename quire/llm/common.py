@@ -74,19 +74,25 @@ def wrapped(docs: DataFrame, **keys: Column) -> DataFrame:
     return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), *(c.alias(n) for n, c in keys.items()))
 
 
-def running_total(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
+def readable(name: str) -> Column:
+    """The column as a string in which U+FFFD stands for bytes that are no UTF-8."""
+    return F.make_valid_utf8(F.col(name).cast("string"))
+
+
+def running_total(df: DataFrame, key: str, value: str, out: str, *ties: str) -> DataFrame:
     """Adds `out`: the sum of `value` over the rows with a smaller `key`, in one global order.
 
-    Rows are range-partitioned by key, each partition is summed, and only one row per
-    partition takes part in the sum over partitions. Ties of key get consecutive totals.
+    Rows are range-partitioned by key and then by `ties`, which spread many rows of one key; each partition is summed, and only one row per
+    partition takes part in the sum over partitions. Ties of all these get consecutive totals.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = materialize(df.repartitionByRange(n, F.col(key).asc_nulls_first()).withColumn("__part", F.spark_partition_id()), "ranged")
+    order = [F.col(c).asc_nulls_first() for c in (key, *ties)]
+    ranged = materialize(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "ranged")
     sums = ranged.groupBy("__part").agg(F.sum(value).alias("__sum"))
     # One row per partition, so the single window below is as small as the partition count.
     before = F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
-    within = F.sum(value).over(Window.partitionBy("__part").orderBy(F.col(key).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
+    within = F.sum(value).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     return (
         ranged.join(F.broadcast(sums), "__part")
         .withColumn(out, (F.col("__before") + F.coalesce(within, F.lit(0))).cast("long"))

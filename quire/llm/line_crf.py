@@ -16,18 +16,21 @@ Null doc_ids, repeated rows: returned as they come. Extra columns are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, texts
+from .common import bounded, readable, texts
 from .memos import turn
 from .words import HASHES, windows, word_hashes
 
 #: Documents of the labels table that the field is trained on, at most.
 SAMPLE = 1600
+#: Lines of a document that the field is trained on, at most.
+LINES = 1000
 #: Least share of words in content lines.
 SHARE = 0.5
 #: Lines of a training sequence; longer documents give several.
@@ -147,7 +150,8 @@ def _featured(batches):
         flat = []
         for text in rows:
             lines, seen = _lines((text or b"").decode())
-            flat.append([v for x, s in zip(lines, seen) for v in line_features(x, s)])
+            start = zlib.crc32(text or b"") % max(len(lines) - LINES, 1)  # of a very long document LINES lines in a row
+            flat.append([v for x, s in zip(lines[start : start + LINES], seen[start : start + LINES]) for v in line_features(x, s)])
         yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int32()), pa.array(flat, pa.list_(pa.float64()))], ["quality", "features"])
 
 
@@ -159,7 +163,8 @@ def fit_field(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field
         part = labels.where(F.col("quality") == quality).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2)
         chosen = part if chosen is None else chosen.unionByName(part)
     chosen = chosen.withColumnRenamed("doc_id", "__id")
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("quality", "text")  # at most `sample` ids
+    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))  # at most `sample` ids
+    rows = rows.groupBy("__id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x")).select("quality", "x.text")  # one row of each
     found = [(np.array(r["features"]).reshape(-1, len(FEATURES)), r["quality"]) for r in rows.mapInArrow(_featured, "quality int, features array<double>").collect() if r["features"]]
     found.sort(key=lambda f: (f[1], f[0].shape, f[0].tobytes()))
     return train(mixed(found)) if {y for _, y in found} == {0, 1} else None
@@ -205,6 +210,6 @@ def _judged(field, share: float):
 
 def quality_rules(docs: DataFrame, labels: DataFrame, share: float = SHARE) -> DataFrame:
     """The base counts, base_failed, kept and content_share for every row of docs (doc_id, text)."""
-    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), readable("text").alias("text"))
     field = docs.sparkSession.sparkContext.broadcast(fit_field(docs, labels))
     return docs.mapInArrow(_judged(field, share), SCHEMA)

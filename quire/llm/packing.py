@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, parts, running_total, small
+from .common import materialize, parts, readable, running_total, small
 from .tokens import encoder, vocabulary
 
 ROOM, END_ID = 2048, 0
@@ -39,15 +39,16 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, salt l
 
 def _pieces(path: str, room: int, end_id: int):
     def run(batches):
-        enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
+        enc, end, row = encoder(path), np.array([end_id], "<u4").tobytes(), 0
         for part in parts(batches):
             out = []
             for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode_column(part.column(1))):
                 ids += end
+                row += 1  # spreads rows that share a doc_id or have none
                 n, at = len(ids) // 4, 0
                 for i in range(-(-n // room)):
                     size = (n - 1) % room + 1 if i == 0 else room
-                    out.append((doc_id, i, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]), zlib.crc32(b"%d %d" % (doc_id or 0, i))))
+                    out.append((doc_id, i, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]), zlib.crc32(b"%d %d %d" % (doc_id or 0, i, row))))
                     at += size
             columns = list(zip(*out)) or [[]] * 6
             kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 4)
@@ -197,7 +198,7 @@ def _placed(places):
 def pack(docs: DataFrame, room: int = ROOM, end_id: int = END_ID, path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset for every piece of docs (doc_id, text)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), readable("text").alias("text"))
     pieces = materialize(docs.mapInArrow(_pieces(path or vocabulary(), room, end_id), PIECE), "pieces")
     counts = np.zeros(room + 1, np.int64)
     for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most `room` rows

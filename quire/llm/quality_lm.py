@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small, texts, wrapped
+from .common import materialize, readable, small, texts, wrapped
 from .memos import turn
 
 ORDER, WEIGHT, QUANTILE, HELD_OUT = 5, 200, 0.99, 10
@@ -341,7 +341,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, model_rows: int = MODEL_ROW
     # Role 1 trains, role 2 is held out, role 0 is neither.
     role = F.when(F.pmod(F.xxhash64("trusted_id"), F.lit(HELD_OUT)) == 0, 2).otherwise(1)
     trusted = materialize(trusted.withColumn("trusted_role", role), "trusted")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), readable("text").alias("text"))
     docs = docs.join(small(trusted), F.col("doc_id") == F.col("trusted_id"), "left").select("doc_id", "lang", F.coalesce("trusted_role", F.lit(0)).alias("role"), "text")
     found = model(docs.where("role = 1"))
     if found.count() <= model_rows:

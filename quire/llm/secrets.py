@@ -25,7 +25,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, texts
+from .common import bounded, readable, texts
 
 #: Rows of the labelled findings that a forest is trained on; trees and their depth.
 SAMPLE, TREES, LEVELS = 3000, 24, 7
@@ -51,7 +51,8 @@ _KEY = r"[A-Za-z0-9+/_-]"
 CANDIDATES = [
     re.compile(rf"(?<!{_KEY})(?={_KEY}*[0-9])(?={_KEY}*[A-Za-z])({_KEY}{{12,}}={{0,2}})"),
     re.compile(rf"(?<!{_KEY})((?:{'|'.join(map(re.escape, PREFIXES))}){_KEY}{{8,}}={{0,2}})"),
-    re.compile(r"(?i:key|token|secret|passw(?:or)?d|passwd|pwd|pass|auth|credentials?)[A-Za-z_]*[\"'\]]?\s*(?::=|=>|=|:)\s*[\"']?([!#-&(-+\--:<-~]{6,})"),
+    # The name is taken whole, once, so a run of letters costs one pass however often it holds a name.
+    re.compile(r"(?<![A-Za-z_])(?=[A-Za-z_]*(?i:key|token|secret|passw(?:or)?d|passwd|pwd|pass|auth|credentials?))[A-Za-z_]++[\"'\]]?\s*(?::=|=>|=|:)\s*[\"']?([!#-&(-+\--:<-~]{6,})"),
 ]
 
 
@@ -174,7 +175,7 @@ def scan_secrets(docs: DataFrame, model: RandomForestClassificationModel | Pipel
     """doc_id, start, length, masked, sha256, score and secret for every candidate in docs (doc_id, text and, if there, source as path)."""
     model = model or train(labelled_findings(docs.sparkSession))
     path = F.col("source").cast("string") if "source" in docs.columns else F.lit("")
-    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), path.alias("path"), F.col("text").cast("string").alias("text"))
+    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), path.alias("path"), readable("text").alias("text"))
     found = docs.mapInArrow(_candidates, "doc_id long, start long, length long, masked string, sha256 string, features array<double>")
     judged = model.transform(found.withColumn("features", array_to_vector("features")))
     score = vector_to_array("probability")[1]
