@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.markdown import blank
-from quire.functions.text import bound, canonical_number
+from quire.functions.text import WORD_LETTERS, bound, canonical_number
 
 # The months.
 MONTHS = "January February March April May June July August September October November December".split()
@@ -14,9 +14,9 @@ _MONTH = "(" + "|".join(MONTHS) + ")"
 #: Pattern and the groups that hold year, month and day.
 SPELLINGS = ((rf"\b{_MONTH}\s+(\d{{1,2}}),?\s+(\d{{4}})\b", 3, 1, 2), (rf"\b(\d{{1,2}})\s+{_MONTH}\s+(\d{{4}})\b", 3, 2, 1), (r"\b(\d{4})-(\d{2})-(\d{2})\b", 1, 2, 3))
 QUOTED = r"\"([^\"]{0,400})\"|\u201c([^\u201d]{0,400})\u201d"
-_NAME = r"[A-Z][a-zA-Z0-9]*(?:[ -][A-Z][a-zA-Z0-9]*)*\b"
+_NAME = rf"[A-Z][a-zA-Z0-9]*(?:[ -][A-Z][a-zA-Z0-9]*)*(?![{WORD_LETTERS}])"
 #: A name after what begins a sentence or a list item, or (group 1) one anywhere else.
-NAMES = rf"(?:^|[.!?:]\s+|\n\s*(?:[-*+>#]+\s*|\d+[.)]\s*)?){_NAME}|\b({_NAME})"
+NAMES = rf"(?:^|[.!?:]\s+|\n\s*(?:[-*+>#]+\s*|\d+[.)]\s*)?){_NAME}|(?<![{WORD_LETTERS}])({_NAME})"
 
 # Spellings of numbers, in the order in which they claim their places.
 _PLAIN, _GROUPED = r"[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?", r"(?:[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]+(?:\.[0-9]+)?)"
@@ -98,9 +98,9 @@ def order_dates(orders: DataFrame) -> DataFrame:
     return orders.select("o_orderkey", F.array_join(dates(said), " ").alias("dates"))
 
 
-def quoted_openings(docs: DataFrame) -> DataFrame:
-    """Quotations read back from a sentence that quotes the first 60 characters of each document."""
-    said = F.concat(F.lit('He said "'), F.substring("text", 1, 60), F.lit('" and "two words" and \u201cfour words  and\nit\u2019s all\u201d.'))
+def quoted_texts(docs: DataFrame) -> DataFrame:
+    """Quotations read back from a sentence that quotes each document whole, and from the document itself."""
+    said = F.concat(F.lit('He said "'), F.col("text"), F.lit('" and "two words" and \u201cfour words  and\nit\u2019s all\u201d.'))
     return docs.select("doc_id", F.array_join(quotes(said), "|").alias("quotes"))
 
 

@@ -50,15 +50,6 @@ def _manifest(docs: DataFrame) -> DataFrame:
     return gates.manifest_check(docs.where("doc_id % 7 <> 0"), docs.select("doc_id", stale.alias("sha256")))
 
 
-#: Words with letters beyond ASCII, next to which engines disagree on where a word ends.
-_BEYOND = r"[^ \n]*[^\x00-\x7F][^ \n]*"
-
-
-def _ascii_words(df: DataFrame) -> DataFrame:
-    """df with its texts' ASCII words alone, the input of the queries on names here and in SQL."""
-    return df.withColumn("text", F.regexp_replace("text", _BEYOND, ""))
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "agg_01_doc_stats": _on("documents", stats.document_stats),
     "agg_01_trigram_repetition": _on("documents", stats.trigram_repetition),
@@ -86,9 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "join_13_nearest": _on("embeddings", joins.nearest),
     "fun_19_digest_dedup": _on("documents", corpus.digest_dedup),
     "fun_10_dates": _on("orders", facts.order_dates),
-    "fun_12_quotes": _on("documents", facts.quoted_openings),
-    "fun_13_names": _on("documents", lambda docs: facts.fact_counts(_ascii_words(docs))),
-    "gat_01_turn_names": _on("conversations", lambda turns: facts.turn_facts(_ascii_words(turns))),
+    "fun_12_quotes": _on("documents", facts.quoted_texts),
+    "fun_13_names": _on("documents", facts.fact_counts),
+    "gat_01_turn_names": _on("conversations", facts.turn_facts),
     "cvio_trend_events": _on("events", corpus.trend),
     "det_13_long_paragraphs": _on("documents", detectors.long_paragraphs),
     "det_12_long_sentences": _on("documents", detectors.long_sentences),
@@ -184,6 +175,8 @@ def _overlaps(classes: str) -> str:
 
 
 _OVERLAPS = _overlaps("SELECT min(doc_id) AS id, lines FROM s GROUP BY lines")
+# Where letters beyond ASCII stand as _, an ASCII word boundary is one for every letter.
+_NAMES = facts.NAMES.replace(f"(?![{WORD_LETTERS}])", r"\b").replace(f"(?<![{WORD_LETTERS}])", r"\b")
 _NUMBER = r"""CASE WHEN try_cast(x AS DOUBLE) = floor(try_cast(x AS DOUBLE)) AND abs(try_cast(x AS DOUBLE)) < 1e15 THEN try_cast(x AS DOUBLE)::BIGINT::VARCHAR ELSE regexp_replace(x, '0+$', '') END"""
 _LONG_P = f"SELECT doc_id, pos - 1 AS pos, len({_SENTENCES.format('p')}) AS n FROM (SELECT doc_id, unnest(l) AS p, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE len({_SENTENCES.format('p')}) > 6"
 _LONG_S = f"""SELECT doc_id, pos, n, hit FROM (SELECT doc_id, pos, n, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS hit FROM
@@ -254,12 +247,12 @@ SQL: dict[str, str] = {
     "fun_10_dates": f"""WITH t AS (SELECT o_orderkey, concat('Due ', strftime(o_orderdate, '%B %-d, %Y'), ', sent ', strftime(o_orderdate, '%-d %B %Y'), ' or ', strftime(o_orderdate, '%Y-%m-%d'), '. Not 1234-567.') AS t FROM orders)
       SELECT o_orderkey, array_to_string(list_concat(list_transform(regexp_extract_all(t, '{facts.SPELLINGS[0][0]}'), lambda x: strftime(strptime(x, '%B %-d, %Y'), '%Y-%m-%d')), list_concat(
         list_transform(regexp_extract_all(t, '{facts.SPELLINGS[1][0]}'), lambda x: strftime(strptime(x, '%-d %B %Y'), '%Y-%m-%d')), regexp_extract_all(t, '{facts.SPELLINGS[2][0]}'))), ' ') AS dates FROM t""",
-    "fun_12_quotes": r"""WITH t AS (SELECT doc_id, concat('He said "', substr(text, 1, 60), '" and "two words" and ', chr(8220), 'four words  and', chr(10), 'it', chr(8217), 's all', chr(8221), '.') AS t FROM documents),
+    "fun_12_quotes": r"""WITH t AS (SELECT doc_id, concat('He said "', text, '" and "two words" and ', chr(8220), 'four words  and', chr(10), 'it', chr(8217), 's all', chr(8221), '.') AS t FROM documents),
       q AS (SELECT doc_id, list_transform(regexp_extract_all(t, '"([^"]{0,400})"|' || chr(8220) || '([^' || chr(8221) || ']{0,400})' || chr(8221)), lambda x: trim(regexp_replace(replace(x[2:-2], chr(8217), chr(39)), '[ \t\r\n]+', ' ', 'g'))) AS q FROM t)
       SELECT doc_id, array_to_string(list_filter(q, lambda x: len(string_split(x, ' ')) >= 4), '|') AS quotes FROM q""",
-    "fun_13_names": f"""WITH n AS (SELECT doc_id, list_filter(regexp_extract_all(regexp_replace(text, '{_BEYOND}', '', 'g'), '{facts.NAMES}', 1), lambda x: length(x) >= 2) AS n FROM documents)
+    "fun_13_names": f"""WITH n AS (SELECT doc_id, list_filter(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', '_', 'g'), '{_NAMES}', 1), lambda x: length(x) >= 2) AS n FROM documents)
       SELECT doc_id, len(n) AS names, len(list_distinct(n)) AS different, n[1] AS first_name FROM n""",
-    "gat_01_turn_names": f"""WITH n AS (SELECT conv_id, turn, role, list_distinct(list_filter(regexp_extract_all(regexp_replace(text, '{_BEYOND}', '', 'g'), '{facts.NAMES}', 1), lambda x: length(x) >= 2)) AS n FROM conversations)
+    "gat_01_turn_names": f"""WITH n AS (SELECT conv_id, turn, role, list_distinct(list_filter(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', '_', 'g'), '{_NAMES}', 1), lambda x: length(x) >= 2)) AS n FROM conversations)
       SELECT b.conv_id, b.turn, len(list_filter(a.n, lambda x: NOT list_contains(b.n, x))) AS lost, len(list_filter(b.n, lambda x: NOT list_contains(a.n, x))) AS added
       FROM n b JOIN n a ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn WHERE b.role = 'assistant' AND a.role <> 'assistant'""",
     "fun_19_digest_dedup": "SELECT doc_id, sha256(text) AS digest, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_id, doc_id = min(doc_id) OVER (PARTITION BY sha256(text)) AS kept FROM documents",

@@ -20,14 +20,9 @@ PIECES = [
     "### Deep\n<https://d.example/z> and ![i](https://e.example/i.png) <a href=\"https://f.example\">x</a>\n[ref]: https://g.example/q\n* a `b` **c**\n",
 ]
 
-#: Words beyond ASCII, next to which engines disagree on where a word ends.
-_BEYOND = r"[^ \n]*[^\x00-\x7F][^ \n]*"
-
-
 def marked(docs: DataFrame) -> DataFrame:
     """doc_id and the text amid markdown."""
-    own = F.regexp_replace("text", _BEYOND, "")
-    return docs.select("doc_id", F.concat(*(F.col("doc_id").cast("string") if p is ID else own if p is TEXT else F.lit(p) for p in PIECES)).alias("text"))
+    return docs.select("doc_id", F.concat(*(F.col("doc_id").cast("string") if p is ID else F.col("text") if p is TEXT else F.lit(p) for p in PIECES)).alias("text"))
 
 
 def _masked(mask) -> callable:
@@ -109,7 +104,7 @@ def _lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-_MARKED = "t0 AS (SELECT doc_id, " + " || ".join("doc_id::VARCHAR" if p is ID else f"regexp_replace(text, {_lit(_BEYOND)}, '', 'g')" if p is TEXT else _lit(p) for p in PIECES) + " AS t FROM documents)"
+_MARKED = "t0 AS (SELECT doc_id, " + " || ".join("doc_id::VARCHAR" if p is ID else "text" if p is TEXT else _lit(p) for p in PIECES) + " AS t FROM documents)"
 
 
 def _steps(*patterns: str) -> tuple[str, str]:
