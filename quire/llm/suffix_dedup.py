@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, materialize, small, texts, wrapped
+from .common import bounded, materialize, texts, wrapped
 from .memos import turn
 from .words import mix
 
@@ -339,7 +339,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, b
     # Contexts of shared seeds, once each, with their bytes.
     open_ = contexts.mapInArrow(_with_seed(shared), contexts.schema)
     fields = F.struct("seed", "c1", "c2", (F.col("w") > 1).alias("sure"), "rep.at", "rep.lo", "rep.n")
-    wanted = small(materialize(open_.groupBy(F.col("rep.key").alias("key")).agg(F.collect_list(fields).alias("contexts")), "wanted"))  # of one text
+    wanted = materialize(open_.groupBy(F.col("rep.key").alias("key")).agg(F.collect_list(fields).alias("contexts")), "wanted")  # of one text
     piece = max(1, length // PIECES)
     depth = max(1, length // piece - 1)
     found = keyed.join(wanted, "key").select("text", "contexts").mapInArrow(_cut_out(length), "seed long, c1 long, c2 long, sure boolean, at int, n int, bytes binary")
@@ -353,7 +353,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, b
     twice = across.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     ranges = compared.where("h is null").drop("h").unionByName(across.where("c1 is not null").join(twice, "h", "left_semi").drop("h"))
     whole = contexts.where("w > 1").select("c1", "c2", F.lit(None).cast("int").alias("o"), F.lit(None).cast("int").alias("o_end"))
-    ranges = small(materialize(ranges.unionByName(whole), "ranges"))
+    ranges = materialize(ranges.unionByName(whole), "ranges")
     begin = F.coalesce(F.col("x") - F.col("o_end"), F.col("lo"))
     end = F.coalesce(F.col("x") - F.col("o"), F.col("lo") + F.col("n") - 1)
     starts = some.join(ranges, ["c1", "c2"]).select("key", F.struct(begin.alias("s"), end.alias("e")).alias("x"))
@@ -392,7 +392,7 @@ def _removed(length: int):
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, **sizes: int) -> DataFrame:
     """docs with `kept` (bytes left) and `spans` ({begin, end} of maximal removed runs) in place of text."""
-    starts = small(repeated_starts(docs, length, **sizes))
+    starts = repeated_starts(docs, length, **sizes)
     rest = [c for c in docs.columns if c not in ("text", "kept", "spans")]
     row = wrapped(docs.select(*(f"`{c}`" for c in rest), "text"), text=docs["text"].cast("string"), key=_key(docs["text"]))
     row = row.withColumn("row", F.struct(*(F.col("row")[c].alias(c) for c in rest)))
