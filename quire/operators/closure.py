@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rounds import cut
+
 HOPS = 5
 
 
@@ -15,12 +17,16 @@ def reached(edges: DataFrame, hops: int = HOPS) -> DataFrame:
 
     A round follows only what the last one has newly reached, so cycles end. A root is reached by a cycle through it. Null ends and repeated edges are left out.
     """
-    e = edges.where("src is not null and dst is not null").select("src", "dst").distinct()
-    rounds = [e.select(F.col("src").alias("root"), F.col("dst").alias("node"), F.lit(1).alias("hop"))]
+    e = cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
+    ahead = e.select(F.col("src").alias("root"), F.col("dst").alias("node"), F.lit(1).alias("hop"))
+    rounds = [ahead]
     for hop in range(2, hops + 1):
-        ahead = rounds[-1].select("root", F.col("node").alias("src")).join(e, "src").select("root", F.col("dst").alias("node")).distinct()
+        ahead = ahead.select("root", F.col("node").alias("src")).join(e, "src").select("root", F.col("dst").alias("node")).distinct()
         before = reduce(DataFrame.unionByName, rounds).select("root", "node")
-        rounds.append(ahead.join(before, ["root", "node"], "left_anti").withColumn("hop", F.lit(hop)))
+        ahead = cut(ahead.join(before, ["root", "node"], "left_anti").withColumn("hop", F.lit(hop)))
+        if ahead.isEmpty():
+            break
+        rounds.append(ahead)
     return reduce(DataFrame.unionByName, rounds)
 
 

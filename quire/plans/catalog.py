@@ -302,5 +302,5 @@ SQL: dict[str, str] = {
     "str_event_windows": "SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL",
     **markdown_catalog.SQL,
     **span_catalog.SQL,
-    **span_catalog.prose_sql(_WORDS, _LENGTHS, _SENTENCES, _MARKERS, _GRAMS, _STATS),
+    **span_catalog.prose_sql(_WORDS, _NAMES, _SENTENCES, _MARKERS, _GRAMS, _STATS),
 }

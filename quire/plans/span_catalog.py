@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions import text as T
 from quire.functions.text import ABBREVIATIONS, CLOSERS, WORD_LETTERS
-from quire.operators import closure, concealed, contents, cover, edits, learning, lexicon, units
+from quire.operators import closure, concealed, contents, cover, edits, facts, families, learning, lexicon, profiles, units
 
 ID, TEXT = object(), object()
 PAGE = [
@@ -119,7 +120,63 @@ def _headed(x: F.Column, i: F.Column) -> F.Column:
     )
 
 
+def _families(docs: DataFrame) -> DataFrame:
+    return families.families(families.word_lifts(docs, 12), families.word_lifts(docs, 3))
+
+
+def _carried(docs: DataFrame) -> DataFrame:
+    """Families carried forward from a review of the families of even documents."""
+    found = lambda d: _families(d).join(families.word_lifts(d, 12).withColumnRenamed("word", "stem"), "stem").where("word = stem").select("stem", "lift")
+    status = F.when(F.length("stem") % 3 == 0, "accepted").when(F.length("stem") % 3 == 1, "rejected").otherwise("pending")
+    return families.carried(found(docs), found(docs.where("doc_id % 2 = 0")).select("stem", "lift", status.alias("status"), F.upper("stem").alias("note")))
+
+
+def _drift(docs: DataFrame) -> DataFrame:
+    sums = lambda d: d.groupBy(F.col("source").alias("key")).agg(F.max(F.length("text")).alias("value"))
+    return families.drift(sums(docs), sums(docs.where("doc_id % 3 > 0")))
+
+
+def _rules(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each source as a profile: it bans the first words of its documents' sentences and inherits from the source with half its number."""
+    number = F.regexp_extract("source", "([0-9]+)", 1).cast("int")
+    parents = docs.select(F.col("source").alias("profile"), number.alias("n")).distinct().where("n > 0").select("profile", F.concat(F.lit("src"), F.expr("n div 2")).alias("parent"))
+    words = T.words(F.col("text"))
+    bans = docs.select(F.col("source").alias("profile"), F.lit("banned").alias("kind"), F.get(words, F.lit(0)).alias("key"), F.col("doc_id").cast("string").alias("value"), F.col("doc_id").alias("ord"))
+    caps = docs.select("source", F.lit("cap").alias("kind"), F.col("lang").alias("key"), F.size(words).cast("string").alias("value"), "doc_id")
+    return bans.unionAll(caps), parents
+
+
+def _ban_hits(docs: DataFrame) -> DataFrame:
+    return profiles.ban_hits(docs, profiles.inherited(*_rules(docs)), "source")
+
+
+def _blend(docs: DataFrame) -> DataFrame:
+    """Settings of two profiles by the letters of their texts, and one setting of each."""
+    keys = [*profiles.STRICTNESS, *profiles.CAPS, *profiles.NO_OPINION, "other"]
+    values = F.array(*(F.array(*map(F.lit, profiles.STRICTNESS.get(k) or (["3", "12", "7.5"] if k in profiles.CAPS else ["allow", "any", "dmy", "require"]))) for k in keys))
+    each = docs.select("doc_id", F.concat(F.lit("p"), F.col("doc_id") % 2).alias("profile"), F.posexplode(F.array(*map(F.lit, keys))).alias("i", "key"), F.length("text").alias("n"))
+    told = each.withColumn("value", F.expr("1")).withColumn("value", F.get(values[F.col("i")], ((F.col("n") + F.col("i")) % F.size(values[F.col("i")])).cast("int")))
+    first = told.groupBy("profile", "key").agg(F.min_by("value", "doc_id").alias("value"))
+    return profiles.blended(first, "p0", "p1")
+
+
+def _lost(turns: DataFrame) -> DataFrame:
+    """Quotations and names that each turn's next one loses or adds."""
+    named = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    found = facts.lost_facts(named, named.withColumn("doc_id", F.col("doc_id") - 1))
+    return found.select("doc_id", *(F.array_join(c, "|").alias(c) for c in ("lost_quotes", "lost_names", "added_quotes", "added_names")))
+
+
 QUERIES = {
+    "join_20_families": ("documents", _families),
+    "join_17_family_evidence": ("documents", lambda d: families.evidence(d, _families(d))),
+    "join_18_tipped": ("documents", lambda d: families.tipped(_blocked(d), _families(d), families.word_lifts(d, 400).where("length(word) > 3"))),
+    "join_22_carried": ("documents", _carried),
+    "join_31_drift": ("documents", _drift),
+    "join_23_inherited": ("documents", lambda d: profiles.inherited(*_rules(d))),
+    "join_24_blended": ("documents", _blend),
+    "det_04_ban_hits": ("documents", _ban_hits),
+    "gat_01_lost_facts": ("conversations", _lost),
     "agg_40_substitutions": ("conversations", learning.substitutions),
     "agg_41_content_removals": ("conversations", learning.removals),
     "agg_42_opener_changes": ("conversations", learning.opener_changes),
@@ -283,7 +340,7 @@ _JOIN_15_REST = f"""WITH {_PLACED}
 SELECT doc_id, 'low-diversity' AS id, 1 AS line, 'of the whole document' AS reason FROM documents WHERE doc_id % 7 = 0
 UNION ALL SELECT p.doc_id, p.id, p.line, CASE WHEN p.line > 1 + length(text) - length(replace(text, chr(10), '')) THEN 'not in the text' ELSE 'in no block' END FROM passages p JOIN d USING (doc_id) WHERE NOT EXISTS (SELECT 1 FROM lined l WHERE l.doc_id = p.doc_id AND l.line = p.line)"""
 
-def prose_sql(words: str, lengths: str, sentences: str, markers: str, grams: str, stats: str) -> dict[str, str]:
+def prose_sql(words: str, names: str, sentences: str, markers: str, grams: str, stats: str) -> dict[str, str]:
     """Queries that use the catalogue's own expressions for words, sentences and measures."""
     pairs = "p AS (SELECT * FROM (SELECT conv_id, turn, coalesce(text, '') AS before, lead(coalesce(text, '')) OVER (PARTITION BY conv_id ORDER BY turn, text) AS after FROM conversations) WHERE after IS NOT NULL)"
     said = lambda c: "list_filter(list_transform(" + sentences.format(f"regexp_replace({c}, '[*_`]', '', 'g')") + ", lambda s: lower(regexp_extract(s, '([A-Za-z][A-Za-z''-]*)', 1))), lambda w: w <> '')"
@@ -301,7 +358,58 @@ z AS (SELECT o.id, own, own + coalesce(more, 0) AS total, coalesce(imports, 0) A
     paged = "list_transform(v, lambda x, i: CASE WHEN length(x) % 4 > 0 THEN x || ' .. ' || (i % 10000) ELSE x END)"
     headed = "list_transform(v, lambda x, i: CASE (i - 1) % 6 WHEN 0 THEN '# ' || x WHEN 1 THEN '```' WHEN 2 THEN '#### ' || x WHEN 3 THEN x || chr(10) || '====' WHEN 4 THEN '  ## ' || x || ' ##' ELSE x END)"
     trim = r"regexp_replace({0}, '^[ \t\r\x0B\f]+|[ \t\r\x0B\f]+$', '', 'g')"
+    counted = lambda where: f"SELECT word, count(*) AS lift FROM (SELECT unnest({words.format('text')}) AS word FROM documents {where}) GROUP BY word"
+    stem = "substr(b, 1, length(b) - 1)"
+
+    def grouped(name: str, where: str) -> str:
+        """SQL for families {name} (word, stem, lift) over the documents that `where` leaves."""
+        return rf"""{name}w AS ({counted(where)}), {name}c AS (SELECT * FROM {name}w WHERE lift >= 12),
+{name}f AS (SELECT b, unnest(list_distinct([b, CASE WHEN regexp_matches(b, '[^aeiou]y$') THEN {stem} || 'ies' WHEN regexp_matches(b, '(s|x|z|ch|sh)$') THEN b || 'es' ELSE b || 's' END,
+  CASE WHEN regexp_matches(b, '[^aeiou]y$') THEN {stem} || 'ied' WHEN b LIKE '%e' THEN b || 'd' ELSE b || 'ed' END, CASE WHEN b LIKE '%e' AND b NOT LIKE '%ee' THEN {stem} || 'ing' ELSE b || 'ing' END])) AS word FROM (SELECT word AS b FROM {name}w WHERE lift >= 3)),
+{name}m AS (SELECT b, word FROM {name}f WHERE word IN (SELECT word FROM {name}c)),
+{name}e AS (SELECT DISTINCT x.word AS a, y.word AS b FROM {name}m x JOIN {name}m y ON x.b = y.b),
+{name}r(word, root) AS (SELECT word, word FROM {name}c UNION SELECT e.b, r.root FROM {name}r r JOIN {name}e e ON e.a = r.word WHERE r.root < e.b),
+{name}g AS (SELECT word, min(root) AS root FROM {name}r GROUP BY word),
+{name} AS (SELECT g.word, first_value(g.word) OVER (PARTITION BY root ORDER BY lift DESC, g.word) AS stem, lift FROM {name}g g JOIN {name}c c ON c.word = g.word)"""
+
+    fam = grouped("fam", "")
+    uses = f"u AS (SELECT k, word, count(*) AS n FROM (SELECT k, unnest({words.format('text')}) AS word FROM (SELECT row_number() OVER () AS k, text FROM documents)) GROUP BY ALL)"
+    paragraphs = f"q AS (SELECT k, i, word, count(*) AS n FROM (SELECT k, i, unnest({words.format('p')}) AS word FROM (SELECT k, unnest(l) AS p, generate_subscripts(l, 1) AS i FROM (SELECT row_number() OVER () AS k, string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)) AS l FROM documents))) GROUP BY ALL)"
+    rules = f"""rules AS (SELECT source AS profile, 'banned' AS kind, {words.format("text")}[1] AS key, doc_id::VARCHAR AS value, doc_id AS ord FROM documents UNION ALL SELECT source, 'cap', lang, len({words.format("text")})::VARCHAR, doc_id FROM documents),
+parents AS (SELECT profile, 'src' || (n // 2) AS parent FROM (SELECT DISTINCT source AS profile, regexp_extract(source, '([0-9]+)', 1)::INT AS n FROM documents) WHERE n > 0),
+line(profile, origin, hop) AS (SELECT DISTINCT source, source, 0 FROM documents UNION ALL SELECT l.profile, p.parent, hop + 1 FROM line l JOIN parents p ON p.profile = l.origin),
+ev AS (SELECT l.profile, l.origin, hop, kind, key, value, ord FROM line l JOIN rules r ON r.profile = l.origin WHERE key IS NOT NULL),
+eff AS (SELECT profile, kind, key, arg_min({{'v': value, 'o': origin}}, {{'h': hop, 'l': -ord}}) AS x, min({{'f': -hop, 'o': ord}}) AS first FROM ev GROUP BY ALL)"""
+    strict = ", ".join(f"('{k}', '{v}', {i})" for k, order in profiles.STRICTNESS.items() for i, v in enumerate(order))
+    caps = ", ".join(f"'{k}'" for k in profiles.CAPS)
+    keys = [*profiles.STRICTNESS, *profiles.CAPS, *profiles.NO_OPINION, "other"]
+    options = ", ".join(f"({i}, '{k}', {profiles.STRICTNESS.get(k) or (['3', '12', '7.5'] if k in profiles.CAPS else ['allow', 'any', 'dmy', 'require'])!r})" for i, k in enumerate(keys))
+    idle = "((key = 'oxford_comma' AND {0} = 'allow') OR (key = 'date_format' AND {0} = 'any'))"
+    quoted = "list_filter(list_transform(regexp_extract_all(text, '\"([^\"]{{0,400}})\"|' || chr(8220) || '([^' || chr(8221) || ']{{0,400}})' || chr(8221)), lambda x: trim(regexp_replace(replace(x[2:-2], chr(8217), chr(39)), '[ \\t\\r\\n]+', ' ', 'g'))), lambda x: len(string_split(x, ' ')) >= 4)".replace("{{", "{").replace("}}", "}")
+    named = "list_filter(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g'), '" + names + "', 1), lambda x: length(x) >= 2)"
+    without = lambda a, b: f"array_to_string(list_sort(list_filter(list_distinct({a}), lambda x: NOT list_contains({b}, x))), '|')"
     return {
+        "join_20_families": f"WITH RECURSIVE {fam} SELECT word, stem FROM fam",
+        "join_17_family_evidence": f"""WITH RECURSIVE {fam}, {uses}, h AS (SELECT stem, k, sum(n) AS n FROM u JOIN fam USING (word) GROUP BY ALL), s AS (SELECT stem, count(*) AS docs, sum(n)::BIGINT AS hits FROM h GROUP BY stem)
+SELECT stem, forms, coalesce(docs, 0) AS docs, coalesce(hits, 0) AS hits FROM (SELECT stem, count(*) AS forms FROM fam GROUP BY stem) LEFT JOIN s USING (stem)""",
+        "join_18_tipped": f"""WITH RECURSIVE {fam}, {paragraphs}, had AS (SELECT k, i, sum(n) AS had FROM q WHERE word IN (SELECT word FROM famw WHERE lift >= 400 AND length(word) > 3) GROUP BY ALL), new AS (SELECT stem, k, i, sum(n) AS n FROM q JOIN fam USING (word) GROUP BY ALL)
+SELECT stem, count(*) AS paragraphs FROM new LEFT JOIN had USING (k, i) WHERE coalesce(had, 0) < 2 AND coalesce(had, 0) + n >= 2 GROUP BY stem""",
+        "join_22_carried": f"""WITH RECURSIVE {fam}, {grouped("old", "WHERE doc_id % 2 = 0")}, a AS (SELECT stem, lift FROM fam WHERE word = stem),
+b AS (SELECT stem, lift, CASE length(stem) % 3 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' ELSE 'pending' END AS status, upper(stem) AS note FROM old WHERE word = stem)
+SELECT coalesce(a.stem, b.stem) AS stem, coalesce(a.lift, b.lift) AS lift, coalesce(status, 'pending') AS status, note, a.stem IS NULL AS stale FROM a FULL JOIN b ON a.stem = b.stem WHERE a.stem IS NOT NULL OR status <> 'pending'""",
+        "join_31_drift": """WITH a AS (SELECT source AS key, max(length(text)) AS v FROM documents GROUP BY source), b AS (SELECT source AS key, max(length(text)) AS v FROM documents WHERE doc_id % 3 > 0 GROUP BY source)
+SELECT coalesce(a.key, b.key) AS key, a.v AS shipped, b.v AS derived FROM a FULL JOIN b ON a.key = b.key WHERE a.v IS DISTINCT FROM b.v""",
+        "join_23_inherited": f"WITH RECURSIVE {rules} SELECT profile, kind, key, x.v AS value, x.o AS origin, row_number() OVER (PARTITION BY profile, kind ORDER BY first.f, first.o, key)::INT AS place FROM eff",
+        "det_04_ban_hits": f"""WITH RECURSIVE {rules}, u AS (SELECT doc_id, source AS profile, key, count(*) AS hits FROM (SELECT doc_id, source, unnest({words.format("text")}) AS key FROM documents) GROUP BY ALL)
+SELECT doc_id, key, x.o AS origin, hits FROM u JOIN eff USING (profile, key) WHERE kind = 'banned'""",
+        "join_24_blended": f"""WITH o(i, key, v) AS (VALUES {options}), s(key, v, rank) AS (VALUES {strict}),
+t AS (SELECT 'p' || (doc_id % 2) AS profile, key, arg_min(v[((length(text) + i) % len(v) + 1)::BIGINT], doc_id) AS value FROM documents, o GROUP BY ALL),
+j AS (SELECT coalesce(a.key, b.key) AS key, a.value AS l, b.value AS r FROM (SELECT * FROM t WHERE profile = 'p0') a FULL JOIN (SELECT * FROM t WHERE profile = 'p1') b ON a.key = b.key),
+k AS (SELECT j.*, x.rank AS lr, y.rank AS rr FROM j LEFT JOIN s x ON x.key = j.key AND x.v = l LEFT JOIN s y ON y.key = j.key AND y.v = r)
+SELECT key, CASE WHEN l IS NULL THEN r WHEN r IS NULL OR l = r THEN l WHEN key IN ({caps}) THEN CASE WHEN l::DOUBLE <= r::DOUBLE THEN l ELSE r END WHEN lr IS NOT NULL THEN CASE WHEN lr <= rr THEN l ELSE r END WHEN {idle.format("l")} THEN r WHEN {idle.format("r")} THEN l ELSE l END AS value,
+  l IS NOT NULL AND r IS NOT NULL AND l <> r AND key NOT IN ({caps}) AND lr IS NULL AND NOT {idle.format("l")} AND NOT {idle.format("r")} AS conflict FROM k""",
+        "gat_01_lost_facts": f"""WITH f AS (SELECT conv_id * 1000 + turn AS doc_id, {quoted} AS q, {named} AS n FROM conversations)
+SELECT a.doc_id, {without("a.q", "b.q")} AS lost_quotes, {without("a.n", "b.n")} AS lost_names, {without("b.q", "a.q")} AS added_quotes, {without("b.n", "a.n")} AS added_names FROM f a JOIN f b ON b.doc_id = a.doc_id + 1""",
         "agg_41_content_removals": f"""WITH {pairs}, x AS (SELECT conv_id, turn, unnest({words.format("before")}) AS word, {words.format("after")} AS kept FROM p)
 SELECT conv_id, turn, word, count(*) AS n FROM x WHERE length(word) >= 4 AND NOT list_contains(kept, word) AND word NOT IN {markers} GROUP BY ALL""",
         "agg_42_opener_changes": f"""WITH {pairs}, x AS (SELECT conv_id, turn, unnest({said("before")}) AS opener, 1 AS b, 0 AS a FROM p UNION ALL SELECT conv_id, turn, unnest({said("after")}), 0, 1 FROM p)
