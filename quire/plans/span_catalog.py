@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.functions.text import ABBREVIATIONS, CLOSERS, WORD_LETTERS
-from quire.operators import closure, concealed, contents, cover, edits, facts, families, learning, lexicon, profiles, units
+from quire.operators import closure, concealed, contents, cover, edits, facts, families, learning, lexicon, preserved, profiles, units
 
 ID, TEXT = object(), object()
 PAGE = [
@@ -167,7 +167,29 @@ def _lost(turns: DataFrame) -> DataFrame:
     return found.select("doc_id", *(F.array_join(c, "|").alias(c) for c in ("lost_quotes", "lost_names", "added_quotes", "added_names")))
 
 
+KEPT = [
+    "---\ntitle: t\n---\n# Title One\n\n", TEXT, "\n\nSee `code span` and https://a.example/x?utm_source=openai&b=1 or docs/read.md with ![logo](assets/logo) on May 3, 2024: 1,234 items, ",
+    "he said \"four words are here now\".\n| a | b |\n> quoted line\n```\nrun\n```\n## Part ", ID,
+]
+#: Edits by the document's number: what is replaced by what, and what is then lost, as (kind, item).
+REWRITES = [
+    ("utm_source=openai&b=1 or", "b=1 or", []), ("`code span`", "code span", [("inline code", "`code span`")]), ("1,234 items", "1,235 items", [("number", "1234")]), ("docs/read.md", "docs/write.md", [("path", "docs/read.md")]),
+    ("| a | b |", "| a | c |", [("table row", "| a | b |")]), ("assets/logo", "assets/new", [("image source", "assets/logo")]), ("## Part ", "Part ", [("heading", "## part "), ("heading count", "2 -> 1")]),
+    ("## Part ", "We delve — so on\n## PART ", [("dashes", "0 -> 1"), ("tells", "0 -> 1")]),
+]
+
+
+def _rewritten(docs: DataFrame) -> DataFrame:
+    """Pairs of each document amid markdown and a rewrite that changes one thing."""
+    marked = docs.select(F.col("doc_id").alias("id"), _joined(KEPT, F.col("doc_id"), F.col("text")).alias("original"))
+    k = F.col("id") % len(REWRITES)
+    new = F.coalesce(*(F.when(k == i, F.replace("original", F.lit(a), F.lit(b))) for i, (a, b, _) in enumerate(REWRITES)))
+    return marked.withColumn("rewritten", new)
+
+
 QUERIES = {
+    "gat_01_violations": ("documents", lambda d: preserved.violations(_rewritten(d), structure=True)),
+    "gat_01_verdicts": ("documents", lambda d: preserved.verdicts(_rewritten(d), structure=True)),
     "join_20_families": ("documents", _families),
     "join_17_family_evidence": ("documents", lambda d: families.evidence(d, _families(d))),
     "join_18_tipped": ("documents", lambda d: families.tipped(_blocked(d), _families(d), families.word_lifts(d, 400).where("length(word) > 3"))),
@@ -433,5 +455,11 @@ h AS (SELECT *, CASE WHEN mark = '#' THEN 'chapter' WHEN mark <> '' AND length(m
 SELECT doc_id, at_::INT AS line, kind, sha256(CASE WHEN mark <> '' THEN regexp_replace(regexp_replace(line, '^#{{1,6}}[ \t]+', ''), '[ \t]+#*$', '') ELSE line END) AS title_sha, coalesce(lead(at_) OVER (PARTITION BY k ORDER BY at_) - 1, size)::INT AS upto FROM h WHERE kind IS NOT NULL""",
     }
 
+# The texts are the same on both sides but for one change, so what is lost is that.
+_LOST = "lost AS (SELECT doc_id AS id, kind, CASE WHEN item = '## part ' THEN item || doc_id ELSE item END AS item, kind IN ('heading', 'heading count') AS allowed FROM documents JOIN (VALUES {}) v(k, kind, item) ON doc_id % {} = k)".format(
+    ", ".join(f"({i}, '{kind}', '{item}')" for i, (_, _, lost) in enumerate(REWRITES) for kind, item in lost), len(REWRITES)
+)
 
-SQL = {"join_14_edits": _JOIN_14, "tok_11_sentence_places": _TOK_11, "join_15_units": _JOIN_15, "join_15_unplaced": _JOIN_15_REST, "det_03_scan": _DET_03, "join_17_term_evidence": _JOIN_17, "join_32_owned_terms": _JOIN_32, "det_07_concealed": _DET_07, "det_06_injection": _DET_06, "prj_19_details": _PRJ_19}
+SQL = {"gat_01_violations": f"WITH {_LOST} SELECT id, kind, item, 1 AS n, allowed FROM lost",
+    "gat_01_verdicts": f"WITH {_LOST} SELECT doc_id AS id, count(id) FILTER (NOT allowed) = 0 AS ok, count(id) FILTER (NOT allowed) AS hard, count(id) FILTER (allowed) AS soft FROM documents LEFT JOIN lost ON id = doc_id GROUP BY doc_id",
+    "join_14_edits": _JOIN_14, "tok_11_sentence_places": _TOK_11, "join_15_units": _JOIN_15, "join_15_unplaced": _JOIN_15_REST, "det_03_scan": _DET_03, "join_17_term_evidence": _JOIN_17, "join_32_owned_terms": _JOIN_32, "det_07_concealed": _DET_07, "det_06_injection": _DET_06, "prj_19_details": _PRJ_19}
