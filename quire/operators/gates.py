@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 
+from .intervals import free_name
+
 PRIORITY = {"P0": 0, "P1": 1, "P2": 2}
 BAND = {"safety": 0, "clarity": 1, "structure": 2}
 
@@ -20,9 +22,10 @@ def ranked(findings: DataFrame) -> DataFrame:
 
 def suppress(findings: DataFrame, allowances: DataFrame) -> DataFrame:
     """findings with `suppressed`: an allowance (doc_id, id) holds and the band isn't safety, which is never suppressed."""
-    a = allowances.select("doc_id", "id").distinct().withColumn("__allowed", F.lit(True))
+    allowed = free_name("allowed", findings.columns)
+    a = allowances.select("doc_id", "id").distinct().withColumn(allowed, F.lit(True))
     d = findings.join(a, ["doc_id", "id"], "left")
-    return d.withColumn("suppressed", F.coalesce(F.col("__allowed"), F.lit(False)) & (F.col("band") != "safety")).drop("__allowed")
+    return d.withColumn("suppressed", F.coalesce(F.col(allowed), F.lit(False)) & (F.col("band") != "safety")).drop(allowed)
 
 
 def audit(findings: DataFrame, allowances: DataFrame) -> DataFrame:
@@ -38,8 +41,9 @@ def tolerated(findings: DataFrame, register: DataFrame, skips: DataFrame) -> Dat
 
 def past_allowance(findings: DataFrame, allowed: int) -> DataFrame:
     """Findings after the first `allowed` of their document and id."""
+    place = free_name("place", findings.columns)
     rn = F.row_number().over(Window.partitionBy("doc_id", "id").orderBy("pos"))
-    return findings.withColumn("__rn", rn).where(F.col("__rn") > allowed).drop("__rn")
+    return findings.withColumn(place, rn).where(F.col(place) > allowed).drop(place)
 
 
 def flagged(findings: DataFrame, threshold: str = "P1") -> DataFrame:

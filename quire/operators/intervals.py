@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _free(name: str, taken: list[str]) -> str:
+def free_name(name: str, taken: list[str]) -> str:
     """The name, with underscores until no column of `taken` has it."""
     while name in taken:
         name += "_"
@@ -28,7 +28,7 @@ def contained(spans: DataFrame, keys: list[str], out: str = "contained", ties: l
 
 def outermost(spans: DataFrame, keys: list[str], ties: list[str] | None = None) -> DataFrame:
     """The spans that no other span holds, one of each set of equal ones: wide ones are claimed first."""
-    name = _free("held", spans.columns)
+    name = free_name("held", spans.columns)
     return contained(spans, keys, name, ties).where(~F.col(name)).drop(name)
 
 
@@ -38,7 +38,7 @@ def covered(points: DataFrame, spans: DataFrame, keys: list[str], out: str = "co
     Both tables go through one sweep in order of place; a point meets the running maximum of the ends before it, and, if `whole`, the next start.
     """
     rest = [c for c in points.columns if c not in (*keys, out)]
-    side, held, found_ = (_free(n, keys) for n in ("side", "held", "found"))
+    side, held, found_ = (free_name(n, keys) for n in ("side", "held", "found"))
     a = points.select(*keys, "start", "end", F.lit(1).alias(side), F.struct(*(points[f"`{c}`"].alias(c) for c in rest)).alias(held))
     b = spans.select(*keys, "start", "end", F.lit(0).alias(side), F.lit(None).cast(a.schema[held].dataType).alias(held))
     w = Window.partitionBy(*keys).orderBy(F.col("start").asc_nulls_last(), side)
@@ -60,7 +60,7 @@ def closed(tags: DataFrame, keys: list[str], out: str = "close") -> DataFrame:
     by_name = Window.partitionBy(*keys, "name")
     step = F.when(F.col("opens"), 1).otherwise(-1)
     depth = F.sum(step).over(by_name.orderBy("start").rowsBetween(Window.unboundedPreceding, 0)) + F.when(F.col("opens"), 0).otherwise(1)
-    level = _free("depth", tags.columns)
+    level = free_name("depth", tags.columns)
     deep = tags.withColumn(level, depth)
     following = Window.partitionBy(*keys, "name", level).orderBy("start")
     end = F.when(~F.lead("opens").over(following), F.lead("end").over(following))

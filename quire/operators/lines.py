@@ -33,6 +33,7 @@ def normal_form(text: Column) -> Column:
 
 
 def normal_digests(docs: DataFrame) -> DataFrame:
+    """SHA-256 of each text's normal form, and about how many tokens it holds; null for null texts."""
     return docs.select("doc_id", F.sha2(normal_form(F.col("text")), 256).alias("digest"), F.floor((F.length("text") + 2) / 3).alias("token_estimate"))
 
 
@@ -46,6 +47,7 @@ MARKS = {"commas": ",", "periods": r"\.", "semicolons": ";", "colons": ":", "que
 
 
 def count_marks(docs: DataFrame) -> DataFrame:
+    """How often each of MARKS stands in each text; null for null texts."""
     return docs.select("doc_id", *(F.regexp_count("text", F.lit(rx)).alias(name) for name, rx in MARKS.items()))
 
 

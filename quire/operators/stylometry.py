@@ -23,6 +23,7 @@ def marker_counts(docs: DataFrame) -> DataFrame:
 
 
 def marker_rates(docs: DataFrame) -> DataFrame:
+    """doc_id, marker, n and its rate in a thousand words, for every marker that occurs in an English document. Null and empty texts have none."""
     return marker_counts(docs).select("doc_id", "marker", "n", F.round(1000.0 * F.col("n") / F.col("words"), 6).alias("per_1k"))
 
 
@@ -100,6 +101,7 @@ def long_measures(docs: DataFrame) -> DataFrame:
 
 
 def measure_stats(docs: DataFrame) -> DataFrame:
+    """Number, mean, sample deviation (0 of one document), least and largest value of each measure by writer. Null measures count for nothing."""
     v = F.col("value")
     m = long_measures(docs).groupBy("source", "measure").agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("lo"), F.max(v).alias("hi"))
     return m.select("source", "measure", "n", F.round("mean", 4).alias("mean"), F.round(F.coalesce("sd", F.lit(0.0)), 4).alias("sd"), F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.functions.text import ABBREVIATIONS, CLOSERS, WORD_LETTERS
 from quire.operators import closure, concealed, contents, cover, edits, facts, families, learning, lexicon, preserved, profiles, units
+from quire.streaming import sessions
 
 ID, TEXT = object(), object()
 PAGE = [
@@ -188,6 +189,7 @@ def _rewritten(docs: DataFrame) -> DataFrame:
 
 
 QUERIES = {
+    "src_27_sessions": ("events", sessions.sessions),
     "gat_01_violations": ("documents", lambda d: preserved.violations(_rewritten(d), structure=True)),
     "gat_01_verdicts": ("documents", lambda d: preserved.verdicts(_rewritten(d), structure=True)),
     "join_20_families": ("documents", _families),
@@ -460,6 +462,10 @@ _LOST = "lost AS (SELECT doc_id AS id, kind, CASE WHEN item = '## part ' THEN it
     ", ".join(f"({i}, '{kind}', '{item}')" for i, (_, _, lost) in enumerate(REWRITES) for kind, item in lost), len(REWRITES)
 )
 
-SQL = {"gat_01_violations": f"WITH {_LOST} SELECT id, kind, item, 1 AS n, allowed FROM lost",
+SQL = {
+    "src_27_sessions": """WITH e AS (SELECT user_id, ts, event_type, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) AS d FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND event_type IS NOT NULL),
+n AS (SELECT *, sum((d IS NULL OR d > 1800000000)::INT) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM e)
+SELECT user_id, min(ts) AS begin, max(ts) AS finish, count(*) AS events, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS kinds FROM n GROUP BY user_id, n""",
+    "gat_01_violations": f"WITH {_LOST} SELECT id, kind, item, 1 AS n, allowed FROM lost",
     "gat_01_verdicts": f"WITH {_LOST} SELECT doc_id AS id, count(id) FILTER (NOT allowed) = 0 AS ok, count(id) FILTER (NOT allowed) AS hard, count(id) FILTER (allowed) AS soft FROM documents LEFT JOIN lost ON id = doc_id GROUP BY doc_id",
     "join_14_edits": _JOIN_14, "tok_11_sentence_places": _TOK_11, "join_15_units": _JOIN_15, "join_15_unplaced": _JOIN_15_REST, "det_03_scan": _DET_03, "join_17_term_evidence": _JOIN_17, "join_32_owned_terms": _JOIN_32, "det_07_concealed": _DET_07, "det_06_injection": _DET_06, "prj_19_details": _PRJ_19}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -16,11 +16,14 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def preferred_readmes(files: DataFrame) -> DataFrame:
-    """One README of each folder of files (path, text): `.md` before others, then by path."""
+    """One README of each folder of files (path, text), with the folder's name as `slug`: `.md` before others, then by path.
+
+    Folders of one name in different places are different. Null paths are left out; of repeated rows one stays.
+    """
     name = F.element_at(F.split("path", "/"), -1)
     d = files.where(name.rlike("(?i)^readme")).withColumn("slug", F.element_at(F.split("path", "/"), -2))
-    order = Window.partitionBy("slug").orderBy(F.when(name.rlike(r"(?i)\.md$"), 0).otherwise(1), "path")
-    return d.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
+    choice = F.min_by(F.struct(*d.columns), F.struct(F.when(name.rlike(r"(?i)\.md$"), 0).otherwise(1), "path"))
+    return d.groupBy(F.regexp_replace("path", "/[^/]*$", "")).agg(choice.alias("x")).select("x.*")
 
 
 def assistant_prose(turns: DataFrame, least: int = 4) -> DataFrame:
