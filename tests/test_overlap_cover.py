@@ -1,6 +1,7 @@
 """Overlapping sets, copied runs, import closure, contents and what edits say, against brute force and hand-made rows."""
 
 import random
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pytest
@@ -24,6 +25,34 @@ def test_similar_pairs_equal_brute_force(spark, percent):
     assert got == want and len(want) > 20
 
 
+@pytest.mark.parametrize(("hot", "block"), [(1, 2), (3, 1), (8, 3)])
+def test_hot_items_meet_in_groups_and_blocks(spark, hot, block):
+    """Every third set holds one item: their pairs, which grow with the square of it, come from groups, and only counts need no pairs."""
+    rng = random.Random(hot)
+    sets = {i: sorted({f"x{int(rng.paretovariate(0.5))}" for _ in range(rng.randint(1, 12))} | ({"hot"} if i % 3 == 0 else set())) for i in range(70)}
+    sets |= {i: ["hot", f"x{i % 2}"] for i in range(70, 80)}
+    df = spark.createDataFrame([(i, s, f"m{i}") for i, s in sets.items()], "id long, items array<string>, note string")
+    want = {(a, b): (n, m) for a in sets for b in sets for n, m in [(len(set(sets[a]) & set(sets[b])), min(len(sets[a]), len(sets[b])))] if a < b and n and 100 * n >= 30 * m}
+    got = joins.similar_pairs(df, 30, "note", hot, block).collect()
+    assert {(r.first_id, r.doc_id): (r.common, r.smaller) for r in got} == want and len(got) == len(want) > 400
+    assert all((r.first_more, r.doc_more) == (f"m{r.first_id}", f"m{r.doc_id}") for r in got)
+    assert {r.id: r.links for r in joins.similar_counts(df, 30, hot).collect()} == {i: n for i in sets if (n := sum(i in p for p in want))}
+    assert joins._Met(df, 30, hot).cold.count() <= hot * sum(map(len, sets.values())) / 2
+
+
+def test_facts_of_overlapping_documents_are_counted(spark):
+    line = "a line of more than forty characters, with no number, is here"
+    texts = ["7 7 7 8", "7 8 8 9", "10 7", ""]
+    docs = spark.createDataFrame([(i, f"{line}\n{t}") for i, t in enumerate(texts)], "doc_id long, text string")
+    got = sorted((r.first_id, r.doc_id, r.side, r.fact, r.n) for r in joins.fact_delta(docs).collect())
+    want = []
+    for a in range(4):
+        for b in range(a + 1, 4):
+            x, y = Counter(texts[a].split()), Counter(texts[b].split())
+            want += [(a, b, side, f, n) for side, d in (("lost", x - y), ("added", y - x)) for f, n in d.items()]
+    assert got == sorted(want)
+
+
 def test_line_overlap(spark):
     long = ["a line of more than forty characters, number %d, is here" % i for i in range(6)]
     texts = {1: long[:3], 2: [*long[1:4], "short"], 3: long[:3], 4: ["- " + long[2].upper(), *long[4:]], 5: ["short"], 6: [""]}
