@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.markdown import blank
 from quire.functions.text import WORD_LETTERS, bound, canonical_number
 
 # The months.
@@ -65,11 +64,11 @@ def numbers(text: Column) -> Column:
             return F.array().cast("array<string>")
         (pattern, spelled), *rest = left
         own = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), spelled)
-        return F.concat(own, bound(blank(t, pattern), lambda b: claim(b, rest)) if rest else F.array().cast("array<string>"))
+        return F.concat(own, bound(F.regexp_replace(t, pattern, " "), lambda b: claim(b, rest)) if rest else F.array().cast("array<string>"))
 
     masked = text
     for pattern in (*(s[0] for s in SPELLINGS), ESCAPE):
-        masked = blank(masked, pattern)
+        masked = F.regexp_replace(masked, pattern, " ")  # places don't matter here
     return F.when(text.isNotNull(), bound(masked, lambda t: claim(t, kinds)))
 
 

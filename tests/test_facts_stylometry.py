@@ -63,3 +63,11 @@ def test_hidden_comments(spark):
     html = "<!-- one two three four five six seven eight --><!-- one two --><!-- eslint-disable a b c d e f g h -->"
     pages = spark.createDataFrame([(1, html), (2, None), (3, ""), (3, "")], "page_id long, html string")
     assert [(r["pos"], r["words"], r["unexplained"]) for r in detectors.concealed_spans(pages).orderBy("pos").collect()] == [(0, 8, True), (1, 2, False), (2, 9, False)]
+
+
+def test_numbers_take_one_pass_a_kind(spark):
+    """What one kind has claimed is replaced, not masked by width: no arrays of gaps are made."""
+    texts = ["5 to 7% of\n3 percent, v1.2.3 and 4th", "%20 5 March 3, 2024 6", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").select("id", facts.numbers(F.col("text")).alias("n"))
+    assert "split(" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.id: r.n for r in rows.collect()} == {0: ["range:5-7%", "3%", "version:1.2.3", "4"], 1: ["5", "6"], 2: [], 3: None}
