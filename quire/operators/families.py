@@ -48,29 +48,48 @@ def families(candidates: DataFrame, bases: DataFrame) -> DataFrame:
     return grouped.join(stems, "root").select("word", F.col("s.word").alias("stem"))
 
 
+#: A table of words of more rows or bytes is not sent to every task.
+SENT, SENT_BYTES = 300_000, 16 << 20
+
+
+def _sent(words: DataFrame) -> DataFrame:
+    """The table, computed once, to be broadcast if it is small."""
+    words = cut(words)
+    n, size = words.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("word")), F.lit(0))).first()
+    return F.broadcast(words) if n <= SENT and size <= SENT_BYTES else words
+
+
+def _uses(rows: DataFrame, text: str, *keys: str) -> DataFrame:
+    """keys and each word of a text. Explode without outer would cut the text into words again, to filter by their number."""
+    return rows.select(*keys, F.explode_outer(T.words(F.col(text))).alias("word")).where("word is not null")
+
+
 def word_lifts(docs: DataFrame, least: int) -> DataFrame:
     """word, lift of every word that documents use `least` times or more; lift is how often."""
-    return docs.select(F.explode(T.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("lift")).where(F.col("lift") >= least)
+    return _uses(docs, "text").groupBy("word").agg(F.count("*").alias("lift")).where(F.col("lift") >= least)
 
 
 def evidence(docs: DataFrame, members: DataFrame) -> DataFrame:
     """stem, forms, docs, hits of families (word, stem): how many forms, documents with any of them, and uses. A row is a document."""
+    members = _sent(members)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "text")
-    per_word = rows.select("row", F.explode(T.words(F.col("text"))).alias("word")).groupBy("word", "row").agg(F.count("*").alias("k"))
-    per_doc = per_word.join(members, "word").groupBy("stem", "row").agg(F.sum("k").alias("k"))
+    per_doc = _uses(rows, "text", "row").join(members, "word").groupBy("stem", "row").agg(F.count("*").alias("k"))
     found = per_doc.groupBy("stem").agg(F.count("*").alias("docs"), F.sum("k").alias("hits"))
     return members.groupBy("stem").agg(F.count("*").alias("forms")).join(found, "stem", "left").select("stem", "forms", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
 def tipped(docs: DataFrame, members: DataFrame, known: DataFrame, fires: int = 2, split: str = r"\n[ \t]*\n") -> DataFrame:
-    """stem, paragraphs: how many paragraphs come to `fires` uses with a family's words that the `known` words (word) alone don't bring there."""
+    """stem, paragraphs: how many paragraphs come to `fires` uses with a family's words that the `known` words (word) alone don't bring there.
+
+    Only paragraphs that the known words leave open are looked at word by word; of the others a number is shuffled.
+    """
+    members, known = _sent(members), _sent(known.select("word").distinct().withColumn("had", F.lit(1)))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.split("text", split, -1).alias("p"))
-    words = rows.select("row", F.posexplode("p").alias("at", "p")).select("row", "at", F.explode(T.words(F.col("p"))).alias("word"))
-    counts = words.groupBy("row", "at", "word").agg(F.count("*").alias("k"))
-    quiet = counts.join(known.select("word").distinct(), "word").groupBy("row", "at").agg(F.sum("k").alias("had"))
-    new = counts.join(members, "word").groupBy("stem", "row", "at").agg(F.sum("k").alias("k"))
-    met = new.join(quiet, ["row", "at"], "left").withColumn("had", F.coalesce("had", F.lit(0)))
-    return met.where((F.col("had") < fires) & (F.col("had") + F.col("k") >= fires)).groupBy("stem").agg(F.count("*").alias("paragraphs"))
+    paragraphs = rows.select("row", F.posexplode_outer("p").alias("at", "p")).where("p is not null")
+    had = _uses(paragraphs, "p", "row", "at").join(known, "word", "left").groupBy("row", "at").agg(F.count("had").alias("had")).where(F.col("had") < fires)
+    open_ = cut(paragraphs.join(had, ["row", "at"]))
+    new = _uses(open_, "p", "row", "at", "had").join(members, "word").groupBy("stem", "row", "at", "had").agg(F.count("*").alias("k"))
+    return new.where(F.col("had") + F.col("k") >= fires).groupBy("stem").agg(F.count("*").alias("paragraphs"))
 
 
 def carried(found: DataFrame, previous: DataFrame) -> DataFrame:

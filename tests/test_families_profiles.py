@@ -87,3 +87,17 @@ def test_blend(spark):
         "emoji": ("allow", False), "max_paragraph_sentences": ("many", False),
     }
     assert {r.key: r.value for r in profiles.blended(table, "l", "r", 0.4).collect()}["tone"] == "warm"
+
+
+@pytest.mark.parametrize("sent", [0, 300_000])
+def test_only_open_paragraphs_are_shuffled(spark, monkeypatch, sent):
+    """Paragraphs that known words fill go no further, and word tables beyond the size are joined by shuffle with the same result."""
+    monkeypatch.setattr(families, "SENT", sent)
+    full = "known known fox"
+    docs = spark.createDataFrame([(1, f"{full}\n\nfox foxes\n\nknown fox\n\nfox"), (2, "\n\n".join([full] * 50)), (3, None), (4, "")], "doc_id long, text string")
+    members, known = spark.createDataFrame([("fox", "fox"), ("foxes", "fox"), ("owl", "owl")], "word string, stem string"), spark.createDataFrame([("known",), ("known",)], "word string")
+    kept = []
+    monkeypatch.setattr(families, "cut", lambda d: kept.append(d) or d)
+    assert [tuple(r) for r in families.tipped(docs, members, known).collect()] == [("fox", 2)]
+    assert kept[-1].count() == 3
+    assert sorted(map(tuple, families.evidence(docs, members).collect())) == [("fox", 2, 2, 55), ("owl", 1, 0, 0)]
