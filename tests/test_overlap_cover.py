@@ -158,3 +158,9 @@ def test_replacements_equal_the_standard_library():
 def test_windows_are_of_words(spark):
     d = spark.createDataFrame([("a b c d",)], "text string").select(cover._windows(F.split("text", " "), 3).alias("h"), cover._windows(F.split("text", " "), 9).alias("none")).first()
     assert len(d.h) == 2 and d.none == []
+
+
+def test_contents_cut_only_the_lines_they_look_at(spark):
+    docs = spark.createDataFrame([(1, "\n".join(["a .. 1"] * 300)), (2, None), (3, "x" * 200000), (4, "\n".join(["a .. 1"] * 5)), (5, " .. 1\n" * 9)], "doc_id long, text string")
+    assert sorted(map(tuple, contents.contents(docs).collect())) == [(1, 1, 200), (4, 1, 5)]
+    assert "slice(" in contents.contents(docs)._jdf.queryExecution().optimizedPlan().toString()
