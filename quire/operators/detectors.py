@@ -10,13 +10,15 @@ from quire.functions import text as T
 
 def long_paragraphs(docs: DataFrame, most: int = 6) -> DataFrame:
     """Paragraphs (here: lines) of more than `most` sentences, with their place among the document's paragraphs."""
-    p = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "p")).select("doc_id", "pos", F.size(T.sentences(F.col("p"))).alias("n"))
-    return p.where(F.col("n") > most)
+    # Counted before they are cut into rows: a filter on a row's count would compute it twice, and so would explode without outer.
+    counts = F.transform(F.split("text", "\n"), lambda p: F.size(T.sentences(p)))
+    return docs.select("doc_id", F.posexplode_outer(counts).alias("pos", "n")).where(F.col("n") > most)
 
 
 def long_sentences(docs: DataFrame, most: int = 25, allowance: int = 6) -> DataFrame:
     """Sentences of more than `most` words after the first `allowance` of them in a document."""
-    s = docs.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "s")).select("doc_id", "pos", F.size(T.words(F.col("s"))).alias("n"))
+    counts = F.transform(T.sentences(F.col("text")), lambda s: F.size(T.words(s)))
+    s = docs.select("doc_id", F.posexplode_outer(counts).alias("pos", "n"))
     s = s.where(F.col("n") > most).withColumn("hit", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")))
     return s.where(F.col("hit") > allowance).select("doc_id", "pos", "n", "hit")
 

@@ -55,3 +55,14 @@ def test_multiset_difference(spark):
 def test_nearest_skips_nulls_and_breaks_ties_by_id(spark):
     v = spark.createDataFrame([(20, [0.0]), (1, [1.0]), (2, [-1.0]), (3, None), (None, [0.0]), (5, [9.0])], "vec_id long, embedding array<double>")
     assert [(r["vec_id"], r["other_id"]) for r in joins.nearest(v, k=2).orderBy("rank").collect()] == [(20, 1), (20, 2)]
+
+
+def test_counts_of_findings_are_computed_once(spark):
+    """Sentences are cut once for each text: no filter below the generator computes them again."""
+    from quire.operators import detectors
+
+    docs = spark.createDataFrame([(1, "A b. " * 8 + "\nC d."), (2, None), (3, ""), (4, "w " * 30 + ". " + "w " * 31 + ".")], "doc_id long, text string")
+    assert [tuple(r) for r in detectors.long_paragraphs(docs).collect()] == [(1, 0, 8)]
+    assert [(r.doc_id, r.pos, r.n) for r in detectors.long_sentences(docs, allowance=0).collect()] == [(4, 0, 30), (4, 1, 31)]
+    for found in (detectors.long_paragraphs(docs), detectors.long_sentences(docs)):
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("approx") == 1
