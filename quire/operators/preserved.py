@@ -77,8 +77,9 @@ def _counted(text: Column) -> list[Column]:
 def changes(pairs: DataFrame) -> DataFrame:
     """id, kind, item, lost, added: every kept thing whose number differs between the texts of a pair; counts that grew as items `before -> after`."""
     p = pairs.select("id", F.coalesce("original", F.lit("")).alias("a"), F.coalesce("rewritten", F.lit("")).alias("b"))
-    sides = [p.select("id", F.explode(_items(F.col(c))).alias("x"), F.lit(int(c == "a")).alias("before"), F.lit(int(c == "b")).alias("after")) for c in "ab"]
-    counts = sides[0].unionByName(sides[1]).groupBy("id", "x").agg((F.sum("before") - F.sum("after")).alias("more")).where("more <> 0")
+    sides = [p.select("id", F.explode_outer(_items(F.col(c))).alias("x"), F.lit(int(c == "a")).alias("before"), F.lit(int(c == "b")).alias("after")) for c in "ab"]
+    # Explode without outer would compute the items again, to filter by their number.
+    counts = sides[0].unionByName(sides[1]).groupBy("id", "x").agg((F.sum("before") - F.sum("after")).alias("more")).where("x is not null and more <> 0")
     found = counts.select("id", "x.kind", "x.item", F.greatest("more", F.lit(0)).alias("lost"), F.greatest(-F.col("more"), F.lit(0)).alias("added"))
     sums = p.select("id", F.struct(*_counted(F.col("a"))).alias("a"), F.struct(*_counted(F.col("b"))).alias("b"))
     grown = [

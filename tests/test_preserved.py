@@ -41,3 +41,10 @@ def test_verdicts(found):
     assert len(strict) == len(CASES) + 3 and not strict["gone"] and preserved.verdicts(pairs.limit(0)).collect() == []
     added = [(r.kind, r.item) for r in preserved.changes(pairs).where("id = 'number' and added > 0").collect()]
     assert added == [("number", "12")]
+
+
+def test_items_are_computed_once(spark):
+    """No filter by the number of items below the generator, which would compute them again on each side."""
+    pairs = spark.createDataFrame([(1, "a 5", "a 6"), (2, None, "")], "id long, original string, rewritten string")
+    plan = preserved.changes(pairs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("front matter") == 2 and [(r.id, r.kind, r.item) for r in preserved.violations(pairs).collect()] == [(1, "number", "5")]
