@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .detectors import BUILD_MARKER
 from .hidden import hidden_messages
 from .intervals import contained, covered, outermost
+from .rounds import pieces
 
 # Styles that take an element out of sight, the attribute that does, and white text.
 _ZERO = r"0(?!\.\d*[1-9])"
@@ -125,7 +126,7 @@ def concealed_in(text: str) -> list[tuple[int, str, int, int, str]]:
 
 def _rows(batches):
     """Arrow batches (row, id, text) to located spans, and instructions as spans of kind `visible`."""
-    for batch in batches:
+    for batch in pieces(batches):
         for row, key, text in zip(*(c.to_pylist() for c in batch.columns)):
             out, line = [], {}
             spans = concealed_in(text or "")
@@ -205,7 +206,7 @@ def fold_details(docs: DataFrame, key: str = "page_id", text: str = "html") -> D
     """key and the folded text of every row; null stays null."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [None if t is None else folded(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [key, "folded"])
 

@@ -167,3 +167,13 @@ def test_asof(spark):
         want = max(((s, m) for t, s, m in spans if t == r.t and s <= r.start), default=None)
         assert (tuple(r.span) if r.span else None) == want
     assert re.match("span", got.columns[-1])
+
+
+def test_python_holds_a_few_rows_of_a_batch():
+    import pyarrow as pa
+
+    from quire.operators.rounds import pieces
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000))], ["a"])
+    found = list(pieces([batch, batch.slice(0, 0), batch.slice(5, 3)]))
+    assert max(b.num_rows for b in found) == 128 and [x for b in found for x in b.column(0).to_pylist()] == [*range(10_000), 5, 6, 7]
