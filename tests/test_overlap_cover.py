@@ -160,6 +160,24 @@ def test_windows_are_of_words(spark):
     assert len(d.h) == 2 and d.none == []
 
 
+def test_copied_windows_hash_each_word_once(spark):
+    """No expression cuts a window out of the documents' words; windows are rolled in tasks and stay within their list."""
+    docs = spark.createDataFrame([(1, "x a b c d"), (2, "c d e"), (3, "a b"), (4, None), (5, "")], "doc_id long, text string")
+    source = spark.createDataFrame([(1, "a b c d"), (2, "b c d e f"), (3, "a")], "item_id long, text string")
+    found = cover.copied_windows(docs, source, 3)
+    assert sorted((r.doc_id, r.start) for r in found.collect()) == [(1, 1), (1, 2), (2, 0)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("slice(") == 1  # of the source's windows
+
+
+def test_windows_stay_within_their_list():
+    import numpy as np
+    import pyarrow as pa
+
+    words, of, start, at = cover._placed(pa.array([[1, 2], [], [3, 4, 5]], pa.list_(pa.int64())), 3)
+    assert (of.tolist(), start.tolist(), at.tolist()) == ([2], [0], [2]) and cover._rolled(words.view(np.uint64), 3).shape == (3,)
+    assert cover._rolled(words.view(np.uint64), 9).shape == (0,)
+
+
 def test_contents_cut_only_the_lines_they_look_at(spark):
     docs = spark.createDataFrame([(1, "\n".join(["a .. 1"] * 300)), (2, None), (3, "x" * 200000), (4, "\n".join(["a .. 1"] * 5)), (5, " .. 1\n" * 9)], "doc_id long, text string")
     assert sorted(map(tuple, contents.contents(docs).collect())) == [(1, 1, 200), (4, 1, 5)]
