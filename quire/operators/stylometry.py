@@ -1,13 +1,16 @@
 """Stylometry: marker rates, writers' baselines, Burrows' Delta.
 
-A writer is a value of `source`. Marker rates are kept long (a row per document and marker that occurs);
-rates of zero enter means and deviations through sums over the writer's document count, so
-the table never holds 190 rows per document.
+A writer is a value of `source`. Markers are counted within a batch of texts, and a document is one row with a list of those that occur, so that
+no task holds an entry per document and marker, nor per document and writer. Rates of zero enter means and deviations through sums over
+the writer's document count.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -15,11 +18,63 @@ from quire.functions import text as T
 MEASURES = ["word_count", "avg_sentence_words", "burstiness", "ttr"]
 
 
+def _listed(of: np.ndarray, rows: int, words: np.ndarray, marker: np.ndarray, n: np.ndarray) -> pa.ListArray:
+    """Entries in order of their rows `of` as a list for each row."""
+    offsets = np.searchsorted(of, np.arange(rows + 1))
+    kinds = (("words", words, pa.int32()), ("marker", marker, pa.int32()), ("n", n, pa.int64()), ("x", 1000.0 * n / words, pa.float64()))
+    entries = pa.StructArray.from_arrays([pa.array(v, t) for _, v, t in kinds], [k for k, _, _ in kinds])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries)
+
+
+def _counted(batches):
+    """Arrow batches (source, doc_id, words) to (source, doc_id, found) of the texts with a word."""
+    for batch in batches:
+        lists = batch.column(2)
+        sizes = np.diff(lists.offsets.to_numpy())
+        flat = lists.flatten()
+        marker = pc.fill_null(pc.index_in(flat, value_set=pa.array(T.MARKERS, flat.type)), -1).to_numpy(zero_copy_only=False)
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        cells, n = np.unique((of * len(T.MARKERS) + marker)[marker >= 0], return_counts=True)
+        of = cells // len(T.MARKERS)
+        found = _listed(of, len(sizes), sizes[of], cells % len(T.MARKERS), n)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["source", "doc_id", "found"]).filter(pa.array(sizes > 0))
+
+
+def _merged(batches):
+    """Arrow batches (source, doc_id, found): entries of a row with equal words and marker become one."""
+    for batch in batches:
+        lists = batch.column(2)
+        sizes = np.diff(lists.offsets.to_numpy())
+        words, marker, n = (x.to_numpy() for x in lists.flatten().flatten()[:3])
+        keys = np.stack([np.repeat(np.arange(len(sizes)), sizes), words, marker])
+        order = np.lexsort(keys[::-1])
+        keys = keys[:, order]
+        first = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0))[: len(order)])
+        of, words, marker = keys[:, first]
+        found = _listed(of, len(sizes), words, marker, np.add.reduceat(n[order], first) if len(first) else n)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["source", "doc_id", "found"])
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """source, doc_id, found of the English documents with a word: {words, marker, n, x} of each marker that occurs, `marker` its place in MARKERS, x its rate.
+
+    Each id of a writer is one row. Its texts of as many words count together.
+    """
+    d = docs.where("lang = 'en'").select("source", "doc_id", T.words(F.col("text")).alias("w"))
+    kinds = ", ".join(f"{c} {d.schema[c].dataType.simpleString()}" for c in ("source", "doc_id"))
+    schema = f"{kinds}, found array<struct<words: int, marker: int, n: bigint, x: double>>"
+    rows = d.mapInArrow(_counted, schema).groupBy("source", "doc_id").agg(F.flatten(F.collect_list("found")).alias("found"))  # of one document
+    return rows.mapInArrow(_merged, schema)
+
+
+def _counts(marked: DataFrame) -> DataFrame:
+    e = marked.select("source", "doc_id", F.explode("found").alias("e"))
+    return e.select("source", "doc_id", "e.words", F.get(F.array(*map(F.lit, T.MARKERS)), F.col("e.marker")).alias("marker"), "e.n", "e.x")
+
+
 def marker_counts(docs: DataFrame) -> DataFrame:
     """source, doc_id, words, marker, n for every marker that occurs in an English document."""
-    d = docs.where("lang = 'en'").select("source", "doc_id", T.words(F.col("text")).alias("w"))
-    d = d.select("source", "doc_id", F.size("w").alias("words"), F.explode("w").alias("marker"))
-    return d.where(F.col("marker").isin(T.MARKERS)).groupBy("source", "doc_id", "words", "marker").agg(F.count("*").alias("n"))
+    return _counts(_marked(docs)).drop("x")
 
 
 def marker_rates(docs: DataFrame) -> DataFrame:
@@ -27,16 +82,10 @@ def marker_rates(docs: DataFrame) -> DataFrame:
     return marker_counts(docs).select("doc_id", "marker", "n", F.round(1000.0 * F.col("n") / F.col("words"), 6).alias("per_1k"))
 
 
-def _with_words(docs: DataFrame) -> DataFrame:
-    """English documents with a word, each id of a writer once: rows that share it count together."""
-    return docs.where("lang = 'en'").where(F.size(T.words(F.col("text"))) > 0).dropDuplicates(["source", "doc_id"])
-
-
-def marker_baseline(docs: DataFrame) -> DataFrame:
-    """Mean, sample deviation and floored deviation of each marker over a writer's English documents with words."""
-    writers = _with_words(docs).groupBy("source").agg(F.count("*").alias("docs"))
-    rate = 1000.0 * F.col("n") / F.col("words")
-    sums = marker_counts(docs).groupBy("source", "marker").agg(F.sum(rate).alias("s"), F.sum(rate * rate).alias("q"))
+def _baseline(marked: DataFrame) -> DataFrame:
+    writers = marked.groupBy("source").agg(F.count("*").alias("docs"))
+    x = F.col("x")
+    sums = _counts(marked).groupBy("source", "marker").agg(F.sum(x).alias("s"), F.sum(x * x).alias("q"))
     b = sums.join(writers, "source")
     mean = F.col("s") / F.col("docs")
     var = (F.col("q") - F.col("docs") * mean * mean) / (F.col("docs") - 1)
@@ -44,49 +93,62 @@ def marker_baseline(docs: DataFrame) -> DataFrame:
     return b.select("source", "marker", "docs", mean.alias("mean"), sd.alias("sd"), F.greatest(sd, 0.25 * mean, F.lit(0.5)).alias("floored_sd"))
 
 
-def _delta(docs: DataFrame, leave_out: bool) -> DataFrame:
-    """Delta of each English document to its writer's baseline: mean of |z| up to 4 over all markers.
+def marker_baseline(docs: DataFrame) -> DataFrame:
+    """Mean, sample deviation and floored deviation of each marker over a writer's English documents with words."""
+    return _baseline(_marked(docs))
+
+
+def _profiles(baseline: DataFrame, zero: Column) -> DataFrame:
+    """source, docs, all_absent, profile: a row per writer with {mean, floored_sd, absent} of every marker in order, null where it has none.
 
-    Markers that a document lacks have rate 0. Their share of the sum is taken from the writer's
-    total for absent markers less that of the markers the document has, so no row is made for them.
-    With leave_out the mean excludes the document itself: (sum - x) / (n - 1).
+    `absent` is the share of a marker that a document lacks, whose distance is `zero`.
     """
-    b = marker_baseline(docs)
+    b = baseline.withColumn("absent", F.least(zero / F.col("floored_sd"), F.lit(4.0)))
+    known = F.map_from_entries(F.collect_list(F.struct("marker", F.struct("mean", "floored_sd", "absent"))))
+    g = b.groupBy("source", "docs").agg(F.sum("absent").alias("all_absent"), known.alias("known"))
+    return g.select("source", "docs", "all_absent", F.transform(F.array(*map(F.lit, T.MARKERS)), lambda m: F.try_element_at("known", m)).alias("profile"))
+
+
+def _distance(mean_of) -> Column:
+    """Delta of a document's `found` to a `profile`: mean of |z| up to 4 over all markers.
+
+    Markers that a document lacks have rate 0. Their share of the sum is taken from the writer's total for absent markers less
+    that of the markers the document has, so a document's list is passed once.
+    """
+
+    def add(a: Column, e: Column) -> Column:
+        p = F.get("profile", e["marker"])
+        z = F.least(F.abs(e["x"] - mean_of(p["mean"], e["x"])) / p["floored_sd"], F.lit(4.0))
+        return a + F.coalesce(z - p["absent"], F.lit(0.0))
+
+    own = F.when(F.col("doc_id").isNotNull(), F.aggregate("found", F.lit(0.0), add)).otherwise(F.lit(0.0))
+    return (F.col("all_absent") + own) / len(T.MARKERS)
+
+
+def _self_distance(marked: DataFrame, baseline: DataFrame, hint: str) -> DataFrame:
+    """Delta of each document to its writer's baseline without the document itself: (sum - x) / (n - 1). The hint is of the join with profiles; none sorts documents by writer."""
     n = F.col("docs")
-    zero = F.col("mean") * n / (n - 1) if leave_out else F.col("mean")
-    b = b.withColumn("absent", F.least(zero / F.col("floored_sd"), F.lit(4.0)))
-    if leave_out:
-        b = b.where("docs > 1")
-    totals = b.groupBy("source").agg(F.sum("absent").alias("all_absent"))
-    c = marker_counts(docs).withColumn("x", 1000.0 * F.col("n") / F.col("words")).drop("n")
-    c = c.join(b, ["source", "marker"])
-    mean = (F.col("mean") * n - F.col("x")) / (n - 1) if leave_out else F.col("mean")
-    z = F.least(F.abs(F.col("x") - mean) / F.col("floored_sd"), F.lit(4.0))
-    own = c.groupBy("source", "doc_id").agg(F.sum(z - F.col("absent")).alias("own"))
-    d = _with_words(docs).select("doc_id", "source").join(totals, "source").join(own, ["source", "doc_id"], "left")
-    return d.select("source", "doc_id", ((F.col("all_absent") + F.coalesce("own", F.lit(0.0))) / len(T.MARKERS)).alias("delta"))
+    profiles = _profiles(baseline.where("docs > 1"), F.col("mean") * n / (n - 1))
+    return marked.join(profiles.hint(hint), "source").select("source", "doc_id", _distance(lambda mean, x: (mean * n - x) / (n - 1)).alias("delta"))
 
 
 def self_distance(docs: DataFrame) -> DataFrame:
     """Leave-one-out Delta of each document within its writer."""
-    return _delta(docs, True).select("source", "doc_id", F.round("delta", 6).alias("delta"))
+    marked = _marked(docs)
+    return _self_distance(marked, _baseline(marked), "shuffle_hash").select("source", "doc_id", F.round("delta", 6).alias("delta"))
 
 
 def voice_distance(docs: DataFrame) -> DataFrame:
     """Delta of each English document to every writer's baseline, with the verdict against the writer's largest leave-one-out Delta.
 
-    A row per document and writer (`baseline`). Writers with a single document have no band and give no rows. Markers that a document
-    lacks are taken from the writer's total, as in `self_distance`; rates meet baselines by marker.
+    A row per document and writer (`baseline`). Writers with a single document have no band and give no rows. The writers' profiles, a row
+    of some 8 KB each, go to every task, where each document's list meets them one by one; nothing is grouped by document and writer.
     """
-    band = _delta(docs, True).groupBy("source").agg(F.max("delta").alias("band"))
-    b = marker_baseline(docs).withColumn("absent", F.least(F.col("mean") / F.col("floored_sd"), F.lit(4.0)))
-    totals = b.groupBy("source").agg(F.sum("absent").alias("all_absent")).join(band, "source").withColumnRenamed("source", "baseline")
-    rates = marker_counts(docs).select("source", "doc_id", "marker", (1000.0 * F.col("n") / F.col("words")).alias("x"))
-    met = rates.join(b.select(F.col("source").alias("baseline"), "marker", "mean", "floored_sd", "absent"), "marker")
-    z = F.least(F.abs(F.col("x") - F.col("mean")) / F.col("floored_sd"), F.lit(4.0))
-    own = met.groupBy("source", "doc_id", "baseline").agg(F.sum(z - F.col("absent")).alias("own"))
-    d = _with_words(docs).select("source", "doc_id").crossJoin(totals).join(own, ["source", "doc_id", "baseline"], "left")
-    d = d.withColumn("delta", (F.col("all_absent") + F.coalesce("own", F.lit(0.0))) / len(T.MARKERS))
+    marked = _marked(docs)
+    baseline = _baseline(marked)
+    band = _self_distance(marked, baseline, "broadcast").groupBy("source").agg(F.max("delta").alias("band"))
+    profiles = _profiles(baseline, F.col("mean")).join(band, "source").withColumnRenamed("source", "baseline")
+    d = marked.crossJoin(F.broadcast(profiles)).select("source", "doc_id", "baseline", "band", _distance(lambda mean, x: mean).alias("delta"))
     verdict = F.when(F.col("delta") <= F.col("band"), "in_range").when(F.col("delta") <= 1.5 * F.col("band"), "near").otherwise("out_of_range")
     return d.select("source", "doc_id", "baseline", F.round("delta", 6).alias("delta"), verdict.alias("verdict"))
 

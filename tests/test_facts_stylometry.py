@@ -1,6 +1,7 @@
 """Facts, and the cases that the tables lack: nulls, empty texts, ties, repeated rows, empty tables."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -54,6 +55,24 @@ def test_every_document_meets_every_baseline(spark):
     assert stylometry.voice_distance(docs_of(spark, [])).count() == 0
 
 
+def test_documents_meet_baselines_as_one_row(spark):
+    """No row is made and grouped for a document, marker and writer, and documents are not sorted by writer."""
+    rows = [(i, "the cat and the dog", "a") for i in range(3)] + [(i, "no, we do not; they did", "b") for i in range(3)]
+    for f, join in ((stylometry.voice_distance, "BroadcastNestedLoopJoin"), (stylometry.self_distance, "ShuffledHashJoin")):
+        plan = f(docs_of(spark, rows))._jdf.queryExecution().executedPlan().toString()
+        assert join in plan and not re.search(r"Aggregate\(keys=\[source#\d+, doc_id#\d+L?, ", plan)
+    assert {(r.source, r.doc_id, r.delta) for r in stylometry.self_distance(docs_of(spark, rows)).collect()} == {(s, i, 0.0) for s in "ab" for i in range(3)}
+
+
+def test_texts_that_share_an_id_count_together(spark):
+    rows = [(1, "the cat the", "a"), (1, "a cat the", "a"), (1, "the", "a"), (2, "the", None), (None, "of it's", "a"), (3, "xyz", "a"), (4, "", "a"), (5, None, "a")]
+    got = stylometry.marker_counts(docs_of(spark, rows)).collect()
+    want = [("a", 1, 3, "the", 3), ("a", 1, 3, "a", 1), ("a", 1, 1, "the", 1), (None, 2, 1, "the", 1), ("a", None, 2, "of", 1), ("a", None, 2, "it's", 1)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert {(r.source, r.doc_id): len(r.found) for r in stylometry._marked(docs_of(spark, rows)).collect()} == {("a", 1): 3, (None, 2): 1, ("a", None): 2, ("a", 3): 0}
+    assert {(r.source, r.marker): r.docs for r in stylometry.marker_baseline(docs_of(spark, rows)).collect()} == {("a", m): 3 for m in ("the", "a", "of", "it's")}
+
+
 def test_digests_of_null_texts_and_ties(spark):
     got = sorted(map(tuple, corpus.digest_dedup(docs_of(spark, [(1, None, "a"), (2, "t", "a"), (3, "t", "a"), (4, None, "a"), (2, "t", "b")])).select("doc_id", "first_id", "kept").collect()))
     assert got == [(1, 1, True), (2, 2, True), (2, 2, True), (3, 2, False), (4, 1, False)]
