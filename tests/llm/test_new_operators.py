@@ -75,6 +75,24 @@ def test_repeats_across_shards_and_parts(spark):
     assert repeats_of(spark, texts, 40, shard=4, buffer=150) == brute_repeats(texts, 40)
 
 
+def test_bitmap_takes_as_many_jobs_for_any_partitions(spark):
+    context, conf = spark.sparkContext, {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    values = [3, 32768, -1, suffix_dedup.BITS + 9, 5 * 32768 + 1]
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("bitmap", "bitmap")
+        bits = suffix_dedup.bitmap(spark.createDataFrame([(v,) for v in values], "v long"), "v")
+        assert len(context.statusTracker().getJobIdsForGroup("bitmap")) < 8
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert suffix_dedup.held(bits, np.array([*values, 4, 32769])).tolist() == [True] * 5 + [False] * 2
+    assert int(np.unpackbits(bits).sum()) == 5
+
+
 def test_repeats_keep_columns_and_bytes(spark, docs_of):
     text = "é" * 30
     docs = docs_of([(1, text), (1, text), (None, None), (2, "x" + text)])
