@@ -59,11 +59,11 @@ def _known(n: int):
 
 
 def _bitmap(values: DataFrame) -> np.ndarray:
-    """Bits of the low bits of column h, put together in tasks."""
+    """Bits of the low bits of column h, put together in tasks and collected by one job however many partitions hold them."""
     bit = F.col("h").bitwiseAND(F.lit(BITS - 1)) + 1
     held = values.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
     out = np.zeros(BITS // 8, np.uint8)
-    for row in held.toLocalIterator():
+    for row in held.collect():
         start = (row.k - 1) * len(row.bits)
         out[start : start + len(row.bits)] = np.frombuffer(row.bits, np.uint8)
     return out

@@ -182,3 +182,21 @@ def test_contents_cut_only_the_lines_they_look_at(spark):
     docs = spark.createDataFrame([(1, "\n".join(["a .. 1"] * 300)), (2, None), (3, "x" * 200000), (4, "\n".join(["a .. 1"] * 5)), (5, " .. 1\n" * 9)], "doc_id long, text string")
     assert sorted(map(tuple, contents.contents(docs).collect())) == [(1, 1, 200), (4, 1, 5)]
     assert "slice(" in contents.contents(docs)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bitmap_takes_as_many_jobs_for_any_partitions(spark):
+    context, conf = spark.sparkContext, {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    values = [3, 32768, -1, cover.BITS + 9]
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("cover bitmap", "bitmap")
+        bits = cover._bitmap(spark.createDataFrame([(v,) for v in values], "h long"))
+        jobs = len(context.statusTracker().getJobIdsForGroup("cover bitmap"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert jobs < 8
+    assert {i for i in (3, 9, 10, 32768, cover.BITS - 1) if bits[i >> 3] >> (i & 7) & 1} == {3, 9, 32768, cover.BITS - 1}
