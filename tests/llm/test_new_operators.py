@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from quire.llm import ranked_search, suffix_dedup
+from quire.llm import queries, ranked_search, suffix_dedup
 from quire.llm.spelling import deletion_keys, variants
 
 
@@ -105,6 +105,24 @@ def test_repeats_keep_columns_and_bytes(spark, docs_of):
     assert [tuple(r)[1:4] for r in suffix_dedup.remove_repeats(bad, 20).collect()] == [(61, 60, 1)]
 
 
+@pytest.mark.parametrize("words", [51, 80])
+def test_op12_cuts_planted_passages_from_400_bytes_whatever_their_words(spark, tmp_path, words):
+    rng = random.Random(words)
+    letters = lambda k: "".join(rng.choices("abcdefghij", k=k))
+    sizes, texts = [398, 399, 400, 401, 700], []
+    for size in sizes:
+        passage = " ".join(letters(3) for _ in range(words - 1)) + " "
+        passage += letters(size - len(passage))
+        assert len(passage) == size and len(passage.split()) == words
+        # The bytes around the two copies differ, so none is longer by chance.
+        texts += [f"{letters(200)} 1{passage}3 {letters(200)}", f"{letters(200)} 2{passage}4 {letters(200)}"]
+    texts += [" ".join(letters(4) for _ in range(200)) for _ in range(5)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    found = [tuple(r)[1:] for r in queries.op12_suffix_dedup(spark, f"file://{tmp_path}").orderBy("doc_id").collect()]
+    assert found == brute_repeats(texts, 400)
+    assert [r[1] for r in found] == [n for size in sizes for n in [size if size >= 400 else 0] * 2] + [0] * 5
+
+
 def brute_variants(rows, least, times, ratio):
     counts = Counter()
     for doc, text in rows:
