@@ -21,14 +21,19 @@ def _lines(docs: DataFrame, limit: int | None = None) -> DataFrame:
     """row, doc_id, at, line of all lines, or the first `limit` ones."""
     lines = F.split("text", "\n", -1)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")  # numbered before they are cut
-    return rows.select("row", "doc_id", F.posexplode_outer(F.slice(lines, 1, limit) if limit else lines).alias("at", "line")).where("line is not null")
+    return rows.select("row", "doc_id", F.posexplode_outer(lines if limit is None else F.slice(lines, 1, limit)).alias("at", "line")).where("line is not null")
 
 
-def contents(docs: DataFrame, least: int = LEAST, top: int = TOP, limit: int = LIMIT) -> DataFrame:
-    """doc_id, first, last: the first run of `least` lines or more that end in a page number, if it begins in the first `top` lines."""
+def contents(docs: DataFrame, least: int = LEAST, top: int | None = TOP, limit: int | None = LIMIT) -> DataFrame:
+    """doc_id, first, last: the first run of `least` lines or more that end in a page number, if it begins in the first `top` lines.
+
+    Without `top` it may begin anywhere, and without `limit` texts are read to their end.
+    """
     paged = _lines(docs, limit).where(F.col("line").rlike(PAGE_END) & F.col("line").rlike(PAGE))
     island = F.col("at") - F.row_number().over(Window.partitionBy("row").orderBy("at"))
-    runs = paged.withColumn("island", island).groupBy("row", "doc_id", "island").agg(F.min("at").alias("first"), F.count("*").alias("n")).where((F.col("n") >= least) & (F.col("first") < top))
+    runs = paged.withColumn("island", island).groupBy("row", "doc_id", "island").agg(F.min("at").alias("first"), F.count("*").alias("n")).where(F.col("n") >= least)
+    if top is not None:
+        runs = runs.where(F.col("first") < top)
     return runs.groupBy("row", "doc_id").agg(F.min(F.struct("first", "n")).alias("x")).select("doc_id", (F.col("x.first") + 1).alias("first"), (F.col("x.first") + F.col("x.n")).alias("last"))
 
 

@@ -209,7 +209,7 @@ QUERIES = {
     "join_11_spans": ("documents", "benchmark", cover.lifted_spans),
     "join_10_effective_size": ("documents", lambda d: closure.effective_size(*_files(d))),
     "det_44_import_cost": ("documents", lambda d: closure.import_cost(*_files(d), 30, 120)),
-    "det_58_contents": ("documents", lambda d: contents.contents(_with_lines(d, _paged))),
+    "det_58_contents": ("documents", lambda d: contents.contents(_with_lines(d, _paged), top=None, limit=None)),
     "ord_06_headings": ("documents", lambda d: contents.headings(_with_lines(d, _headed)).select("doc_id", "line", "kind", _digest("title"), "upto")),
     "join_14_edits": ("documents", _edited),
     "tok_11_sentence_places": ("documents", _sentence_places),
@@ -447,8 +447,8 @@ FROM n JOIN m b ON b.conv_id = n.conv_id AND b.turn = n.turn JOIN m f ON f.conv_
 SELECT doc_id, unnest(list_reduce(s[2:], lambda a, v: CASE WHEN v >= a[-1] + 10 THEN list_append(a, v) ELSE a END, s[:1]))::INT AS start FROM x""",
         "join_10_effective_size": f"WITH RECURSIVE {files} SELECT * FROM z",
         "det_44_import_cost": f"WITH RECURSIVE {files} SELECT id, own, total, CASE WHEN total > 120 THEN 'P1' ELSE 'P2' END AS priority FROM z WHERE own <= 30 AND total > 30 AND total > own",
-        "det_58_contents": rf"""WITH {lines(paged)}, t AS (SELECT *, at_ - row_number() OVER (PARTITION BY k ORDER BY at_) AS g FROM l WHERE at_ <= 200 AND regexp_matches(line, '[^ \t\r\n\x0B\f.].*?[ \t\r\n\x0B\f.]{{2,}}[0-9]{{1,4}}[ \t\r\n\x0B\f]*$')),
-r AS (SELECT k, doc_id, min(at_) AS first, max(at_) AS last FROM t GROUP BY k, doc_id, g HAVING count(*) >= 5 AND min(at_) <= 80)
+        "det_58_contents": rf"""WITH {lines(paged)}, t AS (SELECT *, at_ - row_number() OVER (PARTITION BY k ORDER BY at_) AS g FROM l WHERE regexp_matches(line, '[^ \t\r\n\x0B\f.].*?[ \t\r\n\x0B\f.]{{2,}}[0-9]{{1,4}}[ \t\r\n\x0B\f]*$')),
+r AS (SELECT k, doc_id, min(at_) AS first, max(at_) AS last FROM t GROUP BY k, doc_id, g HAVING count(*) >= 5)
 SELECT doc_id, min(first)::INT AS first, arg_min(last, first)::BIGINT AS last FROM r GROUP BY k, doc_id""",
         "ord_06_headings": rf"""WITH {lines(headed)}, f AS (SELECT *, line LIKE '```%' AS fence, sum((line LIKE '```%')::INT) OVER (PARTITION BY k ORDER BY at_) % 2 = 1 AS inside FROM l),
 c AS (SELECT k, doc_id, at_, CASE WHEN fence OR inside THEN '' ELSE {trim.format("line")} END AS line, max(at_) OVER (PARTITION BY k) AS size FROM f),

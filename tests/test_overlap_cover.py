@@ -200,3 +200,19 @@ def test_bitmap_takes_as_many_jobs_for_any_partitions(spark):
             spark.conf.set(k, v)
     assert jobs < 8
     assert {i for i in (3, 9, 10, 32768, cover.BITS - 1) if bits[i >> 3] >> (i & 7) & 1} == {3, 9, 32768, cover.BITS - 1}
+
+
+def test_contents_query_reads_texts_to_their_end(spark, tmp_path):
+    import duckdb
+
+    from quire.plans import catalog
+
+    # The query makes entries of lines whose length is not divisible by 4.
+    late, long = "\n".join(["abcd"] * 250 + ["entry"] * 6 + ["abcd"]), "\n".join(["entry"] * 300)
+    docs = spark.createDataFrame([(1, late), (2, long), (3, "abcd\n" * 90 + long), (4, None), (5, "abcd\n" * 300)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted(map(tuple, catalog.QUERIES["det_58_contents"](spark, str(tmp_path)).collect()))
+    assert found == [(1, 251, 256), (2, 1, 300), (3, 91, 390)]
+    with duckdb.connect() as duck:
+        duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        assert sorted(duck.sql(catalog.SQL["det_58_contents"]).fetchall()) == found
