@@ -15,7 +15,7 @@ from .text import bound
 # The shapes of markdown. A fence or code span closes with the marks that opened it.
 FRONTMATTER = r"\A---\n(?s:.*?)\n---\n"
 FENCE = r"(?dm:^)[ \t]*(?<fence>`{3,}|~{3,})(?s:.*?)(?:(?dm:^)[ \t]*\k<fence>[`~]*|\z)"
-INLINE_CODE = r"(?<!`)(?<tick>`+)(?!`)(?:(?!\k<tick>)[^\n])+?\k<tick>(?!`)"
+INLINE_CODE = r"(?=`)(?<!`)(?<tick>`+)(?!`)(?:(?!\k<tick>)[^\n])+?\k<tick>(?!`)"
 TABLE_ROW = r"(?dm:^)\s*\|[^\n]*\|\s*(?dm:$)"
 BLOCK_QUOTE = r"(?dm:^)\s*>[^\n]*"
 QUOTED = r"\"(?:[^\"\n]|\n[ \t]*[^ \t\n\"]){0,400}(?:\n[ \t]*)?\"|“(?:[^”\n]|\n[ \t]*[^ \t\n”]){0,400}(?:\n[ \t]*)?”"
@@ -35,12 +35,12 @@ def blank(text: Column, pattern: str) -> Column:
     The text is computed once, so that masks in a row cost as many passes as there are masks.
     """
 
-    def masked(t: Column) -> Column:
-        gaps, hits = F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(f"({pattern})"), F.lit(1))
+    def masked(t: Column, hits: Column) -> Column:
         spaces = F.transform(hits, lambda m: F.regexp_replace(m, r"\S", " "))
-        return F.array_join(F.zip_with(gaps, spaces, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+        return F.array_join(F.zip_with(F.split(t, pattern, -1), spaces, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
 
-    return bound(text, masked)
+    hits = lambda t: F.regexp_extract_all(t, F.lit(f"({pattern})"), F.lit(1))
+    return bound(text, lambda t: bound(hits(t), lambda h: F.when(F.size(h) > 0, masked(t, h)).otherwise(t)))
 
 
 def blank_all(text: Column, *patterns: str) -> Column:
@@ -51,9 +51,13 @@ def without(text: Column, *patterns: str) -> Column:
     return reduce(lambda t, p: F.regexp_replace(t, p, ""), patterns, text)
 
 
+#: What no rule may judge, beyond front matter and code blocks.
+UNJUDGED = (INLINE_CODE, TABLE_ROW, BLOCK_QUOTE, QUOTED)
+
+
 def scored(text: Column) -> Column:
     """The text with all spans masked that no rule may judge: front matter, code, tables, quotations."""
-    return blank_all(text, FRONTMATTER, FENCE, INLINE_CODE, TABLE_ROW, BLOCK_QUOTE, QUOTED)
+    return blank_all(text, FRONTMATTER, FENCE, *UNJUDGED)
 
 
 def prose_copy(text: Column) -> Column:

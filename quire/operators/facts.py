@@ -12,19 +12,21 @@ MONTHS = "January February March April May June July August September October No
 _MONTH = "(" + "|".join(MONTHS) + ")"
 #: Pattern and the groups that hold year, month and day.
 SPELLINGS = ((rf"\b{_MONTH}\s+(\d{{1,2}}),?\s+(\d{{4}})\b", 3, 1, 2), (rf"\b(\d{{1,2}})\s+{_MONTH}\s+(\d{{4}})\b", 3, 2, 1), (r"\b(\d{4})-(\d{2})-(\d{2})\b", 1, 2, 3))
+#: The same patterns, behind a look for a character that they can begin with.
+_DATES = tuple(f"(?=[{first}]){pattern}" for first, (pattern, *_) in zip(("A-Z", "0-9", "0-9"), SPELLINGS))
 QUOTED = r"\"([^\"]{0,400})\"|\u201c([^\u201d]{0,400})\u201d"
 _NAME = rf"[A-Z][a-zA-Z0-9]*(?:[ -][A-Z][a-zA-Z0-9]*)*(?![{WORD_LETTERS}])"
 #: A name after what begins a sentence or a list item, or (group 1) one anywhere else.
 NAMES = rf"(?:^|[.!?:]\s+|\n\s*(?:[-*+>#]+\s*|\d+[.)]\s*)?){_NAME}|(?<![{WORD_LETTERS}])({_NAME})"
 
-# Spellings of numbers, in the order in which they claim their places.
+# Spellings of numbers, in the order in which they claim their places. Each looks first for a character that it can begin with.
 _PLAIN, _GROUPED = r"[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?", r"(?:[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]+(?:\.[0-9]+)?)"
 ESCAPE = r"(?:%[0-9A-Fa-f]{2})+"
-RANGE = rf"(?<![\w.,$-])({_PLAIN})(?:[-\u2013]|\s+to\s+)({_PLAIN})(?![0-9,])\s*(%|percent\b)?"
-PERCENT = r"\b([0-9]+(?:\.[0-9]+)?)\s*(?:%|percent\b)"
-VERSION = r"(?<!\$)(?<!,)\bv?[0-9]+\.[0-9]+(?:\.[0-9]+)*\b"
-ORDINAL = r"\b([0-9]+)(?:st|nd|rd|th)\b"
-NUMBER = rf"(?:(?<=[\s(\[{{])|^)-?{_GROUPED}(?![\w,]|\.[0-9])|(?<![\w.,-]){_GROUPED}(?![\w,]|\.[0-9])"
+RANGE = rf"(?=[0-9])(?<![\w.,$-])({_PLAIN})(?:[-\u2013]|\s+to\s+)({_PLAIN})(?![0-9,])\s*(%|percent\b)?"
+PERCENT = r"(?=[0-9])\b([0-9]+(?:\.[0-9]+)?)\s*(?:%|percent\b)"
+VERSION = r"(?=[v0-9])(?<!\$)(?<!,)\bv?[0-9]+\.[0-9]+(?:\.[0-9]+)*\b"
+ORDINAL = r"(?=[0-9])\b([0-9]+)(?:st|nd|rd|th)\b"
+NUMBER = rf"(?=[-0-9])(?:(?:(?<=[\s(\[{{])|^)-?{_GROUPED}(?![\w,]|\.[0-9])|(?<![\w.,-]){_GROUPED}(?![\w,]|\.[0-9]))"
 
 
 def dates(text: Column) -> Column:
@@ -33,12 +35,12 @@ def dates(text: Column) -> Column:
     def of(pattern: str, year: int, month: int, day: int) -> Column:
         def iso(d: Column) -> Column:
             part = lambda g: F.regexp_extract(d, pattern, g)
-            number = F.coalesce(part(month).try_cast("int"), F.array_position(F.array(*map(F.lit, MONTHS)), part(month)).cast("int"))
+            number = F.array_position(F.array(*map(F.lit, MONTHS)), part(month)).cast("int") if _MONTH in pattern else part(month).cast("int")
             return F.concat_ws("-", part(year), F.lpad(number.cast("string"), 2, "0"), F.lpad(part(day), 2, "0"))
 
         return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), iso)
 
-    return F.concat(*(of(*s) for s in SPELLINGS))
+    return F.concat(*(of(pattern, *groups) for pattern, (_, *groups) in zip(_DATES, SPELLINGS)))
 
 
 def numbers(text: Column) -> Column:
@@ -60,14 +62,15 @@ def numbers(text: Column) -> Column:
     ]
 
     def claim(t: Column, left: list) -> Column:
-        if not left:
-            return F.array().cast("array<string>")
         (pattern, spelled), *rest = left
-        own = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), spelled)
-        return F.concat(own, bound(F.regexp_replace(t, pattern, " "), lambda b: claim(b, rest)) if rest else F.array().cast("array<string>"))
+        hits = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        if not rest:
+            return F.transform(hits, spelled)
+        left = lambda h: F.when(F.size(h) > 0, F.regexp_replace(t, pattern, " ")).otherwise(t)
+        return bound(hits, lambda h: F.concat(F.transform(h, spelled), bound(left(h), lambda b: claim(b, rest))))
 
     masked = text
-    for pattern in (*(s[0] for s in SPELLINGS), ESCAPE):
+    for pattern in (*_DATES, ESCAPE):
         masked = F.regexp_replace(masked, pattern, " ")  # places don't matter here
     return F.when(text.isNotNull(), bound(masked, lambda t: claim(t, kinds)))
 
