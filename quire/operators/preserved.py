@@ -166,6 +166,7 @@ def violations(pairs: DataFrame, structure: bool = False, fact: bool = False, da
 
 def verdicts(pairs: DataFrame, **flags: bool) -> DataFrame:
     """id, ok, hard, soft of every pair: whether nothing is lost that must be kept, and how many violations and allowed changes there are."""
-    sums = violations(pairs, **flags).groupBy("id").agg(F.count_if(~F.col("allowed")).alias("hard"), F.count_if("allowed").alias("soft"))
-    found = pairs.select("id").join(sums, "id", "left").select("id", F.coalesce("hard", F.lit(0)).alias("hard"), F.coalesce("soft", F.lit(0)).alias("soft"))
+    free = _free(**flags)
+    sums = lambda c: F.struct(*(F.size(F.filter(c, lambda x: (x["lost"] > 0) & (x["kind"].isin(free) == allowed))).cast("bigint").alias(k) for k, allowed in (("hard", False), ("soft", True))))
+    found = _compared(pairs).select("id", bound(F.col("changes"), sums).alias("n")).select("id", "n.hard", "n.soft")
     return found.select("id", (F.col("hard") == 0).alias("ok"), "hard", "soft")
