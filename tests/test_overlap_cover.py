@@ -216,3 +216,11 @@ def test_contents_query_reads_texts_to_their_end(spark, tmp_path):
     with duckdb.connect() as duck:
         duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
         assert sorted(duck.sql(catalog.SQL["det_58_contents"]).fetchall()) == found
+
+
+def test_line_sets_are_made_once(spark):
+    """The filter of empty sets doesn't make them again."""
+    docs = spark.createDataFrame([(1, "- A\tlong  line\nshort\n1. a long line"), (2, "short"), (3, None), (4, " \n"), (None, "a long line")], "doc_id long, text string")
+    sets = joins.line_sets(docs, 8)
+    assert sets._jdf.queryExecution().optimizedPlan().toString().count("[-*+]") == 1
+    assert [(r.doc_id, r.lines) for r in sets.collect()] == [(1, ["a long line"])]
